@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, url_rules
+from . import line_dedup, near_dedup, url_rules
 
 QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filters": url_rules.op10_url_filters,
 }
 ORACLE_SQL = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
+    "op9_near_dedup": near_dedup.ORACLE_SQL,
     "op10_url_filters": url_rules.ORACLE_SQL,
 }
