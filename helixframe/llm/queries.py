@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, near_dedup, token_files, url_rules
+from . import license_scan, line_dedup, near_dedup, packing, token_files, url_rules
 
 QUERIES = {
     "op2_license_scans": license_scan.op2_license_scans,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op8_token_files": token_files.op8_token_files,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filters": url_rules.op10_url_filters,
