@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, near_dedup, packing, token_files, url_rules
+from . import license_scan, line_dedup, near_dedup, packing, quality, token_files, url_rules
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_license_scans": license_scan.op2_license_scans,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
