@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, near_dedup, packing, quality, token_files, url_rules
+from . import knn_join, license_scan, line_dedup, near_dedup, packing, quality, token_files, url_rules
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_license_scans": license_scan.op2_license_scans,
+    "op3_exact_top_k": knn_join.op3_exact_top_k,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op8_token_files": token_files.op8_token_files,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_url_filters": url_rules.op10_url_filters,
 }
 ORACLE_SQL = {
+    "op3_exact_top_k": knn_join.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op9_near_dedup": near_dedup.ORACLE_SQL,
     "op10_url_filters": url_rules.ORACLE_SQL,
