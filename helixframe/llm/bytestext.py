@@ -91,6 +91,14 @@ def spans(flat: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def span_hasher(flat: np.ndarray):
+    """A function from starts and ends to hashes of the bytes between, the same for equal bytes wherever they stand."""
+    up, down = (_UP, _DOWN) if len(flat) <= _WINDOW else (_powers(_BASE, len(flat) + 1), _powers(_UNBASE, len(flat) + 1))
+    sums = np.zeros(len(flat) + 1, dtype=np.uint64)
+    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
+    return lambda a, b: mix((sums[b] - sums[a]) * down[a] ^ (b - a).astype(np.uint64) * _UNBASE)
+
+
 def hash_spans(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans' bytes. starts and ends ascend."""
     out = np.empty(len(starts), dtype=np.uint64)
@@ -98,14 +106,9 @@ def hash_spans(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     while i < len(starts):
         low = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, low + _WINDOW, side="right")))
-        size = int(ends[j - 1]) - low
-        up, down = (_UP, _DOWN) if size <= _WINDOW else (_powers(_BASE, size + 1), _powers(_UNBASE, size + 1))
-        sums = np.zeros(size + 1, dtype=np.uint64)
-        np.cumsum((flat[low : low + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
-        a, b = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (sums[b] - sums[a]) * down[a]
+        out[i:j] = span_hasher(flat[low : int(ends[j - 1])])(starts[i:j] - low, ends[i:j] - low)
         i = j
-    return mix(out ^ (ends - starts).astype(np.uint64) * _UNBASE)
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

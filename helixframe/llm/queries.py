@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, knn_join, license_scan, line_dedup, near_dedup, packing, quality, token_files, url_rules
+from . import ann, knn_join, license_scan, line_dedup, near_dedup, packing, quality, sampled_pieces, token_files, url_rules
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_top_k": knn_join.op3_exact_top_k,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_sentencepiece": sampled_pieces.op6_sentencepiece,
     "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op8_token_files": token_files.op8_token_files,
     "op9_near_dedup": near_dedup.op9_near_dedup,
