@@ -1,8 +1,52 @@
-"""The corpus pipeline: named stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: quality classifier, line dedup, MinHash near-dedup and best-fit packing over documents.
 
+Each stage takes what its predecessor kept, written as Parquet and read again; all but the last return the columns of
+documents, the last one row for each packed piece.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.llm import line_dedup, near_dedup, packing, quality, shared, token_files
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, shared.table(spark, sf_dir, "labels"))
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go but for their first place, and so do documents in which nothing else stood."""
+    cleaned = line_dedup.remove_boilerplate(docs)
+    kept = cleaned.filter((F.col("n_removed") == 0) | (F.btrim("text", F.lit(line_dedup.WHITE)) != ""))
+    return kept.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each group of near copies stays."""
+    return near_dedup.remove_near_copies(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, with their sequences and offsets."""
+    return packing.pack(docs, token_files.vocabulary())
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_boilerplate),
+    ("near_dedup", drop_near_copies),
+    ("packing", pack_sequences),
+]
+
+#: The classifier and the tokenizer have no form in SQL.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = shared.stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
