@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import normalise  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "mart_00"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
