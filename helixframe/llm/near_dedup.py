@@ -8,11 +8,13 @@ MAX_DIFFERENT < 2 * CHUNKS. All errors a chunk may have are enumerated as index
 slots, each in turn. So all pairs within the threshold share a key.
 
 Work follows links and not pairs:
-1. documents with equal sets become one class (an aggregation);
-2. in each bucket of the index the smallest class is the hub; hub-member pairs are confirmed on full sets and
-   components are found, which takes groups of near copies together without all their pairs;
-3. in buckets that still hold several components, the pairs of different components that pass the signature and size
-   filters are confirmed as well, and components found again. No pair is dropped: those of one component are linked already.
+1. documents with equal sets become one class (an aggregation); classes that share a bucket with another are candidates,
+   and only their texts are read again, for their full sets and a wider signature;
+2. in rounds, each bucket's smallest document is its hub, each candidate is confirmed against the smallest hub of its
+   buckets, and components are found; the next round leaves out what is in the hub's component. This takes groups of near
+   copies together with one pair a document and round;
+3. in buckets that still hold several components, the pairs of different components that pass the size filter and the wider
+   signature's threshold are confirmed, and components found again. No pair is dropped: those of one component are linked already.
 
 Components are found by alternating minimum steps over edges (joins and aggregations), each written to the shared
 folder. Nothing is collected. Joins are plain sort-merge joins, which the adaptive planner splits where a key is hot.
@@ -40,11 +42,15 @@ from .shared import stash, table
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 SLOTS, BITS, CHUNK = 64, 16, 4
+#: The wider signature, by which pairs of a bucket are compared: WIDE one-bit slots, of which at similarity 0.75 an eighth differs;
+#: WIDE_DIFFERENT lies 4.5 standard deviations above.
+WIDE, WIDE_DIFFERENT = 2048, 323
+ROUNDS = 3
 CHUNKS = SLOTS // CHUNK
 MAX_DIFFERENT = 2 * CHUNKS - 1
-LONGS = SLOTS * BITS // 64
-_FACTORS = bt.mix(np.arange(1, SLOTS + 1, dtype=np.uint64), 1) | np.uint64(1)
-_SHIFTS = bt.mix(np.arange(1, SLOTS + 1, dtype=np.uint64), 2)
+LONGS, WIDE_LONGS = SLOTS * BITS // 64, WIDE // 64
+_FACTORS = bt.mix(np.arange(1, WIDE + 1, dtype=np.uint64), 1) | np.uint64(1)
+_SHIFTS = bt.mix(np.arange(1, WIDE + 1, dtype=np.uint64), 2)
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -68,20 +74,19 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield values[new], np.bincount(owners[new], minlength=len(counts))
 
 
-def signatures(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A row of LONGS 64-bit integers for each row that has shingles."""
+def signatures(values: np.ndarray, counts: np.ndarray, slots: int, bits: int) -> np.ndarray:
+    """A row of slots * bits / 64 64-bit integers for each row that has shingles."""
     at = bt.bounds(counts[counts > 0])
-    out = np.zeros((len(at) - 1, SLOTS), dtype=np.uint64)
+    out = np.zeros((len(at) - 1, slots), dtype=np.uint64)
     low = 0
     while low < len(at) - 1:
         high = max(low + 1, int(np.searchsorted(at, at[low] + 50_000, side="right")) - 1)
         part, edges = values[at[low] : at[high]], at[low:high] - at[low]
-        for j in range(SLOTS):
+        for j in range(slots):
             out[low:high, j] = np.minimum.reduceat(part * _FACTORS[j] + _SHIFTS[j], edges)
         low = high
-    slots = (out >> np.uint64(20)) & np.uint64(0xFFFF)
-    packed = slots.reshape(-1, LONGS, 4) << (np.arange(4, dtype=np.uint64) * np.uint64(BITS))
-    return np.bitwise_or.reduce(packed, axis=2)
+    out = (out >> np.uint64(20)) & np.uint64((1 << bits) - 1)
+    return np.bitwise_or.reduce(out.reshape(len(out), -1, 64 // bits) << (np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits)), axis=2)
 
 
 def _sum_by_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -90,30 +95,41 @@ def _sum_by_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return sums[at[1:]] - sums[at[:-1]]
 
 
-_NAMES = ["n", "a", "b", *(f"s{i}" for i in range(LONGS))]
+FULL, BITWISE = [f"s{i}" for i in range(LONGS)], [f"w{i}" for i in range(WIDE_LONGS)]
+_NAMES = ["n", "a", "b", *FULL]
+
+
+def _longs(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.ascontiguousarray(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)).astype(np.uint64).view(np.int64))
 
 
 @F.arrow_udf(T.StructType([T.StructField(x, T.LongType()) for x in _NAMES]))
 def describe(texts: pa.Array) -> pa.Array:
     """Set size, a 128-bit digest of the set, and the signature."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(3 + LONGS)]
+    parts: list[list[np.ndarray]] = [[] for _ in _NAMES]
     for values, counts in shingle_sets(texts):
         sig = np.zeros((len(counts), LONGS), dtype=np.uint64)
         if len(values):
-            sig[counts > 0] = signatures(values, counts)
+            sig[counts > 0] = signatures(values, counts, SLOTS, BITS)
         for part, x in zip(parts, [counts, _sum_by_row(bt.mix(values, 5), counts), _sum_by_row(bt.mix(values, 6), counts), *sig.T], strict=True):
-            part.append(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
-    return pa.StructArray.from_arrays([pa.array(np.concatenate(p) if p else np.zeros(0, dtype=np.int64)) for p in parts], _NAMES)
+            part.append(x)
+    return pa.StructArray.from_arrays([_longs(p) for p in parts], _NAMES)
 
 
-@F.arrow_udf(T.BinaryType())
-def set_bytes(texts: pa.Array) -> pa.Array:
-    """The distinct shingle hashes, ascending, as bytes."""
+@F.arrow_udf(T.StructType([T.StructField("set", T.BinaryType()), *(T.StructField(x, T.LongType()) for x in BITWISE)]))
+def full_sets(texts: pa.Array) -> pa.Array:
+    """The distinct shingle hashes, ascending, as bytes, and the wider signature."""
     out: list[bytes] = []
+    parts: list[list[np.ndarray]] = [[] for _ in BITWISE]
     for values, counts in shingle_sets(texts):
         at = bt.bounds(counts)
         out += [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-    return pa.array(out, pa.binary())
+        sig = np.zeros((len(counts), WIDE_LONGS), dtype=np.uint64)
+        if len(values):
+            sig[counts > 0] = signatures(values, counts, WIDE, 1)
+        for part, x in zip(parts, sig.T, strict=True):
+            part.append(x)
+    return pa.StructArray.from_arrays([pa.array(out, pa.binary()), *map(_longs, parts)], ["set", *BITWISE])
 
 
 @F.arrow_udf(T.LongType())
@@ -143,27 +159,23 @@ def _signed(x: int) -> int:
 
 
 def different_slots(left: str, right: str) -> Column:
-    """The signatures' distance in slots."""
-    ones = F.lit(_signed(0x0001000100010001))
-    counts = []
-    for i in range(LONGS):
-        x = F.col(f"{left}.s{i}").bitwiseXOR(F.col(f"{right}.s{i}"))
-        for shift in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        counts.append(F.bit_count(x.bitwiseAND(ones)))
-    return reduce(add, counts)
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough. docs: doc_id, text."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = stash(docs.join(wanted, "doc_id", "left_semi").select("doc_id", set_bytes("text").alias("set")), "sets")
+    """The distance of two wider signatures in slots."""
+    return reduce(add, [F.bit_count(F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}"))) for name in BITWISE])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough. sets: doc_id, set."""
     left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("x")), "u")
     both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("set").alias("y")), "v")
     both = both.select("u", "v", ((F.length("x") + F.length("y")) / 8).cast("long").alias("total"), common("x", "y").alias("both"))
     return both.filter(DENOMINATOR * F.col("both") >= NUMERATOR * (F.col("total") - F.col("both"))).select("u", "v")
 
 
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (key, pos, doc_id) with c, the document's component."""
+    return stash(rows.join(labels, "doc_id", "left").select("key", "pos", "doc_id", F.coalesce("component", "doc_id").alias("c")), "labelled")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, component): the smallest document that each document of edges (u, v) is linked with, over any steps.
 
@@ -189,39 +201,44 @@ def components(edges: DataFrame) -> DataFrame:
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs, which has doc_id and text."""
     docs = docs.select("doc_id", "text")
-    sig = [f"s{i}" for i in range(LONGS)]
     known = stash(docs.select("doc_id", describe("text").alias("d")).select("doc_id", "d.*"), "signatures")
     classes = known.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(
-        F.min(F.struct("doc_id", *sig)).alias("r")
+        F.min(F.struct("doc_id", *FULL)).alias("r")
     )
     heads = stash(classes.select("n", "a", "b", "r.*"), "heads")
-    keyed = heads.select(F.explode(index_keys([F.col(c) for c in sig])).alias("key"), "doc_id")
+    keys = index_keys([F.col(c) for c in FULL])
+    keyed = heads.select(F.posexplode(keys).alias("pos", "key"), "doc_id")
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub <> top").select("key", "hub")
     shared = stash(keyed.join(hubs, "key"), "buckets")
-    size_ok = DENOMINATOR * F.least("p.n", "q.n") >= NUMERATOR * F.greatest("p.n", "q.n")
+    candidates = shared.select("doc_id").distinct()
+    sets = stash(docs.join(candidates, "doc_id", "left_semi").select("doc_id", full_sets("text").alias("f")).select("doc_id", "f.*"), "sets")
 
-    stars = shared.filter("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-    stars = stars.join(heads.select(F.col("doc_id").alias("u"), F.struct("n", *sig).alias("p")), "u")
-    stars = stars.join(heads.select(F.col("doc_id").alias("v"), F.struct("n", *sig).alias("q")), "v")
-    stars = stash(stars.filter(size_ok & (different_slots("p", "q") <= MAX_DIFFERENT)).select("u", "v"), "stars")
     # rows that share a doc_id are one document, so their classes are linked
     member = stash(known.join(heads.select("n", "a", "b", F.col("doc_id").alias("head")), ["n", "a", "b"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("head")).alias("head")), "members")
     twice = member.groupBy("doc_id").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low <> high").select("doc_id", "low")
     own = member.join(twice, "doc_id").filter("head <> low").select(F.col("head").alias("u"), F.col("low").alias("v"))
-    found = stash(confirmed(stars, docs).unionByName(own), "links")
-    labels = components(found)
-
-    labelled = shared.select("key", "doc_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    labelled = stash(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    open_rows = labelled.join(mixed, "key", "left_semi")
-    open_rows = stash(open_rows.join(heads.select("doc_id", "n", *sig), "doc_id"), "open")
-    pairs = open_rows.alias("p").join(
-        open_rows.alias("q"),
-        (F.col("p.key") == F.col("q.key")) & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.c") != F.col("q.c")) & size_ok & (different_slots("p", "q") <= MAX_DIFFERENT),
+    links, rows = own, shared.select("key", "pos", "doc_id", F.col("doc_id").alias("c"))
+    for _ in range(ROUNDS):
+        hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", "c")).alias("h"))
+        rest = rows.join(hubs, "key").filter(F.col("c") != F.col("h.c"))
+        pairs = rest.groupBy("doc_id").agg(F.min("h.doc_id").alias("hub")).select(F.col("hub").alias("u"), F.col("doc_id").alias("v"))
+        labels = components(links.unionByName(confirmed(stash(pairs, "hub-pairs"), sets)))
+        links = labels.select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
+        rows = labelled(rest.select("key", "pos", "doc_id"), labels)
+    placed = labelled(shared.select("key", "pos", "doc_id"), labels)
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
+    sizes = sets.select("doc_id", (F.length("set") / 8).cast("long").alias("n"), *BITWISE)
+    # a pair comes from the first of the keys it shares only
+    earlier = heads.select("doc_id", keys.alias("keys"))
+    opened = placed.join(mixed, "key", "left_semi").join(sizes, "doc_id").join(earlier, "doc_id")
+    opened = stash(opened.withColumn("earlier", F.expr("slice(keys, 1, pos)")).drop("keys", "pos"), "open")
+    size_ok = DENOMINATOR * F.least("p.n", "q.n") >= NUMERATOR * F.greatest("p.n", "q.n")
+    pairs = opened.alias("p").join(
+        opened.alias("q"),
+        (F.col("p.key") == F.col("q.key")) & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.c") != F.col("q.c")) & size_ok & (different_slots("p", "q") <= WIDE_DIFFERENT)
+        & ~F.arrays_overlap("p.earlier", "q.earlier"),
     ).select(F.col("p.doc_id").alias("u"), F.col("q.doc_id").alias("v")).distinct()
-    pairs = stash(pairs.join(stars, ["u", "v"], "left_anti"), "pairs")
-    labels = components(labels.select(F.col("doc_id").alias("u"), F.col("component").alias("v")).unionByName(confirmed(pairs, docs)))
+    labels = components(links.unionByName(confirmed(stash(pairs, "pairs"), sets)))
     ended = member.join(labels.select(F.col("doc_id").alias("head"), "component"), "head", "left")
     return ended.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "head", "doc_id").alias("component_id"))
 
