@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import normalise  # noqa: F401
+from . import joining, normalise, reporting  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "mart_00"
+FLAGSHIP = "ag_12"
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
