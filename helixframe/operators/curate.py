@@ -25,7 +25,7 @@ def apply_corrections(rows: DataFrame, corrections: Sequence[Correction], second
     kinds = dict(rows.dtypes)
     now = rows.withColumns({"__gone": F.lit(False), "hits": F.array().cast("array<int>")})
     for n, (rsid, other, field, value) in enumerate(corrections):
-        match = ~F.col("__gone") & (F.col("rsid") == rsid) & (F.lit(other == "*") | (F.coalesce(F.col(second), F.lit("")) == other))
+        match = ~F.col("__gone") & F.col("rsid").eqNullSafe(rsid) & (F.lit(other == "*") | (F.coalesce(F.col(second), F.lit("")) == other))
         change: dict[str, Column] = {"hits": F.when(match, F.array_append("hits", F.lit(n))).otherwise(F.col("hits"))}
         if field == "drop":
             change["__gone"] = F.col("__gone") | match

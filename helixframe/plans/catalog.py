@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import joining, normalise, reporting  # noqa: F401
+from . import curation, joining, normalise, reporting  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "ag_12"
