@@ -17,12 +17,11 @@ def ship(spark: SparkSession, *more: Path) -> None:
     if context.getLocalProperty(_SENT):
         return
     root = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder) / "helixframe.zip"
-        with zipfile.ZipFile(path, "w") as out:
-            for file in root.rglob("*.py"):
-                out.write(file, file.relative_to(root.parent))
-            for file in more:
-                out.write(file, file.name)
-        context.addPyFile(str(path))
+    path = Path(tempfile.mkdtemp(prefix="helixframe-")) / "helixframe.zip"  # the driver serves it from there as long as it runs
+    with zipfile.ZipFile(path, "w") as out:
+        for file in root.rglob("*.py"):
+            out.write(file, file.relative_to(root.parent))
+        for file in more:
+            out.write(file, file.name)
+    context.addPyFile(str(path))
     context.setLocalProperty(_SENT, "yes")
