@@ -22,7 +22,6 @@ MIN_SITES = 8
 #: The sketch has 2^LG_K registers, and so a standard error of 1.04 / sqrt(2^LG_K); NEAR of these on either side count as near.
 LG_K, NEAR = 10, 4
 WHITE = " \t\n\x0b\x0c\r"
-TEXT_ID, GONE = "__text_id__", "__gone__"
 
 
 def line_key(line: Column) -> Column:
@@ -58,15 +57,17 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     found = places(docs)
     gone = (
         found.join(boilerplate(found, min_sites), "key").filter(F.struct("doc", "pos") != F.col("first"))
-        .groupBy(F.col("doc.id").alias("g_id"), F.col("doc.text").alias("g_text")).agg(F.collect_set("pos").alias(GONE))
+        .groupBy(F.col("doc.id").alias("g_id"), F.col("doc.text").alias("g_text")).agg(F.collect_set("pos").alias("removed"))
     )
-    marked = docs.withColumn(TEXT_ID, F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col(TEXT_ID) == F.col("g_text")), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(GONE, i)), "\n")
+    whole = docs.select(F.struct(*docs.columns).alias("d"), F.xxhash64("text").alias("d_text"))
+    marked = whole.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g_id")) & (F.col("d_text") == F.col("g_text")), "left")
+    lines = F.split("d.text", "\n")
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("d.text")).otherwise(kept)
     return marked.select(
-        *[F.when(F.col(GONE).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns],
+        *[text.alias(c) if c == "text" else F.col("d").getField(c).alias(c) for c in docs.columns],
         F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size(GONE), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"),
     )
 
 
