@@ -15,9 +15,13 @@ def blank_to_null(c: Column) -> Column:
 
 def genotype_from_gt(gt: Column, ref: Column, alt: Column) -> Column:
     """Sorted alleles that the GT's digits name, from ref and then the alternates split at '|'; an index past them gives a null allele."""
-    alleles = F.concat(F.array(ref), F.split(alt, "[|]"))
+    alternates = F.when(F.contains(alt, F.lit("|")), F.split(alt, r"\|")).otherwise(F.array(alt))
+    alleles = F.concat(F.array(ref), alternates)
     named = F.transform(F.regexp_extract_all(gt, F.lit("[0-9]+"), 0), lambda i: F.get(alleles, i.cast("int")))
-    return F.array_sort(named)
+    # most calls are of two one-digit indices, which need no loop over the GT's text
+    first, second = (F.get(alleles, F.substring(gt, at, 1).try_cast("int")) for at in (1, 3))
+    plain = (F.length(gt) == 3) & F.substring(gt, 2, 1).isin("/", "|") & first.isNotNull() & second.isNotNull()
+    return F.when(plain, F.array(F.least(first, second), F.greatest(first, second))).otherwise(F.array_sort(named))
 
 
 def authored_genotype(genotype: Column) -> Column:
