@@ -34,7 +34,7 @@ from .shared import partitions, stash, table
 
 K, EVERY = 20, 20
 NEIGHBOURS, TREES, LEAF, BLOCK, ROUNDS, IMPROVE = 32, 8, 500, 64, 2, 10
-BEAM, WIDTH, STEPS = 128, 24, 4
+BEAM, WIDTH, STEPS = 256, 32, 7
 
 
 def _vectors(column: pa.Array, size: int) -> np.ndarray:
