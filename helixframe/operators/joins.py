@@ -146,7 +146,7 @@ def fan_out(authored: DataFrame, resolution: DataFrame) -> DataFrame:
     """Each authored row once for each locus of its key, with locus_index from 0 and locus_count (1 without a locus)."""
     over = Window.partitionBy("row_id")
     joined = authored.join(resolution, "variant_key", "left")
-    return joined.withColumns({"locus_index": F.row_number().over(over.orderBy("chrom", "start", "ref")) - 1, "locus_count": F.count("*").over(over)})
+    return joined.withColumns({"locus_index": F.row_number().over(over.orderBy("chrom", "start", "ref")).cast("long") - 1, "locus_count": F.count("*").over(over)})
 
 
 def members_of_panel(records: DataFrame, panel: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def _vcf_text(spark, d, where="true"):
     return path
 
 
-_READ = f"SELECT chrom, count(*) AS n, sum(start) AS places, count(rsid) AS named, count(*) FILTER (filter = '') AS unfiltered, sum(dp) AS depth, sum(dp * 2 + 1) AS reads, count(DISTINCT array_to_string({B._GENOTYPE}, '/')) AS genotypes, round(sum(qual), 3) AS quality FROM v_callset WHERE rec % 2 = 0 GROUP BY chrom"
+_READ = f"SELECT chrom, count(*) AS n, CAST(sum(start) AS BIGINT) AS places, count(rsid) AS named, count(*) FILTER (filter = '') AS unfiltered, CAST(sum(dp) AS BIGINT) AS depth, CAST(sum(dp * 2 + 1) AS BIGINT) AS reads, count(DISTINCT array_to_string({B._GENOTYPE}, '/')) AS genotypes, round(sum(qual), 3) AS quality FROM v_callset WHERE rec % 2 = 0 GROUP BY chrom"
 
 
 def _read(df):
@@ -132,7 +132,7 @@ def snk_03(spark, d):
     return done.groupBy("chrom").agg(F.count("id").alias("found"))
 
 
-@query("snk_04", "SELECT chrom, count(*) AS n, sum(start) AS places, count(weight) AS weighted, round(sum(weight), 3) AS weight, count(DISTINCT gene) AS genes FROM v_annotated GROUP BY chrom")
+@query("snk_04", "SELECT chrom, count(*) AS n, CAST(sum(start) AS BIGINT) AS places, count(weight) AS weighted, round(sum(weight), 3) AS weight, count(DISTINCT gene) AS genes FROM v_annotated GROUP BY chrom")
 def snk_04(spark, d):
     """Exported as VCF text and read back."""
     path = scratch(spark, "export")

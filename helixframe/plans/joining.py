@@ -318,7 +318,7 @@ def mart_01(spark, d):
     return outcomes
 
 
-@query("ag_25", "SELECT sum(written) AS written, sum(matched) AS matched FROM (SELECT count(*) AS written, count(module) AS matched FROM v_annotated)")
+@query("ag_25", "SELECT CAST(sum(written) AS BIGINT) AS written, CAST(sum(matched) AS BIGINT) AS matched FROM (SELECT count(*) AS written, count(module) AS matched FROM v_annotated)")
 def ag_25(spark, d):
     return A.written_and_matched(J.annotate_by_position(B.calls(spark, d), B.lead(spark, d), "core")).agg(F.sum("written").alias("written"), F.sum("matched").alias("matched"))
 

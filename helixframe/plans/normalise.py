@@ -86,7 +86,7 @@ def prj_14(spark, d):
     return df.withColumn("zygosity", G.zygosity(F.col("genotype"))).withColumns(texts).select("rsid", F.array_join("genotype", "/").alias("genotype"), "gene", "state", "weight", "zygosity")
 
 
-_KEPT = "SELECT sample, count(*) AS n, sum(start) AS places FROM v_callset WHERE {} GROUP BY sample"
+_KEPT = "SELECT sample, count(*) AS n, CAST(sum(start) AS BIGINT) AS places FROM v_callset WHERE {} GROUP BY sample"
 
 
 def _kept(df):

@@ -113,7 +113,7 @@ def ag_29(spark, d):
 @query("so_02", "SELECT category, key, weight, row_number() OVER (PARTITION BY category ORDER BY abs(weight) DESC, key) AS place FROM v_lead")
 def so_02(spark, d):
     order = Window.partitionBy("category").orderBy(F.abs("weight").desc(), "key")
-    return B.lead(spark, d).select("category", "key", "weight", F.row_number().over(order).alias("place"))
+    return B.lead(spark, d).select("category", "key", "weight", F.row_number().over(order).cast("long").alias("place"))
 
 
 _RANK = "CASE WHEN key % 7 < 6 THEN 6 - key % 7 ELSE 0 END"
@@ -122,7 +122,7 @@ _RANK = "CASE WHEN key % 7 < 6 THEN 6 - key % 7 ELSE 0 END"
 @query("so_03", f"SELECT key, row_number() OVER (PARTITION BY module ORDER BY abs(weight) DESC, {_RANK} DESC, key) AS place FROM v_lead")
 def so_03(spark, d):
     order = Window.partitionBy("module").orderBy(F.abs("weight").desc(), G.evidence_rank(level("key")).desc(), "key")
-    return B.lead(spark, d).select("key", F.row_number().over(order).alias("place"))
+    return B.lead(spark, d).select("key", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("so_04", f"SELECT drug, best_rank, n FROM ({_DRUGS}) ORDER BY best_rank DESC, n DESC, drug")
@@ -144,7 +144,7 @@ def so_06(spark, d):
 def wn_05(spark, d):
     """A page with the rows' places: only the rows up to its end are ranked, by a top-k, not the whole table in one task."""
     page = B.lead(spark, d).orderBy(F.desc("weight"), "key").limit(150)
-    ranked = page.withColumn("row_index", F.row_number().over(Window.orderBy(F.desc("weight"), "key")) - 1)
+    ranked = page.withColumn("row_index", F.row_number().over(Window.orderBy(F.desc("weight"), "key")).cast("long") - 1)
     return ranked.filter("row_index >= 100").select("row_index", "key")
 
 
@@ -183,7 +183,7 @@ def _scores(spark, d):
     return A.polygenic_scores(rows, scoring.groupBy("pgs_id").agg(F.count("*").alias("total")))
 
 
-@query("jn_28", f"WITH {_SCORING} SELECT pgs_id, count(*) AS n, sum(len(list_filter(c.genotype, lambda g: g = sc.effect_allele))) AS dosage FROM sc JOIN v_calls c ON sc.chrom = c.chrom AND sc.start = c.start GROUP BY pgs_id")
+@query("jn_28", f"WITH {_SCORING} SELECT pgs_id, count(*) AS n, CAST(sum(len(list_filter(c.genotype, lambda g: g = sc.effect_allele))) AS BIGINT) AS dosage FROM sc JOIN v_calls c ON sc.chrom = c.chrom AND sc.start = c.start GROUP BY pgs_id")
 def jn_28(spark, d):
     rows = J.score_rows(B.calls(spark, d).select("sample", "chrom", "start", "genotype"), _scoring(spark, d))
     return rows.groupBy("pgs_id").agg(F.count("*").alias("n"), F.sum("dosage").alias("dosage"))
