@@ -27,6 +27,7 @@ gives an empty result. remove_near_copies passes all other columns through whate
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytestext as bt
-from .shared import stash, table
+from .shared import discard, stash, table
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 SLOTS, BITS, CHUNK = 64, 16, 4
@@ -191,9 +192,11 @@ def components(edges: DataFrame) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small_least, "u")
         small = stash(moved.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
-        ends = small.select("v").distinct().join(small.select(F.col("u").alias("v")), "v", "left_semi")
-        several = small.groupBy("u").count().filter("count > 1")
-        if ends.isEmpty() and several.isEmpty():
+        discard(now)
+        discard(large)
+        roles = small.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(small.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        roles = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if roles.filter("up > 1 OR up = 1 AND down = 1").isEmpty():
             return small.select(F.col("u").alias("doc_id"), F.col("v").alias("component"))
         now = small
 
@@ -220,18 +223,21 @@ def link(docs: DataFrame) -> DataFrame:
     links, rows = own, shared.select("key", "pos", "doc_id", F.col("doc_id").alias("c"))
     for _ in range(ROUNDS):
         hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", "c")).alias("h"))
-        rest = rows.join(hubs, "key").filter(F.col("c") != F.col("h.c"))
-        pairs = rest.groupBy("doc_id").agg(F.min("h.doc_id").alias("hub")).select(F.col("hub").alias("u"), F.col("doc_id").alias("v"))
-        labels = components(links.unionByName(confirmed(stash(pairs, "hub-pairs"), sets)))
+        rest = stash(rows.join(hubs, "key").filter(F.col("c") != F.col("h.c")).select("key", "pos", "doc_id", F.col("h.doc_id").alias("hub")), "rest")
+        pairs = stash(rest.groupBy("doc_id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("u"), F.col("doc_id").alias("v")), "hub-pairs")
+        labels = components(links.unionByName(confirmed(pairs, sets)))
+        discard(pairs)
         links = labels.select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
         rows = labelled(rest.select("key", "pos", "doc_id"), labels)
+        discard(rest)
+        gc.collect()  # lets go of plans, and so of their shuffle files
     placed = labelled(shared.select("key", "pos", "doc_id"), labels)
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
     sizes = sets.select("doc_id", (F.length("set") / 8).cast("long").alias("n"), *BITWISE)
     # a pair comes from the first of the keys it shares only
     earlier = heads.select("doc_id", keys.alias("keys"))
     opened = placed.join(mixed, "key", "left_semi").join(sizes, "doc_id").join(earlier, "doc_id")
-    opened = stash(opened.withColumn("earlier", F.expr("slice(keys, 1, pos)")).drop("keys", "pos"), "open")
+    opened = opened.withColumn("earlier", F.expr("slice(keys, 1, pos)")).drop("keys", "pos")
     size_ok = DENOMINATOR * F.least("p.n", "q.n") >= NUMERATOR * F.greatest("p.n", "q.n")
     pairs = opened.alias("p").join(
         opened.alias("q"),
