@@ -1,8 +1,8 @@
 """Byte-level BPE ids of whole columns of texts, by the tokenizers library, each distinct stretch of text once.
 
 The vocabulary's pre-tokenizer never lets a token run over these places: before white space that follows a visible
-ASCII character, before a space that precedes one, and between ASCII letters, digits and other signs but the
-apostrophe. Texts are cut there, equal stretches are found by 64-bit hash (of bytes and length), the library encodes
+ASCII character, before a space that precedes one, around other single white space between two, and between ASCII
+letters, digits and other signs but the apostrophe. Texts are cut there, equal stretches are found by 64-bit hash (of bytes and length), the library encodes
 each stretch that is new to this process, and the texts' ids are gathered from the known stretches' ids. A stretch
 that is plainly one pre-token goes to the library's model at once, any other to the whole tokenizer. Texts in which
 a special token's string occurs are encoded whole, as a cut could split it.
@@ -11,6 +11,7 @@ a special token's string occurs are encoded whole, as a cut could split it.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import pyarrow as pa
 
 from . import bytestext as bt
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Stretches a process remembers at most; beyond it it starts afresh.
 MOST_KNOWN = 1_000_000
 
@@ -63,20 +64,23 @@ class Encoder:
         self.starts = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=self.kind)
 
-    def ids_of(self, stretch: bytes) -> list[int]:
-        if _PLAIN.fullmatch(stretch):
-            return [x.id for x in self.model.tokenize(stretch.decode("latin-1").translate(_LETTERS))]
-        return self.tokenizer.encode(stretch.decode(), add_special_tokens=False).ids
+    def ids_of(self, stretches: list[bytes]) -> list[list[int]]:
+        fits, tokenize = _PLAIN.fullmatch, self.model.tokenize
+        plain = [fits(x) is not None for x in stretches]
+        # the plain ones hold no line feed, so that one pass spells them all in the vocabulary's letters
+        spelled = b"\n".join(itertools.compress(stretches, plain)).decode("latin-1").translate(_LETTERS).split(_LETTERS[10])
+        names = iter(spelled)
+        return [[t.id for t in tokenize(next(names))] if p else self.tokenizer.encode(x.decode(), add_special_tokens=False).ids for p, x in zip(plain, stretches, strict=True)]
 
     def learn(self, keys: np.ndarray, stretches: list[bytes]) -> None:
         """keys ascend and are new."""
-        found = [self.ids_of(x) for x in stretches]
+        found = self.ids_of(stretches)
         at = np.searchsorted(self.keys, keys)
         self.slots = np.insert(self.slots, at, np.arange(len(keys)) + len(self.keys))
         self.keys = np.insert(self.keys, at, keys)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in found for i in x), dtype=self.kind, count=int(sizes.sum()))))
+        self.ids = np.concatenate((self.ids, np.fromiter(itertools.chain.from_iterable(found), dtype=self.kind, count=int(sizes.sum()))))
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Chunk by chunk: the rows' ids one after another, and how many each row has."""
@@ -87,7 +91,9 @@ class Encoder:
             white, visible = _WHITE[flat], _VISIBLE[flat]
             cut = np.zeros(len(flat), dtype=bool)
             cut[1:] = white[1:] & visible[:-1]
-            cut[:-1] |= (flat[:-1] == 0x20) & visible[1:]
+            space = flat == 0x20
+            cut[:-1] |= space[:-1] & visible[1:]
+            cut[2:] |= visible[:-2] & (white & ~space)[1:-1] & visible[2:]
             kind = _KIND[flat]
             cut[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
             data = flat.tobytes()
