@@ -3,8 +3,9 @@
 Only the histogram of piece lengths (as many rows as a sequence has tokens at most) comes to the driver. There, patterns of
 one to MOST_IN_PATTERN lengths that fill a sequence as well as the lengths present allow are enumerated, repeat counts
 are fitted to the histogram by non-negative least squares, rounded down, and what is left is packed by best-fit
-decreasing on counts, which also tops up patterns with room. All of this grows with the number of distinct lengths and
-not with the number of documents. The plan gives each length ranges of ranks; a piece's rank among those of its length
+decreasing on counts, into the room of the patterns first. Patterns take no more than a few documents, so that they are
+tried from several fills on, and best-fit decreasing alone too (all it takes where all lengths are short): the plan with
+the fewest sequences counts. All of this grows with the number of distinct lengths and not with the number of documents. The plan gives each length ranges of ranks; a piece's rank among those of its length
 comes from counts by (length, salt) and its place in its own salt, so that no length makes a task large.
 
 Cases: a null or empty text is its end id alone, of length 1; only documents longer than a sequence are cut, so that all
@@ -30,6 +31,8 @@ from .token_files import vocabulary
 
 SIZE, END = 2048, 0
 MOST_IN_PATTERN, PARTNERS, ROUNDS = 6, 24, 200
+#: Plans are tried with the patterns that fill at least such a share of a sequence; with none where it is over 1.
+FILLS = (1.0, 2.0, 0.98, 0.9, 0.0)
 #: A salt holds about so many pieces.
 SALT_ROWS = 50_000
 
@@ -107,8 +110,27 @@ def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     if not left.any():
         return out
     patterns = enumerate_patterns(left)
-    patterns = patterns[patterns.sum(axis=1) == size] if (patterns.sum(axis=1) == size).any() else patterns
-    repeats = fit_repeats(patterns, left)
+    fills = patterns.sum(axis=1) / size
+    least = -(-int(left @ np.arange(size + 1)) // size)
+    best, tried = None, set()
+    for fill in FILLS:
+        able = patterns[fills >= fill]
+        if len(able) in tried:
+            continue
+        tried.add(len(able))
+        found = best_fit(*repeat(able, left), size)
+        number = sum(repeats for _, repeats in found)
+        if best is None or number < best[0]:
+            best = number, found
+        if number == least:
+            break
+    return out + best[1]
+
+
+def repeat(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[tuple[tuple[int, ...], int]]]:
+    """The counts that are left over by patterns at their fitted repeats, and (lengths, repeats) of these."""
+    left, out = counts.copy(), []
+    repeats = fit_repeats(patterns, left) if len(patterns) else np.zeros(0)
     for k in np.argsort(-repeats, kind="stable"):
         wanted = int(repeats[k])
         if not wanted:
@@ -118,14 +140,21 @@ def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         if fit:
             left[lengths] -= fit * each
             out.append((tuple(int(n) for n in patterns[k] if n), fit))
-    return out + best_fit(left)
+    return left, out
 
 
-def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing on counts: equal sequences with equal room are one entry with their number."""
-    size = len(counts) - 1
+def best_fit(counts: np.ndarray, begun: list[tuple[tuple[int, ...], int]], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing on counts, into the sequences begun and new ones: equal sequences with equal room are one entry with their number."""
     open_: dict[int, list[list]] = defaultdict(list)  # by room: [number, lengths]
     rooms = np.zeros(size + 1, dtype=bool)
+
+    def put(number: int, lengths: tuple[int, ...], room: int) -> None:
+        if number:
+            open_[room].append([number, lengths])
+            rooms[room] = True
+
+    for lengths, repeats in begun:
+        put(repeats, lengths, size - sum(lengths))
     for n in np.flatnonzero(counts)[::-1]:
         n, c = int(n), int(counts[n])
         while c:
@@ -133,23 +162,20 @@ def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
             if not len(able):
                 per = size // n
                 full, rest = divmod(c, per)
-                for number, k in ((full, per), (1 if rest else 0, rest)):
-                    if number:
-                        room = size - k * n
-                        open_[room].append([number, (n,) * k])
-                        rooms[room] = True
+                put(full, (n,) * per, size - per * n)
+                put(1 if rest else 0, (n,) * rest, size - rest * n)
                 break
+            # once in the tightest room, the next of this length finds the same sequence the tightest
             room = n + int(able[0])
             group = open_[room][-1]
-            take = min(c, group[0])
-            if take == group[0]:
+            each = min(room // n, c)
+            take = min(c // each, group[0])
+            group[0] -= take
+            if not group[0]:
                 open_[room].pop()
                 rooms[room] = bool(open_[room])
-            else:
-                group[0] -= take
-            open_[room - n].append([take, (*group[1], n)])
-            rooms[room - n] = True
-            c -= take
+            put(take, (*group[1], *(n,) * each), room - each * n)
+            c -= take * each
     merged: dict[tuple[int, ...], int] = defaultdict(int)
     for groups in open_.values():
         for number, lengths in groups:

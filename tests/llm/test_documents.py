@@ -222,6 +222,16 @@ def test_plans_hold_every_piece():
     assert np.allclose(repeats, [8, 3], atol=0.1)
 
 
+def test_short_lengths_fill_sequences():
+    number = lambda lengths: sum(r for _, r in packing.plan(np.bincount(lengths, minlength=packing.SIZE + 1)))
+    assert number(np.full(20_000, 100)) == 1000
+    assert number(np.ones(10_000, dtype=int)) == 5
+    chats = np.random.default_rng(6).integers(1, 342, 30_000)
+    assert number(chats) == -(-chats.sum() // packing.SIZE)
+    # patterns beat best-fit alone, and the shortest ones go into their room
+    assert number(np.repeat([1000, 700, 340, 1], 600)) < 650
+
+
 def test_sampled_pieces(spark, mixed):
     path = sampled_pieces.model_path()
     rows = [*mixed, (70, "▁ literal ▁▁ and  spaces   ", ""), (71, "\x00\x01", ""), (None, "null key", ""), (None, "null key", "")]
