@@ -5,7 +5,8 @@ data (M: the largest squared norm) and 0 for queries, the largest inner product
 that the triangle inequality holds. Queries and data are grouped by their nearest of PIVOTS pivots. From summaries of
 the groups (radius of a query group; the smallest distances to the pivot in a data group) follows for each query group
 a distance within which each of its queries has its k nearest; a row of data is replicated to just the query groups
-whose bound it can undercut. Groups are split into blocks of queries and chunks of data by hashes of ids, so that the
+whose bound it can undercut. Summaries hold a vec_id once, at its smallest distance, since a query passes over all rows of
+its own vec_id and these must not stand for its k nearest. Groups are split into blocks of queries and chunks of data by hashes of ids, so that the
 size of a local problem is bounded however many rows share a cell or a vector; local winners are merged by rank.
 
 The driver sees the pivots and the summaries: PIVOTS vectors, at most PIVOTS * (k + 1) distances.
@@ -95,16 +96,20 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     asked = data.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     queries = stash(asked.select(F.col("vec_id").alias("query_id"), "v", nearest(False)("v", "norm").alias("c")).select("query_id", "v", "c.*"), "queries")
-    by_cell = Window.partitionBy("cell").orderBy("d")
-    inner = data.select(nearest(True)("v", "norm").alias("c")).select("c.*").withColumn("r", F.row_number().over(by_cell)).filter(F.col("r") <= k + 1).select("cell", "d").collect()
+    by_cell = Window.partitionBy("cell").orderBy("d", "vec_id")
+    inner = data.select("vec_id", nearest(True)("v", "norm").alias("c")).groupBy("c.cell", "vec_id").agg(F.min("c.d").alias("d"))
+    inner = inner.withColumn("r", F.row_number().over(by_cell)).filter(F.col("r") <= k + 1).select("cell", "vec_id", "d").collect()
     groups = {r["cell"]: (r["radius"], r["n"]) for r in queries.groupBy("cell").agg(F.max("d").alias("radius"), F.count("*").alias("n")).collect()}
 
     cells = np.array([r["cell"] for r in inner], dtype=int)
     depth = np.array([r["d"] for r in inner], dtype=float)
+    names = np.array([r["vec_id"] for r in inner], dtype=np.int64)
     apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2) + (lifts[:, None] - lifts[None]) ** 2, 0))
     limits = {}
     for i, (radius, _) in groups.items():
-        upper = np.sort(radius + apart[i, cells] + depth)
+        upper = radius + apart[i, cells] + depth
+        order = np.argsort(upper, kind="stable")
+        upper = upper[order[np.sort(np.unique(names[order], return_index=True)[1])]]  # of each vec_id the smallest, in order
         bound = upper[k] if len(upper) > k else np.inf
         limits[i] = radius + bound + 1e-6 * (1 + abs(radius) + np.sqrt(longest))
     blocks = {i: max(1, -(-count // QUERY_BLOCK)) for i, (_, count) in groups.items()}

@@ -34,6 +34,21 @@ def test_exact_search_equals_brute_force(spark):
     assert {r["query_id"] for r in got} == {i for i in whole if i % 100 == 0}
 
 
+def test_exact_search_of_an_id_on_many_rows(spark):
+    # the longest vector is drawn as pivot, and its own rows are nearer to it than any other
+    few = [(100, [8.0, 0.0])] * 12 + [(i, [0.5 * i, 1.0]) for i in (1, 2, 3, 4)]
+    assert [(r["query_id"], r["vec_id"]) for r in knn_join.search(vectors(spark, few)).orderBy("rank").collect()] == [(100, 4), (100, 3), (100, 2), (100, 1)]
+    base = np.round(np.random.default_rng(9).normal(size=(200, 4)), 2).astype(np.float32)
+    rows = [(i, base[i].tolist()) for i in range(200)]
+    for q in (0, 100):  # some of the rows of one id lie elsewhere
+        rows += [(q, [20.0, q / 100, 0.0, 0.0])] * 15 + [(q, [0.0, 20.0, 0.0, q / 100])] * 15
+    whole = [(i, np.floor(1024 * np.array(e, dtype=np.float32).astype(float)).astype(int)) for i, e in rows]
+    got = knn_join.search(vectors(spark, rows)).collect()
+    for q in (0, 100):
+        own = [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert any(own == [(i, -s) for s, i in sorted((-int(v @ x), i) for i, x in whole if i != q)[:10]] for at, v in whole if at == q)  # one row of a repeated query is answered
+
+
 def test_exact_search_of_few_rows(spark):
     assert knn_join.search(vectors(spark, [])).count() == 0
     assert knn_join.search(vectors(spark, odd_rows())).count() == 0
