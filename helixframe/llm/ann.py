@@ -6,9 +6,12 @@ random hyperplanes (through pairs of a bounded sample of vectors; large leaves a
 all others of its block. Each round of NN-descent then joins, at every vector, its neighbours and the vectors that
 have it as neighbour: each pair of them that improves the list of either is a candidate, and lists keep the best NEIGHBOURS. The
 vectors around a very popular one are dealt to blocks of about BLOCK: all take part and none makes a task large. Vectors travel in 8 bits
-a component; the scores that are returned are computed from the original vectors in double precision.
+a component, each on a scale of its own largest component, with their exact squared norms, and nearness leaves out what M adds to
+all pairs, so that a vector of any length leaves the others' nearness as it is. Graph and search order vectors by these rounded components;
+the scores that are returned are computed from the original vectors in double precision.
 
-A query's search starts at its own neighbours. Each step expands its best WIDTH candidates that aren't expanded yet, by a
+A query's search starts at its own neighbours and the LONGEST longest vectors, which the graph's distance puts far from all
+and which have large products. Each step expands its best WIDTH candidates that aren't expanded yet, by a
 join with the graph, scores what is new and keeps the BEAM best.
 
 Cases: vectors null, empty, zero or holding null or non-finite components, and rows with a null vec_id, take no part; a shorter
@@ -34,12 +37,23 @@ from .shared import partitions, stash, table
 
 K, EVERY = 20, 20
 NEIGHBOURS, TREES, LEAF, BLOCK, ROUNDS, IMPROVE = 32, 8, 500, 64, 2, 10
-BEAM, WIDTH, STEPS = 256, 32, 7
+BEAM, WIDTH, STEPS, LONGEST = 256, 32, 7, 32
+FAR = 3e38
 
 
-def _vectors(column: pa.Array, size: int) -> np.ndarray:
-    """The 8-bit vectors as 32-bit floats, a row each."""
-    return np.frombuffer(b"".join(x.as_py() for x in column), dtype=np.int8).reshape(-1, size).astype(np.float32)
+def _vectors(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 8-bit vectors as 32-bit floats, a row each, their scales and squared norms."""
+    raw = np.frombuffer(b"".join(x.as_py() for x in column), dtype=np.uint8).reshape(-1, size + 16)
+    tail = np.ascontiguousarray(raw[:, size:]).view("<f8")
+    return raw[:, :size].view(np.int8).astype(np.float32), tail[:, 0], tail[:, 1]
+
+
+def _near(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], longest: float) -> np.ndarray:
+    """Inner products, less longest, of all pairs with the coordinate sqrt(longest - norm) added."""
+    (x, s, m), (y, t, n) = a, b
+    m, n = m[:, None], n[None]
+    lifts = (m * n - longest * (m + n)) / (np.sqrt(np.maximum(longest - m, 0)) * np.sqrt(np.maximum(longest - n, 0)) + longest)
+    return np.clip((x @ y.T) * (s[:, None] * t) + lifts, -FAR, FAR).astype(np.float32)
 
 
 def _finger(ids: np.ndarray) -> np.ndarray:
@@ -99,11 +113,16 @@ def best(edges: DataFrame, k: int) -> DataFrame:
     return single.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
 
 
-def start(vectors: DataFrame, size: int, n: int) -> DataFrame:
+def start(vectors: DataFrame, size: int, n: int, longest: float) -> DataFrame:
     """Edges among vectors that share a random block or a leaf of random hyperplanes."""
     depth = max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
     heads = vectors.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(2 * max(1, depth) * TREES).select("v").collect()
-    sample = _vectors(pa.array([bytes(r["v"]) for r in heads], pa.binary()), size)
+
+    def lifted(v: pa.Array) -> np.ndarray:
+        x, scales, norms = _vectors(v, size)
+        return np.concatenate([x * scales[:, None], np.sqrt(np.maximum(longest - norms, 0))[:, None]], axis=1)
+
+    sample = lifted(pa.array([bytes(r["v"]) for r in heads], pa.binary()))
     pairs = np.random.default_rng(5).permutation(len(sample))[: len(sample) // 2 * 2].reshape(-1, 2)
     normals = sample[pairs[:, 0]] - sample[pairs[:, 1]]
     offsets = ((sample[pairs[:, 0]] + sample[pairs[:, 1]]) / 2 * normals).sum(axis=1)
@@ -111,7 +130,7 @@ def start(vectors: DataFrame, size: int, n: int) -> DataFrame:
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def leaves(v: pa.Array) -> pa.Array:
-        x = _vectors(v, size)
+        x = lifted(v)
         above = (x @ normals.T > offsets).astype(np.int64) if len(normals) else np.zeros((len(x), 0), dtype=np.int64)
         codes = np.stack([(above[:, u] << np.arange(len(u))).sum(axis=1) for u in use], axis=1)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, TREES, dtype=np.int32)), pa.array(codes.ravel()))
@@ -126,7 +145,7 @@ def start(vectors: DataFrame, size: int, n: int) -> DataFrame:
         ids, x = rows["vec_id"].to_numpy(), _vectors(rows["v"].combine_chunks(), size)
         parts = []
         for at in range(0, len(ids), 512):
-            near = x[at : at + 512] @ x.T
+            near = _near(tuple(c[at : at + 512] for c in x), x, longest)
             near[np.arange(len(near)), at + np.arange(len(near))] = -np.inf
             k = min(NEIGHBOURS, len(ids))
             picked = np.argpartition(-near, k - 1, axis=1)[:, :k]
@@ -140,7 +159,7 @@ def start(vectors: DataFrame, size: int, n: int) -> DataFrame:
     return ordered.mapInArrow(by_group(keys, meet, _EDGES), _EDGE_DDL)
 
 
-def improve(graph: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+def improve(graph: DataFrame, vectors: DataFrame, size: int, longest: float) -> DataFrame:
     """One round of NN-descent: graph with the candidates from all local joins."""
 
     @F.arrow_udf(T.BinaryType())
@@ -166,7 +185,7 @@ def improve(graph: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
         if len(ids) < 2:
             return _no_edges()
         x = _vectors(rows["v"].combine_chunks(), size)
-        near = x @ x.T
+        near = _near(x, x, longest)
         np.fill_diagonal(near, -np.inf)
         own = _finger(ids)
         for row, held in zip(near, rows["known"].combine_chunks(), strict=True):
@@ -178,11 +197,11 @@ def improve(graph: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
     return best(graph.unionByName(ordered.mapInArrow(by_group(keys, meet, _EDGES), _EDGE_DDL)), NEIGHBOURS)
 
 
-def build(vectors: DataFrame, size: int, n: int) -> DataFrame:
+def build(vectors: DataFrame, size: int, n: int, longest: float) -> DataFrame:
     """The neighbour graph (u, v, near) of vectors (vec_id, v)."""
-    graph = stash(best(start(vectors, size, n), NEIGHBOURS), "graph")
+    graph = stash(best(start(vectors, size, n, longest), NEIGHBOURS), "graph")
     for _ in range(ROUNDS):
-        graph = stash(improve(graph, vectors, size), "graph")
+        graph = stash(improve(graph, vectors, size, longest), "graph")
     return graph
 
 
@@ -191,27 +210,28 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     sound = clean(rows).filter(F.exists("embedding", lambda x: x != 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     sound = stash(sound.withColumn("norm", square), "sound")
-    dims, longest, shortest, n, largest = sound.agg(F.max(F.size("embedding")), F.max("norm"), F.min("norm"), F.count("*"), F.max(F.array_max(F.transform("embedding", F.abs)))).first()
-    size, longest = (dims or 0) + 1, longest or 1.0
-    largest = max(largest or 1.0, math.sqrt(longest - (shortest or 0.0)))
+    dims, longest, n = sound.agg(F.max(F.size("embedding")), F.max("norm"), F.count("*")).first()
+    size, longest = dims or 0, longest or 1.0
 
     @F.arrow_udf(T.BinaryType())
     def packed(embedding: pa.Array, norm: pa.Array) -> pa.Array:
-        """In steps of 1/127 of the largest component, with the lift."""
+        """In steps of 1/127 of the vector's largest component; the step and the squared norm follow."""
         out = np.zeros((len(embedding), size), dtype=np.float64)
         for row, x in zip(out, embedding, strict=True):
             row[: len(x)] = x.values.to_numpy()
-        out[:, -1] = np.sqrt(np.maximum(longest - norm.to_numpy(zero_copy_only=False), 0))
-        return pa.array([x.tobytes() for x in np.clip(np.round(out * (127 / largest)), -127, 127).astype(np.int8)], pa.binary())
+        steps = np.abs(out).max(axis=1) / 127 if size else np.zeros(len(out))
+        tail = np.stack([steps, norm.to_numpy(zero_copy_only=False)], axis=1).astype("<f8")
+        whole = np.clip(np.round(out / steps[:, None]), -127, 127).astype(np.int8)
+        return pa.array([x.tobytes() + t.tobytes() for x, t in zip(whole, tail, strict=True)], pa.binary())
 
     vectors = stash(sound.select("vec_id", packed("embedding", "norm").alias("v")), "vectors")
-    graph = build(vectors, size, n)
+    graph = build(vectors, size, n, longest)
     asked = stash(vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "asked")
 
     @F.arrow_udf(T.FloatType())
     def nearness(q: pa.Array, v: pa.Array) -> pa.Array:
-        a, b = _vectors(q, size), _vectors(v, size)
-        return pa.array((a[:, :-1] * b[:, :-1]).sum(axis=1))
+        (x, s, _), (y, t, _) = _vectors(q, size), _vectors(v, size)
+        return pa.array(np.clip((x * y).sum(axis=1) * (s * t), -FAR, FAR).astype(np.float32))
 
     def scored(pairs: DataFrame) -> DataFrame:
         full = pairs.join(asked, "query_id").join(vectors, "vec_id")
@@ -219,7 +239,9 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     first = graph.join(asked.select(F.col("query_id").alias("u")), "u", "left_semi").select(F.col("u").alias("query_id"), F.col("v").alias("vec_id"))
-    beam = stash(scored(first), "beam")
+    heads = [r["vec_id"] for r in sound.orderBy(F.desc("norm"), "vec_id").limit(LONGEST).select("vec_id").collect()]
+    long = asked.select("query_id", F.explode(F.array(*map(F.lit, heads)).cast("array<bigint>")).alias("vec_id")).filter("query_id <> vec_id")
+    beam = stash(scored(first.unionByName(long).distinct()), "beam")
     for _ in range(STEPS):
         chosen = beam.filter("NOT expanded").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= WIDTH).select("query_id", "vec_id")
         chosen = stash(chosen, "chosen")

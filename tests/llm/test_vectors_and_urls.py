@@ -75,6 +75,19 @@ def test_nearest_neighbours(spark):
     assert found / (40 * 20) >= 0.9
 
 
+def test_one_long_vector_leaves_recall(spark):
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(6, 16))
+    base = (centers[rng.integers(0, 6, 1601)] + 0.4 * rng.normal(size=(1601, 16))).astype(np.float32)
+    base[1600] *= 1000
+    got = ann.search(vectors(spark, [(i, base[i].tolist()) for i in range(1601)])).collect()
+    exact = base.astype(float) @ base.astype(float).T
+    recall = {q: len({r["vec_id"] for r in got if r["query_id"] == q} & set([i for i in np.argsort(-exact[q], kind="stable") if i != q][:20])) / 20 for q in range(0, 1601, 20)}
+    assert np.mean([recall[q] for q in range(0, 1600, 20)]) >= 0.9
+    assert recall[1600] >= 0.9
+    assert all(any(r["vec_id"] == 1600 and r["rank"] == 1 for r in got if r["query_id"] == q) for q in range(0, 1600, 20) if exact[q, 1600] == np.delete(exact[q], q).max())
+
+
 def test_nearest_neighbours_of_few_rows(spark):
     assert ann.search(vectors(spark, odd_rows())).count() == 0
     got = ann.search(vectors(spark, [(20, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0]), (3, [-1.0, 2.0])])).collect()
