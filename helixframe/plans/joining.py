@@ -11,6 +11,7 @@ from ..operators import curate as U
 from ..operators import filters as L
 from ..operators import joins as J
 from ..sources import tables
+from ..sources.scratch import scratch
 from . import base as B
 from .base import query
 from .normalise import _HOM_LEAD, _hom_lead
@@ -75,17 +76,25 @@ def jn_07(spark, d):
       LEFT JOIN reference_variants r ON c.chrom = r.chrom AND c.start = r.start AND c.ref = r.ref AND c.alt = r.alt""")
 
 
+def _reference_folder(spark, d):
+    """The reference as Parquet partitioned by chrom, in a new folder."""
+    path = scratch(spark, "reference")
+    B.reference(spark, d).write.partitionBy("chrom").option("compression", "zstd").parquet(path)
+    return path
+
+
 @query("src_07", "SELECT chrom, count(*) AS n, sum(score) AS score FROM v_reference GROUP BY chrom")
 def src_07(spark, d):
-    tables.reference_view(spark, f"{d}/part.parquet", "raw_reference")
-    B.reference(spark, d).createOrReplaceTempView("whole_reference")
-    return spark.sql("SELECT chrom, count(*) AS n, sum(score) AS score FROM whole_reference GROUP BY chrom")
+    tables.reference_view(spark, _reference_folder(spark, d), "whole_reference")
+    return spark.sql("SELECT CAST(chrom AS STRING) AS chrom, count(*) AS n, sum(score) AS score FROM whole_reference GROUP BY chrom")
 
 
 @query("src_08", "SELECT r.chrom, count(*) AS n FROM v_reference r WHERE r.chrom IN (SELECT chrom FROM v_lead WHERE key % 2 = 0 AND chrom IN ('1', '2', 'X')) GROUP BY r.chrom")
 def src_08(spark, d):
     needed = B.lead(spark, d).filter("key % 2 = 0").select("chrom").filter(F.col("chrom").isin("1", "2", "X")).distinct()
-    return B.reference(spark, d).join(needed, "chrom", "left_semi").groupBy("chrom").agg(F.count("*").alias("n"))
+    chroms = [r["chrom"] for r in needed.collect()]  # as many rows as there are contigs at most
+    found = tables.reference_view(spark, _reference_folder(spark, d), "needed_reference", chroms)
+    return found.groupBy(F.col("chrom").cast("string").alias("chrom")).agg(F.count("*").alias("n"))
 
 
 @query("src_09", "SELECT chrom, start, CAST(NULL AS VARCHAR) AS id FROM v_calls WHERE chrom = 'MT'")
