@@ -15,6 +15,7 @@ CHUNK = 2 << 20
 _WINDOW = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_PRIME, _PRIME_BASE = np.uint64((1 << 31) - 1), 0x2545F491
 
 #: Lower-cases A-Z and leaves all other bytes.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,7 +42,18 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, dtype=np.uint64)
+    have = 1
+    while have < n:
+        step = np.uint64(pow(base, have, int(_PRIME)))
+        out[have : 2 * have] = out[: min(have, n - have)] * step % _PRIME
+        have *= 2
+    return out
+
+
 _UP, _DOWN = _powers(_BASE, _WINDOW + 1), _powers(_UNBASE, _WINDOW + 1)
+_PRIME_UP, _PRIME_DOWN = (_prime_powers(b, _WINDOW + 1) for b in (_PRIME_BASE, pow(_PRIME_BASE, -1, int(_PRIME))))
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -92,21 +104,35 @@ def spans(flat: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.n
 
 
 def span_hasher(flat: np.ndarray):
-    """A function from starts and ends to hashes of the bytes between, the same for equal bytes wherever they stand."""
+    """A function from starts and ends to hashes of the bytes between, the same for equal bytes wherever they stand.
+
+    A polynomial modulo 2^64; some regular strings of over a thousand bytes have equal ones, so callers compare the bytes.
+    """
     up, down = (_UP, _DOWN) if len(flat) <= _WINDOW else (_powers(_BASE, len(flat) + 1), _powers(_UNBASE, len(flat) + 1))
     sums = np.zeros(len(flat) + 1, dtype=np.uint64)
     np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
     return lambda a, b: mix((sums[b] - sums[a]) * down[a] ^ (b - a).astype(np.uint64) * _UNBASE)
 
 
+def _prime_hasher(flat: np.ndarray):
+    """Like span_hasher, of a polynomial modulo a prime of 31 bits, which the regular strings above don't defeat."""
+    long = len(flat) > _WINDOW
+    up, down = (_prime_powers(b, len(flat) + 1) for b in (_PRIME_BASE, pow(_PRIME_BASE, -1, int(_PRIME)))) if long else (_PRIME_UP, _PRIME_DOWN)
+    terms = (flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)]  # 39 bits each, so that a window's sum stays under 2^58
+    sums = np.zeros(len(flat) + 1, dtype=np.uint64)
+    np.cumsum(terms % _PRIME if long else terms, out=sums[1:])
+    return lambda a, b: (sums[b] - sums[a]) % _PRIME * down[a] % _PRIME
+
+
 def hash_spans(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans' bytes. starts and ends ascend."""
+    """64-bit hashes of the spans' bytes, by both polynomials. starts and ends ascend."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
         low = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, low + _WINDOW, side="right")))
-        out[i:j] = span_hasher(flat[low : int(ends[j - 1])])(starts[i:j] - low, ends[i:j] - low)
+        part, a, b = flat[low : int(ends[j - 1])], starts[i:j] - low, ends[i:j] - low
+        out[i:j] = span_hasher(part)(a, b) + mix(_prime_hasher(part)(a, b), 3)
         i = j
     return out
 

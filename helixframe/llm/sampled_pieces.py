@@ -7,8 +7,9 @@ edges of byte pieces. An edge's log-weight is ALPHA * -log(rank of the piece + R
 
 Forward filtering sums the weights of all ways to each node, once for each distinct stretch that a process meets and for many
 of them at once, position by position. Backward sampling walks every stretch of every text from its end, choosing an
-edge by weight; the random numbers are hashes of the row's key, the place of the stretch in the text and the node, so
-that a segmentation depends on nothing else. Decoding joins the pieces' bytes and takes off the first space.
+edge by weight; the random numbers are hashes of the row's key, the place of the stretch in the text and the node, and a
+node's weights are summed by themselves, so that a segmentation depends on nothing else. Stretches and pieces are found by hash and
+told by their bytes. Decoding joins the pieces' bytes and takes off the first space.
 
 No normalization is applied, and a literal '▁' in a text is encoded by byte pieces, so that every text decodes to itself.
 
@@ -31,11 +32,14 @@ from pyspark.sql import types as T
 
 from . import bytestext as bt
 from .shared import table
+from .stretches import Growing, Stretches
 
 ALPHA, RANK_SHIFT = 0.5, 16.0
 CHUNK, PART = 2 << 20, 1 << 18
 #: Stretches a process remembers at most; beyond it it starts afresh.
 MOST_KNOWN = 120_000
+#: So few stretches that are still to be walked are walked one by one.
+FEW = 16
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[0x20] = True
 
@@ -72,10 +76,12 @@ class Lattice:
         self.tables = {}  # by length: sorted hashes, ids, a filter by 16 bits of the hash
         kept = np.array(ids)
         self.weights = weights
+        self.known = Stretches(MOST_KNOWN)
         self.forget()
         for n in np.unique(self.sizes[kept]):
             found = kept[self.sizes[kept] == n]
-            hashes = bt.hash_spans(self.flat[bt.ragged(self.starts[found], np.full(len(found), n))], np.arange(len(found)) * n, np.arange(1, len(found) + 1) * n)
+            at = np.arange(len(found)) * n
+            hashes = bt.span_hasher(self.flat[bt.ragged(self.starts[found], np.full(len(found), n))])(at, at + n)
             order = np.argsort(hashes)
             screen = np.zeros(1 << 16, dtype=bool)
             screen[(hashes >> np.uint64(48)).astype(np.int64)] = True
@@ -92,8 +98,13 @@ class Lattice:
             able = np.flatnonzero(screen[(own >> np.uint64(48)).astype(np.int64)])
             at, own = at[able], own[able]
             place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-            same = hashes[place] == own
-            seen.append((at[same], np.full(int(same.sum()), n), found[place[same]]))
+            hit = np.flatnonzero(hashes[place] == own)
+            at, ids = at[hit], found[place[hit]]
+            for k in range(n):
+                same = flat[at - n + 1 + k] == self.flat[self.starts[ids] + k]
+                if not same.all():
+                    at, ids = at[same], ids[same]
+            seen.append((at, np.full(len(at), n), ids))
         # characters that are no piece by themselves, from their first to their last byte
         head = np.flatnonzero((flat & 0xC0) != 0x80)
         size = np.diff(np.append(head, len(flat)))
@@ -104,7 +115,7 @@ class Lattice:
         lost = bt.ragged(head[~known[head]], size[~known[head]])
         seen.append((lost, np.ones(len(lost), dtype=np.int64), self.byte_id[flat[lost]]))
         at, n, ids = (np.concatenate(x) for x in zip(*seen, strict=True))
-        order = np.argsort(at * 64 + n, kind="stable")
+        order = np.argsort(at * (int(self.sizes.max()) + 1) + n, kind="stable")
         return at[order], n[order], ids[order]
 
     def forward(self, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -112,7 +123,7 @@ class Lattice:
         depth = at - np.repeat(starts, ends - starts)[at]
         order = np.lexsort((at, depth))
         total = np.full(int(ends[-1]) + 1 if len(ends) else 1, -np.inf)  # by last byte; the ways to a stretch's start weigh 0
-        shares = np.zeros(len(at), dtype=np.float32)
+        each = np.full(len(at), -np.inf)
         cuts = np.searchsorted(depth[order], np.arange(int(depth.max(initial=-1)) + 2))
         for t in range(len(cuts) - 1):
             rows = order[cuts[t] : cuts[t + 1]]
@@ -124,40 +135,52 @@ class Lattice:
             w = self.weights[ids[rows]] + np.where(n[rows] == t + 1, 0.0, total[nodes - n[rows]])
             high = np.maximum.reduceat(w, new)
             part = np.exp(w - np.repeat(np.where(high > -np.inf, high, 0.0), counts))
-            summed = np.cumsum(part)
-            before = np.repeat(summed[new] - part[new], counts)
-            whole = np.add.reduceat(part, new)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                total[nodes[new]] = high + np.log(whole)
-                shares[rows] = (summed - before) / np.repeat(whole, counts)
+            with np.errstate(divide="ignore"):
+                total[nodes[new]] = high + np.log(np.add.reduceat(part, new))
+            each[rows] = w
+        with np.errstate(invalid="ignore"):
+            each = np.where(each > -np.inf, np.exp(each - total[at]), 0.0)
+        shares, counts = np.zeros(len(at), dtype=np.float32), np.bincount(at)
+        first, run = bt.bounds(counts)[:-1], np.zeros(len(counts))
+        for r in range(int(counts.max(initial=0))):  # a node has at most as many edges as there are lengths of pieces
+            able = np.flatnonzero(counts > r)
+            run[able] += each[first[able] + r]
+            shares[first[able] + r] = run[able]
         return shares
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.slots = np.zeros(0, dtype=np.int64)  # by key: the first node
-        self.node_edges = np.zeros(1, dtype=np.int64)  # of each node's first edge, and the end
-        self.edge_share, self.edge_size, self.edge_id = np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int32)
-
-    def learn(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
-        """keys ascend and are new; flat: the stretches one after another."""
+        self.known.forget()
+        self.slots = Growing(np.int64)  # by number of the stretch: the first node
+        self.node_edges = Growing(np.int64)  # of each node's first edge, and the end
+        self.node_edges.add(np.zeros(1, dtype=np.int64))
+        self.edge_share, self.edge_size, self.edge_id = Growing(np.float32), Growing(np.uint8), Growing(np.int32)
+
+    def learn(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """flat: new stretches one after another."""
         to = np.cumsum(sizes)
-        shares, lengths, names, counts = [], [], [], []
+        self.slots.add(self.node_edges.size - 1 + to - sizes)
         i = 0
         while i < len(sizes):
             low = int(to[i] - sizes[i])
             j = max(i + 1, int(np.searchsorted(to, low + PART, side="right")))
             starts, ends = to[i:j] - sizes[i:j] - low, to[i:j] - low
             at, n, ids = self.edges(flat[low : low + int(ends[-1])], starts, ends)
-            shares.append(self.forward(starts, ends, at, n, ids))
-            lengths.append(n.astype(np.uint8))
-            names.append(ids.astype(np.int32))
-            counts.append(np.bincount(at, minlength=int(ends[-1])))
+            self.edge_share.add(self.forward(starts, ends, at, n, ids))
+            self.node_edges.add(self.edge_size.size + np.cumsum(np.bincount(at, minlength=int(ends[-1]))))
+            self.edge_size.add(n.astype(np.uint8))
+            self.edge_id.add(ids.astype(np.int32))
             i = j
-        place = np.searchsorted(self.keys, keys)
-        self.slots = np.insert(self.slots, place, len(self.node_edges) - 1 + to - sizes)
-        self.keys = np.insert(self.keys, place, keys)
-        self.node_edges = np.concatenate((self.node_edges, self.node_edges[-1] + np.cumsum(np.concatenate(counts))))
-        self.edge_share, self.edge_size, self.edge_id = (np.concatenate((x, *y)) for x, y in ((self.edge_share, shares), (self.edge_size, lengths), (self.edge_id, names)))
+
+    def chosen(self, nodes: np.ndarray, seeds: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The edge drawn at each node, which stands left bytes after its stretch's start."""
+        draw = (bt.mix(seeds + left.astype(np.uint64), 13) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
+        ends, share = self.node_edges(), self.edge_share()
+        edge, last = ends[nodes], ends[nodes + 1] - 1
+        more = np.flatnonzero((share[edge] <= draw) & (edge < last))
+        while len(more):
+            edge[more] += 1
+            more = more[(share[edge[more]] <= draw[more]) & (edge[more] < last[more])]
+        return edge
 
     def encode(self, texts: pa.Array, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Chunk by chunk: the rows' ids one after another, and how many each row has."""
@@ -177,31 +200,34 @@ class Lattice:
             starts = np.flatnonzero(cut)
             ends = np.append(starts[1:], len(spaced))
             rows = np.searchsorted(starts, edges)
-            keys_, example, which = np.unique(bt.hash_spans(spaced, starts, ends), return_index=True, return_inverse=True)
-            if len(self.keys) + len(keys_) > MOST_KNOWN:
+            if self.known.full():
                 self.forget()
-            new = np.isin(keys_, self.keys, invert=True)
-            if new.any():
-                sizes = (ends - starts)[example[new]]
-                self.learn(keys_[new], spaced[bt.ragged(starts[example[new]], sizes)], sizes)
-            base = self.slots[np.searchsorted(self.keys, keys_)][which]
+            numbers, new = self.known.number(spaced, starts, ends)
+            if len(new):
+                sizes = (ends - starts)[new]
+                self.learn(spaced[bt.ragged(starts[new], sizes)], sizes)
+            base = self.slots()[numbers]
             owner = np.repeat(np.arange(n), np.diff(rows))
             seed = bt.mix(keys[row:end][owner] + bt.mix((np.arange(len(starts)) - rows[:-1][owner]).astype(np.uint64), 11), 12)
             left = ends - starts
             alive = np.arange(len(starts))
             seen_at, seen_id = [], []
-            while len(alive):
-                node = base[alive] + left[alive] - 1
-                draw = (bt.mix(seed[alive] + left[alive].astype(np.uint64), 13) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
-                edge, last = self.node_edges[node], self.node_edges[node + 1] - 1
-                more = np.flatnonzero((self.edge_share[edge] <= draw) & (edge < last))
-                while len(more):
-                    edge[more] += 1
-                    more = more[(self.edge_share[edge[more]] <= draw[more]) & (edge[more] < last[more])]
+            size, name = self.edge_size(), self.edge_id()
+            while len(alive) > FEW:
+                edge = self.chosen(base[alive] + left[alive] - 1, seed[alive], left[alive])
                 seen_at.append(starts[alive] + left[alive] - 1)
-                seen_id.append(self.edge_id[edge])
-                left[alive] -= self.edge_size[edge]
+                seen_id.append(name[edge])
+                left[alive] -= size[edge]
                 alive = alive[left[alive] > 0]
+            for i in alive.tolist():  # long ones: an edge is drawn at every node, and the walk takes those that it meets
+                n = int(left[i])
+                edge = self.chosen(base[i] + np.arange(n), np.broadcast_to(seed[i], n), np.arange(1, n + 1))
+                back, met = size[edge].tolist(), []
+                while n:
+                    met.append(n - 1)
+                    n -= back[n - 1]
+                seen_at.append(starts[i] + np.array(met))
+                seen_id.append(name[edge[met]])
             at, picked = np.concatenate(seen_at), np.concatenate(seen_id)
             order = np.argsort(at, kind="stable")
             yield picked[order].astype(np.int64), np.diff(np.searchsorted(at[order], edges))

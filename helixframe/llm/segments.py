@@ -1,17 +1,19 @@
 """Byte-level BPE ids of whole columns of texts, by the tokenizers library, each distinct stretch of text once.
 
-The vocabulary's pre-tokenizer never lets a token run over these places: before white space that follows a visible
-ASCII character, before a space that precedes one, around other single white space between two, and between ASCII
-letters, digits and other signs but the apostrophe. Texts are cut there, equal stretches are found by 64-bit hash (of bytes and length), the library encodes
-each stretch that is new to this process, and the texts' ids are gathered from the known stretches' ids. A stretch
+A byte-level pre-tokenizer with its usual pattern never lets a token run over these places: before white space that follows a
+visible ASCII character, before a space that precedes one, around other single white space between two, and between ASCII
+letters, digits and other signs but the apostrophe. Texts are cut there, the library encodes each stretch that is new to
+this process, and the texts' ids are gathered from the known stretches' ids; equal stretches are told by their bytes. A stretch
 that is plainly one pre-token goes to the library's model at once, any other to the whole tokenizer. Texts in which
-a special token's string occurs are encoded whole, as a cut could split it.
+a special token's string occurs are encoded whole, as a cut could split it, and so are all texts where the vocabulary's
+file has another pre-tokenizer, a normalizer or a way to pick pieces at random.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 
 from . import bytestext as bt
+from .stretches import Stretches, Growing
 
 CHUNK = 2 << 20
 #: Stretches a process remembers at most; beyond it it starts afresh.
@@ -56,65 +59,68 @@ class Encoder:
         self.model = self.tokenizer.model
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts["pre_tokenizer"] or {}
+        usual = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.cuts = bool(usual and parts["normalizer"] is None and parts["model"].get("type") == "BPE" and not parts["model"].get("dropout"))
+        self.known = Stretches(MOST_KNOWN)
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.slots = np.zeros(0, dtype=np.int64)
-        self.starts = np.zeros(1, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=self.kind)
+        self.known.forget()
+        self.starts, self.ids = Growing(np.int64), Growing(self.kind)
+        self.starts.add(np.zeros(1, dtype=np.int64))
 
     def ids_of(self, stretches: list[bytes]) -> list[list[int]]:
-        fits, tokenize = _PLAIN.fullmatch, self.model.tokenize
-        plain = [fits(x) is not None for x in stretches]
+        tokenize = self.model.tokenize
+        plain = [self.cuts and _PLAIN.fullmatch(x) is not None for x in stretches]
         # the plain ones hold no line feed, so that one pass spells them all in the vocabulary's letters
         spelled = b"\n".join(itertools.compress(stretches, plain)).decode("latin-1").translate(_LETTERS).split(_LETTERS[10])
         names = iter(spelled)
-        return [[t.id for t in tokenize(next(names))] if p else self.tokenizer.encode(x.decode(), add_special_tokens=False).ids for p, x in zip(plain, stretches, strict=True)]
+        others = [x.decode() for x, p in zip(stretches, plain, strict=True) if not p]
+        rest = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        return [[t.id for t in tokenize(next(names))] if p else next(rest).ids for p in plain]
 
-    def learn(self, keys: np.ndarray, stretches: list[bytes]) -> None:
-        """keys ascend and are new."""
+    def learn(self, stretches: list[bytes]) -> None:
         found = self.ids_of(stretches)
-        at = np.searchsorted(self.keys, keys)
-        self.slots = np.insert(self.slots, at, np.arange(len(keys)) + len(self.keys))
-        self.keys = np.insert(self.keys, at, keys)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
-        self.ids = np.concatenate((self.ids, np.fromiter(itertools.chain.from_iterable(found), dtype=self.kind, count=int(sizes.sum()))))
+        self.starts.add(self.ids.size + np.cumsum(sizes))
+        self.ids.add(np.fromiter(itertools.chain.from_iterable(found), dtype=self.kind, count=int(sizes.sum())))
 
-    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Chunk by chunk: the rows' ids one after another, and how many each row has."""
-        for _, _, flat, offsets in bt.chunks(texts, CHUNK):
-            if not len(flat):
-                yield np.zeros(0, dtype=self.kind), np.zeros(len(offsets) - 1, dtype=np.int64)
-                continue
+    def stretches(self, flat: np.ndarray, offsets: np.ndarray, data: bytes) -> np.ndarray:
+        """Where the stretches of the rows start."""
+        cut = np.zeros(len(flat), dtype=bool)
+        if self.cuts:
             white, visible = _WHITE[flat], _VISIBLE[flat]
-            cut = np.zeros(len(flat), dtype=bool)
             cut[1:] = white[1:] & visible[:-1]
             space = flat == 0x20
             cut[:-1] |= space[:-1] & visible[1:]
             cut[2:] |= visible[:-2] & (white & ~space)[1:-1] & visible[2:]
             kind = _KIND[flat]
             cut[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
-            data = flat.tobytes()
             for at in (m.start() for x in self.special for m in re.finditer(re.escape(x), data)):
                 row = np.searchsorted(offsets, at, side="right") - 1
                 cut[offsets[row] : offsets[row + 1]] = False
-            cut[offsets[:-1][offsets[:-1] < len(flat)]] = True
-            starts = np.flatnonzero(cut)
+        cut[offsets[:-1][offsets[:-1] < len(flat)]] = True
+        return np.flatnonzero(cut)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Chunk by chunk: the rows' ids one after another, and how many each row has."""
+        for _, _, flat, offsets in bt.chunks(texts, CHUNK):
+            if not len(flat):
+                yield np.zeros(0, dtype=self.kind), np.zeros(len(offsets) - 1, dtype=np.int64)
+                continue
+            data = flat.tobytes()
+            starts = self.stretches(flat, offsets, data)
             ends = np.append(starts[1:], len(flat))
-            keys, first, which = np.unique(bt.hash_spans(flat, starts, ends), return_index=True, return_inverse=True)
-            if len(self.keys) + len(keys) > MOST_KNOWN:
+            if self.known.full():
                 self.forget()
-            at = np.searchsorted(self.keys, keys)
-            new = np.ones(len(keys), dtype=bool)
-            new[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] != keys[at < len(self.keys)]
-            if new.any():
-                self.learn(keys[new], [data[a:b] for a, b in zip(starts[first[new]], ends[first[new]], strict=True)])
-            slots = self.slots[np.searchsorted(self.keys, keys)][which]
-            sizes = self.starts[slots + 1] - self.starts[slots]
-            ids = self.ids[bt.ragged(self.starts[slots], sizes)]
-            yield ids, np.diff(bt.bounds(sizes)[np.searchsorted(starts, offsets)])
+            numbers, new = self.known.number(flat, starts, ends)
+            if len(new):
+                self.learn([data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            at = self.starts()
+            sizes = at[numbers + 1] - at[numbers]
+            yield self.ids()[bt.ragged(at[numbers], sizes)], np.diff(bt.bounds(sizes)[np.searchsorted(starts, offsets)])
 
 
 @functools.lru_cache(maxsize=2)

@@ -6,16 +6,21 @@ ascending order: their ids' counts, the control bytes and the data bytes; blocks
 folder, and the ranking is a file beside them. Decoding looks up each control byte's four lengths in a table and
 gathers all data bytes of a block at once.
 
-Documents are dealt to ranges of doc_id by quantiles of that column alone, so that the blocks of range 0 stand before
-those of range 1. Where a document's ids begin is a sum over ranges (as many as shuffle partitions), then over the blocks of a range, then inside a block.
-
-Cases: a null or empty text is the end id alone; rows with a null doc_id come first; rows with one doc_id stay together in
-one range, ordered by their ids' bytes, and equal rows come back as often as they were; an empty table gives an empty
-result. Only doc_id and text are read, so other columns can't clash.
+Documents are dealt to ranges in the order of doc_id, then of a hash of the ids, then of a row number, so that a doc_id (or
+null) that many rows share is split too. The cuts are quantiles, by bytes of ids, of a sample of these keys alone: they
+decide where files end and nothing else. There are as many ranges as shuffle partitions, and more where a range would
+pass RANGE_BYTES; file k holds range k. Where a document's ids begin is a sum over the ranges, then over the blocks of a
+range, then inside a block.
+
+Cases: a null or empty text is the end id alone; rows with a null doc_id come first; rows with one doc_id are ordered by
+their ids' hash, and equal rows come back as often as they were; a text longer than a block has one of its own; an empty
+table gives an empty result. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +36,10 @@ from .shared import partitions, stash, stash_path, table
 END = 2
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 18
+#: A range holds about so many bytes of ids at most.
+RANGE_BYTES = 64 << 20
+#: Keys sampled for each cut.
+SAMPLED = 100
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
@@ -79,6 +88,22 @@ def count_ids(tokens: DataFrame, size: int) -> DataFrame:
     return tokens.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+#: Stands for a null doc_id in keys of ranges.
+NO_ID = -(1 << 63)
+
+
+def range_cuts(tokens: DataFrame, parts: int) -> list[tuple[int, bool, int, int]]:
+    """The keys (doc_id, whether it has one, hash, row) at which parts - 1 ranges end, with about equal bytes of ids between them."""
+    if parts < 2:
+        return []
+    share = min(1.0, SAMPLED * parts / max(1, tokens.count()))
+    found = tokens.select("doc_id", "h", "row", "size").sample(share, seed=1).collect()  # about SAMPLED * parts rows
+    keys = sorted(((NO_ID if r["doc_id"] is None else r["doc_id"], r["doc_id"] is not None, r["h"], r["row"]), r["size"]) for r in found)
+    before = np.cumsum([size for _, size in keys])
+    at = np.searchsorted(before, before[-1] * np.arange(1, parts) / parts) if keys else []
+    return sorted({keys[i][0] for i in at})
+
+
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of the ranks."""
     ranks = ranks.astype("<u4")
@@ -110,18 +135,26 @@ def write_files(docs: DataFrame, path: str, end: int = END) -> tuple[str, list[i
     """Encode all texts and write the files. Returns the files' path and the ids by rank."""
     spark = docs.sparkSession
     size, parts = width(path, end), partitions(spark)
-    tokens = stash(docs.select("doc_id", token_ids(path, end)("text").alias("ids")), "ids")
+    texts = docs.select("doc_id", token_ids(path, end)("text").alias("ids"), F.monotonically_increasing_id().alias("row"))
+    tokens = stash(texts.select("doc_id", "row", F.xxhash64("ids").alias("h"), F.length("ids").alias("size"), "ids"), "ids")
     counts = count_ids(tokens, size).orderBy(F.desc("n"), "id").collect()  # as many rows as the vocabulary has at most
     ranked = [r["id"] for r in counts]
     rank_of = np.zeros(max(ranked, default=0) + 1, dtype=np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
-    shares = [k / parts for k in range(1, parts)]
-    cuts = tokens.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares or [0.5])), F.lit(100 * parts)).alias("cuts")).first()["cuts"] or []
-    cuts = np.unique(np.array(cuts, dtype=np.int64)) if shares else np.zeros(0, dtype=np.int64)
+    parts = max(parts, math.ceil(sum(r["n"] for r in counts) * size / RANGE_BYTES))
+    cuts = range_cuts(tokens, parts)
+    cut_docs = np.array([c[0] for c in cuts], dtype=np.int64)
+
+    def range_of(doc_ids: pa.Array, hashes: pa.Array, rows: pa.Array) -> np.ndarray:
+        docs_ = doc_ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        low, high = (np.searchsorted(cut_docs, docs_, side=side) for side in ("left", "right"))
+        for i in np.flatnonzero(low < high).tolist():  # a document at a cut
+            low[i] = bisect.bisect_left(cuts, (int(docs_[i]), doc_ids[i].is_valid, hashes[i].as_py(), rows[i].as_py()))
+        return low
 
     @F.arrow_udf(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())]))
-    def coded(doc_ids: pa.Array, ids: pa.Array) -> pa.Array:
-        part = np.searchsorted(cuts, doc_ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
+    def coded(doc_ids: pa.Array, hashes: pa.Array, rows: pa.Array, ids: pa.Array) -> pa.Array:
+        part = range_of(doc_ids, hashes, rows)
         found, sizes = [], []
         for x in ids:
             ranks = rank_of[np.frombuffer(x.as_buffer(), dtype=f"<u{size}")]
@@ -156,8 +189,9 @@ def write_files(docs: DataFrame, path: str, end: int = END) -> tuple[str, list[i
         if held:
             yield ended()
 
-    rows = tokens.select("doc_id", coded("doc_id", "ids").alias("c")).select(F.col("c.part").alias("part"), "doc_id", F.col("c.n").alias("n"), F.col("c.control").alias("control"), F.col("c.data").alias("data"))
-    ordered = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n", "data", "control")
+    rows = tokens.select("doc_id", "h", "row", coded("doc_id", "h", "row", "ids").alias("c"))
+    rows = rows.select(F.col("c.part").alias("part"), "doc_id", F.col("c.n").alias("n"), F.col("c.control").alias("control"), F.col("c.data").alias("data"), "h", "row")
+    ordered = rows.repartitionById(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "h", "row").drop("h", "row")
     files = stash_path(spark, "token-files")
     ordered.mapInArrow(blocks, _BLOCKS).write.option("compression", "zstd").parquet(f"{files}/blocks")
     spark.createDataFrame([(i, x) for i, x in enumerate(ranked)], "rank int, id long").write.parquet(f"{files}/ranks")

@@ -27,6 +27,14 @@ def words(rng, n):
     return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "épsilon", "zeta", "eta", "theta"]) + str(rng.randint(0, 9)) for _ in range(n))
 
 
+def thue_morse(n, a, b):
+    """Strings whose polynomial hashes modulo 2^64 don't tell a from b from 1,024 letters on."""
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+MORSE = [thue_morse(n, *x) for n in (1024, 2048) for x in ("ab", "ba")]
+
+
 @pytest.fixture(scope="module")
 def mixed(spark):
     rng = random.Random(4)
@@ -39,6 +47,7 @@ def mixed(spark):
         rows.append((i, " ".join(w), "s" + str(i % 5)))
     rows += [(i, words(rng, rng.randint(1, 60)), "z") for i in range(40, 60)]
     rows += [(60, words(rng, 30_000), "long"), (61, "Ünïcödé 日本 🙂 <|endoftext|> it's", "u"), (62, "x" * 20_000, "u")]
+    rows += [(63 + i, t, "m") for i, t in enumerate(MORSE)]
     return rows + [rows[5]]  # a repeated row
 
 
@@ -180,6 +189,43 @@ def test_token_files_give_back_all_ids(spark, mixed, tokenizer):
     assert token_files.read_files(spark, empty).count() == 0
 
 
+def test_token_files_of_shared_and_missing_ids(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 64)  # many ranges, so that they split rows of one doc_id
+    rows = [(7, f"text {i % 9}", "") for i in range(60)] + [(None, f"none {i % 3}", "") for i in range(30)] + [(i, "x", "") for i in (3, -(2**63), 9)] + [(7, None, "")]
+    files, _ = token_files.write_files(frame(spark, rows), token_files.vocabulary())
+    blocks = spark.read.parquet(f"{files}/blocks").select("part", "doc_ids", F.col("_metadata.file_name").alias("file")).collect()
+    order = [i for r in sorted(blocks, key=lambda r: (r["file"], r["part"])) for i in r["doc_ids"]]
+    assert order == sorted((i for i, _, _ in rows), key=lambda i: (i is not None, i or 0)) and len({r["file"] for r in blocks}) > 4
+    got = token_files.read_files(spark, files).collect()
+    encoded = lambda t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, token_files.END], dtype="<u4").tobytes()
+    assert sorted(((r["doc_id"], bytes(r["ids"])) for r in got), key=str) == sorted(((i, encoded(t)) for i, t, _ in rows), key=str)
+    starts = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert [a for a, _ in starts] == np.cumsum([0, *(n for _, n in starts[:-1])]).tolist()
+
+
+def test_stretches_are_told_by_bytes(monkeypatch, tokenizer, mixed):
+    import pyarrow as pa
+
+    from helixframe.llm import bytestext as bt
+    from helixframe.llm import segments
+
+    real = bt.hash_spans
+    monkeypatch.setattr(bt, "hash_spans", lambda *a: real(*a) & np.uint64(0xFF))  # nearly all hashes clash
+    texts = [t for _, t, _ in mixed] * 2
+    coder, at = segments.Encoder(token_files.vocabulary()), 0
+    for ids, counts in coder.encode(pa.array(texts)):
+        for part in np.split(ids, np.cumsum(counts)[:-1]):
+            assert part.tolist() == tokenizer.encode(texts[at] or "", add_special_tokens=False).ids
+            at += 1
+    assert at == len(texts) and coder.known.clashing
+    model, at = sampled_pieces.Lattice(sampled_pieces.model_path()), 0
+    for ids, counts in model.encode(pa.array(texts), np.zeros(len(texts), dtype=np.uint64)):
+        for back in model.decode(ids, counts):
+            assert back == (texts[at] or "").encode()
+            at += 1
+    assert at == len(texts)
+
+
 def test_ranks_of_all_lengths():
     ranks = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7])
     control, data = token_files.pack_ranks(ranks)
