@@ -3,8 +3,9 @@
 Every rolling k-gram of a text's words is hashed, and Spark joins all of them with the k-grams of the templates (a table
 whose size is that of the templates, checked against MAX_TEMPLATE_GRAMS before it is broadcast; beyond it the join is a
 shuffled one). A hit lies on the diagonal "word in the text minus word in the template". Hits are aggregated by
-diagonal; diagonals of a template that lie at most SLIP apart and meet in the text merge, as an inserted or dropped word
-shifts the rest by one; the merged span counts if the template words it covers reach MIN_COVER of the template. Every hit
+diagonal; diagonals of a template that chain at distances of at most SLIP form a band, as an inserted or dropped word
+shifts the rest by one, and a band falls into spans where none of its diagonals so far reaches the next one's start. A span
+counts if the distinct template words it covers reach MIN_COVER of the template. Every hit
 is verified on the words themselves, taken from the text at the gram's byte positions, so hash collisions can't count.
 
 Base phrases are templates too: a place of a phrase of m words is a diagonal stretch of m - k + 1 verified hits, that is
@@ -37,19 +38,33 @@ BASE = [
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 ]
-#: Opening sentences of public licences, in the words of this scan.
+#: Passages of public licences, in the words of this scan.
 TEMPLATES = [
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "mit"),
+    ("including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", "mit"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2"),
     ("you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache-2"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache-2"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gpl"),
     ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
+    ("you should have received a copy of the gnu lesser general public license along with this library", "lgpl"),
+    ("it under the terms of the gnu affero general public license as published by the free software foundation", "agpl"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
+    ("if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mpl-2"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
     ("licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "unlicense"),
     ("all rights reserved no part of this publication may be reproduced", "proprietary"),
+    ("no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher", "proprietary"),
 ]
 _LISTS = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("h", "a", "b")])
 #: Every text's first entry: it joins a template row of its own, so that texts without hits stay.
@@ -106,19 +121,21 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tu
 
     # A base phrase stands where one diagonal has a hit for each of its grams; any other template is voted for by all hits on it.
     diagonals = stash(hits.groupBy("doc_id", "row", "template", "label", "length", "is_base", "diagonal").agg(
-        F.count("*").alias("votes"), F.min("word").alias("low"), F.max("word").alias("high"), F.min("place").alias("from_place"), F.max("place").alias("to_place"), F.max("n_words").alias("n_words")
+        F.count("*").alias("votes"), F.min("word").alias("low"), F.max("word").alias("high"), F.collect_set("place").alias("places"), F.max("n_words").alias("n_words")
     ), "diagonals")
-    order = Window.partitionBy("row", "template").orderBy("low", "diagonal")
-    before = F.lag("high").over(order), F.lag("diagonal").over(order), F.lag("from_place").over(order)
-    fresh = before[0].isNull() | (F.col("low") - before[0] > SLIP + K) | (F.abs(F.col("diagonal") - before[1]) > SLIP) | (F.col("from_place") < before[2])
-    merged = diagonals.filter("NOT is_base AND template >= 0").withColumn("fresh", fresh.cast("int"))
-    merged = merged.withColumn("span", F.sum("fresh").over(order)).groupBy("doc_id", "row", "template", "span", "label", "length").agg(
-        F.least(F.lit(1.0), (F.sum("votes") + (K - 1) * F.count("*")) / F.first("length")).alias("cover")
-    ).filter(F.col("cover") >= MIN_COVER)
+    own = ["row", "template"]
+    by_diagonal, by_place = Window.partitionBy(*own).orderBy("diagonal"), Window.partitionBy(*own, "band").orderBy("low", "diagonal")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > SLIP, F.lit(True))
+    merged = diagonals.filter("NOT is_base AND template >= 0").withColumn("apart", apart.cast("int")).withColumn("band", F.sum("apart").over(by_diagonal))
+    reach = F.max("high").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    merged = merged.withColumn("ended", F.coalesce(F.col("low") - reach > SLIP + K, F.lit(True)).cast("int")).withColumn("span", F.sum("ended").over(by_place))
+    spans = ["doc_id", *own, "label", "length", "band", "span"]
+    covered = merged.select(*spans, F.explode("places").alias("place")).distinct().select(*spans, F.explode(F.sequence("place", F.col("place") + K - 1)).alias("at")).distinct()
+    merged = covered.groupBy(*spans).agg((F.count("*") / F.col("length")).alias("cover")).filter(F.col("cover") >= MIN_COVER)
     blank = [F.lit(None).cast("long").alias(c) for c in ("low", "high", "n_words")]
     evidence = diagonals.filter(f"template < 0 OR (is_base AND votes = length - {K - 1})").select(
         "doc_id", "row", F.when(F.col("is_base"), F.col("label")).alias("base_label"), F.when(F.col("is_base"), F.col("label")).alias("label"),
-        F.when(F.col("is_base"), F.col("diagonal")).alias("low"), F.when(F.col("is_base"), F.col("diagonal") + F.col("length") - 1).alias("high"), "n_words",
+        F.when(F.col("is_base"), F.col("diagonal")).alias("low"), F.when(F.col("is_base"), F.col("diagonal")).alias("high"), "n_words",
         F.when(F.col("is_base"), F.lit(1.0)).alias("cover"),
     ).unionByName(merged.select("doc_id", "row", F.lit(None).cast("string").alias("base_label"), "label", *blank, "cover"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
@@ -130,3 +147,44 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tu
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    grams = []
+    for n, (text, label) in enumerate(BASE + TEMPLATES):
+        words = text.split(" ")
+        grams += [f"({n}, '{label}', {len(words)}, {str(n < len(BASE)).lower()}, {i}, '{' '.join(words[i : i + K])}')" for i in range(len(words) - K + 1)]
+    return f"""
+WITH t(template, label, length, is_base, place, gram) AS (VALUES {", ".join(grams)}),
+docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+flat AS (SELECT row, unnest(w) AS x, unnest(range(len(w))) AS word FROM docs),
+ahead AS (SELECT row, word, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM flat WINDOW o AS (PARTITION BY row ORDER BY word)),
+hits AS (SELECT a.row, a.word, t.*, a.word - t.place AS diagonal FROM ahead a JOIN t ON t.gram = concat(a.x, ' ', a.y, ' ', a.z) WHERE a.z IS NOT NULL),
+base AS (SELECT row, label, diagonal FROM hits WHERE is_base GROUP BY row, template, label, length, diagonal HAVING count(*) = length - {K - 1}),
+diagonals AS (SELECT row, template, diagonal, min(word) AS low, max(word) AS high FROM hits WHERE NOT is_base GROUP BY ALL),
+apart AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) <= {SLIP} THEN 0 ELSE 1 END AS apart FROM diagonals),
+bands AS (SELECT *, sum(apart) OVER (PARTITION BY row, template ORDER BY diagonal) AS band FROM apart),
+ended AS (
+  SELECT *, CASE WHEN low - max(high) OVER (PARTITION BY row, template, band ORDER BY low, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {SLIP + K} THEN 0 ELSE 1 END AS ended
+  FROM bands),
+spans AS (SELECT *, sum(ended) OVER (PARTITION BY row, template, band ORDER BY low, diagonal) AS span FROM ended),
+covers AS (
+  SELECT s.row, h.label, CAST(count(DISTINCT h.place + k.k) AS DOUBLE) / h.length AS cover
+  FROM spans s JOIN hits h ON s.row = h.row AND s.template = h.template AND s.diagonal = h.diagonal CROSS JOIN (SELECT unnest(range({K})) AS k) k
+  GROUP BY s.row, s.template, s.band, s.span, h.label, h.length),
+evidence AS (
+  SELECT row, label, label AS base_label, diagonal, CAST(1 AS DOUBLE) AS cover FROM base
+  UNION ALL SELECT row, label, NULL, NULL, cover FROM covers WHERE cover >= {MIN_COVER}),
+found AS (
+  SELECT row, count(base_label) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, max(cover) AS score,
+         array_to_string(list_sort(list(DISTINCT base_label) FILTER (base_label IS NOT NULL)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels
+  FROM evidence GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, CAST(0 AS DOUBLE)) AS score
+FROM docs LEFT JOIN found USING (row)
+"""
+
+
+ORACLE_SQL = _oracle()

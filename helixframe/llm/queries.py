@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filters": url_rules.op10_url_filters,
 }
 ORACLE_SQL = {
+    "op2_license_scans": license_scan.ORACLE_SQL,
     "op3_exact_top_k": knn_join.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op9_near_dedup": near_dedup.ORACLE_SQL,

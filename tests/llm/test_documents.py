@@ -143,8 +143,8 @@ def test_repeated_rows_and_null_ids_keep_the_first_place(spark):
 
 def brute_base(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
-    found = [(k, k + len(p.split()) - 1, label) for p, label in license_scan.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-    return len(w), len(found), min((f[0] for f in found), default=None), max((f[1] for f in found), default=None), ",".join(sorted({f[2] for f in found}))
+    found = [(k, label) for p, label in license_scan.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+    return len(w), len(found), min((f[0] for f in found), default=None), max((f[0] for f in found), default=None), ",".join(sorted({f[1] for f in found}))
 
 
 def test_base_phrases_equal_brute_force(spark, mixed):
@@ -160,10 +160,10 @@ def test_base_phrases_equal_brute_force(spark, mixed):
 def test_own_templates_bear_edits(spark):
     text = license_scan.TEMPLATES[0][0].split()
     edited = text[:9] + ["kindly"] + text[9:15] + text[16:]
-    rows = [(1, "intro " + " ".join(edited) + " end", ""), (2, " ".join(text[:8]), ""), (3, " ".join(sorted(text)), "")]
+    rows = [(1, "intro " + " ".join(edited) + " end", ""), (2, " ".join(text[:8]), ""), (3, " ".join(sorted(text)), ""), (4, " ".join(text[:3] * 40), "")]
     got = {r["doc_id"]: (r["base_labels"], r["labels"], r["score"]) for r in license_scan.scan(frame(spark, rows)).collect()}
     assert got[1][:2] == ("", "mit") and 0.6 <= got[1][2] < 1
-    assert got[2] == ("", "", 0.0) and got[3] == ("", "", 0.0)
+    assert got[2] == got[3] == got[4] == ("", "", 0.0)  # one gram many times covers few words
 
 
 # tokens
