@@ -6,9 +6,14 @@ before the shuffle. Where the estimate is so close to the threshold that the ske
 distinct sites are counted exactly. A line of at least min_sites sites is boilerplate: its first place (the smallest
 document, then the smallest line number) stays and all its other places go.
 
+The places of all lines are written once and read by each of these steps. What joins them are the lines near or above the
+threshold: counted first, they are broadcast up to MOST_BROADCAST of them, and beyond it their places are salted, so that the
+places of one very common line never meet in one task. A text is put together again from its lines in one pass over them.
+
 Cases: a null text stays null and an empty one empty; empty lines are never boilerplate; a null source is one site
-of its own; repeated rows are treated alike, so a first place in a repeated row stays in each of them; a null doc_id
-is allowed and sorts first; an empty table gives an empty result. Other columns pass through whatever their names.
+of its own; repeated rows are treated alike, so a first place in a repeated row stays in each of them; rows that share a doc_id
+with different texts are told by their texts' hash; a null doc_id is allowed and sorts first; texts of any number of lines work; an
+empty table gives an empty result. Other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -16,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import discard, stash, table
 
 MIN_SITES = 8
 #: The sketch has 2^LG_K registers, and so a standard error of 1.04 / sqrt(2^LG_K); NEAR of these on either side count as near.
 LG_K, NEAR = 10, 4
+MOST_BROADCAST, SALTS = 100_000, 64
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -38,42 +44,69 @@ def places(docs: DataFrame) -> DataFrame:
     return lines.filter("line != ''").select(line_key(F.col("line")).alias("key"), "site", "doc", "pos")
 
 
+def at_lines(found: DataFrame, lines: DataFrame, n: int) -> DataFrame:
+    """The places found of the n lines, with the lines' columns."""
+    if n <= MOST_BROADCAST:
+        return found.join(F.broadcast(lines), "key")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int"))
+    return salted.join(lines.select("*", salts), ["key", "salt"]).drop("salt")
+
+
 def boilerplate(found: DataFrame, min_sites: int) -> DataFrame:
-    """(key, first) of the lines on at least min_sites sites; first: the place that stays."""
+    """(key, first) of the lines on at least min_sites sites, stashed; first: the place that stays."""
+    margin = 1 + NEAR * 1.04 / 2 ** (LG_K / 2) * min_sites
     spread = found.groupBy("key").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min(F.struct("doc", "pos")).alias("first")
     )
-    margin = 1 + NEAR * 1.04 / 2 ** (LG_K / 2) * min_sites
-    near = spread.filter(F.abs(F.col("sites") - min_sites) <= margin).select("key", "first")
+    spread = stash(spread.filter(F.col("sites") >= min_sites - margin), "spread")
+    near = F.col("sites") <= min_sites + margin
+    n = spread.filter(near).count()
     counted = (
-        found.join(near.select("key"), "key", "left_semi").select("key", "site").distinct()
+        at_lines(found, spread.filter(near).select("key"), n).select("key", "site").distinct()
         .groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites)
     )
-    return spread.filter(F.col("sites") > min_sites + margin).select("key", "first").unionByName(near.join(counted.select("key"), "key", "left_semi"))
+    sure = spread.filter(~near).select("key", "first")
+    return stash(sure.unionByName(spread.filter(near).select("key", "first").join(counted.select("key"), "key", "left_semi")), "boilerplate")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with the boilerplate lines taken out of text, and the columns n_lines and n_removed."""
-    found = places(docs)
+def without(lines: Column, removed: Column) -> Column:
+    """lines joined again but for those at the ascending positions removed, in one pass: each position stands for the kept ones before it and itself."""
+    before = F.concat(F.array(F.lit(-1)), removed)
+    runs = F.zip_with(removed, before, lambda r, p: F.when(r.isNull(), F.array().cast("array<boolean>")).otherwise(F.concat(F.array_repeat(F.lit(True), r - p - 1), F.array(F.lit(False)))))
+    marked = F.zip_with(lines, F.flatten(runs), lambda line, keep: F.struct(line.alias("line"), F.coalesce(keep, F.lit(True)).alias("keep")))
+    return F.array_join(F.transform(F.filter(marked, lambda x: x["keep"]), lambda x: x["line"]), "\n")
+
+
+def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(doc, text, n_lines, n_removed) of each row of docs: doc holds all its columns, text is without the boilerplate lines."""
+    found = stash(places(docs), "places")
+    lines = boilerplate(found, min_sites)
     gone = (
-        found.join(boilerplate(found, min_sites), "key").filter(F.struct("doc", "pos") != F.col("first"))
-        .groupBy(F.col("doc.id").alias("g_id"), F.col("doc.text").alias("g_text")).agg(F.collect_set("pos").alias("removed"))
-    )
-    whole = docs.select(F.struct(*docs.columns).alias("d"), F.xxhash64("text").alias("d_text"))
-    marked = whole.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g_id")) & (F.col("d_text") == F.col("g_text")), "left")
-    lines = F.split("d.text", "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("d.text")).otherwise(kept)
-    return marked.select(
-        *[text.alias(c) if c == "text" else F.col("d").getField(c).alias(c) for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"),
+        at_lines(found, lines, lines.count()).filter(F.struct("doc", "pos") != F.col("first"))
+        .groupBy(F.col("doc.id").alias("g_id"), F.col("doc.text").alias("g_text")).agg(F.array_sort(F.collect_set("pos")).alias("removed"))
     )
+    gone = stash(gone, "removed-lines")
+    discard(found)
+    discard(lines)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("d_text"))
+    marked = whole.join(gone, F.col("doc.doc_id").eqNullSafe(F.col("g_id")) & (F.col("d_text") == F.col("g_text")), "left")
+    split = F.split("doc.text", "\n")
+    text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(without(split, F.col("removed")))
+    return marked.select("doc", text.alias("text"), F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"))
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, drop_emptied: bool = False) -> DataFrame:
+    """docs with the boilerplate lines taken out of text; with drop_emptied without the rows in which nothing else stood."""
+    rows = cleaned(docs, min_sites)
+    if drop_emptied:
+        rows = rows.filter((F.col("n_removed") == 0) | (F.btrim("text", F.lit(WHITE)) != ""))
+    return rows.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return cleaned(docs).select("doc.doc_id", "n_lines", "n_removed", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 ORACLE_SQL = f"""

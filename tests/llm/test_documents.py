@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -127,11 +128,39 @@ def test_lines_equal_brute_force(spark):
     for least in (2, 5, 9):
         got = line_dedup.remove_boilerplate(frame(spark, rows), least)
         assert {r["doc_id"]: r["text"] for r in got.collect() if r["text"] is not None} == brute_lines(rows, least)
-    assert got.columns == [*frame(spark, []).columns, "n_lines", "n_removed"]
-    assert {tuple(r) for r in got.filter("text IS NULL").select("doc_id", "n_lines", "n_removed").collect()} == {(80, 0, 0)}
+    assert got.columns == frame(spark, []).columns
+    counts = {r["id"]: (r["n_lines"], r["n_removed"]) for r in line_dedup.cleaned(frame(spark, rows), 2).select("doc.doc_id", "n_lines", "n_removed").toDF("id", "n_lines", "n_removed").collect()}
+    kept = brute_lines(rows, 2)
+    assert counts[80] == (0, 0) and all(counts[i][0] == len(t.split("\n")) for i, t, _ in rows if t is not None)
+    assert all(counts[i][1] == counts[i][0] - len(kept[i].split("\n")) for i, t, _ in rows if kept.get(i))
     assert line_dedup.remove_boilerplate(frame(spark, [])).count() == 0
 
 
+def test_lines_without_a_broadcast(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [(i, "\n".join(rng.choice(["common", "rare " + str(i), "half"]) for _ in range(6)), f"s{i % 11}") for i in range(60)]
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", 0)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.remove_boilerplate(frame(spark, rows)).collect()} == brute_lines(rows, line_dedup.MIN_SITES)
+
+
+def test_lines_of_a_table_with_names_of_our_own(spark):
+    names = "n_lines int, n_removed string, removed array<int>, doc string, site int, d_text long, g_id long"
+    rows = [(i, "same\nown " + str(i), f"s{i}", 7, "x", [1], "d", 4, 5, 6) for i in range(9)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {names}")
+    got = line_dedup.remove_boilerplate(docs).collect()
+    assert all(tuple(r)[3:] == (7, "x", [1], "d", 4, 5, 6) for r in got) and len(got) == 9
+    assert {r["doc_id"]: r["text"] for r in got} == {i: ("same\n" if not i else "") + f"own {i}" for i in range(9)}
+
+
+def test_lines_of_a_very_long_text(spark):
+    long = "\n".join(f"line {i % 50_000}" if i % 3 else "header" for i in range(100_000))
+    rows = [(0, long, "a")] + [(i, "header", f"s{i}") for i in range(1, 10)]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_boilerplate(frame(spark, rows)).collect()}
+    assert time.perf_counter() - began < 60
+    assert got == brute_lines(rows, line_dedup.MIN_SITES)
+
+
 def test_repeated_rows_and_null_ids_keep_the_first_place(spark):
     rows = [(1, "same", f"s{i}") for i in range(9)] + [(None, "same", "t1"), (2, "same", "t2")]
     got = [(r["doc_id"], r["text"]) for r in line_dedup.remove_boilerplate(frame(spark, rows)).collect()]
