@@ -36,11 +36,9 @@ def line_key(line: Column) -> Column:
 
 def places(docs: DataFrame) -> DataFrame:
     """(key, site, doc, pos): each non-empty line's places; doc tells rows apart also where doc_id is null."""
-    lines = docs.select(
-        F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")).alias("doc"),
-        F.coalesce("source", F.lit("")).alias("site"),
-        F.posexplode(F.split("text", "\n")).alias("pos", "line"),
-    ).withColumn("line", F.btrim("line", F.lit(WHITE)))
+    # the hash of a text is taken before its lines fan out, not once a line
+    whole = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")).alias("doc"), F.coalesce("source", F.lit("")).alias("site"), F.col("text"))
+    lines = whole.select("doc", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.btrim("line", F.lit(WHITE)))
     return lines.filter("line != ''").select(line_key(F.col("line")).alias("key"), "site", "doc", "pos")
 
 
