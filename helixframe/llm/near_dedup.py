@@ -9,12 +9,16 @@ slots, each in turn. So all pairs within the threshold share a key.
 
 Work follows links and not pairs:
 1. documents with equal sets become one class (an aggregation); classes that share a bucket with another are candidates,
-   and only their texts are read again, for their full sets and a wider signature;
+   and only their texts are read again, for their full sets;
 2. in rounds, each bucket's smallest document is its hub, each candidate is confirmed against the smallest hub of its
    buckets, and components are found; the next round leaves out what is in the hub's component. This takes groups of near
    copies together with one pair a document and round;
-3. in buckets that still hold several components, the pairs of different components that pass the size filter and the wider
-   signature's threshold are confirmed, and components found again. No pair is dropped: those of one component are linked already.
+3. in buckets that still hold several components, the documents outside the bucket's largest component meet all of the bucket that are
+   in other components; all pairs within MAX_DIFFERENT are confirmed on full sets, and components found again. Pairs inside a component are never made;
+4. where more than FEW documents stand outside the largest component (variants of one text that mostly aren't similar
+   enough), a pair for each two would be a quadratic table. Documents that such buckets connect are one group; a group is
+   dealt to blocks of sets of like sizes, and those outside meet the group block by block: one product of two matrices counts all common
+   shingles of two blocks exactly, and only links are given out. A document travels once for each block of the others and not once a pair.
 
 Components are found by alternating minimum steps over edges (joins and aggregations), each written to the shared
 folder. Nothing is collected. Joins are plain sort-merge joins, which the adaptive planner splits where a key is hot.
@@ -43,15 +47,17 @@ from .shared import discard, stash, table
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 SLOTS, BITS, CHUNK = 64, 16, 4
-#: The wider signature, by which pairs of a bucket are compared: WIDE one-bit slots, of which at similarity 0.75 an eighth differs;
-#: WIDE_DIFFERENT lies 4.5 standard deviations above.
-WIDE, WIDE_DIFFERENT = 2048, 323
+#: Documents outside a bucket's largest component that still meet the bucket as a whole, and documents of a bucket to one salt.
+FEW, SALT_ROWS = 32, 4096
+#: Bands of set sizes grow by this factor; similar sets lie at most APART bands apart. A block holds about so many sets and shingles at most.
+BAND, APART = 1.1, 4
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
 ROUNDS = 3
 CHUNKS = SLOTS // CHUNK
 MAX_DIFFERENT = 2 * CHUNKS - 1
-LONGS, WIDE_LONGS = SLOTS * BITS // 64, WIDE // 64
-_FACTORS = bt.mix(np.arange(1, WIDE + 1, dtype=np.uint64), 1) | np.uint64(1)
-_SHIFTS = bt.mix(np.arange(1, WIDE + 1, dtype=np.uint64), 2)
+LONGS = SLOTS * BITS // 64
+_FACTORS = bt.mix(np.arange(1, SLOTS + 1, dtype=np.uint64), 1) | np.uint64(1)
+_SHIFTS = bt.mix(np.arange(1, SLOTS + 1, dtype=np.uint64), 2)
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -96,7 +102,7 @@ def _sum_by_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return sums[at[1:]] - sums[at[:-1]]
 
 
-FULL, BITWISE = [f"s{i}" for i in range(LONGS)], [f"w{i}" for i in range(WIDE_LONGS)]
+FULL = [f"s{i}" for i in range(LONGS)]
 _NAMES = ["n", "a", "b", *FULL]
 
 
@@ -117,20 +123,53 @@ def describe(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([_longs(p) for p in parts], _NAMES)
 
 
-@F.arrow_udf(T.StructType([T.StructField("set", T.BinaryType()), *(T.StructField(x, T.LongType()) for x in BITWISE)]))
+@F.arrow_udf(T.BinaryType())
 def full_sets(texts: pa.Array) -> pa.Array:
-    """The distinct shingle hashes, ascending, as bytes, and the wider signature."""
+    """The distinct shingle hashes, ascending, as bytes."""
     out: list[bytes] = []
-    parts: list[list[np.ndarray]] = [[] for _ in BITWISE]
     for values, counts in shingle_sets(texts):
         at = bt.bounds(counts)
         out += [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-        sig = np.zeros((len(counts), WIDE_LONGS), dtype=np.uint64)
-        if len(values):
-            sig[counts > 0] = signatures(values, counts, WIDE, 1)
-        for part, x in zip(parts, sig.T, strict=True):
-            part.append(x)
-    return pa.StructArray.from_arrays([pa.array(out, pa.binary()), *map(_longs, parts)], ["set", *BITWISE])
+    return pa.array(out, pa.binary())
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets have in common, exactly."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), dtype=np.float32)  # whole numbers under 2^24
+    if not len(both):
+        return out
+
+    def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        hit = both[at] == flat
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], owner[hit][order]
+
+    sides = cells(left), cells(right)
+    for low in range(0, len(both), 4096):
+        parts = []
+        for (at, owner), n in zip(sides, out.shape, strict=True):
+            a, b = np.searchsorted(at, (low, low + 4096))
+            matrix = np.zeros((n, min(4096, len(both) - low)), dtype=np.float32)
+            matrix[owner[a:b], at[a:b] - low] = 1
+            parts.append(matrix)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def block_links(asking: pa.Table, having: pa.Table) -> pa.Table:
+    """(u, v): the links between the documents of two blocks (doc_id, c, set) that are in different components."""
+    if not asking.num_rows or not having.num_rows:
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    (ids, cs, sets), (ids_, cs_, sets_) = (
+        (t["doc_id"].to_numpy(), t["c"].to_numpy(), [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t["set"]]) for t in (asking, having)
+    )
+    both = common_counts(sets, sets_).astype(np.int64)
+    total = np.array([len(x) for x in sets])[:, None] + np.array([len(x) for x in sets_])[None]
+    at, at_ = np.nonzero((DENOMINATOR * both >= NUMERATOR * (total - both)) & (cs[:, None] != cs_[None]))
+    return pa.table({"u": pa.array(ids[at]), "v": pa.array(ids_[at_])})
 
 
 @F.arrow_udf(T.LongType())
@@ -160,8 +199,57 @@ def _signed(x: int) -> int:
 
 
 def different_slots(left: str, right: str) -> Column:
-    """The distance of two wider signatures in slots."""
-    return reduce(add, [F.bit_count(F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}"))) for name in BITWISE])
+    """The distance of two signatures in slots."""
+    apart = [F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}")) for name in FULL]
+    return reduce(add, [(x.bitwiseAND(F.lit(_signed(0xFFFF << (BITS * j)))) != 0).cast("int") for x in apart for j in range(CHUNK)])
+
+
+def similar_sizes(left: Column, right: Column) -> Column:
+    return DENOMINATOR * F.least(left, right) >= NUMERATOR * F.greatest(left, right)
+
+
+def bucket_pairs(placed: DataFrame, stats: DataFrame, heads: DataFrame) -> DataFrame:
+    """(u, v): the pairs of different components, one of them outside its bucket's largest, that are within MAX_DIFFERENT.
+
+    placed: key, doc_id, c; stats: key, n, largest of the buckets in question; heads: doc_id, n and signature. The bucket as a whole is
+    dealt to salts, and each of the few others goes to all of them.
+    """
+    salts = F.ceil(F.col("size") / SALT_ROWS).cast("int")
+    rows = placed.join(stats.select("key", F.col("n").alias("size"), "largest"), "key").join(heads.select("doc_id", "n", *FULL), "doc_id")
+    few = rows.filter(F.col("c") != F.col("largest")).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    whole = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
+    p, q = few.alias("p"), whole.alias("q")
+    meet = (F.col("p.key") == F.col("q.key")) & (F.col("p.salt") == F.col("q.salt")) & (F.col("p.c") != F.col("q.c"))
+    near = similar_sizes(F.col("p.n"), F.col("q.n")) & (different_slots("p", "q") <= MAX_DIFFERENT)
+    return p.join(q, meet & near).select(F.least("p.doc_id", "q.doc_id").alias("u"), F.greatest("p.doc_id", "q.doc_id").alias("v")).distinct()
+
+
+def group_links(placed: DataFrame, hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): the links between different components among documents that hot buckets connect. placed: key, doc_id, c; hot: key, largest."""
+    rows = placed.join(hot.select("key", "largest"), "key")
+    firsts = rows.groupBy("key").agg(F.min("doc_id").alias("v"))
+    groups = components(rows.join(firsts, "key").select(F.col("doc_id").alias("u"), "v"))
+    members = rows.groupBy("doc_id").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("largest")).alias("outside"))
+    members = members.join(groups, "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id"))
+    size = (F.length("set") / 8).cast("long")
+    members = members.join(sets, "doc_id").select("doc_id", "c", "outside", "group", "set", size.alias("size"), F.floor(F.log(size.cast("double")) / F.log(F.lit(BAND))).alias("band"))
+    members = stash(members, "grouped")
+
+    def dealt(side: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The side's documents with their block in group and band, and the blocks' numbers."""
+        room = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+        counts = stash(side.groupBy("group", "band").agg(room.alias("blocks")), "blocks")
+        return side.join(counts, ["group", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), "blocks")).drop("blocks"), counts
+
+    (asking, left), (having, right) = dealt(members.filter("outside")), dealt(members.toDF(*(f"_{c}" for c in members.columns)).toDF(*members.columns))
+    near = F.explode(F.sequence(F.col("band") - APART, F.col("band") + APART)).alias("to")
+    meets = left.select("group", "band", "blocks", near).join(right.select("group", F.col("band").alias("to"), F.col("blocks").alias("others")), ["group", "to"])
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    key = ["group", "band", "block", "to", "other"]
+    asking = asking.join(meets.select("group", "band", "to", "others"), ["group", "band"]).withColumn("other", each("others")).select(*key, "doc_id", "c", "set")
+    having = having.withColumnsRenamed({"band": "to", "block": "other"}).join(meets.select("group", "band", "to", "blocks"), ["group", "to"]).withColumn("block", each("blocks")).select(*key, "doc_id", "c", "set")
+    drop = lambda t: t.select(["doc_id", "c", "set"])
+    return asking.groupBy(*key).cogroup(having.groupBy(*key)).applyInArrow(lambda a, b: block_links(drop(a), drop(b)), "u long, v long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -173,8 +261,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows (key, pos, doc_id) with c, the document's component."""
-    return stash(rows.join(labels, "doc_id", "left").select("key", "pos", "doc_id", F.coalesce("component", "doc_id").alias("c")), "labelled")
+    """rows (key, doc_id) with c, the document's component."""
+    return stash(rows.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c")), "labelled")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,41 +298,38 @@ def link(docs: DataFrame) -> DataFrame:
     )
     heads = stash(classes.select("n", "a", "b", "r.*"), "heads")
     keys = index_keys([F.col(c) for c in FULL])
-    keyed = heads.select(F.posexplode(keys).alias("pos", "key"), "doc_id")
+    keyed = heads.select(F.explode(keys).alias("key"), "doc_id")
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub <> top").select("key", "hub")
     shared = stash(keyed.join(hubs, "key"), "buckets")
     candidates = shared.select("doc_id").distinct()
-    sets = stash(docs.join(candidates, "doc_id", "left_semi").select("doc_id", full_sets("text").alias("f")).select("doc_id", "f.*"), "sets")
+    sets = stash(docs.join(candidates, "doc_id", "left_semi").select("doc_id", full_sets("text").alias("set")), "sets")
 
     # rows that share a doc_id are one document, so their classes are linked
     member = stash(known.join(heads.select("n", "a", "b", F.col("doc_id").alias("head")), ["n", "a", "b"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("head")).alias("head")), "members")
     twice = member.groupBy("doc_id").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low <> high").select("doc_id", "low")
     own = member.join(twice, "doc_id").filter("head <> low").select(F.col("head").alias("u"), F.col("low").alias("v"))
-    links, rows = own, shared.select("key", "pos", "doc_id", F.col("doc_id").alias("c"))
+    links, rows = own, shared.select("key", "doc_id", F.col("doc_id").alias("c"))
     for _ in range(ROUNDS):
         hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", "c")).alias("h"))
-        rest = stash(rows.join(hubs, "key").filter(F.col("c") != F.col("h.c")).select("key", "pos", "doc_id", F.col("h.doc_id").alias("hub")), "rest")
+        rest = stash(rows.join(hubs, "key").filter(F.col("c") != F.col("h.c")).select("key", "doc_id", F.col("h.doc_id").alias("hub")), "rest")
         pairs = stash(rest.groupBy("doc_id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("u"), F.col("doc_id").alias("v")), "hub-pairs")
         labels = components(links.unionByName(confirmed(pairs, sets)))
         discard(pairs)
         links = labels.select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
-        rows = labelled(rest.select("key", "pos", "doc_id"), labels)
+        rows = labelled(rest.select("key", "doc_id"), labels)
         discard(rest)
         gc.collect()  # lets go of plans, and so of their shuffle files
-    placed = labelled(shared.select("key", "pos", "doc_id"), labels)
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    sizes = sets.select("doc_id", (F.length("set") / 8).cast("long").alias("n"), *BITWISE)
-    # a pair comes from the first of the keys it shares only
-    earlier = heads.select("doc_id", keys.alias("keys"))
-    opened = placed.join(mixed, "key", "left_semi").join(sizes, "doc_id").join(earlier, "doc_id")
-    opened = opened.withColumn("earlier", F.expr("slice(keys, 1, pos)")).drop("keys", "pos")
-    size_ok = DENOMINATOR * F.least("p.n", "q.n") >= NUMERATOR * F.greatest("p.n", "q.n")
-    pairs = opened.alias("p").join(
-        opened.alias("q"),
-        (F.col("p.key") == F.col("q.key")) & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.c") != F.col("q.c")) & size_ok & (different_slots("p", "q") <= WIDE_DIFFERENT)
-        & ~F.arrays_overlap("p.earlier", "q.earlier"),
-    ).select(F.col("p.doc_id").alias("u"), F.col("q.doc_id").alias("v")).distinct()
-    labels = components(links.unionByName(confirmed(stash(pairs, "pairs"), sets)))
+    placed = labelled(shared.select("key", "doc_id"), labels)
+    discard(shared)
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
+    stats = parts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    stats = stash(stats.select("key", "n", F.col("top.c").alias("largest"), (F.col("n") - F.col("top.m")).alias("outside")), "stats")
+    pairs = bucket_pairs(placed, stats.filter(F.col("outside") <= FEW), heads)
+    found = links.unionByName(confirmed(stash(pairs, "pairs"), sets))
+    hot = stats.filter(F.col("outside") > FEW)
+    if not hot.isEmpty():
+        found = found.unionByName(group_links(placed, hot, sets))
+    labels = components(found)
     ended = member.join(labels.select(F.col("doc_id").alias("head"), "component"), "head", "left")
     return ended.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "head", "doc_id").alias("component_id"))
 

@@ -103,6 +103,41 @@ def test_chains_become_one_component(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def test_many_unlinked_variants_of_one_text(spark, monkeypatch):
+    """Variants at a similarity of about 0.7 with few links among them have no pair for each two, and the links of brute force."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(1000)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        if i % 50 == 49:  # a near copy of the one before
+            w = rows[-1][1].split()
+            w[rng.randrange(1000)] = f"again{i}"
+        else:
+            for k in range(19):
+                w[rng.randrange(1000)] = f"edit{i}x{k}"
+        rows.append((i, " ".join(w), ""))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t, _ in rows)]
+    own = {tuple(base[k : k + 5]): k for k in range(len(base) - 4)}
+    matrix = np.zeros((len(sets), len(own)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        matrix[i, [own[g] for g in s if g in own]] = 1
+    both = matrix @ matrix.T  # edited shingles are shared with a near copy only
+    for i in range(49, 2000, 50):
+        both[i, i - 1] = both[i - 1, i] = len(sets[i] & sets[i - 1])
+    sizes = np.array([len(s) for s in sets])
+    up = np.arange(len(sets))
+    for i, j in zip(*np.nonzero(np.tril(100 * both >= 75 * (sizes[:, None] + sizes[None] - both), -1)), strict=True):
+        a, b = sorted((up[i], up[j]))
+        up[up == b] = a
+    made = []
+    real = near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, sets: made.append(pairs.count()) or real(pairs, sets))
+    got = near_dedup.link(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: int(c) for i, c in enumerate(up)}
+    assert len(set(up.tolist())) > 1500 and sum(made) < 60_000  # of two million
+
+
 # lines
 
 
