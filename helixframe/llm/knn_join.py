@@ -2,23 +2,29 @@
 
 Components become floor(1024 * x) and a score is the integer inner product. With one more coordinate, sqrt(M - |x|^2) for
 data (M: the largest squared norm) and 0 for queries, the largest inner product is the smallest Euclidean distance, so
-that the triangle inequality holds. Queries and data are grouped by their nearest of PIVOTS pivots. From summaries of
-the groups (radius of a query group; the smallest distances to the pivot in a data group) follows for each query group
-a distance within which each of its queries has its k nearest; a row of data is replicated to just the query groups
-whose bound it can undercut. Summaries hold a vec_id once, at its smallest distance, since a query passes over all rows of
+that the triangle inequality holds. Queries and data are grouped into the cells of their nearest pivots, of which there are about
+as many as the square root of the number of rows, MOST_PIVOTS at most. From summaries of
+the cells (radius of a query cell; the smallest distances to the pivot in a data cell, its number of rows and its radius) follows for each
+query cell a distance within which each of its queries has its k nearest, and from this the data cells that can hold any of
+them: whole cells drop first, then single rows whose distance to the query cell's pivot, or to the plane between the pivots of
+their own cell and the query cell, is too large. Query cells that need much the same data cells are one group, as long as the rows saved by shipping them
+once are worth the products added (SHIPPED products a row); where no cell can be left out, all queries are one group and data is shipped
+once for each block of QUERY_BLOCK queries. Summaries hold a vec_id once, at its smallest distance, since a query passes over all rows of
 its own vec_id and these must not stand for its k nearest. Groups are split into blocks of queries and chunks of data by hashes of ids, so that the
 size of a local problem is bounded however many rows share a cell or a vector; local winners are merged by rank.
 
-The driver sees the pivots and the summaries: PIVOTS vectors, at most PIVOTS * (k + 1) distances.
+Pivots are rows of a sample, each the farthest from those before it. The driver sees the sample and the summaries: SAMPLED * MOST_PIVOTS vectors, at most MOST_PIVOTS * (k + 1) distances.
 
 Cases: vectors null, empty, or holding null or non-finite components, and rows with a null vec_id, take no part; a shorter
-vector counts as padded with zeros; rows with one vec_id exclude each other, and repeated queries are answered once; ties go to the smaller
+vector counts as padded with zeros; rows with one vec_id exclude each other, and of several query vectors under one vec_id the smallest is answered; ties go to the smaller
 vec_id; with fewer candidates than k all are returned; an empty table gives an empty result. Only vec_id and embedding
 are read, so other columns can't clash. Scores are exact while they fit 64-bit integers.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,7 +34,11 @@ from pyspark.sql import types as T
 from .shared import stash, table
 
 SCALE, K, EVERY = 1024, 10, 100
-PIVOTS, QUERY_BLOCK, DATA_CHUNK, SLICE = 16, 2048, 8192, 256
+MOST_PIVOTS, QUERY_BLOCK, DATA_CHUNK, SLICE = 256, 2048, 8192, 256
+#: Rows sampled for each pivot.
+SAMPLED = 8
+#: Inner products that cost about as much as one more row of data shipped.
+SHIPPED = 2000
 
 
 def clean(rows: DataFrame) -> DataFrame:
@@ -59,8 +69,46 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return able[np.lexsort((ids[able], -scores[able]))[:k]]
 
 
-def search(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of each row whose vec_id is divisible by every."""
+def needed_cells(limits: np.ndarray, apart: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """For each query cell and data cell whether a row of the latter can be among the k nearest of a query of the former.
+
+    limits: the distance from a query cell's pivot within which its queries' nearest lie; reach: the data cells' radii; apart: distances
+    of the query cells' pivots from the data cells' pivots.
+    """
+    return apart - reach[None] <= limits[:, None]
+
+
+def spread_pivots(sample: np.ndarray, count: int) -> np.ndarray:
+    """Positions of count rows of the sample, each the farthest from those before it."""
+    picked = [0] if len(sample) else []
+    far = ((sample - sample[:1]) ** 2).sum(axis=1)
+    while len(picked) < count and len(sample) and far.max() > 0:
+        picked.append(int(far.argmax()))
+        far = np.minimum(far, ((sample - sample[picked[-1]]) ** 2).sum(axis=1))
+    return np.array(picked, dtype=int)
+
+
+def grouped(needs: np.ndarray, asked: np.ndarray, rows: np.ndarray) -> list[list[int]]:
+    """Query cells (rows of needs, with asked queries each) in groups, joined as long as that costs less than it saves in shipped rows."""
+    groups: list[tuple[list[int], np.ndarray, int]] = []
+    for i in np.argsort(-(needs @ rows), kind="stable").tolist():
+        best = None
+        for g, (_, need, n) in enumerate(groups):
+            saved = int(rows[need & needs[i]].sum())
+            added = int(asked[i] * rows[need & ~needs[i]].sum() + n * rows[needs[i] & ~need].sum())
+            gain = saved * SHIPPED - added
+            if gain > 0 and (best is None or gain > best[0]):
+                best = gain, g
+        if best is None:
+            groups.append(([i], needs[i].copy(), int(asked[i])))
+        else:
+            cells, need, n = groups[best[1]]
+            groups[best[1]] = ([*cells, i], need | needs[i], n + int(asked[i]))
+    return [cells for cells, _, _ in groups]
+
+
+def plan(rows: DataFrame, k: int, every: int):
+    """What search joins: queries (query_id, v) and data (vec_id, v) by group, block and chunk, and the vectors' types."""
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
     sound = clean(rows).select("vec_id", whole.alias("v"))
     size, most, n = sound.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs))), F.count("*")).first()
@@ -75,9 +123,12 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     data = stash(sound.select("vec_id", packed("v").alias("p")).select("vec_id", "p.*"), "vectors")
     longest = data.agg(F.max("norm")).first()[0] or 0.0
-    heads = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("v").collect()
-    pivots = _unpacked(pa.array([bytes(r["v"]) for r in heads], pa.binary()), kind, size).astype(float)
-    lifts = np.sqrt(np.maximum(longest - (pivots**2).sum(axis=1), 0))
+    count = min(MOST_PIVOTS, max(16, math.isqrt(n)))
+    heads = data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLED * count).select("v").collect()
+    sample = _unpacked(pa.array([bytes(r["v"]) for r in heads], pa.binary()), kind, size).astype(float)
+    lifted = np.sqrt(np.maximum(longest - (sample**2).sum(axis=1), 0))
+    picked = spread_pivots(np.column_stack([sample, lifted]), count)
+    pivots, lifts = sample[picked], lifted[picked]
 
     def to_pivots(column: pa.Array, norms: np.ndarray, lifted: bool) -> np.ndarray:
         x = _unpacked(column, kind, size).astype(float)
@@ -94,39 +145,69 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
         return found
 
-    asked = data.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries = stash(asked.select(F.col("vec_id").alias("query_id"), "v", nearest(False)("v", "norm").alias("c")).select("query_id", "v", "c.*"), "queries")
+    asked = data.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("q"))
+    queries = stash(asked.select(F.col("vec_id").alias("query_id"), "q.v", nearest(False)("q.v", "q.norm").alias("c")).select("query_id", "v", "c.*"), "queries")
     by_cell = Window.partitionBy("cell").orderBy("d", "vec_id")
-    inner = data.select("vec_id", nearest(True)("v", "norm").alias("c")).groupBy("c.cell", "vec_id").agg(F.min("c.d").alias("d"))
-    inner = inner.withColumn("r", F.row_number().over(by_cell)).filter(F.col("r") <= k + 1).select("cell", "vec_id", "d").collect()
-    groups = {r["cell"]: (r["radius"], r["n"]) for r in queries.groupBy("cell").agg(F.max("d").alias("radius"), F.count("*").alias("n")).collect()}
+    placed = stash(data.select("vec_id", nearest(True)("v", "norm").alias("c")).select("vec_id", "c.*"), "placed")
+    inner = placed.groupBy("cell", "vec_id").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(by_cell)).filter(F.col("r") <= k + 1).select("cell", "vec_id", "d").collect()
+    held = placed.groupBy("cell").agg(F.max("d").alias("radius"), F.count("*").alias("n")).collect()
+    groups = sorted(queries.groupBy("cell").agg(F.max("d").alias("radius"), F.count("*").alias("n")).collect())
 
     cells = np.array([r["cell"] for r in inner], dtype=int)
     depth = np.array([r["d"] for r in inner], dtype=float)
     names = np.array([r["vec_id"] for r in inner], dtype=np.int64)
     apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2) + (lifts[:, None] - lifts[None]) ** 2, 0))
-    limits = {}
-    for i, (radius, _) in groups.items():
-        upper = radius + apart[i, cells] + depth
+    own = np.array([g["cell"] for g in groups], dtype=int)
+    radius = np.array([g["radius"] for g in groups], dtype=float)
+    limits = np.zeros(len(groups))
+    for i, cell in enumerate(own):
+        upper = radius[i] + apart[cell, cells] + depth
         order = np.argsort(upper, kind="stable")
         upper = upper[order[np.sort(np.unique(names[order], return_index=True)[1])]]  # of each vec_id the smallest, in order
-        bound = upper[k] if len(upper) > k else np.inf
-        limits[i] = radius + bound + 1e-6 * (1 + abs(radius) + np.sqrt(longest))
-    blocks = {i: max(1, -(-count // QUERY_BLOCK)) for i, (_, count) in groups.items()}
+        limits[i] = radius[i] + (upper[k] if len(upper) > k else np.inf) + 1e-6 * (1 + radius[i] + np.sqrt(longest))
+    reach, rows_in = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype=np.int64)
+    for r in held:
+        reach[r["cell"]], rows_in[r["cell"]] = r["radius"], r["n"]
+    needs = needed_cells(limits, apart[own], reach) & (rows_in > 0)[None] if len(own) else np.zeros((0, len(pivots)), dtype=bool)
+    joined = grouped(needs, np.array([g["n"] for g in groups], dtype=np.int64), rows_in)
+    group_of = {int(own[i]): g for g, members in enumerate(joined) for i in members}
+    blocks = [max(1, -(-sum(groups[i]["n"] for i in members) // QUERY_BLOCK)) for members in joined]
     chunks = max(1, -(-n // DATA_CHUNK))
+    order_at = np.array([i for members in joined for i in members], dtype=int)  # query cells by group, and their pivots
+    order_of = own[order_at] if len(own) else order_at
+    firsts = np.cumsum([0, *map(len, joined)])[:-1].astype(int) if joined else np.zeros(0, dtype=int)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def wanted(v: pa.Array, norm: pa.Array) -> pa.Array:
         d = to_pivots(v, norm.to_numpy(zero_copy_only=False), True)
-        return pa.array([[i for i, limit in limits.items() if row[i] <= limit] for row in d], pa.list_(pa.int32()))
-
-    count_of = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]) if blocks else F.create_map(F.lit(0), F.lit(1))
-    left = queries.select(
+        cell = d.argmin(axis=1)
+        own_d = d[np.arange(len(d)), cell]
+        out = []
+        for at in range(0, len(d), 2048):
+            part, c, mine = d[at : at + 2048][:, order_of], cell[at : at + 2048], own_d[at : at + 2048, None]
+            gap = np.maximum(apart[order_of][:, c].T, 1e-12)
+            # a row is nearer to its own pivot than to the query cell's, and so beyond the plane between them by so much; a query is on the other side
+            plane = (part**2 - mine**2) / (2 * gap)
+            able = needs[order_at][:, c].T & (part <= limits[order_at]) & ((plane <= (limits - radius)[order_at]) | (order_of == c[:, None]))
+            found = np.logical_or.reduceat(able, firsts, axis=1) if len(firsts) else np.zeros((len(part), 0), dtype=bool)
+            out += [np.flatnonzero(row).tolist() for row in found]
+        return pa.array(out, pa.list_(pa.int32()))
+
+    count_of = F.create_map(*[F.lit(x) for pair in enumerate(blocks) for x in pair]) if blocks else F.create_map(F.lit(0), F.lit(1))
+    cell_group = F.create_map(*[F.lit(x) for pair in group_of.items() for x in pair]) if group_of else F.create_map(F.lit(0), F.lit(0))
+    left = queries.select("query_id", "v", cell_group[F.col("cell")].alias("cell"))
+    left = left.select(
         "query_id", "v", "cell", F.pmod(F.xxhash64("query_id"), count_of[F.col("cell")]).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
     )
     right = data.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), F.explode(wanted("v", "norm")).alias("cell"))
     right = right.select("vec_id", "v", "chunk", "cell", F.explode(F.sequence(F.lit(0), count_of[F.col("cell")] - 1)).alias("block"))
+    return left, right, kind, size, exact
+
+
+def search(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of each row whose vec_id is divisible by every."""
+    left, right, kind, size, exact = plan(rows, k, every)
 
     def solve(asking: pa.Table, having: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]

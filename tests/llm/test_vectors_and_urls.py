@@ -49,6 +49,25 @@ def test_exact_search_of_an_id_on_many_rows(spark):
         assert any(own == [(i, -s) for s, i in sorted((-int(v @ x), i) for i, x in whole if i != q)[:10]] for at, v in whole if at == q)  # one row of a repeated query is answered
 
 
+def test_clustered_data_is_hardly_replicated(spark):
+    rng = np.random.default_rng(12)
+    centers = rng.normal(size=(40, 8))
+    centers *= 10 / np.linalg.norm(centers, axis=1, keepdims=True)
+    base = (centers[rng.integers(0, 40, 3000)] + 0.05 * rng.normal(size=(3000, 8))).astype(np.float32)
+    frame = vectors(spark, [(i, base[i].tolist()) for i in range(3000)])
+    left, right, *_ = knn_join.plan(frame, 10, 100)
+    assert right.count() < 1.5 * 3000 and right.select("cell").distinct().count() > 5
+    met = left.join(right, ["cell", "block", "chunk"]).count()
+    assert met < 0.3 * 30 * 3000  # of all products
+    whole = np.floor(1024 * base.astype(float))
+    got = knn_join.search(frame).collect()
+    for q in range(0, 3000, 100):
+        want = sorted((-int(whole[q] @ x), i) for i, x in enumerate(whole) if i != q)[:10]
+        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [(i, -s) for s, i in want]
+    flat = rng.normal(size=(600, 64)).astype(np.float32)  # nothing can be left out here: shipped once
+    assert knn_join.plan(vectors(spark, [(i, x.tolist()) for i, x in enumerate(flat)]), 10, 100)[1].count() == 600
+
+
 def test_exact_search_of_few_rows(spark):
     assert knn_join.search(vectors(spark, [])).count() == 0
     assert knn_join.search(vectors(spark, odd_rows())).count() == 0
