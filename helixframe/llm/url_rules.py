@@ -3,8 +3,12 @@
 A host is written with its labels reversed, each followed by '.', so that a host and all its subdomains are the
 keys with one prefix, which is the interval from the prefix to the prefix with its last '.' turned into '/', the
 next character. Intervals of hosts nest or are disjoint. A sweep over sorted keys keeps the stack of hosts whose
-interval is open: as the stack after each boundary is known beforehand (a host's own chain of enclosing rule
-hosts after its start, its parent's after its end), the last boundary before a url carries it.
+interval is open. Intervals of hosts nest, so the stack after a boundary doesn't depend on what was swept before: it is a
+host's own chain of enclosing rule hosts after its start and its parent's after its end. So each boundary carries
+it, and the last boundary before a url (a running window over the sorted keys) is the kept stack at that url.
+
+The method's own rules, OWN_RULES, are intervals of the same sweep; they give the verdict where none of the given rules
+fits, and where neither does a url with a host is allowed and one without is blocked.
 
 Urls are dealt evenly to buckets, whatever their host, and every bucket sweeps all boundaries: no host makes a
 bucket large. Boundaries are two a rule host; MAX_BOUNDARIES bounds what each bucket gets, and with more of them
@@ -12,7 +16,7 @@ the buckets are by top-level label as well, and each gets only the boundaries of
 
 Cases: a null url or one without '://' has empty host and path and fits no rule. An empty table gives an empty
 result; repeated rows are judged alike; rules that repeat count once, rules with equal texts and both verdicts
-block. Only page_id and url of the pages are read, so other columns can't clash.
+block; a null page_id is kept. Only page_id and url of the pages are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -32,9 +36,8 @@ BASE_RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: The method's own verdict where no rule fits: hosts with one of these as a part of a label, and urls without a host.
-SPAM_WORDS = ["casino", "pills", "bets", "viagra", "porn", "xxx", "payday", "replica"]
-SPAM_HOST = "(^|[.-])(" + "|".join(SPAM_WORDS) + ")([.-]|$)"
+#: The method's own rules: top-level labels under which mostly spam stands.
+OWN_RULES = [(host, "/", "block") for host in ("adult", "bet", "casino", "loan", "poker", "porn", "sex", "xxx")]
 
 MAX_BOUNDARIES = 100_000
 
@@ -57,10 +60,11 @@ def top_label(key: Column) -> Column:
 
 def boundaries(rules: DataFrame) -> DataFrame:
     """(key, kind, stack): kind 0 closes a host's interval, 1 opens it; stack holds all rules of the hosts open from there on."""
-    known = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    known = rules.groupBy("host", "path", "given").agg(F.max("verdict").alias("verdict"))
     hosts = known.groupBy(host_key(F.col("host")).alias("key")).agg(
         F.collect_list(
             F.struct(
+                "given",
                 (F.length("host") + F.length("path")).alias("size"),
                 F.length("host").alias("host_size"),
                 F.concat("host", "path").alias("rule"),
@@ -88,9 +92,13 @@ def boundaries(rules: DataFrame) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, rules: DataFrame, many_rules: bool = False) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every page; rules has host, path and verdict. many_rules: over MAX_BOUNDARIES / 2 of them."""
+def judge(pages: DataFrame, rules: DataFrame, many_rules: bool | None = None) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every page; rules has host, path and verdict. many_rules: over MAX_BOUNDARIES / 2 of them, by count if None."""
     spark = pages.sparkSession
+    own = spark.createDataFrame(OWN_RULES, "host string, path string, verdict string")
+    rules = rules.select("host", "path", "verdict", F.lit(True).alias("given")).unionByName(own.withColumn("given", F.lit(False)))
+    if many_rules is None:
+        many_rules = 2 * rules.count() > MAX_BOUNDARIES
     buckets = 4 * partitions(spark)
     url = F.col("url")
     seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(buckets)).alias("bucket"))
@@ -105,15 +113,16 @@ def judge(pages: DataFrame, rules: DataFrame, many_rules: bool = False) -> DataF
     swept = seen.unionByName(marks, allowMissingColumns=True).withColumn(
         "open", F.last("stack", ignorenulls=True).over(Window.partitionBy("bucket", "top").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0))
     )
+    # the given rules come after the method's own in this order, longer ones after shorter
     fitting = F.array_max(F.filter("open", lambda r: F.startswith(F.col("path"), r["path"])))
     judged = swept.filter("kind = 2").select("page_id", "host", "path", fitting.alias("hit"))
-    own = F.when((F.col("host") == "") | F.col("host").rlike(SPAM_HOST), "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", own).alias("verdict"))
+    rule = F.when(F.col("hit.given"), F.col("hit.rule"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("hit.verdict", F.when(F.col("host") == "", "block").otherwise("allow")).alias("verdict"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(BASE_RULES, "host string, path string, verdict string")
-    return judge(table(spark, sf_dir, "pages"), rules, many_rules=2 * len(BASE_RULES) > MAX_BOUNDARIES)
+    return judge(table(spark, sf_dir, "pages"), rules)
 
 
 ORACLE_SQL = """
@@ -133,6 +142,6 @@ ruled AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
             WHEN rule IS NOT NULL THEN 'block'
-            WHEN host = '' OR regexp_matches(host, 'SPAM') THEN 'block' ELSE 'allow' END AS verdict
+            WHEN host = '' OR regexp_matches(host, '(^|[.])(OWN)$') AND starts_with(path, '/') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
-""".replace("SPAM", SPAM_HOST)
+""".replace("OWN", "|".join(host for host, _, _ in OWN_RULES))

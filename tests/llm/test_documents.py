@@ -412,6 +412,37 @@ def test_quality(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if r["predicted"]}
 
 
+def test_scores_equal_a_plain_discriminant(spark):
+    import pyarrow as pa
+
+    rng = random.Random(16)
+    rows, labels = [], []
+    for i in range(300):
+        y = int(rng.random() < 0.6)
+        text = ". ".join(words(rng, 9).capitalize() for _ in range(rng.randint(2, 9))) if y else " ".join(rng.choice(["BUY", "now!", words(rng, 2)]) for _ in range(rng.randint(5, 60)))
+        rows.append((i, text, "s"))
+        labels.append((i, y))
+    got = {r["doc_id"]: r["score"] for r in quality.score(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    x = np.concatenate(list(quality.statistics(pa.array([t for _, t, _ in rows]))))
+    y = np.array([q for _, q in labels])
+    use = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in labels])
+    size, logs = x.shape[1], []
+    own = [np.cov(x[use & (y == c)].T, bias=True) for c in (0, 1)]
+    n = [int((use & (y == c)).sum()) for c in (0, 1)]
+    pooled = (n[0] * own[0] + n[1] * own[1]) / sum(n)
+    for c in (0, 1):
+        part = n[c] / (n[c] + 2 * size) * (1 - quality.TO_POOLED)
+        cov = part * own[c] + (1 - part) * pooled
+        cov = (1 - quality.TO_DIAGONAL) * cov + quality.TO_DIAGONAL * np.diag(np.diag(cov)) + quality.RIDGE * np.eye(size)
+        away = x - x[use & (y == c)].mean(axis=0)
+        logs.append(np.log(n[c] / sum(n)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (away * np.linalg.solve(cov, away.T).T).sum(axis=1))
+    bent = np.clip(2 * np.arcsinh((logs[1] - logs[0]) / 2), -quality.MOST, quality.MOST)
+    odds = np.array([np.log(got[i] / (1 - got[i])) if 0 < got[i] < 1 else np.nan for i, _ in labels])
+    sure = np.isfinite(odds) & (np.abs(odds) < 20)
+    slope, shift = np.polyfit(bent[sure], odds[sure], 1)
+    assert slope > 0 and np.allclose(odds[sure], slope * bent[sure] + shift, atol=1e-5)
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.score(frame(spark, [(1, "a", ""), (2, None, "")]), none).collect()} == {0.5}
