@@ -24,7 +24,9 @@ import pyarrow as pa
 from . import bytestext as bt
 from .stretches import Stretches, Growing
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+#: Stretches given to the whole tokenizer at once.
+BATCH = 2000
 #: Stretches a process remembers at most; beyond it it starts afresh.
 MOST_KNOWN = 1_000_000
 
@@ -78,8 +80,8 @@ class Encoder:
         spelled = b"\n".join(itertools.compress(stretches, plain)).decode("latin-1").translate(_LETTERS).split(_LETTERS[10])
         names = iter(spelled)
         others = [x.decode() for x, p in zip(stretches, plain, strict=True) if not p]
-        rest = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
-        return [[t.id for t in tokenize(next(names))] if p else next(rest).ids for p in plain]
+        rest = (x.ids for i in range(0, len(others), BATCH) for x in self.tokenizer.encode_batch_fast(others[i : i + BATCH], add_special_tokens=False))
+        return [[t.id for t in tokenize(next(names))] if p else next(rest) for p in plain]
 
     def learn(self, stretches: list[bytes]) -> None:
         found = self.ids_of(stretches)

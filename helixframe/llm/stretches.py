@@ -11,6 +11,9 @@ import numpy as np
 from . import bytestext as bt
 
 
+PART = 1 << 18
+
+
 class Growing:
     """An array that takes more rows at its end."""
 
@@ -78,6 +81,20 @@ class Stretches:
         self.starts.add(base + np.cumsum(sizes))
         self.hashes.add(hashes)
 
+    def _different(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Where a stretch isn't the one of its number, byte by byte; PART bytes at a time, to keep what is compared small."""
+        sizes, at, held = ends - starts, self.starts(), self.flat()
+        wrong = [np.flatnonzero(at[numbers + 1] - at[numbers] != sizes)]
+        low = 0
+        while low < len(starts):
+            high = max(low + 1, int(np.searchsorted(ends, starts[low] + PART, side="right")))
+            own = held[np.minimum(bt.ragged(at[numbers[low:high]], sizes[low:high]), len(held) - 1)]
+            bad = np.flatnonzero(own != flat[starts[low] : ends[high - 1]])
+            if len(bad):
+                wrong.append(np.searchsorted(starts, starts[low] + bad, side="right") - 1)
+            low = high
+        return np.unique(np.concatenate(wrong))
+
     def number(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each stretch, and where the new ones first stand, in the order of their numbers. The stretches cover flat."""
         hashes = bt.hash_spans(flat, starts, ends)
@@ -91,10 +108,7 @@ class Stretches:
             self._insert(keys, before)
             self._store(flat, starts[fresh], ends[fresh], keys)
             out[missed] = self._find(hashes[missed])
-        sizes, at = ends - starts, self.starts()
-        held = self.flat()[np.minimum(bt.ragged(at[out], sizes), self.flat.size - 1)]
-        wrong = np.searchsorted(starts, np.flatnonzero(held != flat), side="right") - 1
-        wrong = np.union1d(wrong, np.flatnonzero(at[out + 1] - at[out] != sizes))
+        wrong = self._different(flat, starts, ends, out)
         more = []
         for i in wrong.tolist():
             own = flat[starts[i] : ends[i]].tobytes()
