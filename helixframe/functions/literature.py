@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Dashes that authored p-values hold, and what they stand for.
 DASHES = "‐‑‒–—−"
@@ -38,22 +36,24 @@ def p_value(raw: Column) -> Column:
     return p_value_text(raw).try_cast("double")
 
 
-@F.pandas_udf(T.StringType())
-def _decoded(texts: pd.Series) -> pd.Series:
-    def fixed(text: str) -> str:
-        try:
-            other = text.encode("cp1251").decode("utf-8")
-        except UnicodeError:
-            return text
-        count = lambda s: sum("Ѐ" <= c <= "ӿ" for c in s)
-        return other if count(other) < count(text) else text
+def _code_page() -> tuple[str, str]:
+    """The letters of the Cyrillic code page 1251 above ASCII, and for each the character whose code is its byte."""
+    found = [(bytes([b]).decode("cp1251", "ignore"), chr(b)) for b in range(0x80, 0x100)]
+    letters = [(a, b) for a, b in found if a]
+    return "".join(a for a, _ in letters), "".join(b for _, b in letters)
 
-    return texts.map(fixed, na_action="ignore")
+
+_LETTERS, _BYTES = _code_page()
+_CYRILLIC = "[^\u0400-\u04ff]"
 
 
 def unscrambled(text: Column) -> Column:
-    """Undoes UTF-8 read as a Cyrillic code page where that leaves fewer Cyrillic letters; other rows never leave the JVM's hands unchanged."""
-    return F.when(text.rlike("[Ѐ-ӿ]"), _decoded(F.when(text.rlike("[Ѐ-ӿ]"), text))).otherwise(text)
+    """Undoes UTF-8 read as a Cyrillic code page where that leaves fewer Cyrillic letters; other texts stay as they are."""
+    fits = text.rlike("[\u0400-\u04ff]") & (F.translate(text, _LETTERS, "").rlike("^[\\x00-\\x7f]*$"))
+    # each letter becomes the character of its byte's code, so that Latin-1 writes the bytes that were misread
+    other = F.encode(F.translate(F.when(fits, text).otherwise(""), _LETTERS, _BYTES), "ISO-8859-1").cast("string")
+    count = lambda c: F.length(F.regexp_replace(c, _CYRILLIC, ""))
+    return F.when(fits & F.is_valid_utf8(other) & (count(other) < count(text)), other).otherwise(text)
 
 
 def gene_tokens(cell: Column) -> Column:
@@ -62,7 +62,8 @@ def gene_tokens(cell: Column) -> Column:
 
 
 def trimmed(text: Column, limit: int = 600) -> Column:
-    """At most limit characters: whole sentences if one fits, else whole words, else cut."""
+    """White space folded, and at most limit characters: whole sentences if one fits, else whole words, else cut."""
+    text = F.trim(F.regexp_replace(text, r"\s+", " "))
     sentences = F.split(text, r"(?<=[.!?])\s+")
     join = lambda acc, x: F.when(acc["done"], acc).when(F.length(F.concat_ws(" ", acc["text"], x)) <= limit, F.struct(F.concat_ws(" ", acc["text"], x).alias("text"), F.lit(False).alias("done"))).otherwise(F.struct(acc["text"].alias("text"), F.lit(True).alias("done")))
     start = F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("done"))

@@ -33,23 +33,32 @@ def input_mode(calls: DataFrame) -> DataFrame:
     return calls.agg(F.when(F.coalesce(F.bool_or(block), F.lit(False)), "all_sites").otherwise("variant_only").alias("mode"))
 
 
-def gaps(sites: DataFrame) -> DataFrame:
-    """Distinct sites with the gap to the one before on their contig (null for its first)."""
-    order = Window.partitionBy("chrom").orderBy("start")
-    return sites.select("chrom", "start").distinct().withColumn("gap", F.col("start") - F.lag("start").over(order))
+def gaps(sites: DataFrame, width: int = 1 << 22) -> DataFrame:
+    """Distinct sites with the gap to the one before on their contig (null for its first).
+
+    The site before is found inside bins of width positions; a bin's first site takes the last site of the nearest bin before it from
+    a list of the contig's bins, as long as the contig divided by width. So no task holds a contig.
+    """
+    own = sites.select("chrom", "start").distinct().withColumn("bin", F.floor(F.col("start") / width))
+    ends = own.groupBy("chrom", "bin").agg(F.max("start").alias("high"))
+    ladder = ends.groupBy("chrom").agg(F.collect_list(F.struct("bin", "high")).alias("ladder"))
+    below = F.filter("ladder", lambda x: x["bin"] < F.col("bin"))
+    before = ends.join(ladder, "chrom").select("chrom", "bin", F.array_max(F.transform(below, lambda x: x["high"])).alias("before"))
+    order = Window.partitionBy("chrom", "bin").orderBy("start")
+    placed = own.withColumn("lag", F.lag("start").over(order)).join(before, ["chrom", "bin"])
+    return placed.select("chrom", "start", (F.col("start") - F.coalesce("lag", "before")).alias("gap"))
 
 
 def coverage_breadth(sites: DataFrame, flank: int) -> DataFrame:
-    """One row: covered, span and breadth. A site covers at most 2 * flank of the gap before it, a contig's first site just that."""
-    per = gaps(sites).groupBy("chrom").agg(F.sum(F.least(F.col("gap"), F.lit(2 * flank))).alias("covered"), (F.max("start") - F.min("start")).alias("span"))
-    total = per.agg(F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"), F.coalesce(F.sum("span"), F.lit(0)).alias("span"))
+    """One row: number of distinct sites, covered, span and breadth. A site covers at most 2 * flank of the gap before it, a contig's first site just that."""
+    per = gaps(sites).groupBy("chrom").agg(F.count("*").alias("n"), F.sum(F.least(F.col("gap"), F.lit(2 * flank))).alias("covered"), (F.max("start") - F.min("start")).alias("span"))
+    total = per.agg(*[F.coalesce(F.sum(a), F.lit(0)).alias(b) for a, b in (("n", "sites"), ("covered", "covered"), ("span", "span"))])
     return total.withColumn("breadth", F.when(F.col("span") > 0, F.col("covered") / F.col("span")).otherwise(0.0))
 
 
 def callset_scope(sites: DataFrame, flank: int, least_sites: int = LEAST_SITES, least_breadth: float = LEAST_BREADTH) -> DataFrame:
     """One row: number of primary sites, breadth, and scope with its reason."""
-    primary = sites.filter(is_primary(F.col("chrom"))).select("chrom", "start").distinct()
-    counted = primary.agg(F.count("*").alias("sites")).crossJoin(coverage_breadth(primary, flank))  # one row each
+    counted = coverage_breadth(sites.filter(is_primary(F.col("chrom"))), flank)
     few, narrow = F.col("sites") < least_sites, F.col("breadth") < least_breadth
     return counted.select("sites", F.round("breadth", 6).alias("breadth"), F.when(few | narrow, "targeted").otherwise("wgs").alias("scope"), F.when(few, "few sites").when(narrow, "narrow").otherwise("wide").alias("reason"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genotypes import alt_alleles, authored_genotype, blank_to_null, state_of
+from ..functions.literature import accepted, article_ids
 from .aggregates import alleles_by_rsid
 from .joins import first_per_key, resolve
 
@@ -145,6 +146,21 @@ def compile_annotations(authored: DataFrame, keys: Sequence[str] = ("variant_key
     return first_per_key(authored.withColumn("variant_key", variant_key()), keys, "gene", "phenotype", "category").select(*keys, "gene", "phenotype", "category")
 
 
+def content_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: how many rows of the common columns stand in one table and not in the other, repeated rows counted."""
+    common = [c for c in before.columns if c in after.columns]
+    a, b = before.select(*common), after.select(*common)
+    rows = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(-1))).groupBy(*common).agg(F.sum("side").alias("more"))
+    return rows.agg(F.coalesce(F.sum(F.greatest("more", F.lit(0))), F.lit(0)).alias("lost"), F.coalesce(F.sum(F.greatest(-F.col("more"), F.lit(0))), F.lit(0)).alias("gained"))
+
+
+def compile_studies(studies: DataFrame, reference: DataFrame) -> DataFrame:
+    """Authored studies (rsid or place, pmid as text, conclusion) by variant_key: one row for each accepted article number and variant, identity resolved."""
+    filled = resolve(studies, reference).withColumn("variant_key", variant_key())
+    each = filled.select("variant_key", "conclusion", F.explode(accepted(article_ids(F.col("pmid")))).alias("pmid"))
+    return first_per_key(each.filter("variant_key IS NOT NULL"), ["variant_key", "pmid"], "conclusion").select("variant_key", "pmid", "conclusion")
+
+
 def table_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: rows before and after, columns added and removed."""
     added = ",".join(sorted(set(after.columns) - set(before.columns)))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.contigs import is_primary
 from .joins import absent_sites, ambiguous_loci, nearest_within
@@ -18,6 +19,11 @@ def first_present(df: DataFrame, *names: str) -> str | None:
     return next((have[n.lower()] for n in names if n.lower() in have), None)
 
 
+def _number(df: DataFrame, name: str, kind: str) -> Column:
+    """A column as a number. One that is a number is left as it is, so that the condition reaches the scan."""
+    return F.col(name) if isinstance(df.schema[name].dataType, T.NumericType) else F.col(name).cast("string").try_cast(kind)
+
+
 def quality_condition(df: DataFrame, passing: Sequence[str] = (), depth: float = 0, quality: float = 0) -> Column | None:
     """FILTER in the list ('.' and '' are one value), depth and quality at least so much; only for columns that exist and limits that are set."""
     conditions = []
@@ -25,9 +31,9 @@ def quality_condition(df: DataFrame, passing: Sequence[str] = (), depth: float =
         allowed = [*passing, *({".", ""} if {".", ""} & set(passing) else ())]
         conditions.append(F.col(c).isin(allowed))
     if depth and (c := first_present(df, "dp")):
-        conditions.append(F.col(c).cast("string").try_cast("bigint") >= depth)
+        conditions.append(_number(df, c, "bigint") >= depth)
     if quality and (c := first_present(df, "qual")):
-        conditions.append(F.col(c).cast("string").try_cast("double") >= quality)
+        conditions.append(_number(df, c, "double") >= quality)
     return reduce(lambda a, b: a & b, conditions) if conditions else None
 
 

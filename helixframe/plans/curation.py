@@ -22,9 +22,9 @@ _HEAD = [
 ]
 
 
-def _vcf_text(spark, d, where="true"):
+def _vcf_text(spark, d):
     """VCF text of the callset in a new folder: header lines stand in the first part."""
-    rows = B.callset(spark, d).filter(where)
+    rows = B.callset(spark, d)
     dot = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("."))
     ad = F.concat(F.col("dp").cast("string"), F.lit(","), (F.col("dp") + 1).cast("string"))
     line = F.concat_ws("\t", "chrom", F.col("start").cast("string"), dot("rsid"), "ref", F.replace("alt", F.lit("|"), F.lit(",")), dot("qual"), dot("filter"), F.concat(F.lit("SRC=s"), F.col("sample").cast("string"), F.lit(";DP="), F.col("dp").cast("string")), F.lit("GT:AD"), F.concat_ws(":", "gt", ad))
@@ -34,7 +34,7 @@ def _vcf_text(spark, d, where="true"):
     return path
 
 
-_READ = f"SELECT chrom, count(*) AS n, CAST(sum(start) AS BIGINT) AS places, count(rsid) AS named, count(*) FILTER (filter = '') AS unfiltered, CAST(sum(dp) AS BIGINT) AS depth, CAST(sum(dp * 2 + 1) AS BIGINT) AS reads, count(DISTINCT array_to_string({B._GENOTYPE}, '/')) AS genotypes, round(sum(qual), 3) AS quality FROM v_callset WHERE rec % 2 = 0 GROUP BY chrom"
+_READ = f"SELECT chrom, count(*) AS n, CAST(sum(start) AS BIGINT) AS places, count(rsid) AS named, count(*) FILTER (filter = '') AS unfiltered, CAST(sum(dp) AS BIGINT) AS depth, CAST(sum(dp * 2 + 1) AS BIGINT) AS reads, count(DISTINCT array_to_string({B._GENOTYPE}, '/')) AS genotypes, round(sum(qual), 3) AS quality FROM v_callset GROUP BY chrom"
 
 
 def _read(df):
@@ -46,12 +46,12 @@ def _read(df):
 
 @query("src_01", _READ)
 def src_01(spark, d):
-    return _read(vcf.read_vcf(spark, _vcf_text(spark, d, "rec % 2 = 0")))
+    return _read(vcf.read_vcf(spark, _vcf_text(spark, d)))
 
 
-@query("src_02", "SELECT 'AD,DP,GT,SRC' AS columns, count(*) AS n FROM v_callset WHERE rec % 50 = 0")
+@query("src_02", "SELECT 'AD,DP,GT,SRC' AS columns, count(*) AS n FROM v_callset")
 def src_02(spark, d):
-    path = _vcf_text(spark, d, "rec % 50 = 0")
+    path = _vcf_text(spark, d)
     info, form = vcf.header_fields(spark, path)
     return vcf.read_vcf(spark, path, info, form).agg(F.lit(",".join(sorted([*info, *form]))).alias("columns"), F.count("*").alias("n"))
 
@@ -59,7 +59,7 @@ def src_02(spark, d):
 @query("src_05", _READ)
 def src_05(spark, d):
     to = scratch(spark, "calls") + ".parquet"
-    vcf.vcf_to_parquet(spark, _vcf_text(spark, d, "rec % 2 = 0"), to)
+    vcf.vcf_to_parquet(spark, _vcf_text(spark, d), to)
     return _read(vcf.read_vcf(spark, to))
 
 
@@ -196,7 +196,7 @@ def sc_23(spark, d):
 
 @query("sc_24", "SELECT key, CASE WHEN key % 2 = 0 THEN 'First one. Second two!' ELSE 'word word word word' END AS text FROM v_lead")
 def sc_24(spark, d):
-    text = F.when(F.col("key") % 2 == 0, "First one. Second two! Third is far too long.").otherwise("word word word word word word")
+    text = F.when(F.col("key") % 2 == 0, "First one.  Second\n two! Third is far too long.").otherwise("word word word word word word")
     return B.lead(spark, d).select("key", T.trimmed(text, 22).alias("text"))
 
 
@@ -279,11 +279,20 @@ def ag_26(spark, d):
     return U.table_delta(before, before.filter("weight > 0").drop("gene").withColumn("tier", F.lit("")))
 
 
-@query("mart_13", "SELECT (SELECT count(*) FROM v_lead) AS rows_before, (SELECT count(*) FROM v_lead) AS rows_after, '' AS added, '' AS removed")
+@query("mart_13", "SELECT (SELECT count(*) FROM v_lead) AS rows_before, (SELECT count(*) FROM v_lead) AS rows_after, '' AS added, '' AS removed, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained")
 def mart_13(spark, d):
-    """A table written and read back keeps its rows and columns."""
+    """A table written and read back keeps its rows, columns and contents."""
     before = B.lead(spark, d)
-    return U.table_delta(before, tables.write_table(before, scratch(spark, "round-trip")))
+    after = tables.write_table(before, scratch(spark, "round-trip"))
+    return U.table_delta(before, after).crossJoin(U.content_delta(before, after))  # one row each
+
+
+@query("mart_13_changed", "SELECT count(*) FILTER (key % 4 = 0) + count(*) FILTER (key % 9 = 0 AND key % 4 <> 0) AS lost, count(*) FILTER (key % 4 = 0 AND key % 9 <> 0) AS gained FROM v_lead")
+def mart_13_changed(spark, d):
+    """Two releases: the later one has other weights for some rows and lacks others."""
+    before = B.lead(spark, d)
+    after = before.filter("key % 9 <> 0").withColumn("weight", F.when(F.col("key") % 4 == 0, F.col("weight") + 100).otherwise(F.col("weight")))
+    return U.content_delta(before, after)
 
 
 @query("wn_02", "SELECT gene, min(key) AS key FROM v_lead GROUP BY gene")
@@ -335,12 +344,12 @@ def st_06(spark, d):
     return B.lead(spark, d).select("rsid", "gene").unionByName(extra)
 
 
-@query("mart_06", "WITH k AS (SELECT *, concat('rs', record_id) AS rsid FROM v_clinvar WHERE sig LIKE 'Patho%' AND stars >= 1 AND regexp_full_match(alt, '[ACGT]+') AND ref <> alt), g AS (SELECT rsid, gene, unnest(CASE WHEN chrom IN ('Y', 'MT') THEN [''] ELSE [concat(least(ref, alt), '/', greatest(ref, alt)), concat(alt, '/', alt)] END) AS genotype FROM k) SELECT gene, count(*) AS rows_, count(DISTINCT rsid) AS variants FROM g GROUP BY gene")
+@query("mart_06", "WITH k AS (SELECT *, concat('rs', record_id) AS rsid FROM v_clinvar WHERE sig LIKE 'Patho%' AND stars >= 1 AND regexp_full_match(alt, '[ACGT]+') AND ref <> alt AND upper(gene) IN ('BRAND#2', 'BRAND#7', 'BRAND#11', 'BRAND#19')), g AS (SELECT rsid, gene, unnest(CASE WHEN chrom IN ('Y', 'MT') THEN [''] ELSE [concat(least(ref, alt), '/', greatest(ref, alt)), concat(alt, '/', alt)] END) AS genotype FROM k) SELECT gene, count(*) AS rows_, count(DISTINCT rsid) AS variants FROM g GROUP BY gene")
 def mart_06(spark, d):
-    """A gene panel: pathogenic records of enough stars and fit alleles, with their genotypes filled."""
+    """A gene panel: pathogenic records of its genes, of enough stars and fit alleles, with their genotypes filled."""
     info = F.col("info")
     records = B.clinvar(spark, d).filter(T.has_pathogenic(T.info_value(info, "CLNSIG")) & (F.col("stars") >= 1) & G.allele_rejection(F.col("ref"), F.col("alt")).isNull())
-    panel = records.select("gene").distinct()
+    panel = spark.createDataFrame([(g,) for g in ("Brand#2", "brand#7", "BRAND#11", "Brand#19", "unknown")], "gene string")
     chosen = J.members_of_panel(records.withColumn("genes", F.array("gene")), panel).withColumns({"rsid": T.first_rs(info), "genotype": F.lit("")})
     return U.fill_genotypes(chosen).groupBy("gene").agg(F.count("*").alias("rows_"), F.countDistinct("rsid").alias("variants"))
 
@@ -370,6 +379,17 @@ def mart_09(spark, d):
     return done.select("key", "variant_key", "chrom", "start", F.array_join("genotype", ",").alias("genotype"), F.array_join("alts", ";").alias("alts"))
 
 
+@query("mart_09_studies", f"WITH s AS (SELECT CASE WHEN rsid IS NULL THEN concat('rs', CAST((start - 1) / 97 AS BIGINT)) ELSE rsid END AS variant_key, start, conclusion, pmid FROM v_studies), r AS (SELECT variant_key, conclusion, unnest([CAST(CAST(pmid AS BIGINT) + 10000 AS VARCHAR), CAST(CAST(pmid AS BIGINT) + 20000 AS VARCHAR)]) AS pmid FROM s) SELECT variant_key, pmid, min(conclusion) AS conclusion FROM r GROUP BY ALL")
+def mart_09_studies(spark, d):
+    """Authored studies, some by rsID and some by place, with several article numbers in a cell, compiled by variant."""
+    n = lambda by: (F.col("pmid").cast("bigint") + by).cast("string")
+    authored = B.studies(spark, d).select(
+        "rsid", F.when(F.col("rsid").isNull(), F.col("chrom")).alias("chrom"), F.when(F.col("rsid").isNull(), F.col("start")).alias("start"), "ref", "conclusion",
+        F.concat(F.lit("PMID: "), n(10000), F.lit("; PMID "), n(20000)).alias("pmid"),
+    )
+    return U.compile_studies(authored, B.reference(spark, d))
+
+
 @query("mart_09_annotations", "SELECT rsid AS variant_key, genotype, state AS conclusion, gene, category FROM v_text")
 def mart_09_annotations(spark, d):
     rows = B.lead_text(spark, d).withColumns({"conclusion": F.col("state"), "phenotype": F.lit(None).cast("string")})

@@ -10,7 +10,7 @@ from ..operators import aggregates as A
 from ..operators import curate as U
 from ..operators import filters as L
 from ..operators import joins as J
-from ..sources import tables
+from ..sources import tables, vcf
 from ..sources.scratch import scratch
 from . import base as B
 from .base import query
@@ -89,9 +89,9 @@ def src_07(spark, d):
     return spark.sql("SELECT CAST(chrom AS STRING) AS chrom, count(*) AS n, sum(score) AS score FROM whole_reference GROUP BY chrom")
 
 
-@query("src_08", "SELECT r.chrom, count(*) AS n FROM v_reference r WHERE r.chrom IN (SELECT chrom FROM v_lead WHERE key % 2 = 0 AND chrom IN ('1', '2', 'X')) GROUP BY r.chrom")
+@query("src_08", "SELECT r.chrom, count(*) AS n FROM v_reference r WHERE r.chrom IN (SELECT chrom FROM v_calls WHERE dp >= 40 AND contains(alt, '|') AND ref = 'A' AND sample = 3) GROUP BY r.chrom")
 def src_08(spark, d):
-    needed = B.lead(spark, d).filter("key % 2 = 0").select("chrom").filter(F.col("chrom").isin("1", "2", "X")).distinct()
+    needed = B.calls(spark, d).filter("dp >= 40 AND contains(alt, '|') AND ref = 'A' AND sample = 3").select("chrom").distinct()
     chroms = [r["chrom"] for r in needed.collect()]  # as many rows as there are contigs at most
     found = tables.reference_view(spark, _reference_folder(spark, d), "needed_reference", chroms)
     return found.groupBy(F.col("chrom").cast("string").alias("chrom")).agg(F.count("*").alias("n"))
@@ -103,9 +103,9 @@ def src_09(spark, d):
     return J.annotate_by_reference(B.calls(spark, d).filter("chrom = 'MT'"), other).select("chrom", "start", "id")
 
 
-@query("src_15", "SELECT chrom, start, ref, alt FROM v_reference WHERE score > 1000")
+@query("src_15", "SELECT chrom, start, ref, alt FROM v_reference WHERE score > 950")
 def src_15(spark, d):
-    return B.reference(spark, d).filter("score > 1000").select("chrom", "start", "ref", "alt")
+    return B.reference(spark, d).filter("score > 950").select("chrom", "start", "ref", "alt")
 
 
 @query("jn_11", "WITH a AS (SELECT key, gene, category FROM v_lead UNION ALL SELECT key, concat(gene, 'x'), category FROM v_lead WHERE key % 2 = 0) SELECT l.key, l.weight, x.gene, x.category FROM v_lead l JOIN (SELECT key, min(gene) AS gene, min(category) AS category FROM a GROUP BY key) x ON l.key = x.key")
@@ -308,28 +308,57 @@ def st_04(spark, d):
     return B.lead(spark, d).select("rsid").intersect(B.studies(spark, d).select("rsid")).agg(F.count("*").alias("common"))
 
 
-@query("mart_01", """WITH c AS (SELECT count(*) AS written, count(module) AS matched FROM v_annotated), """ + _BY_RSID[5:].rstrip() + """, r AS (SELECT count(*) AS written, count(module) AS matched FROM j)
-  SELECT 'core' AS module, 'position' AS strategy, 'ok' AS kind, written, matched FROM c UNION ALL SELECT 'ids', 'rsid', 'ok', written, matched FROM r UNION ALL SELECT 'diplotypes', 'unsupported', 'skipped', 0, 0""")
+_OUTCOMES = """WITH c AS (SELECT count(*) AS written, count(module) AS matched FROM v_annotated), """ + _BY_RSID[5:].rstrip() + """, r AS (SELECT count(*) AS written, count(module) AS matched FROM j),
+  few AS (SELECT count(*) AS written, count(l.chrom) AS matched FROM v_calls c LEFT JOIN (SELECT * FROM v_lead WHERE state = 'risk') l ON c.chrom = l.chrom AND c.start = l.start AND c.genotype = l.genotype
+    WHERE (l.ref IS NULL OR l.ref = c.ref) AND EXISTS (SELECT 1 FROM v_lead p WHERE p.state = 'risk' AND p.chrom = c.chrom AND p.start = c.start)),
+  o AS (SELECT 'core' AS module, 'position' AS strategy, 'ok' AS kind, NULL AS reason, written, matched FROM c UNION ALL SELECT 'risks', 'position', 'ok', NULL, written, matched FROM few
+    UNION ALL SELECT 'ids', 'rsid', 'ok', NULL, written, matched FROM r UNION ALL SELECT 'diplotypes', 'unsupported', 'skipped', 'no way to join', 0, 0
+    UNION ALL SELECT 'lost', NULL, 'failed', 'PATH_NOT_FOUND', 0, 0 UNION ALL SELECT 'broken', NULL, 'failed', 'ValueError', 0, 0) """
+
+
+def _outcomes(spark, d):
+    """Outcomes of a run over six modules: two by position, one by rsID, one without a way to join, one whose table is missing, one that raises."""
+    lead = B.lead(spark, d)
+
+    def broken():
+        raise ValueError("not a table")
+
+    readers = {
+        "core": lambda: lead, "risks": lambda: lead.filter("state = 'risk'"), "ids": lambda: lead.withColumns({"chrom": F.lit(None).cast("string"), "start": F.lit(None).cast("long")}),
+        "diplotypes": lambda: lead.select("module", "gene"), "lost": lambda: tables.module_table(spark, scratch(spark, "missing")), "broken": broken,
+    }
+    return J.annotate_with_modules(B.calls(spark, d), readers)
+
+
+def manifest(spark, d):
+    """The run's outcomes written as JSON and read back."""
+    return tables.manifest(_outcomes(spark, d), scratch(spark, "manifest"))
+
+
+@query("mart_01", _OUTCOMES + "SELECT * FROM o")
 def mart_01(spark, d):
-    """All modules by the strategy that fits each; one that has none is recorded as skipped and stops no other."""
-    calls, lead = B.calls(spark, d), B.lead(spark, d)
-    modules = {"core": lead, "ids": lead.withColumns({"chrom": F.lit(None).cast("string"), "start": F.lit(None).cast("long")}), "diplotypes": lead.select("module", "gene")}
-    outcomes = None
-    for name, module in modules.items():
-        strategy = J.join_strategy(module).select("strategy")
-        by = strategy.first()["strategy"]  # one row of a small table
-        if by == "unsupported":
-            one = strategy.select(F.lit(name).alias("module"), "strategy", F.lit("skipped").alias("kind"), F.lit(0).cast("long").alias("written"), F.lit(0).cast("long").alias("matched"))
-        else:
-            joined = J.annotate_by_position(calls, module, "m") if by == "position" else J.annotate_by_rsid(calls, module, "m")
-            one = A.written_and_matched(joined).select(F.lit(name).alias("module"), F.lit(by).alias("strategy"), F.lit("ok").alias("kind"), "written", "matched")
-        outcomes = one if outcomes is None else outcomes.unionByName(one)
-    return outcomes
-
-
-@query("ag_25", "SELECT CAST(sum(written) AS BIGINT) AS written, CAST(sum(matched) AS BIGINT) AS matched FROM (SELECT count(*) AS written, count(module) AS matched FROM v_annotated)")
+    """All modules by the strategy that fits each; one that has none, or that raises, is recorded and stops no other."""
+    return _outcomes(spark, d)
+
+
+@query("snk_07", _OUTCOMES + "SELECT module, kind, written, matched FROM o")
+def snk_07(spark, d):
+    return manifest(spark, d).select("module", "kind", "written", "matched")
+
+
+@query("ag_15", _OUTCOMES + "SELECT module, kind, reason, substr(md5(concat_ws(':', module, kind, reason)), 1, 12) AS digest FROM o WHERE kind <> 'ok'")
+def ag_15(spark, d):
+    """The modules of a run that gave nothing, from its manifest."""
+    digest = F.substring(F.md5(F.concat_ws(":", "module", "kind", "reason")), 1, 12)
+    return manifest(spark, d).filter("kind <> 'ok'").select("module", "kind", "reason", digest.alias("digest"))
+
+
+@query("ag_25", _OUTCOMES + ", " + _UNION[5:].rstrip() + " SELECT module, CAST(written AS BIGINT) AS written, CAST(matched AS BIGINT) AS matched, CASE WHEN module = 'core' THEN (SELECT count(*) FROM both_ WHERE genotype_evidence = 'restored_hom_ref') ELSE 0 END AS restored FROM o WHERE kind = 'ok'")
 def ag_25(spark, d):
-    return A.written_and_matched(J.annotate_by_position(B.calls(spark, d), B.lead(spark, d), "core")).agg(F.sum("written").alias("written"), F.sum("matched").alias("matched"))
+    """Totals of a run by module: rows written, matched and restored."""
+    restored = _union(spark, d).filter("genotype_evidence = 'restored_hom_ref'").agg(F.count("*").alias("restored")).withColumn("module", F.lit("core"))
+    totals = manifest(spark, d).filter("kind = 'ok'").groupBy("module").agg(F.sum("written").alias("written"), F.sum("matched").alias("matched"))
+    return totals.join(restored, "module", "left").select("module", "written", "matched", F.coalesce("restored", F.lit(0)).alias("restored"))
 
 
 @query("mart_04", "SELECT r.chrom, count(*) AS calls, count(x.id) AS found FROM v_calls r LEFT JOIN v_reference x ON r.chrom = x.chrom AND r.start = x.start AND r.ref = x.ref AND r.alt = x.alt GROUP BY r.chrom")
@@ -337,6 +366,14 @@ def mart_04(spark, d):
     return J.annotate_by_reference(B.calls(spark, d), B.reference(spark, d)).groupBy("chrom").agg(F.count("*").alias("calls"), F.count("id").alias("found"))
 
 
-@query("mart_05", _WIDE)
+@query("mart_05", _WIDE.replace("WITH s AS (SELECT DISTINCT chrom, start, ref, alt FROM v_calls)", "WITH s AS (SELECT sample, chrom, start, ref, alt FROM v_calls)").replace("SELECT s.*,", ", w AS (SELECT s.*,") .replace("GROUP BY ALL) , w", "GROUP BY ALL), w") + ") SELECT sample, count(*) AS n, CAST(sum(start) AS BIGINT) AS places, count(n_id) AS named, count(m_score) AS scored, round(sum(m_score), 2) AS score FROM w GROUP BY sample")
 def mart_05(spark, d):
-    return jn_12(spark, d)
+    """Every sample's calls with all modules' columns, exported as VCF text in a folder of its own and read back."""
+    ref, on = B.reference(spark, d), ["chrom", "start", "ref", "alt"]
+    wide = J.wide_export(B.calls(spark, d).select("sample", *on), {"m": ref.filter("score < 1200").select(*on, "score"), "n": ref.select(*on, "id")}, on)
+    path = scratch(spark, "sample-exports")
+    vcf.write_sample_vcfs(wide, path)
+    back = vcf.read_vcf(spark, path, {"m_score": "double", "n_id": "string"}, {}, keep=["sample"])
+    return back.groupBy(F.col("sample").cast("long").alias("sample")).agg(
+        F.count("*").alias("n"), F.sum("start").alias("places"), F.count("n_id").alias("named"), F.count("m_score").alias("scored"), F.round(F.sum("m_score"), 2).alias("score")
+    )

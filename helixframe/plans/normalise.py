@@ -334,7 +334,7 @@ _GAPS = "WITH s AS (SELECT DISTINCT chrom, start FROM v_sites), g AS (SELECT *,
 
 @query("ag_05", _GAPS + "SELECT CAST(sum(covered) AS BIGINT) AS covered, CAST(sum(span) AS BIGINT) AS span, CAST(sum(covered) AS DOUBLE) / CAST(sum(span) AS DOUBLE) AS breadth FROM per")
 def ag_05(spark, d):
-    return A.coverage_breadth(B.sites(spark, d), B.FLANK)
+    return A.coverage_breadth(B.sites(spark, d), B.FLANK).select("covered", "span", "breadth")
 
 
 @query("ag_06", "SELECT chrom, start, count(DISTINCT ref) AS refs FROM (SELECT chrom, start, ref FROM v_lead UNION ALL SELECT chrom, start, ref FROM v_reference) GROUP BY ALL HAVING count(DISTINCT ref) > 1")
@@ -356,9 +356,9 @@ def wn_01(spark, d):
     return A.gaps(B.sites(spark, d))
 
 
-@query("so_01", "SELECT DISTINCT chrom, start FROM v_sites")
+@query("so_01", "SELECT DISTINCT chrom, start FROM v_sites ORDER BY chrom, start")
 def so_01(spark, d):
-    return B.sites(spark, d).distinct()
+    return B.sites(spark, d).distinct().orderBy("chrom", "start")
 
 
 @query("ag_24", "SELECT sample, count(*) AS before, count(*) FILTER (filter IN ('PASS', '.', '') AND dp >= 10 AND qual >= 20) AS after, count(*) FILTER (NOT (filter IN ('PASS', '.', '') AND dp >= 10 AND qual >= 20)) AS removed FROM v_callset GROUP BY sample")

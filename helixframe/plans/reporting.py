@@ -72,25 +72,6 @@ def ag_14(spark, d):
     return A.credits(rows)
 
 
-@query("ag_15", "SELECT concat('module', s_suppkey) AS module, CASE WHEN s_suppkey % 3 = 1 THEN 'skipped' ELSE 'failed' END AS kind, CASE WHEN s_suppkey % 3 = 1 THEN 'no join' ELSE 'no table' END AS reason, substr(md5(s_name), 1, 12) AS digest FROM supplier WHERE s_suppkey % 3 <> 0")
-def ag_15(spark, d):
-    k = F.col("s_suppkey") % 3
-    outcomes = B.table(spark, d, "supplier").select(
-        F.concat(F.lit("module"), F.col("s_suppkey").cast("string")).alias("module"), F.when(k == 0, "ok").when(k == 1, "skipped").otherwise("failed").alias("kind"),
-        F.when(k == 1, "no join").when(k == 2, "no table").alias("reason"), F.substring(F.md5("s_name"), 1, 12).alias("digest"),
-    )
-    return outcomes.filter("kind <> 'ok'")
-
-
-@query("snk_07", "SELECT module, kind, count(*) AS n FROM (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'skipped' ELSE 'failed' END AS kind, concat('m', s_nationkey) AS module FROM supplier) GROUP BY ALL")
-def snk_07(spark, d):
-    k = F.col("s_suppkey") % 3
-    outcomes = B.table(spark, d, "supplier").select(F.concat(F.lit("m"), F.col("s_nationkey").cast("string")).alias("module"), F.when(k == 0, "ok").when(k == 1, "skipped").otherwise("failed").alias("kind"))
-    path = scratch(spark, "manifest")
-    tables.write_manifest(outcomes, path)
-    return spark.read.schema(outcomes.schema).json(path).groupBy("module", "kind").agg(F.count("*").alias("n"))
-
-
 @query("ag_17", "SELECT DISTINCT gene FROM v_clinvar WHERE sig LIKE 'Patho%' AND stars >= 3 ORDER BY gene")
 def ag_17(spark, d):
     from ..functions.literature import has_pathogenic, info_value
@@ -135,14 +116,18 @@ def so_04(spark, d):
     return A.by_drug(_drugs(spark, d)).orderBy(F.desc("best_rank"), F.desc("n"), "drug").select("drug", "best_rank", "n")
 
 
-@query("so_05", "SELECT key, gene, weight FROM v_lead WHERE weight > 0 ORDER BY gene, weight DESC, key")
+@query("so_05", "SELECT CAST((n - 1) // 40 AS INT) AS page, key, gene, weight FROM (SELECT *, row_number() OVER (ORDER BY gene, weight DESC, key) AS n FROM v_lead WHERE weight > 0) WHERE n <= 120")
 def so_05(spark, d):
-    return B.lead(spark, d).filter("weight > 0").select("key", "gene", "weight").orderBy("gene", F.desc("weight"), "key")
+    """A filtered and sorted view, written once; its first pages are all read from what was written."""
+    order = ["gene", F.desc("weight"), "key"]
+    view = tables.sorted_view(B.lead(spark, d).filter("weight > 0").select("key", "gene", "weight"), scratch(spark, "view"), *order)
+    pages = [tables.page(view, order, 40 * i, 40).withColumn("page", F.lit(i)) for i in range(3)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
 
 
-@query("so_06", "SELECT key, gene FROM v_lead ORDER BY weight DESC, key LIMIT 50 OFFSET 100")
+@query("so_06", "SELECT key, gene, (SELECT count(*) FROM v_lead) AS total FROM v_lead ORDER BY weight DESC, key LIMIT 50 OFFSET 100")
 def so_06(spark, d):
-    return B.lead(spark, d).orderBy(F.desc("weight"), "key").offset(100).limit(50).select("key", "gene")
+    return tables.page(B.lead(spark, d), [F.desc("weight"), "key"], 100, 50, total=True).select("key", "gene", "total")
 
 
 @query("wn_05", "SELECT row_number() OVER (ORDER BY weight DESC, key) - 1 AS row_index, key FROM v_lead ORDER BY 1 LIMIT 50 OFFSET 100")
@@ -208,7 +193,7 @@ def ag_27(spark, d):
 
 @query("ag_28", _SCORES + "SELECT a.sample, a.pgs_id, a.score, round(CAST(count(*) FILTER (b.score <= a.score) AS DOUBLE) / count(*), 6) AS percentile FROM f a JOIN f b ON a.pgs_id = b.pgs_id GROUP BY ALL")
 def ag_28(spark, d):
-    scores = _scores(spark, d).select("sample", "pgs_id", "score")
+    scores = tables.write_table(_scores(spark, d).select("sample", "pgs_id", "score"), scratch(spark, "scores"))  # read three times
     return A.percentiles(scores, scores.select("pgs_id", "score"))
 
 

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; under a folder of this machine only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scratch-")
+    """A new path under spark.checkpoint.dir, else under the context's checkpoint folder; under a folder of this machine only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="scratch-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -56,5 +56,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*[F.array_join(c, ";").alias(c) if kinds[c].startswith("array") else F.col(c) for c in df.columns]).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
-def write_manifest(outcomes: DataFrame, path: str) -> None:
+def manifest(outcomes: DataFrame, path: str) -> DataFrame:
+    """A run's outcomes as JSON, and read back."""
     outcomes.write.mode("overwrite").json(path)
+    return outcomes.sparkSession.read.schema(outcomes.schema).json(path)
+
+
+def sorted_view(df: DataFrame, path: str, *order: Column | str) -> DataFrame:
+    """df sorted and written once, for pages to be read from; read back."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def page(df: DataFrame, order: list[Column | str], offset: int, limit: int, total: bool = False) -> DataFrame:
+    """A slice of df by order; with total the number of all rows beside each."""
+    rows = df.orderBy(*order).offset(offset).limit(limit)
+    return rows.crossJoin(df.agg(F.count("*").alias("total"))) if total else rows  # one row

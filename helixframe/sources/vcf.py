@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,24 +10,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.genotypes import genotype_from_gt
+from .scratch import scratch
 
 CORE = ["chrom", "start", "end", "rsid", "ref", "alt", "qual", "filter"]
 #: INFO names that are left out by default: they repeat other columns.
 NOT_READ = ["END"]
 _TYPES = {"Integer": "int", "Float": "float", "Flag": "boolean"}
-_HEADER = r'^##(INFO|FORMAT)=<ID=([^,>]+),Number=([^,>]+),Type=([^,>]+)'
+_HEADER = re.compile(r"##(INFO|FORMAT)=<ID=([^,>]+),Number=([^,>]+),Type=([^,>]+)")
+
+
+def header_lines(spark: SparkSession, path: str) -> list[str]:
+    """The lines from a VCF's start up to its first record: of the first file of the path, by name, that begins with '#'. Nothing after them is read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    files, listed = [], fs.listFiles(root, True)
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() and not f.getPath().getName().startswith(("_", ".")):
+            files.append(f.getPath())
+    for file in sorted(files, key=lambda p: p.toString()):
+        codec, raw = codecs.getCodec(file), fs.open(file)
+        stream = codec.createInputStream(raw) if codec else raw
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        try:
+            lines = []
+            while (line := reader.readLine()) is not None and line.startswith("#"):
+                lines.append(line)
+        finally:
+            reader.close()
+        if lines:
+            return lines
+    return []
 
 
 def header_fields(spark: SparkSession, path: str) -> tuple[dict[str, str], dict[str, str]]:
-    """INFO and FORMAT columns with their types, from the header's lines; a name in both stays with INFO. The header is a few hundred lines."""
-    lines = spark.read.text(path).filter(F.col("value").startswith("##INFO=") | F.col("value").startswith("##FORMAT="))
-    parts = [F.regexp_extract("value", _HEADER, i).alias(c) for i, c in enumerate(("section", "id", "number", "kind"), 1)]
+    """INFO and FORMAT columns with their types, from the header's lines alone; a name in both stays with INFO."""
     info: dict[str, str] = {}
     form: dict[str, str] = {}
-    for r in lines.select(*parts).distinct().collect():
-        kind = _TYPES.get(r["kind"], "string")
-        single = r["number"] in ("0", "1") or kind == "string"
-        (info if r["section"] == "INFO" else form)[r["id"]] = kind if single else f"array<{kind}>"
+    for line in header_lines(spark, path):
+        if found := _HEADER.match(line):
+            section, name, number, kind = found.groups()
+            kind = _TYPES.get(kind, "string")
+            single = number in ("0", "1") or kind == "string"
+            (info if section == "INFO" else form)[name] = kind if single else f"array<{kind}>"
     return {k: v for k, v in info.items() if k not in NOT_READ}, {k: v for k, v in form.items() if k not in info}
 
 
@@ -37,11 +65,11 @@ def _typed(text: Column, kind: str) -> Column:
     return known if kind == "string" else known.try_cast(kind)
 
 
-def read_vcf(spark: SparkSession, path: str, info: dict[str, str] | None = None, formats: dict[str, str] | None = None, genotype: bool = True, tasks: int | None = None) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, info: dict[str, str] | None = None, formats: dict[str, str] | None = None, genotype: bool = True, tasks: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """One row for each record of VCF text (plain or .gz), or a Parquet copy as it is.
 
     FILTER '.' becomes '', an ID '.' null, several alternates are apart by '|'. formats: FORMAT columns of the first sample, {} for none. A .gz file is one task; tasks
-    deals its rows out after the read.
+    deals its rows out after the read. keep: columns of the folder's own partitions that stay.
     """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
@@ -60,7 +88,7 @@ def read_vcf(spark: SparkSession, path: str, info: dict[str, str] | None = None,
         f[0].alias("chrom"), f[1].cast("bigint").alias("start"), (f[1].cast("bigint") + F.length(f[3])).alias("end"), F.nullif(f[2], F.lit(".")).alias("rsid"),
         f[3].alias("ref"), F.replace(f[4], F.lit(","), F.lit("|")).alias("alt"), f[5].try_cast("double").alias("qual"), F.when(f[6] == ".", "").otherwise(f[6]).alias("filter"),
         *[(flag(n) if k == "boolean" else _typed(in_info(n), k)).alias(n) for n, k in info.items()],
-        *[_typed(at(n), k).alias(n) for n, k in formats.items()],
+        *[_typed(at(n), k).alias(n) for n, k in formats.items()], *keep,
     ]
     df = lines.select(*columns)
     if genotype and "GT" in formats:
@@ -91,8 +119,8 @@ def info_type(kind: T.DataType) -> str:
     return "Float" if isinstance(kind, T.FractionalType) else "Flag" if isinstance(kind, T.BooleanType) else "String"
 
 
-def vcf_lines(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(chrom, start, line) of each row; empty fields are filled as VCF wants them."""
+def vcf_lines(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(chrom, start, line) of each row, and its columns keep; empty fields are filled as VCF wants them."""
     fields = annotation_columns(df, columns)
     kinds = dict(zip(df.columns, (f.dataType for f in df.schema.fields), strict=True))
     text = lambda c: F.array_join(c, ",") if isinstance(kinds[c], T.ArrayType) else F.regexp_replace(F.col(c).cast("string"), r"[;\s=]", "_")
@@ -100,14 +128,31 @@ def vcf_lines(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     or_dot = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(".")) if c in df.columns else F.lit(".")
     info = F.concat_ws(";", *entries) if entries else F.lit("")
     line = F.concat_ws("\t", or_dot("chrom"), or_dot("start"), or_dot("rsid"), or_dot("ref"), F.replace(or_dot("alt"), F.lit("|"), F.lit(",")), or_dot("qual"), or_dot("filter"), F.coalesce(F.nullif(info, F.lit("")), F.lit(".")))
-    return df.select("chrom", "start", line.alias("line"))
+    return df.select(*keep, "chrom", "start", line.alias("line"))
 
 
-def write_vcf(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
-    """VCF text in order of chrom and start, range-partitioned; the header stands in the first part."""
+def _head(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     kinds = {f.name: info_type(f.dataType) for f in df.schema.fields}
-    head = ["##fileformat=VCFv4.2", *(f'##INFO=<ID={c},Number={0 if kinds[c] == "Flag" else "." if kinds[c] == "String" else 1},Type={kinds[c]},Description="{c}">' for c in annotation_columns(df, columns)), "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
+    return ["##fileformat=VCFv4.2", *(f'##INFO=<ID={c},Number={0 if kinds[c] == "Flag" else "." if kinds[c] == "String" else 1},Type={kinds[c]},Description="{c}">' for c in annotation_columns(df, columns)), "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
+
+
+def write_vcf(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
+    """VCF text in order of chrom and start, range-partitioned; the header stands in the first part. df is computed once, before the sort samples it."""
+    spark = df.sparkSession
+    header = spark.createDataFrame([("", i, line) for i, line in enumerate(_head(df, columns))], "chrom string, start long, line string")
+    done = scratch(spark, "lines")
+    vcf_lines(df, columns).withColumn("start", F.col("start").cast("long")).write.option("compression", "zstd").parquet(done)
+    rows = header.unionByName(spark.read.schema(header.schema).parquet(done))
+    rows.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start").select("line").write.mode("overwrite").text(path)
+
+
+def write_sample_vcfs(df: DataFrame, path: str, sample: str = "sample", columns: Sequence[str] | None = None) -> None:
+    """VCF text of each sample in a folder of its own, sample=..., with its header; a sample's records are dealt to files by contig."""
     spark = df.sparkSession
-    header = spark.createDataFrame([("", i, line) for i, line in enumerate(head)], "chrom string, start long, line string")
-    rows = header.unionByName(vcf_lines(df, columns).withColumn("start", F.col("start").cast("long")))
-    rows.repartitionByRange("chrom", "start", "line").sortWithinPartitions("chrom", "start", "line").select("line").write.mode("overwrite").text(path)
+    fields = [c for c in annotation_columns(df, columns) if c != sample]
+    head = spark.createDataFrame([(i, line) for i, line in enumerate(_head(df, fields))], "start long, line string").withColumn("chrom", F.lit(""))
+    lines = df.select(F.col(sample), *[F.col(c) for c in df.columns if c != sample])
+    body = vcf_lines(lines, fields, keep=[sample]).withColumn("start", F.col("start").cast("long"))
+    headers = df.select(sample).distinct().join(F.broadcast(head))  # a header's lines for each sample
+    rows = body.unionByName(headers.select(*body.columns)).withColumn("part", F.when(F.col("chrom") == "", F.lit("")).otherwise(F.col("chrom")))
+    rows.repartition(sample, "part").sortWithinPartitions(sample, "chrom", "start").select(sample, "line").write.mode("overwrite").partitionBy(sample).text(path)

@@ -70,6 +70,8 @@ def test_article_ids(spark):
 
 def test_trimmed(spark):
     rows = [("One. Two. Three.",), ("a" * 30,), ("many words in a row",), ("short",), (None,)]
+    spaced = [("One.\n Two.  Three is long.",), ("  many   words  ",)]
+    assert values(spark, spaced, "t string", T.trimmed(F.col("t"), 10)) == ["One. Two.", "many words"]
     assert values(spark, rows, "t string", T.trimmed(F.col("t"), 10)) == ["One. Two.", "a" * 10, "many words", "short", None]
 
 

@@ -56,3 +56,27 @@ def test_stream_takes_new_files_only(spark, tmp_path):
     written(f"{drop}/bob", "two.vcf")
     arrivals.annotate_arrivals(spark, drop, lead, "m", out, done).awaitTermination()
     assert sorted(r["sample"] for r in spark.read.parquet(out).collect()) == ["ann/one", "bob/two"]
+
+
+def test_header_is_read_up_to_the_first_record(spark, tmp_path):
+    path = written(tmp_path / "folder", "part-00001.vcf", TEXT + "##INFO=<ID=LATE,Number=1,Type=String,Description=\"x\">\n")
+    written(tmp_path / "folder", "part-00000.vcf", "")
+    written(tmp_path / "folder", "part-00002.vcf", "chr9\t1\t.\tA\tC\t.\t.\t.\tGT\t0/1\n")
+    for place in (path, str(tmp_path / "folder")):
+        assert vcf.header_lines(spark, place) == TEXT.splitlines()[:7]
+        info, formats = vcf.header_fields(spark, place)
+        assert info == {"DP": "int", "DB": "boolean"} and formats == {"GT": "string", "AD": "array<int>"}
+    import gzip
+
+    with gzip.open(tmp_path / "z.vcf.gz", "wt") as f:
+        f.write(TEXT)
+    assert vcf.header_lines(spark, str(tmp_path / "z.vcf.gz")) == TEXT.splitlines()[:7]
+    assert vcf.header_lines(spark, written(tmp_path / "none", "x.vcf", "chr9\t1\n")) == []
+
+
+def test_sample_exports(spark, tmp_path):
+    df = spark.createDataFrame([(1, "1", 5, "A", "G", 1.5), (2, "1", 7, "A", "C", None), (2, "2", 3, "C", "T", 2.5)], "sample long, chrom string, start long, ref string, alt string, weight double")
+    vcf.write_sample_vcfs(df, str(tmp_path / "out"))
+    assert vcf.header_lines(spark, str(tmp_path / "out" / "sample=2"))[-1].startswith("#CHROM")
+    back = vcf.read_vcf(spark, str(tmp_path / "out"), {"weight": "double"}, {}, keep=["sample"])
+    assert sorted(map(str, back.select("sample", "chrom", "start", "ref", "alt", "weight").collect())) == sorted(map(str, df.withColumn("sample", df["sample"].cast("int")).collect()))
