@@ -88,7 +88,8 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     discard(found)
     discard(lines)
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("d_text"))
-    marked = whole.join(gone, F.col("doc.doc_id").eqNullSafe(F.col("g_id")) & (F.col("d_text") == F.col("g_text")), "left")
+    # one way at every size: documents with removed lines grow with the documents
+    marked = whole.join(gone.hint("merge"), F.col("doc.doc_id").eqNullSafe(F.col("g_id")) & (F.col("d_text") == F.col("g_text")), "left")
     split = F.split("doc.text", "\n")
     text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(without(split, F.col("removed")))
     return marked.select("doc", text.alias("text"), F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"))
