@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytestext as bt
-from .shared import stash, table
+from .shared import short_batches, stash, table
 
 K = 3
 SLIP, MIN_COVER = 3, 0.6
@@ -107,6 +107,7 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str]], base:
 def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each row of docs."""
     spark = docs.sparkSession
+    short_batches(spark)
     texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     rolled = texts.select("doc_id", "row", F.col("text").cast("binary").alias("bytes"), rolling("text").alias("g"))
     grams = rolled.select("doc_id", "row", "bytes", F.col("g.a").alias("a"), F.col("g.b").alias("b"), F.posexplode("g.h").alias("pos", "h"))

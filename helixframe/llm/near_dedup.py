@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytestext as bt
-from .shared import discard, stash, table
+from .shared import discard, short_batches, stash, table
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 SLOTS, BITS, CHUNK = 64, 16, 4
@@ -291,6 +291,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs, which has doc_id and text."""
+    short_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     known = stash(docs.select("doc_id", describe("text").alias("d")).select("doc_id", "d.*"), "signatures")
     classes = known.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import bytestext as bt
 from .segments import encoder
-from .shared import stash, table
+from .shared import short_batches, stash, table
 from .token_files import vocabulary
 
 SIZE, END = 2048, 0
@@ -222,6 +222,7 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces of docs, which has doc_id and text."""
+    short_batches(docs.sparkSession)
     cut = docs.select("doc_id", cut_pieces(path, size, end)("text").alias("pieces"))
     cut = cut.select("doc_id", F.posexplode("pieces").alias("piece", "p"), F.col("pieces")[0]["length"].alias("head"))
     start = F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.col("head") + (F.col("piece") - 1) * size).cast("long")

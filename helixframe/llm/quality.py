@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytestext as bt
-from .shared import discard, stash, table
+from .shared import discard, short_batches, stash, table
 
 KEEP_FROM = 0.3
 TO_POOLED, TO_DIAGONAL, RIDGE = 0.15, 0.05, 1e-3
@@ -44,6 +44,8 @@ _IN = {
     "white": ~bt.SOLID,
 }
 STATISTICS = 16
+#: Bytes of text looked at together.
+CHUNK = 1 << 18
 
 
 def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -54,7 +56,7 @@ def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 def statistics(texts: pa.Array) -> Iterator[np.ndarray]:
     """Chunk by chunk, a row of STATISTICS numbers for each text."""
-    for _, _, flat, offsets in bt.chunks(texts):
+    for _, _, flat, offsets in bt.chunks(texts, CHUNK):
         n = len(offsets) - 1
         kinds = np.bincount(np.repeat(np.arange(n) * 256, np.diff(offsets)) + flat, minlength=n * 256).reshape(n, 256)
         of = {k: kinds[:, m].sum(axis=1) for k, m in _IN.items()}
@@ -189,6 +191,7 @@ def fit(described: DataFrame, labels: DataFrame) -> Model | float:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of docs, which has doc_id and text."""
+    short_batches(docs.sparkSession)
     described = stash(docs.select("doc_id", describe("text").alias("x")), "statistics")
     model = fit(described, labels.select("doc_id", "quality"))
     if isinstance(model, float):
@@ -206,6 +209,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score at least KEEP_FROM, each by its own text: one pass that neither joins nor shuffles them, after the fit's own."""
+    short_batches(docs.sparkSession)
     described = stash(docs.select("doc_id", describe("text").alias("x")), "statistics")
     model = fit(described, labels.select("doc_id", "quality"))
     discard(described)

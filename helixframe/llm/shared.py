@@ -45,6 +45,16 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's rows of an Arrow batch to this many, for jobs that send whole texts to Python: ten thousand of them are a large piece of memory at once."""
+    now = int(spark.conf.get(BATCH_ROWS))
+    if not 0 < now <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

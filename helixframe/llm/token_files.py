@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import bytestext as bt
 from .segments import encoder
-from .shared import partitions, stash, stash_path, table
+from .shared import partitions, short_batches, stash, stash_path, table
 
 END = 2
 #: A block ends with the document that brings it to so many ids.
@@ -134,6 +134,7 @@ _BLOCKS = "part int, inside long, doc_ids array<long>, counts array<int>, n long
 def write_files(docs: DataFrame, path: str, end: int = END) -> tuple[str, list[int]]:
     """Encode all texts and write the files. Returns the files' path and the ids by rank."""
     spark = docs.sparkSession
+    short_batches(spark)
     size, parts = width(path, end), partitions(spark)
     texts = docs.select("doc_id", token_ids(path, end)("text").alias("ids"), F.monotonically_increasing_id().alias("row"))
     tokens = stash(texts.select("doc_id", "row", F.xxhash64("ids").alias("h"), F.length("ids").alias("size"), "ids"), "ids")
