@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, knn_join, license_scan, line_dedup, near_dedup, packing, quality, sampled_pieces, token_files, url_rules
+from . import ann, knn_join, license_scan, line_dedup, near_dedup, packing, quality, sampled_pieces, substring_dedup, token_files, url_rules
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filters": url_rules.op10_url_filters,
+    "op12_substring_dedup": substring_dedup.op12_substring_dedup,
 }
 ORACLE_SQL = {
     "op2_license_scans": license_scan.ORACLE_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op9_near_dedup": near_dedup.ORACLE_SQL,
     "op10_url_filters": url_rules.ORACLE_SQL,
+    "op12_substring_dedup": substring_dedup.ORACLE_SQL,
 }
