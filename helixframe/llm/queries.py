@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, knn_join, license_scan, line_dedup, near_dedup, packing, period_runs, quality, sampled_pieces, substring_dedup, token_files, url_rules
+from . import ann, conversation_repair, knn_join, license_scan, line_dedup, near_dedup, packing, period_runs, quality, sampled_pieces, substring_dedup, token_files, url_rules
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filters": url_rules.op10_url_filters,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_substring_dedup": substring_dedup.op12_substring_dedup,
     "op13_period_runs": period_runs.op13_period_runs,
 }

@@ -1,17 +1,18 @@
 """Substring dedup by a count-min prefilter.
 
-A window is WINDOW consecutive words of one text, compared by 128 bits of hashes. The first pass counts every window of
-every text in count-min sketches, one a task: ROWS rows of two-bit counters that stop at 3. The sketches travel as compressed blocks and
-are merged by addition that stops at 3 as well, so that a merged counter is never below the smaller of 3 and the number of a window's places. The
-second pass reads the texts again and keeps the windows whose smallest counter is 2 or more: all repeated ones, and few others. They
-alone are grouped exactly:
+A window is WINDOW consecutive words of one text, compared by 96 bits of hashes. The first pass counts every window of
+every text in count-min sketches, one a task: ROWS rows of two-bit counters that stop at 3. The sketches travel in blocks, as the gaps between the
+counters in use, and are merged by addition that stops at 3 as well, so that a merged counter is never below the smaller of 3 and the number of a
+window's places. The second pass reads the texts again and keeps the windows whose smallest counter is 2 or more: all repeated ones, and few others.
+They alone are grouped exactly:
 1. inside a task each window's places are sorted by document. Places beyond the task's smallest document of that window are decided at
    once, so that a window that a third of all documents share leaves a task as one document's places and not as a third of all rows;
-2. what is left meets in one shuffle by window, and a running minimum over the documents decides it.
+2. what is left is dealt by hash to shards of some million windows at most, in one shuffle of compressed columns. A shard's windows meet in memory,
+   are sorted by window and document, and all places beyond a window's smallest document are decided.
 Decided places travel as stretches of consecutive windows, and each text is put together again from the words outside them.
 
-The sketch's width follows the number of windows, up to MOST_CELLS counters a row (64 MB), which is what makes it fit to be broadcast: up
-to about 2.5 * 10^8 distinct windows it leaves out nine of ten that aren't repeated. Beyond that it leaves out less and less, and the
+The sketch's width follows the number of windows, up to MOST_CELLS counters a row (64 MB in all), which is what makes it fit to be broadcast: at
+10^8 distinct windows it still leaves out two of three that aren't repeated. Beyond that it leaves out less and less, and the
 exact grouping, which needs no sketch to be right, has more to do: one shuffle of all windows, spread by their hashes.
 
 Cases: a null text has no words; a text of fewer than WINDOW words has no window and stays whole; a null doc_id counts as
@@ -29,19 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytestext as bt
-from .shared import discard, short_batches, stash, table
+from .shared import partitions, short_batches, stash, table
 
 WINDOW = 13
-#: Rows of the sketch; its counters a row at least and at most; counters to a distinct window that are wanted; bytes of a block, of four counters each.
-ROWS, LEAST_CELLS, MOST_CELLS, ROOMY, BLOCK = 2, 1 << 22, 1 << 28, 2, 1 << 20
-#: Counters or windows that a task gathers before it passes them on.
-GATHERED = 1 << 22
-#: Bytes of text to a word, for the sketch's width only.
+#: Rows of the sketch; its counters a row at least and at most; counters a row to a window that are wanted; counters of a block.
+ROWS, LEAST_CELLS, MOST_CELLS, ROOMY, BLOCK = 2, 1 << 22, 1 << 27, 2, 1 << 22
+#: Windows that a task counts, and those that it keeps, before it passes them on; windows of a shard at most, were all of them kept.
+COUNTED, KEPT, SHARD = 1 << 22, 1 << 19, 1 << 22
+#: Bytes of text to a word, for the sketch's width and the number of shards only.
 WORD_BYTES = 6
 SMALLEST = -(1 << 63)
 
@@ -64,57 +65,70 @@ def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return (bt.mix(hashes, 11 + row) >> np.uint64(20)) & np.uint64(width - 1)
 
 
-def _blocks(found: list[np.ndarray], row: int, width: int) -> Iterator[tuple[int, bytes]]:
-    """Compressed blocks of a sketch's row in which the counters found are counted."""
-    at, times = np.unique(np.concatenate(found), return_counts=True)
-    value = np.minimum(times, 3).astype(np.uint8) << (2 * (at & np.uint32(3))).astype(np.uint8)
-    place = (at >> np.uint32(2)).astype(np.int64)
-    new = np.flatnonzero(np.diff(place, prepend=-1))
-    value, place = np.bitwise_or.reduceat(value, new), place[new]
-    edges = np.searchsorted(place, np.arange(0, width // 4 + BLOCK, BLOCK))
-    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        if b > a:
-            block = np.zeros(min(BLOCK, width // 4), dtype=np.uint8)
-            block[place[a:b] - i * BLOCK] = value[a:b]
-            yield row * (width // 4 // BLOCK + 1) + i, zlib.compress(block, 1)
+def gaps(at: np.ndarray) -> bytes:
+    """Ascending numbers as bytes: each one's distance from the last, 255 standing for so much and going on."""
+    apart = np.diff(at, prepend=0)
+    more = apart // 255
+    out = np.full(int(more.sum()) + len(at), 255, dtype=np.uint8)
+    out[np.cumsum(more + 1) - 1] = apart % 255
+    return out.tobytes()
 
 
-def _of_blocks(blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.int32()), pa.array([x[1] for x in blocks], pa.binary())], ["block", "counters"])
+def of_gaps(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, dtype=np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+
+
+def counted(at: np.ndarray) -> np.ndarray:
+    """A block in which the counters at the ascending numbers are counted, four to a byte."""
+    new = np.flatnonzero(np.diff(at, prepend=-1))
+    times, at = np.minimum(np.diff(np.append(new, len(at))), 3), at[new]
+    value = times.astype(np.uint8) << (2 * (at & 3)).astype(np.uint8)
+    first = np.flatnonzero(np.diff(at >> 2, prepend=-1))
+    block = np.zeros(BLOCK // 4, dtype=np.uint8)
+    if len(first):
+        block[at[first] >> 2] = np.bitwise_or.reduceat(value, first)
+    return block
+
+
+def _of_blocks(number: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([data], pa.binary())], ["block", "counters"])
 
 
 def sketch_of(docs: DataFrame, width: int) -> DataFrame:
-    """(block, counters) of the merged sketch of all windows."""
+    """(block, counters) of the merged sketch of all windows, the counters compressed."""
+
+    def passed_on(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for row in range(ROWS):
+            at = np.sort(np.concatenate(found[row])).astype(np.int64)
+            edges = np.searchsorted(at, np.arange(0, width + 1, BLOCK))
+            for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if b > a:
+                    yield _of_blocks(row * (width // BLOCK) + i, gaps(at[a:b] - i * BLOCK))
+            found[row].clear()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
         n = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for row in range(ROWS):
-                for block in _blocks(found[row], row, width):
-                    yield _of_blocks([block])
-                found[row].clear()
-
         for batch in batches:
             for _, _, hashes, _, _, _ in windows(batch.column(0)):
                 for row in range(ROWS):
                     found[row].append(cells(hashes, row, width).astype(np.uint32))
                 n += len(hashes)
-                if n >= GATHERED:
-                    yield from out()
+                if n >= COUNTED:
+                    yield from passed_on(found)
                     n = 0
         if n:
-            yield from out()
+            yield from passed_on(found)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counters in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                more = np.frombuffer(zlib.decompress(counters.as_buffer()), dtype=np.uint8)
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                more = counted(of_gaps(data.as_buffer()))
                 sums[block] = ADDED[(sums[block].astype(np.uint16) << np.uint16(8)) | more] if block in sums else more
         for block, counters in sums.items():
-            yield _of_blocks([(block, zlib.compress(counters, 1))])
+            yield _of_blocks(block, zlib.compress(counters, 1))
 
     kind = "block int, counters binary"
     # a task holds the blocks that are dealt to it once each, however many tasks have counted
@@ -130,8 +144,8 @@ def counters_of(sketch, name: str, width: int) -> list[np.ndarray]:
         _counters.clear()
         rows = [np.zeros(width // 4, dtype=np.uint8) for _ in range(ROWS)]
         for number, counters in sketch.value:
-            row, i = divmod(number, width // 4 // BLOCK + 1)
-            rows[row][i * BLOCK : (i + 1) * BLOCK] = np.frombuffer(zlib.decompress(counters), dtype=np.uint8)
+            row, i = divmod(number, width // BLOCK)
+            rows[row][i * (BLOCK // 4) : (i + 1) * (BLOCK // 4)] = np.frombuffer(zlib.decompress(counters), dtype=np.uint8)
         _counters[name] = rows
     return _counters[name]
 
@@ -144,44 +158,96 @@ def estimate(rows: list[np.ndarray], hashes: np.ndarray, width: int) -> np.ndarr
     return least
 
 
-def _stretches(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
-    """doc, tag, first position and length of the stretches of consecutive positions."""
-    order = np.lexsort((pos, tag, doc))
-    doc, tag, pos = doc[order], tag[order], pos[order]
-    new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] - pos[:-1] > 1)
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(doc)) - 1
-    return [doc[at], tag[at], pos[at], pos[last] - pos[at] + 1] if len(doc) else [doc, tag, pos, pos]
+def _planes(x: np.ndarray) -> bytes:
+    """An array byte by byte of its numbers, the first bytes of all of them together: so like bytes meet."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+#: What a shard gets of a task: windows still open by ascending hash (the gaps, 32 more bits, document, position), decided stretches
+#: (document, first position, length), and the documents that both name (doc, tag).
+_COLUMNS = [[np.uint64, np.uint32, np.uint32, np.uint32], [np.uint32, np.uint32, np.uint32], [np.int64, np.int64]]
 
 
-PLACES = "a long, b long, doc long, tag long, pos int, n int"
+def pack(tables: list[list[np.ndarray]]) -> bytes:
+    sizes = np.array([len(t[0]) for t in tables], dtype=np.int64).tobytes()
+    return zlib.compress(sizes + b"".join(_planes(np.ascontiguousarray(x, dtype=k)) for t, kinds in zip(tables, _COLUMNS, strict=True) for x, k in zip(t, kinds, strict=True)), 1)
 
 
-def _places(a: np.ndarray | None, b: np.ndarray | None, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(doc), pa.int64())
-    hashes = [none if x is None else pa.array(x.view(np.int64)) for x in (a, b)]
-    return pa.RecordBatch.from_arrays([*hashes, pa.array(doc), pa.array(tag), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], ["a", "b", "doc", "tag", "pos", "n"])
+def unpack(data: bytes) -> list[list[np.ndarray]]:
+    flat = np.frombuffer(zlib.decompress(data), dtype=np.uint8)
+    at, tables = 8 * len(_COLUMNS), []
+    for n, kinds in zip(flat[:at].view(np.int64).tolist(), _COLUMNS, strict=True):
+        table = []
+        for kind in kinds:
+            wide = np.dtype(kind).itemsize
+            table.append(np.ascontiguousarray(flat[at : at + n * wide].reshape(wide, n).T).view(kind).ravel())
+            at += n * wide
+        tables.append(table)
+    return tables
 
 
-def _settle(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Gathered windows: those that a smaller document gathered too has are decided (no hashes), the others keep their hashes."""
-    a, b, doc, tag, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+def _settled(a: np.ndarray, b: np.ndarray, doc: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which places stand beyond their window's smallest document, and all columns, both by window and document."""
     order = np.lexsort((doc, b, a))
-    a, b, doc, tag, pos = a[order], b[order], doc[order], tag[order], pos[order]
+    columns = [x[order] for x in (a, b, doc, *more)]
+    a, b, doc = columns[:3]
     new = np.ones(len(a), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     at = np.flatnonzero(new)
-    least = np.repeat(doc[at], np.diff(np.append(at, len(a))))
-    gone, rest = np.flatnonzero(doc > least), np.flatnonzero(doc == least)
-    yield _places(None, None, *_stretches(doc[gone], tag[gone], pos[gone]))
-    for i in range(0, len(rest), 100_000):
-        k = rest[i : i + 100_000]
-        yield _places(a[k], b[k], doc[k], tag[k], pos[k], np.ones(len(k)))
+    return doc > np.repeat(doc[at], np.diff(np.append(at, len(a)))), columns
 
 
-def repeated_places(docs: DataFrame, sketch, width: int) -> DataFrame:
-    """PLACES of (doc, tag, text) rows' windows that the sketch estimates repeated; a and b are null where the task has decided already."""
+def _stretches(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """doc, tag, first position and length of stretches, those that touch as one."""
+    order = np.lexsort((pos, tag, doc))
+    doc, tag, pos, n = doc[order], tag[order], pos[order], n[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] > pos[:-1] + n[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(doc)) - 1
+    return [doc[at], tag[at], pos[at], pos[last] + n[last] - pos[at]] if len(doc) else [doc, tag, pos, n]
+
+
+def _dealt(found: list[tuple[np.ndarray, ...]], shards: int) -> Iterator[pa.RecordBatch]:
+    """Kept windows for each shard: those that a smaller document gathered too has are decided, the others stay open."""
+    gone, (a, b, doc, tag, pos) = _settled(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    decided = _stretches(doc[gone], tag[gone], pos[gone], np.ones(int(gone.sum()), dtype=np.int64))
+    a, b, doc, tag, pos = (x[~gone] for x in (a, b, doc, tag, pos))
+    of_open = ((a >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)  # ascends with a
+    of_decided = decided[0] % shards
+    order = np.argsort(of_decided, kind="stable")
+    of_decided, decided = of_decided[order], [x[order] for x in decided]
+    opens, closed = (np.searchsorted(x, np.arange(shards + 1)) for x in (of_open, of_decided))
+    for k in np.flatnonzero((np.diff(opens) > 0) | (np.diff(closed) > 0)).tolist():
+        i, j = slice(opens[k], opens[k + 1]), slice(closed[k], closed[k + 1])
+        docs, names = np.unique(np.stack([np.concatenate([doc[i], decided[0][j]]), np.concatenate([tag[i], decided[1][j]])], axis=1), axis=0, return_inverse=True)
+        names, n = names.ravel(), i.stop - i.start
+        data = pack([[np.diff(a[i], prepend=np.uint64(0)), b[i], names[:n], pos[i]], [names[n:], decided[2][j], decided[3][j]], [docs[:, 0], docs[:, 1]]])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["shard", "data"])
+
+
+def _joined(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The decided stretches of a shard, by document."""
+    opened, decided = [], []
+    for data in parts:
+        (a, b, names, pos), (own, first, n), (doc, tag) = unpack(data)
+        opened.append((np.cumsum(a), b, doc[names], tag[names], pos.astype(np.int64)))
+        decided.append((doc[own], tag[own], first.astype(np.int64), n.astype(np.int64)))
+    gone, (_, _, doc, tag, pos) = _settled(*(np.concatenate(x) for x in zip(*opened, strict=True)))
+    decided.append((doc[gone], tag[gone], pos[gone], np.ones(int(gone.sum()), dtype=np.int64)))
+    doc, tag, pos, n = _stretches(*(np.concatenate(x) for x in zip(*decided, strict=True)))
+    if not len(doc):
+        return
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+    at = np.flatnonzero(new)
+    spans = pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], names=["pos", "n"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), spans)
+    yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(tag[at]), lists], ["doc", "tag", "spans"])
+
+
+def kept_windows(docs: DataFrame, sketch, width: int, shards: int) -> DataFrame:
+    """(shard, data) of the windows of (doc, tag, text) rows that the sketch estimates repeated."""
     name = uuid.uuid4().hex
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,15 +259,35 @@ def repeated_places(docs: DataFrame, sketch, width: int) -> DataFrame:
             for first, end, a, b, pos, counts in windows(batch.column(2)):
                 kept = np.flatnonzero(estimate(rows, a, width) >= 2)
                 of = np.repeat(np.arange(first, end), counts)[kept]
-                found.append((a[kept], b[kept], doc[of], tag[of], pos[kept]))
+                found.append((a[kept], (b[kept] >> np.uint64(32)).astype(np.uint32), doc[of], tag[of], pos[kept]))
                 n += len(kept)
-                if n >= GATHERED // 2:
-                    yield from _settle(found)
+                if n >= KEPT:
+                    yield from _dealt(found, shards)
                     found, n = [], 0
         if n:
-            yield from _settle(found)
+            yield from _dealt(found, shards)
+
+    return docs.select("doc", "tag", "text").mapInArrow(look, "shard int, data binary")
+
+
+def grouped(kept: DataFrame, shards: int) -> DataFrame:
+    """(doc, tag, spans) of the places beyond their window's smallest document, some rows to a text."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[bytes] = []
+        now = None
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if shard != now and parts:
+                    yield from _joined(parts)
+                    parts = []
+                now = shard
+                parts.append(data.as_py())
+        if parts:
+            yield from _joined(parts)
 
-    return docs.select("doc", "tag", "text").mapInArrow(look, PLACES)
+    dealt = kept.repartition(min(shards, 2 * partitions(kept.sparkSession)), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(solve, "doc long, tag long, spans array<struct<pos int, n int>>")
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -222,13 +308,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     while width < min(MOST_CELLS, ROOMY * size // WORD_BYTES):
         width *= 2
     sketch = spark.sparkContext.broadcast([tuple(x) for x in sketch_of(docs, width).collect()])
-    found = stash(repeated_places(named, sketch, width), "windows")
-    sketch.unpersist()
-    by_window = Window.partitionBy("a", "b").orderBy("doc")
-    undecided = found.filter("a IS NOT NULL").withColumn("least", F.min("doc").over(by_window)).filter("doc > least")
-    gone = found.filter("a IS NULL").select("doc", "tag", "pos", "n").unionByName(undecided.select("doc", "tag", "pos", "n"))
-    out = stash(gone.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "n")).alias("spans")), "repeats")
-    discard(found)
+    shards = max(partitions(spark), size // WORD_BYTES // SHARD + 1)
+    found = grouped(kept_windows(named, sketch, width, shards), shards)
+    out = stash(found.groupBy("doc", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeats")
+    sketch.destroy()
     return out
 
 
