@@ -51,12 +51,12 @@ def matched_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col(first_present(df, "module", "conclusion", "state", "weight")).isNotNull())
 
 
-def hom_ref_rows(lead: DataFrame) -> DataFrame:
-    """Lead rows at one unambiguous place whose genotype is the reference allele throughout."""
+def hom_ref_rows(lead: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Lead rows at one unambiguous place whose genotype is the reference allele throughout. by: columns that tell leads apart."""
     once = F.coalesce(F.col("locus_count"), F.lit(1)) <= 1 if "locus_count" in lead.columns else F.lit(True)
     placed = lead.filter("chrom IS NOT NULL AND start IS NOT NULL AND ref IS NOT NULL").filter(once)
     whole = placed.filter((F.size("genotype") > 0) & F.forall("genotype", lambda g: g == F.col("ref")))
-    return whole.join(ambiguous_loci(lead), ["chrom", "start"], "left_anti")
+    return whole.join(ambiguous_loci(lead, by), ["chrom", "start", *by], "left_anti")
 
 
 def restored(lead: DataFrame, called: DataFrame, most: int) -> DataFrame:

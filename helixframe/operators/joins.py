@@ -6,8 +6,7 @@ broadcasts what is below its threshold and splits hot keys of sort-merge joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,62 +55,23 @@ def matched_at_positions(calls: DataFrame, lead: DataFrame, suffix: str, by: Seq
     return joined.select(*calls.columns, *by, *[F.col("__hit").getField(c).alias(f"{c}_{suffix}" if c in calls.columns else c) for c in rest])
 
 
-def read_modules(readers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """The modules' tables that can be opened, and why the others can't: a module that raises stops no other."""
-    tables, reasons = {}, {}
-    for name, read in readers.items():
-        try:
-            tables[name] = read()
-        except Exception as e:  # whatever a module's source raises is its outcome
-            condition = getattr(e, "getCondition", lambda: None)()
-            reasons[name] = condition or type(e).__name__
-    return tables, reasons
-
-
-def annotate_with_modules(calls: DataFrame, readers: dict[str, Callable[[], DataFrame]]) -> DataFrame:
-    """(module, strategy, kind, reason, written, matched) of every module: ok, skipped where no strategy fits, failed where it can't be read.
-
-    Modules of one strategy are one table with the module's name as a column, so that the calls are joined once a strategy.
-    """
-    spark = calls.sparkSession
-    tables, reasons = read_modules(readers)
-    outcomes = [(n, None, "failed", r) for n, r in reasons.items()]
-    by_strategy: dict[str, list[tuple[str, DataFrame]]] = {"position": [], "rsid": []}
-    for name, lead in tables.items():
-        try:
-            strategy = join_strategy(lead).first()["strategy"]  # one row of a curated table
-        except Exception as e:
-            outcomes.append((name, None, "failed", getattr(e, "getCondition", lambda: None)() or type(e).__name__))
-            continue
-        outcomes.append((name, strategy, "skipped" if strategy == "unsupported" else "ok", "no way to join" if strategy == "unsupported" else None))
-        if strategy != "unsupported":
-            by_strategy[strategy].append((name, lead))
-    counts = spark.createDataFrame([], "module string, written long, matched long")
-    slim = lambda n, t, keys: t.select(*keys, "genotype", t["ref"] if "ref" in t.columns else F.lit(None).cast("string").alias("ref")).withColumns({"job": F.lit(n), "found": F.lit(True)})
-    count = lambda df: df.groupBy(F.col("job").alias("module")).agg(F.count("*").alias("written"), F.count("found").alias("matched"))
-    if found := by_strategy["position"]:
-        leads = reduce(DataFrame.unionByName, [slim(n, t, ["chrom", "start"]) for n, t in found])
-        joined = matched_at_positions(calls.select("chrom", "start", "genotype", "ref"), leads, "m", ["job"])
-        counts = counts.unionByName(count(joined.filter("ref_m IS NULL OR ref_m = ref")))
-    if found := by_strategy["rsid"]:
-        leads = reduce(DataFrame.unionByName, [slim(n, t, ["rsid"]).drop("ref") for n, t in found])
-        nested = leads.groupBy("rsid", "job").agg(F.collect_list(F.struct("genotype", "found")).alias("__rows"))
-        keyed = calls.select("genotype", F.explode(F.split("rsid", ";")).alias("rsid")).join(nested, "rsid")
-        hits = F.filter("__rows", lambda r: r["genotype"] == F.col("genotype"))
-        counts = counts.unionByName(count(keyed.select("job", F.explode_outer(hits).alias("h")).select("job", "h.found")))
-    known = spark.createDataFrame(outcomes, "module string, strategy string, kind string, reason string")
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("written", "matched")]
-    return known.join(counts, "module", "left").select("module", "strategy", "kind", "reason", *zero)
-
-
 def contradicted(calls: DataFrame, lead: DataFrame) -> DataFrame:
     """How many joined rows the ref check discards, in one row."""
     joined = suffix_join(at_positions(calls, lead), lead, ["chrom", "start", "genotype"], "m")
     return joined.agg(F.count_if(F.col("ref_m").isNotNull() & (F.col("ref_m") != F.col("ref"))).alias("discarded"))
 
 
+class NoIdentifiers(ValueError):
+    """A callset without rsIDs can't be joined by them."""
+
+
 def annotate_by_rsid(calls: DataFrame, lead: DataFrame, module: str) -> DataFrame:
-    """Calls one of whose identifiers (apart by ';') the lead has, with its columns where the genotype is equal too."""
+    """Calls one of whose identifiers (apart by ';') the lead has, with its columns where the genotype is equal too.
+
+    Raises NoIdentifiers where no call has an rsID, which a read up to the first that has one tells.
+    """
+    if calls.filter(F.col("rsid").startswith("rs")).isEmpty():
+        raise NoIdentifiers("no call has an rsID")
     keyed = calls.withColumn("__rs", F.explode_outer(F.split("rsid", ";")))
     wanted = lead.select(F.col("rsid").alias("__rs")).distinct()
     side = lead.withColumnRenamed("rsid", "__rs")
@@ -138,9 +98,10 @@ def absent_sites(candidates: DataFrame, called: DataFrame) -> DataFrame:
     return candidates.join(called.select("chrom", "start"), ["chrom", "start"], "left_anti")
 
 
-def ambiguous_loci(lead: DataFrame) -> DataFrame:
-    """Positions spelled with more than one ref."""
-    return lead.filter("chrom IS NOT NULL AND start IS NOT NULL").groupBy("chrom", "start").agg(F.countDistinct("ref").alias("refs")).filter("refs > 1").select("chrom", "start")
+def ambiguous_loci(lead: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Positions spelled with more than one ref, of each lead that the columns by tell apart."""
+    keys = ["chrom", "start", *by]
+    return lead.filter("chrom IS NOT NULL AND start IS NOT NULL").groupBy(*keys).agg(F.countDistinct("ref").alias("refs")).filter("refs > 1").select(*keys)
 
 
 def nearest_within(candidates: DataFrame, sites: DataFrame, most: int) -> DataFrame:

@@ -83,7 +83,7 @@ def lead_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     a, b = base_at(key), base_at(key + 1)
     weight = (F.col("p_size") - 25) / F.lit(10.0)
-    return table(spark, sf_dir, "part").filter(key % 3 == 0).select(
+    return table(spark, sf_dir, "part").select(
         contig_of(key, "MT").alias("chrom"), (key * 97 + 1).alias("start"), F.concat(F.lit("rs"), key.cast("string")).alias("rsid"),
         F.when(key % 30 == 0, "TT").otherwise(base_at(key)).alias("ref"),
         F.when(key % 2 == 0, F.concat_ws("/", F.least(a, b), F.greatest(a, b))).when(key % 7 == 0, F.concat_ws("|", b, a)).when(key % 5 == 0, F.concat_ws("/", a, a)).otherwise(F.concat_ws("|", a, b)).alias("genotype"),
@@ -156,7 +156,7 @@ VIEWS = {
       CASE WHEN p_partkey % 2 = 0 THEN concat(least({_A}, {_B}), '/', greatest({_A}, {_B})) WHEN p_partkey % 7 = 0 THEN concat({_B}, '|', {_A})
            WHEN p_partkey % 5 = 0 THEN concat({_A}, '/', {_A}) ELSE concat({_A}, '|', {_B}) END AS genotype,
       CAST(p_size - 25 AS DOUBLE) / CAST(10 AS DOUBLE) AS weight, CASE WHEN p_size > 25 THEN 'protective' WHEN p_size < 25 THEN 'risk' ELSE 'neutral' END AS state,
-      p_brand AS gene, p_type AS category, 'core' AS module, p_partkey AS key FROM part WHERE p_partkey % 3 = 0""",
+      p_brand AS gene, p_type AS category, 'core' AS module, p_partkey AS key FROM part""",
     "v_lead": "SELECT * REPLACE (list_filter(regexp_split_to_array(genotype, '[/|]'), lambda x: length(x) > 0) AS genotype) FROM v_text",
     "v_sites": "SELECT CAST(user_id % 20 AS VARCHAR) AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS start FROM events",
     "v_reference": f"SELECT {_CONTIG.format('p_partkey', 'MT')} AS chrom, p_partkey * 97 + 1 AS start, concat('rs', p_partkey) AS id, {_A} AS ref, {_B} AS alt, p_retailprice AS score FROM part",

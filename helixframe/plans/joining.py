@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import curate as U
 from ..operators import filters as L
 from ..operators import joins as J
+from ..operators import runs as R
 from ..sources import tables, vcf
 from ..sources.scratch import scratch
 from . import base as B
@@ -216,9 +217,10 @@ def jn_21(spark, d):
     return found.agg(F.count("hit").alias("matched"), F.count("*").alias("total")).withColumn("rate", F.round(F.col("matched") / F.col("total"), 6))
 
 
-@query("jn_22", "SELECT c.sample, c.start, l.weight FROM v_calls c JOIN v_lead l ON c.rsid = l.rsid WHERE l.key % 7 = 0")
+@query("jn_22", "SELECT c.sample, c.start, l.weight FROM v_calls c JOIN v_lead l ON c.rsid = l.rsid WHERE l.gene = 'Brand#3' AND l.state = 'risk'")
 def jn_22(spark, d):
-    few = B.lead(spark, d).filter("key % 7 = 0").select("rsid", "weight")
+    """The calls of a small list: the risks of one gene."""
+    few = B.lead(spark, d).filter("gene = 'Brand#3' AND state = 'risk'").select("rsid", "weight")
     return B.calls(spark, d).join(few, "rsid").select("sample", "start", "weight")
 
 
@@ -308,42 +310,77 @@ def st_04(spark, d):
     return B.lead(spark, d).select("rsid").intersect(B.studies(spark, d).select("rsid")).agg(F.count("*").alias("common"))
 
 
-_OUTCOMES = """WITH c AS (SELECT count(*) AS written, count(module) AS matched FROM v_annotated), """ + _BY_RSID[5:].rstrip() + """, r AS (SELECT count(*) AS written, count(module) AS matched FROM j),
+#: A run's callset counts as a whole genome from so many sites on; the tables here are small.
+RUN_SITES = 100
+
+_ENABLED = f"""gaps AS (SELECT chrom, start, start - lag(start) OVER (PARTITION BY chrom ORDER BY start) AS gap FROM (SELECT DISTINCT chrom, start FROM v_calls WHERE regexp_full_match(chrom, '[0-9]+|X|Y|MT'))),
+  spans AS (SELECT count(*) AS n, sum(least(gap, {2 * B.FLANK})) AS covered, max(start) - min(start) AS span FROM gaps GROUP BY chrom),
+  facts AS (SELECT coalesce(sum(n), 0) >= {RUN_SITES} AND CASE WHEN sum(span) > 0 THEN sum(covered) / sum(span) ELSE 0 END >= {A.LEAST_BREADTH}
+    AND NOT (SELECT coalesce(bool_or(contains(alt, 'NON_REF') OR contains(filter, 'RefCall')), false) FROM v_calls) AS enabled FROM spans)"""
+_OUTCOMES = f"""WITH {_ENABLED}, c AS (SELECT count(*) AS written, count(module) AS matched FROM v_annotated), """ + _BY_RSID[5:].rstrip() + f""", r AS (SELECT count(*) AS written, count(module) AS matched FROM j),
   few AS (SELECT count(*) AS written, count(l.chrom) AS matched FROM v_calls c LEFT JOIN (SELECT * FROM v_lead WHERE state = 'risk') l ON c.chrom = l.chrom AND c.start = l.start AND c.genotype = l.genotype
     WHERE (l.ref IS NULL OR l.ref = c.ref) AND EXISTS (SELECT 1 FROM v_lead p WHERE p.state = 'risk' AND p.chrom = c.chrom AND p.start = c.start)),
-  o AS (SELECT 'core' AS module, 'position' AS strategy, 'ok' AS kind, NULL AS reason, written, matched FROM c UNION ALL SELECT 'risks', 'position', 'ok', NULL, written, matched FROM few
-    UNION ALL SELECT 'ids', 'rsid', 'ok', NULL, written, matched FROM r UNION ALL SELECT 'diplotypes', 'unsupported', 'skipped', 'no way to join', 0, 0
-    UNION ALL SELECT 'lost', NULL, 'failed', 'PATH_NOT_FOUND', 0, 0 UNION ALL SELECT 'broken', NULL, 'failed', 'ValueError', 0, 0) """
-
-
-def _outcomes(spark, d):
-    """Outcomes of a run over six modules: two by position, one by rsID, one without a way to join, one whose table is missing, one that raises."""
+  hom_ref AS (SELECT * FROM v_lead WHERE len(genotype) > 0 AND len(list_filter(genotype, lambda g: g <> ref)) = 0 AND (SELECT enabled FROM facts)),
+  restored AS (SELECT h.key, h.state, h.chrom, h.start, min(abs(h.start - c.start)) AS flank FROM hom_ref h JOIN (SELECT DISTINCT chrom, start FROM v_calls) c ON h.chrom = c.chrom GROUP BY ALL HAVING min(abs(h.start - c.start)) BETWEEN 1 AND {B.FLANK}),
+  n AS (SELECT count(*) AS every, count(*) FILTER (state = 'risk') AS risks FROM restored),
+  o AS (SELECT 'core' AS module, 'position' AS strategy, 'ok' AS kind, NULL AS reason, written, matched, every AS restored FROM c, n UNION ALL SELECT 'typed', 'position', 'ok', NULL, written, matched, every FROM c, n
+    UNION ALL SELECT 'risks', 'position', 'ok', NULL, written, matched, risks FROM few, n
+    UNION ALL SELECT 'ids', 'rsid', 'ok', NULL, written, matched, 0 FROM r UNION ALL SELECT 'diplotypes', 'unsupported', 'skipped', 'no way to join', 0, 0, 0
+    UNION ALL SELECT 'lost', NULL, 'failed', 'PATH_NOT_FOUND', 0, 0, 0 UNION ALL SELECT 'broken', NULL, 'failed', 'ValueError', 0, 0, 0
+    UNION ALL SELECT 'numbered', NULL, 'failed', 'TypeError', 0, 0, 0 UNION ALL SELECT 'corrupt', NULL, 'failed', 'FAILED_READ_FILE.CANNOT_READ_FILE_FOOTER', 0, 0, 0) """
+
+
+def _run(spark, d):
+    """A run over nine modules: three by position, one of them with genotypes as text, one by rsID, one without a way to join; tables that are missing, that raise, with keys
+    of the wrong kind, and of files that aren't Parquet. Returns the folder and the outcomes."""
     lead = B.lead(spark, d)
 
     def broken():
         raise ValueError("not a table")
 
+    def corrupt():
+        path = scratch(spark, "corrupt")
+        B.table(spark, d, "nation").select("n_name").write.text(path)
+        return spark.read.schema(lead.schema).option("pathGlobFilter", "*.txt").parquet(path)
+
     readers = {
-        "core": lambda: lead, "risks": lambda: lead.filter("state = 'risk'"), "ids": lambda: lead.withColumns({"chrom": F.lit(None).cast("string"), "start": F.lit(None).cast("long")}),
+        "core": lambda: lead, "typed": lambda: B.lead_text(spark, d), "risks": lambda: lead.filter("state = 'risk'"),
+        "ids": lambda: lead.withColumns({"chrom": F.lit(None).cast("string"), "start": F.lit(None).cast("long")}),
         "diplotypes": lambda: lead.select("module", "gene"), "lost": lambda: tables.module_table(spark, scratch(spark, "missing")), "broken": broken,
+        "numbered": lambda: lead.withColumn("genotype", F.lit(1)), "corrupt": corrupt,
     }
-    return J.annotate_with_modules(B.calls(spark, d), readers)
+    calls, to = B.calls(spark, d), scratch(spark, "run")
+    return to, R.annotate_run(calls, readers, to, B.FLANK, R.context_of(calls, B.FLANK, RUN_SITES))
 
 
 def manifest(spark, d):
     """The run's outcomes written as JSON and read back."""
-    return tables.manifest(_outcomes(spark, d), scratch(spark, "manifest"))
+    return tables.manifest(_run(spark, d)[1], scratch(spark, "manifest"))
 
 
-@query("mart_01", _OUTCOMES + "SELECT * FROM o")
+@query("mart_01", _OUTCOMES + " SELECT o.*, written + restored AS stored FROM o")
 def mart_01(spark, d):
-    """All modules by the strategy that fits each; one that has none, or that raises, is recorded and stops no other."""
-    return _outcomes(spark, d)
+    """All modules by the strategy that fits each, written as one annotated table a module; what can't be is recorded and stops no other. stored: rows read back from each one's table."""
+    to, outcomes = _run(spark, d)
+    stored = spark.read.parquet(to).groupBy(F.col(R.BY).alias("module")).agg(F.count("*").alias("stored"))
+    shown = outcomes.select("module", "strategy", "kind", "reason", "written", "matched", "restored").join(stored, "module", "left")
+    return shown.withColumn("stored", F.coalesce("stored", F.lit(0)))
+
+
+@query("mart_01_table", _OUTCOMES + """SELECT sample, 'called' AS genotype_evidence, count(*) AS n, count(module) AS matched, round(sum(weight), 3) AS weight, count(rsid_core) AS named, CAST(NULL AS BIGINT) AS farthest FROM v_annotated GROUP BY sample
+  UNION ALL SELECT NULL, 'restored_hom_ref', count(*), count(*), (SELECT round(sum(l.weight), 3) FROM v_lead l JOIN restored x ON l.key = x.key), count(*), max(flank) FROM restored HAVING count(*) > 0""")
+def mart_01_table(spark, d):
+    """One module's annotated table of the run: called rows by sample, and restored ones."""
+    to, outcomes = _run(spark, d)
+    rows = R.annotated_table(spark, to, outcomes, "typed")
+    return rows.groupBy("sample", "genotype_evidence").agg(
+        F.count("*").alias("n"), F.count("module").alias("matched"), F.round(F.sum("weight"), 3).alias("weight"), F.count("rsid_typed").alias("named"), F.max("restored_flank_bp").alias("farthest")
+    )
 
 
-@query("snk_07", _OUTCOMES + "SELECT module, kind, written, matched FROM o")
+@query("snk_07", _OUTCOMES + "SELECT module, kind, written, matched, restored FROM o")
 def snk_07(spark, d):
-    return manifest(spark, d).select("module", "kind", "written", "matched")
+    return manifest(spark, d).select("module", "kind", "written", "matched", "restored")
 
 
 @query("ag_15", _OUTCOMES + "SELECT module, kind, reason, substr(md5(concat_ws(':', module, kind, reason)), 1, 12) AS digest FROM o WHERE kind <> 'ok'")
@@ -353,12 +390,10 @@ def ag_15(spark, d):
     return manifest(spark, d).filter("kind <> 'ok'").select("module", "kind", "reason", digest.alias("digest"))
 
 
-@query("ag_25", _OUTCOMES + ", " + _UNION[5:].rstrip() + " SELECT module, CAST(written AS BIGINT) AS written, CAST(matched AS BIGINT) AS matched, CASE WHEN module = 'core' THEN (SELECT count(*) FROM both_ WHERE genotype_evidence = 'restored_hom_ref') ELSE 0 END AS restored FROM o WHERE kind = 'ok'")
+@query("ag_25", _OUTCOMES + "SELECT module, CAST(written AS BIGINT) AS written, CAST(matched AS BIGINT) AS matched, CAST(restored AS BIGINT) AS restored FROM o WHERE kind = 'ok'")
 def ag_25(spark, d):
     """Totals of a run by module: rows written, matched and restored."""
-    restored = _union(spark, d).filter("genotype_evidence = 'restored_hom_ref'").agg(F.count("*").alias("restored")).withColumn("module", F.lit("core"))
-    totals = manifest(spark, d).filter("kind = 'ok'").groupBy("module").agg(F.sum("written").alias("written"), F.sum("matched").alias("matched"))
-    return totals.join(restored, "module", "left").select("module", "written", "matched", F.coalesce("restored", F.lit(0)).alias("restored"))
+    return manifest(spark, d).filter("kind = 'ok'").groupBy("module").agg(*[F.sum(c).alias(c) for c in ("written", "matched", "restored")])
 
 
 @query("mart_04", "SELECT r.chrom, count(*) AS calls, count(x.id) AS found FROM v_calls r LEFT JOIN v_reference x ON r.chrom = x.chrom AND r.start = x.start AND r.ref = x.ref AND r.alt = x.alt GROUP BY r.chrom")

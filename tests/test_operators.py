@@ -134,18 +134,6 @@ def test_gaps_over_bins(spark):
     assert got == {("1", 3): None, ("1", 5): 2, ("1", 9): 4, ("1", 40): 31, ("1", 41): 1, ("1", 99): 58, ("2", 7): None, ("3", 5): None, ("3", 95): 90}
 
 
-def test_a_module_that_raises_stops_no_other(spark):
-    calls = spark.createDataFrame([("1", 5, "rs1", "A", ["A", "G"])], "chrom string, start long, rsid string, ref string, genotype array<string>")
-    good = spark.createDataFrame([("1", 5, "rs1", "A", ["A", "G"], 1.0)], "chrom string, start long, rsid string, ref string, genotype array<string>, weight double")
-
-    def bad():
-        raise RuntimeError("no such release")
-
-    readers = {"good": lambda: good, "bad": bad, "gone": lambda: spark.read.parquet("/nowhere/at/all"), "odd": lambda: good.select("weight"), "twin": lambda: good.withColumn("ref", F.lit("GT"))}
-    got = {r["module"]: (r["kind"], r["reason"], r["written"], r["matched"]) for r in J.annotate_with_modules(calls, readers).collect()}
-    assert got == {"good": ("ok", None, 1, 1), "bad": ("failed", "RuntimeError", 0, 0), "gone": ("failed", "PATH_NOT_FOUND", 0, 0), "odd": ("skipped", "no way to join", 0, 0), "twin": ("ok", None, 0, 0)}
-
-
 def test_quality_filter_reaches_the_scan(spark, tmp_path):
     spark.createDataFrame([(5, 30.0), (20, 10.0), (20, 30.0)], "dp int, qual double").write.parquet(str(tmp_path / "t"))
     df = L.quality_filter(spark.read.parquet(str(tmp_path / "t")), depth=10, quality=20)
