@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.genotypes import alt_alleles, authored_genotype, blank_to_null, state_of
@@ -14,41 +14,80 @@ from .aggregates import alleles_by_rsid
 from .joins import first_per_key, resolve
 
 Correction = tuple[str, str, str, str]
-
-
-def apply_corrections(rows: DataFrame, corrections: Sequence[Correction], second: str = "genotype") -> DataFrame:
+#: Columns of corrections as a table: n is their order, other a genotype (or whatever the second key is) or '*'.
+CORRECTIONS = "n int, rsid string, other string, field string, new_value string"
+
+
+def reached(corrections: Sequence[Correction]) -> dict[str, set[str]]:
+    """By rsID, the rsIDs under which its corrections may find a row: its own, and those that corrections of the rsID lead to."""
+    moves: dict[str, set[str]] = {}
+    for rsid, _, field, value in corrections:
+        if field == "rsid":
+            moves.setdefault(rsid, set()).add(value)
+    found = {}
+    for start in {c[0] for c in corrections}:
+        seen, todo = {start}, [start]
+        while todo:
+            more = moves.get(todo.pop(), set()) - seen
+            seen |= more
+            todo += more
+        found[start] = seen
+    return found
+
+
+def correction_table(spark: SparkSession, corrections: Sequence[Correction]) -> DataFrame:
+    """The corrections that rows of each rsID (of) may meet, in their order."""
+    by_rsid: dict[str, list[tuple]] = {}
+    for n, c in enumerate(corrections):
+        by_rsid.setdefault(c[0], []).append((n, *c))
+    rows = [(of, *c) for of, seen in reached(corrections).items() for rsid in seen for c in by_rsid.get(rsid, [])]
+    return spark.createDataFrame(rows, f"of string, {CORRECTIONS}")
+
+
+def apply_corrections(rows: DataFrame, corrections: Sequence[Correction] | DataFrame, second: str = "genotype") -> DataFrame:
     """rows after corrections (rsid, genotype or '*', field, new value) in their order, each seeing what earlier ones made.
 
     A field 'drop' takes the row out and ends its corrections; a new weight also sets state by its sign, which a later
-    correction of state overrides. hits holds the numbers of the corrections that matched. Corrections are authored by
-    hand, tens of them, so they become expressions of one projection each.
+    correction of state overrides. hits holds the numbers of the corrections that matched. The corrections of an rsID are one ordered list, joined to
+    its rows and folded there, so that the plan is the same for any number of them. As a table (CORRECTIONS) they are looked up by the rsID that a row comes with.
     """
-    kinds = dict(rows.dtypes)
-    now = rows.withColumns({"__gone": F.lit(False), "hits": F.array().cast("array<int>")})
-    for n, (rsid, other, field, value) in enumerate(corrections):
-        match = ~F.col("__gone") & F.col("rsid").eqNullSafe(rsid) & (F.lit(other == "*") | (F.coalesce(F.col(second), F.lit("")) == other))
-        change: dict[str, Column] = {"hits": F.when(match, F.array_append("hits", F.lit(n))).otherwise(F.col("hits"))}
-        if field == "drop":
-            change["__gone"] = F.col("__gone") | match
-        else:
-            new = F.lit(value).cast(kinds[field])
-            change[field] = F.when(match, new).otherwise(F.col(field))
-            if field == "weight" and "state" in rows.columns:
-                change["state"] = F.when(match, state_of(new)).otherwise(F.col("state"))
-        now = now.withColumns(change)
-    return now
-
-
-def corrected(rows: DataFrame, corrections: Sequence[Correction], second: str = "genotype") -> DataFrame:
+    spark, kinds = rows.sparkSession, dict(rows.dtypes)
+    listed = not isinstance(corrections, DataFrame)
+    table = correction_table(spark, corrections) if listed else corrections.withColumn("of", F.col("rsid"))
+    named = {c[2] for c in corrections} - {"drop"} if listed else set(rows.columns)
+    if unknown := named - set(rows.columns):
+        raise ValueError(f"corrections of unknown columns: {', '.join(sorted(unknown))}")
+    fields = [c for c in rows.columns if c in named | {"rsid", second} or c == "state" and "weight" in named]
+    nested = table.groupBy(F.col("of").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("n", "rsid", "other", "field", "new_value"))).alias("__todo"))
+    none = F.lit(None).cast("array<int>")
+
+    def merge(now: Column, c: Column) -> Column:
+        match = ~now["gone"] & now["rsid"].eqNullSafe(c["rsid"]) & ((c["other"] == "*") | (F.coalesce(now[second].cast("string"), F.lit("")) == c["other"]))
+        made = []
+        for f in fields:
+            value = F.when(match & (c["field"] == f), c["new_value"].cast(kinds[f]))
+            if f == "state" and "weight" in fields:
+                value = value.when(match & (c["field"] == "weight"), state_of(c["new_value"].cast(kinds["weight"])))
+            made.append(value.otherwise(now[f]).alias(f))
+        hits = F.when(match, F.concat(F.coalesce(now["hits"], F.array().cast("array<int>")), F.array(c["n"]))).otherwise(now["hits"])
+        return F.struct(*made, (now["gone"] | (match & (c["field"] == "drop"))).alias("gone"), hits.alias("hits"))
+
+    begin = F.struct(*[F.col(f) for f in fields], F.lit(False).alias("gone"), none.alias("hits"))
+    joined = rows.join(nested, F.col("rsid") == F.col("__of"), "left")
+    folded = joined.withColumn("__now", F.when(F.col("__todo").isNull(), begin).otherwise(F.aggregate("__todo", begin, merge)))
+    shown = [F.col("__now").getField(c).alias(c) if c in fields else F.col(c) for c in rows.columns]
+    return folded.select(*shown, F.col("__now.gone").alias("__gone"), F.coalesce("__now.hits", F.array().cast("array<int>")).alias("hits"))
+
+
+def corrected(rows: DataFrame, corrections: Sequence[Correction] | DataFrame, second: str = "genotype") -> DataFrame:
     return apply_corrections(rows, corrections, second).filter("NOT __gone").drop("__gone", "hits")
 
 
-def unmatched_corrections(rows: DataFrame, corrections: Sequence[Correction], second: str = "genotype") -> DataFrame:
+def unmatched_corrections(rows: DataFrame, corrections: Sequence[Correction] | DataFrame, second: str = "genotype") -> DataFrame:
     """The corrections that no row met."""
-    spark = rows.sparkSession
-    known = spark.createDataFrame([(n, *c) for n, c in enumerate(corrections)], f"n int, rsid string, {second} string, field string, new_value string")
+    known = corrections if isinstance(corrections, DataFrame) else rows.sparkSession.createDataFrame([(n, *c) for n, c in enumerate(corrections)], CORRECTIONS)
     hit = apply_corrections(rows, corrections, second).select(F.explode("hits").alias("n")).distinct()
-    return known.join(hit, "n", "left_anti").drop("n")
+    return known.join(hit, "n", "left_anti").drop("n").withColumnRenamed("other", second)
 
 
 def without_duplicates(rows: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
@@ -155,10 +194,13 @@ def content_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def compile_studies(studies: DataFrame, reference: DataFrame) -> DataFrame:
-    """Authored studies (rsid or place, pmid as text, conclusion) by variant_key: one row for each accepted article number and variant, identity resolved."""
+    """Authored studies (rsid or place, pmid as text, conclusion) by variant_key: one row for each accepted article number and variant, identity resolved.
+
+    A study that names no variant stays, with a null key.
+    """
     filled = resolve(studies, reference).withColumn("variant_key", variant_key())
     each = filled.select("variant_key", "conclusion", F.explode(accepted(article_ids(F.col("pmid")))).alias("pmid"))
-    return first_per_key(each.filter("variant_key IS NOT NULL"), ["variant_key", "pmid"], "conclusion").select("variant_key", "pmid", "conclusion")
+    return first_per_key(each, ["variant_key", "pmid"], "conclusion").select("variant_key", "pmid", "conclusion")
 
 
 def table_delta(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.contigs import fold_contig
 from ..functions.genotypes import authored_genotype, genotype_from_gt, state_of
 from ..operators.filters import quality_filter
+from ..sources.prepared import prepare
+from ..sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -114,6 +116,12 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prepared_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The big variation table as it is prepared for joins by position, under a name of its own."""
+    path = scratch(spark, "prepared")
+    return prepare(reference(spark, sf_dir), path, path.rsplit("/", 1)[1].replace("-", "_"), buckets=8)
+
+
 def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Study rows; those of every seventh customer name a place and no rsID."""
     cust = F.col("o_custkey")

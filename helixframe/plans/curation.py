@@ -263,6 +263,19 @@ def jn_24_unmatched(spark, d):
     return U.unmatched_corrections(B.lead_text(spark, d).select("key", "rsid", "genotype", "weight", "state"), CORRECTIONS)
 
 
+_MANY = "SELECT key, genotype, CASE WHEN key % 4 = 0 THEN CAST(-1 - key AS DOUBLE) ELSE weight END AS weight, CASE WHEN key % 8 = 0 THEN 'alt' WHEN key % 4 = 0 THEN 'risk' ELSE state END AS state FROM v_text WHERE key % 6 <> 5"
+
+
+@query("jn_24_many", _MANY)
+def jn_24_many(spark, d):
+    """Corrections as a table, more than half as many as there are rows, folded in their order: weights, then states, and rows that go."""
+    rows = B.lead_text(spark, d).select("key", "rsid", "genotype", "weight", "state")
+    one = lambda where, n, other, field, value: rows.filter(where).select((F.col("key") * 4 + n).cast("int").alias("n"), "rsid", other.alias("other"), F.lit(field).alias("field"), value.cast("string").alias("new_value"))
+    every = F.lit("*")
+    corrections = one("key % 4 = 0", 0, every, "weight", -1 - F.col("key")).unionByName(one("key % 8 = 0", 1, F.col("genotype"), "state", F.lit("alt"))).unionByName(one("key % 6 = 5", 2, every, "drop", F.lit("")))
+    return U.corrected(rows, corrections.unionByName(one("key % 8 = 4", 3, F.lit("Z/Z"), "state", F.lit("ref")))).select("key", "genotype", "weight", "state")
+
+
 _PANEL_STATS = "SELECT reason, count(*) AS n, count(DISTINCT gene) AS genes FROM (SELECT CASE WHEN sig NOT LIKE 'Patho%' THEN 'not_pathogenic' WHEN NOT regexp_full_match(alt, '[ACGT]+') THEN 'not_acgt' WHEN ref = alt THEN 'same_allele' ELSE 'matched' END AS reason, upper(gene) AS gene FROM v_clinvar) GROUP BY reason"
 
 
@@ -379,12 +392,14 @@ def mart_09(spark, d):
     return done.select("key", "variant_key", "chrom", "start", F.array_join("genotype", ",").alias("genotype"), F.array_join("alts", ";").alias("alts"))
 
 
-@query("mart_09_studies", f"WITH s AS (SELECT CASE WHEN rsid IS NULL THEN concat('rs', CAST((start - 1) / 97 AS BIGINT)) ELSE rsid END AS variant_key, start, conclusion, pmid FROM v_studies), r AS (SELECT variant_key, conclusion, unnest([CAST(CAST(pmid AS BIGINT) + 10000 AS VARCHAR), CAST(CAST(pmid AS BIGINT) + 20000 AS VARCHAR)]) AS pmid FROM s) SELECT variant_key, pmid, min(conclusion) AS conclusion FROM r GROUP BY ALL")
+@query("mart_09_studies", f"WITH s AS (SELECT CASE WHEN CAST(pmid AS BIGINT) % 5 = 0 THEN NULL WHEN rsid IS NULL THEN concat('rs', CAST((start - 1) / 97 AS BIGINT)) ELSE rsid END AS variant_key, start, conclusion, pmid FROM v_studies), r AS (SELECT variant_key, conclusion, unnest([CAST(CAST(pmid AS BIGINT) + 10000 AS VARCHAR), CAST(CAST(pmid AS BIGINT) + 20000 AS VARCHAR)]) AS pmid FROM s) SELECT variant_key, pmid, min(conclusion) AS conclusion FROM r GROUP BY ALL")
 def mart_09_studies(spark, d):
-    """Authored studies, some by rsID and some by place, with several article numbers in a cell, compiled by variant."""
+    """Authored studies, some by rsID, some by place and some of no variant, with several article numbers in a cell, compiled by variant."""
     n = lambda by: (F.col("pmid").cast("bigint") + by).cast("string")
+    none = F.col("pmid").cast("bigint") % 5 == 0
+    by_place = F.col("rsid").isNull() & ~none
     authored = B.studies(spark, d).select(
-        "rsid", F.when(F.col("rsid").isNull(), F.col("chrom")).alias("chrom"), F.when(F.col("rsid").isNull(), F.col("start")).alias("start"), "ref", "conclusion",
+        F.when(~none, F.col("rsid")).alias("rsid"), F.when(by_place, F.col("chrom")).alias("chrom"), F.when(by_place, F.col("start")).alias("start"), "ref", "conclusion",
         F.concat(F.lit("PMID: "), n(10000), F.lit("; PMID "), n(20000)).alias("pmid"),
     )
     return U.compile_studies(authored, B.reference(spark, d))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import contigs as C
 from ..functions import genotypes as G
 from ..functions import literature as T
 from ..operators import aggregates as A
@@ -11,7 +12,7 @@ from ..operators import curate as U
 from ..operators import filters as L
 from ..operators import joins as J
 from ..operators import runs as R
-from ..sources import tables, vcf
+from ..sources import prepared, tables, vcf
 from ..sources.scratch import scratch
 from . import base as B
 from .base import query
@@ -66,7 +67,8 @@ _REF_JOIN = "SELECT c.sample, c.chrom, c.start, c.ref, c.alt, r.id, r.score FROM
 
 @query("jn_06", _REF_JOIN)
 def jn_06(spark, d):
-    return J.annotate_by_reference(B.calls(spark, d), B.reference(spark, d)).select("sample", "chrom", "start", "ref", "alt", "id", "score")
+    """Against the reference as it was prepared: only the calls are shuffled."""
+    return prepared.annotate(B.calls(spark, d), B.prepared_reference(spark, d)).select("sample", "chrom", "start", "ref", "alt", "id", "score")
 
 
 @query("jn_07", _REF_JOIN)
@@ -92,10 +94,10 @@ def src_07(spark, d):
 
 @query("src_08", "SELECT r.chrom, count(*) AS n FROM v_reference r WHERE r.chrom IN (SELECT chrom FROM v_calls WHERE dp >= 40 AND contains(alt, '|') AND ref = 'A' AND sample = 3) GROUP BY r.chrom")
 def src_08(spark, d):
-    needed = B.calls(spark, d).filter("dp >= 40 AND contains(alt, '|') AND ref = 'A' AND sample = 3").select("chrom").distinct()
-    chroms = [r["chrom"] for r in needed.collect()]  # as many rows as there are contigs at most
-    found = tables.reference_view(spark, _reference_folder(spark, d), "needed_reference", chroms)
-    return found.groupBy(F.col("chrom").cast("string").alias("chrom")).agg(F.count("*").alias("n"))
+    """The partitions that the calls need are found while the query runs, by pruning from the join; no contig comes to the driver."""
+    needed = B.calls(spark, d).filter("dp >= 40 AND contains(alt, '|') AND ref = 'A' AND sample = 3")
+    whole = tables.reference_view(spark, _reference_folder(spark, d), "needed_reference")
+    return tables.only_needed(whole, needed).groupBy(F.col("chrom").cast("string").alias("chrom")).agg(F.count("*").alias("n"))
 
 
 @query("src_09", "SELECT chrom, start, CAST(NULL AS VARCHAR) AS id FROM v_calls WHERE chrom = 'MT'")
@@ -398,7 +400,10 @@ def ag_25(spark, d):
 
 @query("mart_04", "SELECT r.chrom, count(*) AS calls, count(x.id) AS found FROM v_calls r LEFT JOIN v_reference x ON r.chrom = x.chrom AND r.start = x.start AND r.ref = x.ref AND r.alt = x.alt GROUP BY r.chrom")
 def mart_04(spark, d):
-    return J.annotate_by_reference(B.calls(spark, d), B.reference(spark, d)).groupBy("chrom").agg(F.count("*").alias("calls"), F.count("id").alias("found"))
+    """Calls whose contigs are spelled otherwise than the reference's, brought to its spelling, joined with the prepared reference and written; counted from what was written."""
+    calls = B.calls(spark, d).withColumn("chrom", F.concat(F.lit("chr"), "chrom"))
+    done = tables.write_table(prepared.annotate(C.harmonise(calls, B.reference(spark, d)).drop("chrom_action"), B.prepared_reference(spark, d)), scratch(spark, "referenced"))
+    return done.groupBy("chrom").agg(F.count("*").alias("calls"), F.count("id").alias("found"))
 
 
 @query("mart_05", _WIDE.replace("WITH s AS (SELECT DISTINCT chrom, start, ref, alt FROM v_calls)", "WITH s AS (SELECT sample, chrom, start, ref, alt FROM v_calls)").replace("SELECT s.*,", ", w AS (SELECT s.*,") .replace("GROUP BY ALL) , w", "GROUP BY ALL), w") + ") SELECT sample, count(*) AS n, CAST(sum(start) AS BIGINT) AS places, count(n_id) AS named, count(m_score) AS scored, round(sum(m_score), 2) AS score FROM w GROUP BY sample")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import genotypes as G
 from ..operators import aggregates as A
 from ..operators import joins as J
-from ..sources import tables
+from ..operators.ranking import SortedView
+from ..sources import prepared, tables
 from ..sources.scratch import scratch
 from . import base as B
 from .base import query
@@ -98,8 +99,10 @@ def ag_29(spark, d):
 
 @query("so_02", "SELECT category, key, weight, row_number() OVER (PARTITION BY category ORDER BY abs(weight) DESC, key) AS place FROM v_lead")
 def so_02(spark, d):
-    order = Window.partitionBy("category").orderBy(F.abs("weight").desc(), "key")
-    return B.lead(spark, d).select("category", "key", "weight", F.row_number().over(order).cast("long").alias("place"))
+    """Places inside categories, of which a few hold all rows: from the places in the whole sorted table."""
+    rows = B.lead(spark, d).select("category", "key", "weight")
+    view = SortedView.write(rows, scratch(spark, "by-category"), "category", F.abs("weight").desc(), "key")
+    return view.ranked("place", by=["category"])
 
 
 _RANK = "CASE WHEN key % 7 < 6 THEN 6 - key % 7 ELSE 0 END"
@@ -107,8 +110,9 @@ _RANK = "CASE WHEN key % 7 < 6 THEN 6 - key % 7 ELSE 0 END"
 
 @query("so_03", f"SELECT key, row_number() OVER (PARTITION BY module ORDER BY abs(weight) DESC, {_RANK} DESC, key) AS place FROM v_lead")
 def so_03(spark, d):
-    order = Window.partitionBy("module").orderBy(F.abs("weight").desc(), G.evidence_rank(level("key")).desc(), "key")
-    return B.lead(spark, d).select("key", F.row_number().over(order).cast("long").alias("place"))
+    rows = B.lead(spark, d).select("module", "key", F.abs("weight").alias("size"), G.evidence_rank(level("key")).alias("evidence"))
+    view = SortedView.write(rows, scratch(spark, "by-module"), "module", F.desc("size"), F.desc("evidence"), "key")
+    return view.ranked("place", by=["module"]).select("key", "place")
 
 
 @query("so_04", f"SELECT drug, best_rank, n FROM ({_DRUGS}) ORDER BY best_rank DESC, n DESC, drug")
@@ -116,26 +120,30 @@ def so_04(spark, d):
     return A.by_drug(_drugs(spark, d)).orderBy(F.desc("best_rank"), F.desc("n"), "drug").select("drug", "best_rank", "n")
 
 
-@query("so_05", "SELECT CAST((n - 1) // 40 AS INT) AS page, key, gene, weight FROM (SELECT *, row_number() OVER (ORDER BY gene, weight DESC, key) AS n FROM v_lead WHERE weight > 0) WHERE n <= 120")
+_PAGES = "(n - 1) // 40 IN (0, 1, 2) OR n > (SELECT count(*) FROM v_lead WHERE weight > 0) - 40"
+
+
+@query("so_05", f"SELECT n - 1 AS row_index, key, gene, weight FROM (SELECT *, row_number() OVER (ORDER BY gene, weight DESC, key) AS n FROM v_lead WHERE weight > 0) WHERE {_PAGES}")
 def so_05(spark, d):
-    """A filtered and sorted view, written once; its first pages are all read from what was written."""
-    order = ["gene", F.desc("weight"), "key"]
-    view = tables.sorted_view(B.lead(spark, d).filter("weight > 0").select("key", "gene", "weight"), scratch(spark, "view"), *order)
-    pages = [tables.page(view, order, 40 * i, 40).withColumn("page", F.lit(i)) for i in range(3)]
-    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+    """A filtered and sorted view, written once; its first three pages and its last one are read from the files that hold them."""
+    rows = B.lead(spark, d).filter("weight > 0").select("key", "gene", "weight")
+    view = SortedView.write(rows, scratch(spark, "view"), "gene", F.desc("weight"), "key")
+    last = max(120, view.total() - 40)
+    return view.page(0, 120, "row_index").unionByName(view.page(last, 40, "row_index"))
 
 
 @query("so_06", "SELECT key, gene, (SELECT count(*) FROM v_lead) AS total FROM v_lead ORDER BY weight DESC, key LIMIT 50 OFFSET 100")
 def so_06(spark, d):
-    return tables.page(B.lead(spark, d), [F.desc("weight"), "key"], 100, 50, total=True).select("key", "gene", "total")
+    """A page by offset, with the number of all rows, from the view's index."""
+    view = SortedView.write(B.lead(spark, d).select("key", "gene", "weight"), scratch(spark, "view"), F.desc("weight"), "key")
+    return view.page(100, 50).select("key", "gene", F.lit(view.total()).cast("long").alias("total"))
 
 
-@query("wn_05", "SELECT row_number() OVER (ORDER BY weight DESC, key) - 1 AS row_index, key FROM v_lead ORDER BY 1 LIMIT 50 OFFSET 100")
+@query("wn_05", "SELECT row_number() OVER (ORDER BY weight DESC, key) - 1 AS row_index, key FROM v_lead")
 def wn_05(spark, d):
-    """A page with the rows' places: only the rows up to its end are ranked, by a top-k, not the whole table in one task."""
-    page = B.lead(spark, d).orderBy(F.desc("weight"), "key").limit(150)
-    ranked = page.withColumn("row_index", F.row_number().over(Window.orderBy(F.desc("weight"), "key")).cast("long") - 1)
-    return ranked.filter("row_index >= 100").select("row_index", "key")
+    """Every row's place in the whole table."""
+    view = SortedView.write(B.lead(spark, d).select("key", "weight"), scratch(spark, "view"), F.desc("weight"), "key")
+    return view.ranked("n").select((F.col("n") - 1).alias("row_index"), "key")
 
 
 @query("so_07", "SELECT DISTINCT gene AS value FROM v_lead WHERE (SELECT count(DISTINCT gene) FROM v_lead) <= 100 ORDER BY 1")
@@ -181,9 +189,9 @@ def jn_28(spark, d):
 
 @query("jn_29", f"WITH {_SCORING} SELECT r.chrom, count(*) AS n FROM v_reference r WHERE EXISTS (SELECT 1 FROM sc WHERE effect_weight > 0.25 AND sc.chrom = r.chrom AND sc.start = r.start) GROUP BY r.chrom")
 def jn_29(spark, d):
-    """The universe reduced once to the positions that any score uses."""
+    """The prepared universe reduced once to the positions that any score uses; it isn't shuffled."""
     wanted = _scoring(spark, d).filter("effect_weight > 0.25").select("chrom", "start").distinct()
-    return B.reference(spark, d).join(wanted, ["chrom", "start"], "left_semi").groupBy("chrom").agg(F.count("*").alias("n"))
+    return prepared.at_positions(B.prepared_reference(spark, d), wanted).groupBy("chrom").agg(F.count("*").alias("n"))
 
 
 @query("ag_27", _SCORES + "SELECT * FROM f")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -11,15 +11,22 @@ def module_table(spark: SparkSession, url: str, columns: list[str] | None = None
     return df.select(*columns) if columns else df
 
 
-def reference_view(spark: SparkSession, folder: str, name: str, chroms: list[str] | None = None) -> DataFrame:
-    """A view over all Parquet files of a folder, by column name; with chroms just their partitions are read."""
+def reference_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A view over all Parquet files of a folder, by column name."""
     df = spark.read.option("mergeSchema", True).parquet(folder)
-    if chroms is not None:
-        df = df.filter(F.col("chrom").isin(chroms))
     df.createOrReplaceTempView(name)
     return df
 
 
+def only_needed(reference: DataFrame, calls: DataFrame, by: str = "chrom") -> DataFrame:
+    """The reference's rows on the calls' contigs. reference is partitioned by that column: its other partitions aren't read, as the planner prunes them by the join's other side.
+
+    That side has a row a contig, so it's broadcast; contigs are text, in the calls and in the partitions' names.
+    """
+    needed = calls.select(F.col(by).cast("string").alias("__needed")).distinct()
+    return reference.join(F.broadcast(needed), reference[by].cast("string") == needed["__needed"], "left_semi")
+
+
 def lower_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
@@ -60,15 +67,3 @@ def manifest(outcomes: DataFrame, path: str) -> DataFrame:
     """A run's outcomes as JSON, and read back."""
     outcomes.write.mode("overwrite").json(path)
     return outcomes.sparkSession.read.schema(outcomes.schema).json(path)
-
-
-def sorted_view(df: DataFrame, path: str, *order: Column | str) -> DataFrame:
-    """df sorted and written once, for pages to be read from; read back."""
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def page(df: DataFrame, order: list[Column | str], offset: int, limit: int, total: bool = False) -> DataFrame:
-    """A slice of df by order; with total the number of all rows beside each."""
-    rows = df.orderBy(*order).offset(offset).limit(limit)
-    return rows.crossJoin(df.agg(F.count("*").alias("total"))) if total else rows  # one row

@@ -85,7 +85,7 @@ def read_vcf(spark: SparkSession, path: str, info: dict[str, str] | None = None,
     in_info = lambda name: F.nullif(F.regexp_extract(F.concat(F.lit(";"), f[7], F.lit(";")), f";{name}=([^;]*);", 1), F.lit(""))
     flag = lambda name: F.concat(F.lit(";"), f[7], F.lit(";")).contains(f";{name};")
     columns = [
-        f[0].alias("chrom"), f[1].cast("bigint").alias("start"), (f[1].cast("bigint") + F.length(f[3])).alias("end"), F.nullif(f[2], F.lit(".")).alias("rsid"),
+        f[0].alias("chrom"), f[1].try_cast("bigint").alias("start"), (f[1].try_cast("bigint") + F.length(f[3])).alias("end"), F.nullif(f[2], F.lit(".")).alias("rsid"),
         f[3].alias("ref"), F.replace(f[4], F.lit(","), F.lit("|")).alias("alt"), f[5].try_cast("double").alias("qual"), F.when(f[6] == ".", "").otherwise(f[6]).alias("filter"),
         *[(flag(n) if k == "boolean" else _typed(in_info(n), k)).alias(n) for n, k in info.items()],
         *[_typed(at(n), k).alias(n) for n, k in formats.items()], *keep,
@@ -139,20 +139,21 @@ def _head(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
 def write_vcf(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
     """VCF text in order of chrom and start, range-partitioned; the header stands in the first part. df is computed once, before the sort samples it."""
     spark = df.sparkSession
-    header = spark.createDataFrame([("", i, line) for i, line in enumerate(_head(df, columns))], "chrom string, start long, line string")
+    header = spark.createDataFrame([(0, None, i, line) for i, line in enumerate(_head(df, columns))], "body int, chrom string, start long, line string")
     done = scratch(spark, "lines")
-    vcf_lines(df, columns).withColumn("start", F.col("start").cast("long")).write.option("compression", "zstd").parquet(done)
+    vcf_lines(df, columns).select(F.lit(1).alias("body"), "chrom", F.col("start").cast("long").alias("start"), "line").write.option("compression", "zstd").parquet(done)
     rows = header.unionByName(spark.read.schema(header.schema).parquet(done))
-    rows.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start").select("line").write.mode("overwrite").text(path)
+    order = ["body", "chrom", "start"]  # the header before all records, those without a contig among them
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
 def write_sample_vcfs(df: DataFrame, path: str, sample: str = "sample", columns: Sequence[str] | None = None) -> None:
     """VCF text of each sample in a folder of its own, sample=..., with its header; a sample's records are dealt to files by contig."""
     spark = df.sparkSession
     fields = [c for c in annotation_columns(df, columns) if c != sample]
-    head = spark.createDataFrame([(i, line) for i, line in enumerate(_head(df, fields))], "start long, line string").withColumn("chrom", F.lit(""))
+    head = spark.createDataFrame([(i, line) for i, line in enumerate(_head(df, fields))], "start long, line string").withColumns({"body": F.lit(0), "chrom": F.lit("")})
     lines = df.select(F.col(sample), *[F.col(c) for c in df.columns if c != sample])
-    body = vcf_lines(lines, fields, keep=[sample]).withColumn("start", F.col("start").cast("long"))
+    body = vcf_lines(lines, fields, keep=[sample]).withColumns({"start": F.col("start").cast("long"), "body": F.lit(1)})
     headers = df.select(sample).distinct().join(F.broadcast(head))  # a header's lines for each sample
-    rows = body.unionByName(headers.select(*body.columns)).withColumn("part", F.when(F.col("chrom") == "", F.lit("")).otherwise(F.col("chrom")))
-    rows.repartition(sample, "part").sortWithinPartitions(sample, "chrom", "start").select(sample, "line").write.mode("overwrite").partitionBy(sample).text(path)
+    rows = body.unionByName(headers.select(*body.columns))
+    rows.repartition(sample, "body", "chrom").sortWithinPartitions(sample, "body", "chrom", "start").select(sample, "line").write.mode("overwrite").partitionBy(sample).text(path)
