@@ -9,6 +9,7 @@ from ..functions import literature as T
 from ..operators import aggregates as A
 from ..operators import curate as U
 from ..operators import joins as J
+from ..operators import ports as P
 from ..sources import tables, vcf
 from ..sources.scratch import scratch
 from ..streaming import arrivals
@@ -383,6 +384,105 @@ def mart_08(spark, d):
     return U.without_duplicates(rows, ["rsid", "genotype"], "weight").select("rsid", "genotype", "weight", "state")
 
 
+_A, _B = B._A, B._B
+_WEIGHED = f"""w AS (SELECT p_partkey AS line, CASE WHEN p_partkey % 13 = 0 THEN concat('x', p_partkey) ELSE concat('rs', p_partkey % 300) END AS rsid,
+    CASE WHEN p_partkey % 11 <> 0 THEN concat(least({_A}, {_B}), '/', greatest({_A}, {_B})) END AS genotype, CAST(p_size - 25 AS DOUBLE) / CAST(10 AS DOUBLE) AS weight,
+    CASE WHEN p_partkey % 2 = 0 THEN concat('of row ', p_partkey) END AS own FROM part),
+  m AS (SELECT concat('rs', p_partkey) AS rsid, p_brand AS gene, p_type AS told, p_partkey AS line FROM part)"""
+
+
+def _weight_tables(spark, d):
+    key, part = F.col("p_partkey"), B.table(spark, d, "part")
+    weights = part.select(
+        key.alias("line"), F.when(key % 13 == 0, F.concat(F.lit("x"), key.cast("string"))).otherwise(F.concat(F.lit("rs"), (key % 300).cast("string"))).alias("rsid"),
+        F.when(key % 11 == 0, "--").otherwise(F.concat(B.base_at(key + 1), F.lit("|"), B.base_at(key))).alias("genotype"),
+        F.replace(((F.col("p_size") - 25) / F.lit(10.0)).cast("string"), F.lit("."), F.lit(",")).alias("weight"), F.when(key % 2 == 0, F.concat(F.lit("of row "), key.cast("string"))).otherwise(" ").alias("conclusion"),
+    )
+    meta = part.select(key.alias("line"), F.concat(F.lit("rs"), key.cast("string")).alias("rsid"), F.col("p_brand").alias("gene"), F.col("p_type").alias("conclusion"), F.concat(F.lit("PMID "), (key + 5000).cast("string")).alias("pmids"), F.lit("").alias("population"))
+    studies = B.studies(spark, d).select(F.col("pmid").cast("bigint").alias("line"), "rsid", F.concat(F.lit("PMID: "), (F.col("pmid").cast("bigint") % 40 + 5000).cast("string")).alias("cell"), "conclusion", F.lit("x").alias("population"), F.lit("Significant").alias("association"))
+    return P.port_weights(weights, meta, studies)
+
+
+@query("mart_08_three_table", f"WITH {_WEIGHED}, v AS (SELECT w.rsid, genotype, weight, CASE WHEN weight > 0 THEN 'protective' WHEN weight < 0 THEN 'risk' ELSE 'neutral' END AS state, coalesce(own, told, '') AS conclusion, gene, row_number() OVER (PARTITION BY w.rsid, genotype ORDER BY w.line) AS n, count(*) OVER (PARTITION BY w.rsid, genotype) - 1 AS duplicates FROM w LEFT JOIN m ON w.rsid = m.rsid WHERE w.rsid LIKE 'rs%' AND genotype IS NOT NULL) SELECT rsid, genotype, weight, state, conclusion, gene, duplicates FROM v WHERE n = 1")
+def mart_08_three_table(spark, d):
+    """Weights joined with what is known of their variants; the first of equal variants and genotypes stays."""
+    return _weight_tables(spark, d).variants.drop("category")
+
+
+@query("mart_08_three_table_rejected", f"WITH {_WEIGHED} SELECT reason, count(*) AS n, count(DISTINCT rsid) AS ids FROM (SELECT rsid, CASE WHEN rsid NOT LIKE 'rs%' THEN 'invalid rsid' ELSE 'invalid genotype' END AS reason FROM w WHERE rsid NOT LIKE 'rs%' OR genotype IS NULL UNION ALL SELECT DISTINCT rsid, 'vanished' FROM w WHERE rsid LIKE 'rs%' AND rsid NOT IN (SELECT rsid FROM w WHERE genotype IS NOT NULL)) GROUP BY reason")
+def mart_08_three_table_rejected(spark, d):
+    return _weight_tables(spark, d).rejected.groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("rsid").alias("ids"))
+
+
+@query("mart_08_three_table_studies", "WITH s AS (SELECT rsid, CAST(CAST(pmid AS BIGINT) % 40 + 5000 AS VARCHAR) AS pmid, conclusion, 'x' AS population, 'significant' AS significance, CAST(pmid AS BIGINT) AS line FROM v_studies WHERE rsid IS NOT NULL UNION ALL SELECT concat('rs', p_partkey), CAST(p_partkey + 5000 AS VARCHAR), p_type, NULL, NULL, p_partkey + 1099511627776 FROM part) SELECT rsid, pmid, conclusion, population, significance FROM (SELECT *, row_number() OVER (PARTITION BY rsid, pmid ORDER BY line) AS n FROM s) WHERE n = 1")
+def mart_08_three_table_studies(spark, d):
+    """The dedicated table of studies, topped up from the variants' cells."""
+    return _weight_tables(spark, d).studies
+
+
+_EFFECTS = f"""a AS (SELECT p_partkey AS line, CASE WHEN p_partkey % 13 = 0 THEN concat('x', p_partkey) ELSE concat('rs', p_partkey % 300) END AS rsid, CASE WHEN p_partkey % 9 = 0 THEN 'N' WHEN p_partkey % 4 = 0 THEN {B._BASE.format('p_partkey % 300')} ELSE {B._BASE.format('p_partkey % 300 + 1')} END AS allele,
+    p_partkey % 2 = 0 AS hom, CAST(p_size - 25 AS DOUBLE) / CAST(10 AS DOUBLE) AS weight, p_size % 6 AS category_id FROM part),
+  f AS (SELECT concat('rs', o_custkey) AS rsid, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE o_orderpriority END AS told, o_custkey % 30 AS gene_id, row_number() OVER (PARTITION BY o_custkey ORDER BY length(CASE WHEN o_custkey % 3 = 0 THEN '' ELSE o_orderpriority END) DESC, o_orderkey) AS n FROM orders),
+  best AS (SELECT rsid, told, n_name AS gene FROM f LEFT JOIN nation ON gene_id = n_nationkey WHERE n = 1),
+  g AS (SELECT a.*, CASE WHEN allele <> 'N' AND r.id IS NULL AND hom THEN concat(allele, '/', allele) WHEN allele <> 'N' AND hom THEN concat(allele, '/', allele) WHEN allele = 'N' OR r.id IS NULL THEN NULL WHEN allele = r.ref THEN concat(least(r.ref, r.alt), '/', greatest(r.ref, r.alt)) ELSE concat(least(allele, r.ref), '/', greatest(allele, r.ref)) END AS genotype FROM a LEFT JOIN v_reference r ON a.rsid = r.id)"""
+
+
+@query("mart_08_longevity", f"WITH {_EFFECTS}, v AS (SELECT g.rsid, genotype, weight, CASE WHEN weight > 0 THEN 'protective' WHEN weight < 0 THEN 'risk' ELSE 'neutral' END AS state, coalesce(nullif(told, ''), concat('Longevity-associated variant in ' || gene, ''), 'Longevity-associated variant') AS conclusion, gene, r_name AS category, row_number() OVER (PARTITION BY g.rsid, genotype ORDER BY line) AS n, count(*) OVER (PARTITION BY g.rsid, genotype) - 1 AS duplicates FROM g LEFT JOIN best ON g.rsid = best.rsid LEFT JOIN region ON category_id = r_regionkey WHERE g.rsid LIKE 'rs%' AND genotype IS NOT NULL) SELECT rsid, genotype, weight, state, CASE WHEN conclusion = '' THEN 'Longevity-associated variant' ELSE conclusion END AS conclusion, gene, category, duplicates FROM v WHERE n = 1")
+def mart_08_longevity(spark, d):
+    """Effect alleles with dimensions: genotypes by the reference's alleles, the longest conclusion of each variant's findings."""
+    key, part, cust = F.col("p_partkey"), B.table(spark, d, "part"), F.col("o_custkey")
+    alleles = part.select(
+        key.alias("line"), F.when(key % 13 == 0, F.concat(F.lit("x"), key.cast("string"))).otherwise(F.concat(F.lit("rs"), (key % 300).cast("string"))).alias("rsid"),
+        F.when(key % 9 == 0, "N").when(key % 4 == 0, B.base_at(key % 300)).otherwise(B.base_at(key % 300 + 1)).alias("allele"), F.when(key % 2 == 0, "hom").otherwise("Heterozygous").alias("zygosity"),
+        ((F.col("p_size") - 25) / F.lit(10.0)).cast("string").alias("weight"), (F.col("p_size") % 6).alias("category_id"),
+    )
+    findings = B.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("line"), F.concat(F.lit("rs"), cust.cast("string")).alias("rsid"), F.when(cust % 3 == 0, " ").otherwise(F.col("o_orderpriority")).alias("conclusion"), (cust % 30).alias("gene_id"),
+        (cust % 25).alias("population_id"), F.lit("significant").alias("association"), F.concat(F.lit("PMID "), F.col("o_orderkey").cast("string")).alias("cell"),
+    )
+    nation = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    region = B.table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return P.port_effect_alleles(alleles, findings, nation, region, nation, B.reference(spark, d)).variants
+
+
+_NAMED = f"""n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN '' WHEN p_partkey % 17 = 0 THEN concat('q', p_partkey) ELSE concat('rs', p_partkey) END AS rsid, p_brand AS gene,
+    CASE p_partkey % 6 WHEN 0 THEN 'stated' WHEN 1 THEN 'alleles' WHEN 2 THEN 'indel' ELSE 'none' END AS kind, p_partkey % 3 AS zyg, {_A} AS a, {_B} AS b, {B._BASE.format('p_partkey + 2')} AS c, p_partkey % 5 = 0 AS several, p_type AS told,
+    p_size % 2 = 0 AS listed, p_brand IN ('Brand#3', 'Brand#7') AS grounded FROM part),
+  chosen AS (SELECT * FROM n WHERE rsid LIKE 'rs%' AND (listed OR (grounded AND kind = 'indel'))),
+  sets AS (SELECT *, CASE kind WHEN 'stated' THEN [concat(a, '/', a)] WHEN 'none' THEN CASE WHEN several THEN [] ELSE CASE zyg WHEN 0 THEN [concat(b, '/', b)] WHEN 1 THEN [concat(least(a, b), '/', greatest(a, b))] ELSE [concat(least(a, b), '/', greatest(a, b)), concat(b, '/', b)] END END
+    ELSE list_transform(CASE zyg WHEN 0 THEN ['hom'] WHEN 1 THEN ['het'] ELSE ['het', 'hom'] END, lambda z: CASE WHEN z = 'hom' THEN concat(CASE WHEN kind = 'indel' THEN b || 'T' ELSE b END, '/', CASE WHEN kind = 'indel' THEN b || 'T' ELSE b END)
+      ELSE concat(least(a, CASE WHEN kind = 'indel' THEN b || 'T' ELSE b END), '/', greatest(a, CASE WHEN kind = 'indel' THEN b || 'T' ELSE b END)) END) END AS genotypes FROM chosen)"""
+
+
+def _named_alleles(spark, d):
+    key, part = F.col("p_partkey"), B.table(spark, d, "part")
+    rs = F.concat(F.lit("rs"), key.cast("string"))
+    kind, named = key % 6, (key % 6).isin(1, 2)
+    source = part.select(
+        key.alias("line"), F.when(key % 10 == 0, " ").when(key % 17 == 0, F.concat(F.lit("q"), key.cast("string"))).otherwise(rs).alias("rsid"), F.col("p_brand").alias("gene"),
+        F.when(kind == 0, F.concat(B.base_at(key), B.base_at(key))).alias("genotype"), F.when(named, B.base_at(key)).alias("ref"), F.when(kind == 1, F.lower(B.base_at(key + 1))).when(kind == 2, F.concat(B.base_at(key + 1), F.lit("T"))).alias("alt"),
+        F.when(key % 3 == 0, "Homozygous").when(key % 3 == 1, "het").otherwise("both").alias("zygosity"), F.col("p_type").alias("conclusion"),
+    )
+    keep = part.filter("p_size % 2 = 0").select(rs.alias("rsid"), F.array((key + 7000).cast("string")).alias("pmids"), F.when(key % 4 == 0, "reviewed").alias("conclusion"))
+    genes = spark.createDataFrame([("Brand#3", ["81", "82"]), ("Brand#7", ["83"])], "gene string, pmids array<string>")
+    alts = F.when(key % 5 == 0, F.concat_ws("|", B.base_at(key + 1), B.base_at(key + 2))).otherwise(B.base_at(key + 1))
+    reference = part.select(rs.alias("id"), B.base_at(key).alias("ref"), alts.alias("alts"))
+    supp = F.col("s_suppkey")
+    additions = B.table(spark, d, "supplier").select(F.concat(F.lit("rs90000"), supp.cast("string")).alias("rsid"), F.lit("added").alias("gene"), F.array(F.lit("A/G"), F.lit("G/G")).alias("genotypes"), F.lit("").alias("conclusion"), F.array(F.lit("99")).alias("pmids"))
+    return P.port_named_alleles(source, keep, genes, reference, additions)
+
+
+@query("mart_08_superhuman", f"WITH {_NAMED} SELECT rsid, genotype, 'protective' AS state, CASE WHEN listed AND k % 4 = 0 THEN 'reviewed' ELSE told END AS conclusion, gene FROM (SELECT *, unnest(genotypes) AS genotype FROM sets) UNION ALL SELECT concat('rs90000', s_suppkey), unnest(['A/G', 'G/G']), 'protective', 'Beneficial variant', 'added' FROM supplier")
+def mart_08_superhuman(spark, d):
+    """Named alleles in two passes over a keep-list; genotypes as the source states them, or as the locus allows."""
+    return _named_alleles(spark, d).variants.select("rsid", "genotype", "state", "conclusion", "gene")
+
+
+@query("mart_08_superhuman_rejected", f"WITH {_NAMED} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN rsid NOT LIKE 'rs%' THEN 'invalid rsid' ELSE 'unnamed' END AS reason FROM n WHERE rsid <> '' AND NOT (rsid LIKE 'rs%' AND (listed OR (grounded AND kind = 'indel'))) UNION ALL SELECT 'ambiguous allele' FROM sets WHERE len(genotypes) = 0) GROUP BY reason")
+def mart_08_superhuman_rejected(spark, d):
+    return _named_alleles(spark, d).rejected.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("mart_09", f"SELECT key, concat('rs', key) AS variant_key, {B._CONTIG.format('key', 'MT')} AS chrom, key * 97 + 1 AS start, array_to_string(regexp_split_to_array(genotype, '[/|]'), ',') AS genotype, concat(ref, ';', 'T') AS alts FROM v_text")
 def mart_09(spark, d):
     """Authored rows, half of them by rsID and half by place, compiled: identity resolved, genotype and alternates as lists."""
