@@ -131,20 +131,58 @@ def alleles_by_rsid(resolution: DataFrame) -> DataFrame:
 
 
 def polygenic_scores(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """By sample and score: sum of dosage times weight, matched rows, match rate, and whether it is low. sizes: pgs_id, total."""
-    summed = rows.groupBy("sample", "pgs_id").agg(F.sum(F.col("dosage") * F.col("effect_weight")).alias("score"), F.countDistinct("chrom", "start").alias("matched"))
-    joined = summed.join(sizes, "pgs_id")
+    """By sample and score: sum of dosage times weight, matched rows, match rate, and whether it is low. sizes: pgs_id, total.
+
+    Rows are summed by position first, so that positions are counted by the same shuffle.
+    """
+    by_place = rows.groupBy("sample", "pgs_id", "chrom", "start").agg(F.sum(F.col("dosage") * F.col("effect_weight")).alias("part"))
+    return _rated(by_place.groupBy("sample", "pgs_id").agg(F.sum("part").alias("score"), F.count("*").alias("matched")), sizes)
+
+
+def _rated(summed: DataFrame, sizes: DataFrame) -> DataFrame:
     rate = F.col("matched") / F.col("total")
-    return joined.select("sample", "pgs_id", F.round("score", 6).alias("score"), "matched", "total", F.round(rate, 6).alias("match_rate"), (rate < 0.1).alias("low_match"))
+    return summed.join(sizes, "pgs_id").select("sample", "pgs_id", F.round("score", 6).alias("score"), "matched", "total", F.round(rate, 6).alias("match_rate"), (rate < 0.1).alias("low_match"))
 
 
-def percentiles(scores: DataFrame, distribution: DataFrame) -> DataFrame:
-    """scores (sample, pgs_id, score) with the share of the score's reference distribution at or below it."""
-    marked = distribution.select("pgs_id", "score", F.lit(None).cast("long").alias("sample"), F.lit(0).alias("kind")).unionByName(scores.select("pgs_id", "score", F.col("sample").cast("long").alias("sample"), F.lit(1).alias("kind")))
-    below = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(Window.partitionBy("pgs_id").orderBy("score", "kind").rowsBetween(Window.unboundedPreceding, 0))
+def restored_scores(rows: DataFrame, scoring: DataFrame, universe: DataFrame) -> DataFrame:
+    """As polygenic_scores, where a scoring position without a call counts as the reference's genotype: of a callset of variants only that covers a whole genome.
+
+    rows: the scoring rows with every sample's calls, as score_rows gives them; universe: chrom, start, ref. What all positions of a score add without any call is summed once, and each
+    sample's called positions take their share back, so that no table of samples times positions is made.
+    """
+    known = universe.groupBy("chrom", "start").agg(F.min("ref").alias("u_ref"))
+    base = scoring.join(known, ["chrom", "start"], "left").withColumn("base", F.when(F.col("u_ref").isNotNull(), F.when(F.col("u_ref") == F.col("effect_allele"), 2).otherwise(0) * F.col("effect_weight")))
+    whole = base.groupBy("pgs_id").agg(F.coalesce(F.sum("base"), F.lit(0.0)).alias("whole"), F.count("base").alias("known"), F.count("*").alias("total"))
+    own = base.groupBy("pgs_id", "chrom", "start").agg(F.sum("base").alias("base"))
+    by_place = rows.groupBy("sample", "pgs_id", "chrom", "start").agg(F.sum(F.col("dosage") * F.col("effect_weight")).alias("part"))
+    called = by_place.join(own, ["pgs_id", "chrom", "start"]).groupBy("sample", "pgs_id").agg(
+        F.sum("part").alias("part"), F.coalesce(F.sum("base"), F.lit(0.0)).alias("back"), F.count("*").alias("n"), F.count("base").alias("n_known")
+    )
+    joined = called.join(whole, "pgs_id").withColumns({"score": F.col("part") - F.col("back") + F.col("whole"), "matched": F.col("n") + F.col("known") - F.col("n_known")})
+    return _rated(joined.select("sample", "pgs_id", "score", "matched"), whole.select("pgs_id", "total"))
+
+
+#: Distributions of more rows are ranked by quantile sketches; k of a sketch, which errs by about 0.4 % of the rows, and the steps of the ranks that are read from it.
+EXACT_ROWS, SKETCH_K, STEPS = 100_000, 800, 500
+
+
+def percentiles(scores: DataFrame, distribution: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """scores (sample, pgs_id, score) with the share of the score's reference distribution at or below it, and whether that is exact.
+
+    Distributions of up to exact_rows are ranked row by row. Larger ones are sketches (KLL) that merge by aggregation, so that no task holds a distribution.
+    """
     total = distribution.groupBy("pgs_id").agg(F.count("*").alias("n"))
-    ranked = marked.withColumn("below", below).filter("kind = 1").join(total, "pgs_id")
-    return ranked.select("sample", "pgs_id", "score", F.round(F.col("below") / F.col("n"), 6).alias("percentile"))
+    small, big = total.filter(F.col("n") <= exact_rows), total.filter(F.col("n") > exact_rows)
+    rows = distribution.join(small.select("pgs_id"), "pgs_id", "left_semi")
+    marked = rows.select("pgs_id", "score", F.lit(None).cast("long").alias("sample"), F.lit(0).alias("kind")).unionByName(scores.select("pgs_id", "score", F.col("sample").cast("long").alias("sample"), F.lit(1).alias("kind")))
+    below = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(Window.partitionBy("pgs_id").orderBy("score", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    exact = marked.join(small, "pgs_id").withColumn("below", below).filter("kind = 1")
+    exact = exact.select("sample", "pgs_id", "score", F.round(F.col("below") / F.col("n"), 6).alias("percentile"), F.lit(True).alias("exact"))
+    sketches = distribution.join(big.select("pgs_id"), "pgs_id", "left_semi").groupBy("pgs_id").agg(F.kll_sketch_agg_double(F.col("score").cast("double"), F.lit(SKETCH_K)).alias("sketch"))
+    steps = sketches.select("pgs_id", F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)])).alias("steps"))
+    rank = F.greatest(F.size(F.filter("steps", lambda q: q <= F.col("score"))) - 1, F.lit(0)) / STEPS
+    near = scores.select(F.col("sample").cast("long").alias("sample"), "pgs_id", "score").join(steps, "pgs_id")
+    return exact.unionByName(near.select("sample", "pgs_id", "score", F.round(rank, 6).alias("percentile"), F.lit(False).alias("exact")))
 
 
 def sample_kind(n: Column) -> tuple[Column, Column]:

@@ -165,7 +165,8 @@ def problems(variants: DataFrame, studies: DataFrame) -> DataFrame:
     moved = variants.filter(~blank("rsid") & ~blank("start")).groupBy(F.col("rsid").alias("key")).agg(F.countDistinct("chrom", "start").alias("n")).filter("n > 1").select(F.lit("two_positions").alias("rule"), F.lit("error").alias("severity"), "key")
     cited = studies.groupBy(F.col("rsid").alias("key"), "pmid").count().filter("count > 1").select(F.lit("duplicate_study").alias("rule"), F.lit("error").alias("severity"), "key")
     orphans = studies.filter(~blank("rsid")).select("rsid").distinct().join(variants.select("rsid").distinct(), "rsid", "left_anti").select(F.lit("orphan_study").alias("rule"), F.lit("warning").alias("severity"), F.col("rsid").alias("key"))
-    return reduce(DataFrame.unionByName, [found, repeated, moved, cited, orphans])
+    none = studies.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("missing_studies").alias("rule"), F.lit("error").alias("severity"), F.lit("").alias("key"))
+    return reduce(DataFrame.unionByName, [found, repeated, moved, cited, orphans, none])
 
 
 def variant_key(rsid: str = "rsid", alts: str | None = None) -> Column:
@@ -180,8 +181,15 @@ def compile_weights(authored: DataFrame, reference: DataFrame) -> DataFrame:
     return filled.withColumns({"genotype": authored_genotype(F.col("genotype")), "alts": alt_alleles(F.col("alts")), "variant_key": variant_key()})
 
 
-def compile_annotations(authored: DataFrame, keys: Sequence[str] = ("variant_key", "genotype", "conclusion")) -> DataFrame:
-    """The facts of authored rows once for each of the keys, by the generation of tables that is wanted."""
+#: Keys of the annotations of each generation of tables.
+ANNOTATION_KEYS = {1: ["rsid"], 2: ["variant_key", "conclusion"], 3: ["variant_key", "genotype", "conclusion", "negatives"]}
+
+
+def compile_annotations(authored: DataFrame, generation: int = 3) -> DataFrame:
+    """The facts of authored rows once for each of the keys of a generation of tables; negatives is null where authored rows have none."""
+    keys = ANNOTATION_KEYS[generation]
+    if "negatives" not in authored.columns:
+        authored = authored.withColumn("negatives", F.lit(None).cast("string"))
     return first_per_key(authored.withColumn("variant_key", variant_key()), keys, "gene", "phenotype", "category").select(*keys, "gene", "phenotype", "category")
 
 
@@ -193,6 +201,40 @@ def content_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.sum(F.greatest("more", F.lit(0))), F.lit(0)).alias("lost"), F.coalesce(F.sum(F.greatest(-F.col("more"), F.lit(0))), F.lit(0)).alias("gained"))
 
 
+#: Buckets in which releases are compared.
+BUCKETS = 1024
+
+
+def fingerprints(df: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, rows, whole, keyed): of the rows of each bucket of keys their number and sums of hashes that don't depend on their order, of the columns and of the keys alone."""
+    told = lambda cs: F.xxhash64(*[x for c in cs for x in (F.col(c), F.col(c).isNull())])  # noqa: E731  a null hashes to nothing by itself
+    added = lambda h: F.sum(h.cast("decimal(38,0)"))
+    rows = df.select(told(keys).alias("k"), told(columns).alias("h"), F.xxhash64(F.lit("again"), told(columns)).alias("g"))
+    return rows.groupBy(F.pmod("k", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("rows"), F.struct(added(F.col("h")), added(F.col("g"))).alias("whole"), added(F.xxhash64("k")).alias("keyed"))
+
+
+def release_delta(before: DataFrame, after: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """One row on two releases of a table: rows, columns added and removed, whether the columns are a superset and the keys the same, buckets that differ, and rows lost and gained.
+
+    Both are read once for their fingerprints; only the rows of the buckets that differ are read again and compared, none where the releases are equal.
+    """
+    common = [c for c in before.columns if c in after.columns]
+    a, b = (fingerprints(df, keys, common, buckets) for df in (before, after))
+    both = a.alias("a").join(b.alias("b"), "bucket", "full")
+    differ = ~F.col("a.whole").eqNullSafe(F.col("b.whole")) | ~F.col("a.rows").eqNullSafe(F.col("b.rows"))
+    facts = both.select("bucket", F.col("a.rows").alias("x"), F.col("b.rows").alias("y"), differ.alias("differ"), F.col("a.keyed").eqNullSafe(F.col("b.keyed")).alias("keyed")).collect()  # a row a bucket
+    changed = [r["bucket"] for r in facts if r["differ"]]
+    one = before.sparkSession.createDataFrame(
+        [(sum(r["x"] or 0 for r in facts), sum(r["y"] or 0 for r in facts), ",".join(sorted(set(after.columns) - set(before.columns))), ",".join(sorted(set(before.columns) - set(after.columns))),
+          set(before.columns) <= set(after.columns), all(r["keyed"] for r in facts), len(changed))],
+        "rows_before long, rows_after long, added string, removed string, superset boolean, same_keys boolean, buckets_changed int",
+    )
+    if not changed:
+        return one.withColumns({"lost": F.lit(0).cast("long"), "gained": F.lit(0).cast("long")})
+    of = F.pmod(F.xxhash64(*[x for c in keys for x in (F.col(c), F.col(c).isNull())]), F.lit(buckets)).isin(changed)
+    return one.crossJoin(content_delta(before.filter(of).select(*common), after.filter(of).select(*common)))  # one row each
+
+
 def compile_studies(studies: DataFrame, reference: DataFrame) -> DataFrame:
     """Authored studies (rsid or place, pmid as text, conclusion) by variant_key: one row for each accepted article number and variant, identity resolved.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,23 @@ def quality_filter(df: DataFrame, passing: Sequence[str] = (), depth: float = 0,
     return df if condition is None else df.filter(condition)
 
 
+class Accounted(NamedTuple):
+    """kept: the rows that pass, as they were written; account: rows before, after and removed."""
+
+    kept: DataFrame
+    account: DataFrame
+
+
+def accounted(df: DataFrame, path: str, by: str, passing: Sequence[str] = (), depth: float = 0, quality: float = 0) -> Accounted:
+    """Writes df with the filter's verdict to path, in folders by verdict, so that one pass both filters and accounts: what passes is read from its own folder."""
+    condition = quality_condition(df, passing, depth, quality)
+    passes = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
+    df.withColumn("passes", passes).write.mode("overwrite").option("compression", "zstd").partitionBy("passes").parquet(path)
+    done = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("passes", T.BooleanType())])).parquet(path)
+    account = done.groupBy(by).agg(F.count("*").alias("before"), F.count_if("passes").alias("after"), F.count_if(~F.col("passes")).alias("removed"))
+    return Accounted(done.filter("passes").drop("passes"), account)
+
+
 def only_rs(df: DataFrame) -> DataFrame:
     return df.filter(F.col("rsid").startswith("rs"))
 

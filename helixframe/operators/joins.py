@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.genotypes import genotype_key
+
 
 def suffix_join(left: DataFrame, right: DataFrame, on: Sequence[str], suffix: str, how: str = "left") -> DataFrame:
     """An equality join that keeps left's columns and gives right's columns of equal name a suffix."""
@@ -136,6 +138,24 @@ def enrich(weights: DataFrame, annotations: DataFrame, on: Sequence[str], dedup:
     return suffix_join(weights, right, on, "annotation")
 
 
+def annotations_keying(weights: DataFrame, annotations: DataFrame) -> str:
+    """How annotations are told apart: by genotype where both sides have variant_key and a genotype, weights' one as an array; else by variant_key; else by rsid."""
+    w, a = dict(weights.dtypes), set(annotations.columns)
+    if "variant_key" in w and "variant_key" in a:
+        return "genotype" if "genotype" in a and w.get("genotype") == "array<string>" else "variant_key"
+    return "rsid"
+
+
+def with_annotations(weights: DataFrame, annotations: DataFrame) -> DataFrame:
+    """weights with gene, category and phenotype of annotations, keyed as annotations_keying says. By genotype, every annotation counts; the other keyings take one a key, so that no row multiplies."""
+    keying = annotations_keying(weights, annotations)
+    if keying != "genotype":
+        return enrich(weights, annotations, [keying], dedup=True)
+    phased = F.col("phased") if "phased" in weights.columns else F.lit(False)
+    keyed = weights.withColumn("__authored", genotype_key(F.col("genotype"), phased))
+    return enrich(keyed, annotations.withColumnRenamed("genotype", "__authored"), ["variant_key", "__authored"], dedup=False).drop("__authored")
+
+
 def wide_export(base: DataFrame, modules: dict[str, DataFrame], on: Sequence[str]) -> DataFrame:
     """base with every module's columns under the module's name, one row a key of each module."""
     for name, module in modules.items():

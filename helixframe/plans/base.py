@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contigs import fold_contig
 from ..functions.genotypes import authored_genotype, genotype_from_gt, state_of
+from ..operators.aggregates import LEAST_BREADTH
 from ..operators.filters import quality_filter
 from ..sources.prepared import prepare
 from ..sources.scratch import scratch
@@ -178,3 +179,11 @@ VIEWS = {
     "v_annotated": """SELECT c.*, l.rsid AS rsid_core, l.ref AS ref_core, l.weight, l.state, l.module, l.gene, l.category FROM v_probed c LEFT JOIN v_lead l
       ON c.chrom = l.chrom AND c.start = l.start AND c.genotype = l.genotype WHERE l.ref IS NULL OR l.ref = c.ref""",
 }
+
+#: A callset counts as a whole genome from so many sites on; the tables here are small.
+RUN_SITES = 100
+#: Views of whether rows of a callset may be restored: variants only, enough sites, wide coverage.
+ENABLED = f"""gaps AS (SELECT chrom, start, start - lag(start) OVER (PARTITION BY chrom ORDER BY start) AS gap FROM (SELECT DISTINCT chrom, start FROM v_calls WHERE regexp_full_match(chrom, '[0-9]+|X|Y|MT'))),
+  spans AS (SELECT count(*) AS n, sum(least(gap, {2 * FLANK})) AS covered, max(start) - min(start) AS span FROM gaps GROUP BY chrom),
+  facts AS (SELECT coalesce(sum(n), 0) >= {RUN_SITES} AND CASE WHEN sum(span) > 0 THEN sum(covered) / sum(span) ELSE 0 END >= {LEAST_BREADTH}
+    AND NOT (SELECT coalesce(bool_or(contains(alt, 'NON_REF') OR contains(filter, 'RefCall')), false) FROM v_calls) AS enabled FROM spans)"""

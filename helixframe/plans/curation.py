@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import contigs as C
 from ..functions import genotypes as G
 from ..functions import literature as T
 from ..operators import aggregates as A
 from ..operators import curate as U
+from ..operators import filters as L
 from ..operators import joins as J
+from ..operators import panels as N
 from ..operators import ports as P
 from ..sources import tables, vcf
 from ..sources.scratch import scratch
 from ..streaming import arrivals
 from . import base as B
 from .base import query
+from .normalise import level
 
 _HEAD = [
     "##fileformat=VCFv4.2", '##INFO=<ID=END,Number=1,Type=Integer,Description="end">', '##INFO=<ID=SRC,Number=1,Type=String,Description="source">',
@@ -50,6 +54,14 @@ def src_01(spark, d):
     return _read(vcf.read_vcf(spark, _vcf_text(spark, d)))
 
 
+@query("mart_00", "SELECT c.sample, c.chrom, array_to_string(c.genotype, '/') AS genotype, count(*) AS n, any_value(b.before) AS before FROM v_calls c JOIN (SELECT sample, count(*) AS before FROM v_callset GROUP BY sample) b ON c.sample = b.sample GROUP BY ALL")
+def mart_00(spark, d):
+    """A callset normalised: VCF text read, contigs folded, genotypes computed, quality filtered with its accounting, written by sample and read back."""
+    raw = vcf.read_vcf(spark, _vcf_text(spark, d)).withColumns({"chrom": C.fold_contig(F.col("chrom")), "sample": F.substr("SRC", F.lit(2)).cast("bigint")})
+    whole = L.accounted(raw, scratch(spark, "normalised"), "sample", **B.FILTERS)
+    return whole.kept.groupBy("sample", "chrom", F.array_join("genotype", "/").alias("genotype")).agg(F.count("*").alias("n")).join(whole.account.select("sample", "before"), "sample")
+
+
 @query("src_02", "SELECT 'AD,DP,GT,SRC' AS columns, count(*) AS n FROM v_callset")
 def src_02(spark, d):
     path = _vcf_text(spark, d)
@@ -293,20 +305,19 @@ def ag_26(spark, d):
     return U.table_delta(before, before.filter("weight > 0").drop("gene").withColumn("tier", F.lit("")))
 
 
-@query("mart_13", "SELECT (SELECT count(*) FROM v_lead) AS rows_before, (SELECT count(*) FROM v_lead) AS rows_after, '' AS added, '' AS removed, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained")
+@query("mart_13", "SELECT count(*) AS rows_before, count(*) AS rows_after, '' AS added, '' AS removed, true AS superset, true AS same_keys, 0 AS buckets_changed, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained FROM v_lead")
 def mart_13(spark, d):
-    """A table written and read back keeps its rows, columns and contents."""
+    """A table written and read back keeps its rows, columns and contents: both are read once, for their fingerprints."""
     before = B.lead(spark, d)
-    after = tables.write_table(before, scratch(spark, "round-trip"))
-    return U.table_delta(before, after).crossJoin(U.content_delta(before, after))  # one row each
+    return U.release_delta(before, tables.write_table(before, scratch(spark, "round-trip")), ["key"])
 
 
-@query("mart_13_changed", "SELECT count(*) FILTER (key % 4 = 0) + count(*) FILTER (key % 9 = 0 AND key % 4 <> 0) AS lost, count(*) FILTER (key % 4 = 0 AND key % 9 <> 0) AS gained FROM v_lead")
+@query("mart_13_changed", "SELECT count(*) AS rows_before, count(*) FILTER (key % 9 <> 0) AS rows_after, 'tier' AS added, 'gene' AS removed, false AS superset, false AS same_keys, count(*) FILTER (key % 4 = 0 OR key % 9 = 0) AS lost, count(*) FILTER (key % 4 = 0 AND key % 9 <> 0) AS gained FROM v_lead")
 def mart_13_changed(spark, d):
-    """Two releases: the later one has other weights for some rows and lacks others."""
+    """Two releases: the later one has other weights for some rows, lacks others and a column, and has a new one."""
     before = B.lead(spark, d)
-    after = before.filter("key % 9 <> 0").withColumn("weight", F.when(F.col("key") % 4 == 0, F.col("weight") + 100).otherwise(F.col("weight")))
-    return U.content_delta(before, after)
+    after = before.filter("key % 9 <> 0").withColumns({"weight": F.when(F.col("key") % 4 == 0, F.col("weight") + 100).otherwise(F.col("weight")), "tier": F.lit("")}).drop("gene")
+    return U.release_delta(before, after, ["key"]).drop("buckets_changed")
 
 
 @query("wn_02", "SELECT gene, min(key) AS key FROM v_lead GROUP BY gene")
@@ -358,21 +369,68 @@ def st_06(spark, d):
     return B.lead(spark, d).select("rsid", "gene").unionByName(extra)
 
 
-@query("mart_06", "WITH k AS (SELECT *, concat('rs', record_id) AS rsid FROM v_clinvar WHERE sig LIKE 'Patho%' AND stars >= 1 AND regexp_full_match(alt, '[ACGT]+') AND ref <> alt AND upper(gene) IN ('BRAND#2', 'BRAND#7', 'BRAND#11', 'BRAND#19')), g AS (SELECT rsid, gene, unnest(CASE WHEN chrom IN ('Y', 'MT') THEN [''] ELSE [concat(least(ref, alt), '/', greatest(ref, alt)), concat(alt, '/', alt)] END) AS genotype FROM k) SELECT gene, count(*) AS rows_, count(DISTINCT rsid) AS variants FROM g GROUP BY gene")
+_PANEL_RECORDS = """k AS (SELECT *, CASE WHEN record_id % 3 = 0 THEN concat('rs', record_id % 30) ELSE concat('rs', record_id) END AS rsid FROM v_clinvar WHERE sig LIKE 'Patho%' AND stars >= 1 AND upper(gene) IN ('BRAND#2', 'BRAND#7', 'BRAND#11', 'BRAND#19', 'BRAND#3', 'BRAND#9')),
+  fit AS (SELECT * FROM k WHERE regexp_full_match(alt, '[ACGT]+') AND ref <> alt),
+  lost AS (SELECT rsid FROM fit GROUP BY rsid HAVING count(DISTINCT (chrom, start, ref, alt)) > 1),
+  named AS (SELECT fit.*, lost.rsid IS NOT NULL AS several, CASE WHEN lost.rsid IS NULL THEN fit.rsid ELSE concat_ws(':', chrom, start, ref, alt) END AS identity FROM fit LEFT JOIN lost ON fit.rsid = lost.rsid),
+  grown AS (SELECT identity, CASE WHEN NOT several THEN rsid END AS rsid, upper(gene) AS gene, unnest(CASE WHEN chrom IN ('Y', 'MT') THEN [''] ELSE [concat(least(ref, alt), '/', greatest(ref, alt)), concat(alt, '/', alt)] END) AS genotype FROM named),
+  cites AS (SELECT DISTINCT rsid AS variant, pmid FROM v_studies WHERE rsid IN (SELECT rsid FROM grown WHERE rsid IS NOT NULL)),
+  capped AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY pmid) AS n FROM cites)"""
+
+
+def _gene_panel(spark, d):
+    records = B.clinvar(spark, d)
+    rsid = F.when(F.col("record_id") % 3 == 0, F.concat(F.lit("rs"), (F.col("record_id") % 30).cast("string"))).otherwise(T.first_rs(F.col("info")))
+    genes = spark.createDataFrame([(g,) for g in ("Brand#2", "brand#7", "BRAND#11", "Brand#19", "old3", "typo", "unknown")], "gene string")
+    official = B.table(spark, d, "part").select(F.col("p_brand").alias("symbol")).unionByName(spark.createDataFrame([("Brand#3",), ("Brand#9",), ("Brand#2",), ("Brand#19",)], "symbol string")).distinct()
+    curated = spark.createDataFrame([("typo", "Brand#9")], "gene string, symbol string")
+    synonyms = spark.createDataFrame([("old3", "Brand#3")], "synonym string, symbol string")
+    cited = B.studies(spark, d).filter("rsid IS NOT NULL").select("rsid", "pmid")
+    return N.build_panel(records.withColumns({"rsid": rsid, "genes": F.array("gene")}), genes, curated, official, synonyms, cited, 1, 2)
+
+
+@query("mart_06", f"WITH {_PANEL_RECORDS} SELECT gene, count(*) AS rows_, count(DISTINCT identity) AS variants, count(DISTINCT rsid) AS by_rsid FROM grown GROUP BY gene")
 def mart_06(spark, d):
-    """A gene panel: pathogenic records of its genes, of enough stars and fit alleles, with their genotypes filled."""
-    info = F.col("info")
-    records = B.clinvar(spark, d).filter(T.has_pathogenic(T.info_value(info, "CLNSIG")) & (F.col("stars") >= 1) & G.allele_rejection(F.col("ref"), F.col("alt")).isNull())
-    panel = spark.createDataFrame([(g,) for g in ("Brand#2", "brand#7", "BRAND#11", "Brand#19", "unknown")], "gene string")
-    chosen = J.members_of_panel(records.withColumn("genes", F.array("gene")), panel).withColumns({"rsid": T.first_rs(info), "genotype": F.lit("")})
-    return U.fill_genotypes(chosen).groupBy("gene").agg(F.count("*").alias("rows_"), F.countDistinct("rsid").alias("variants"))
+    """A gene panel: symbols reconciled, pathogenic records of its genes, of enough stars and fit alleles, rsIDs that name several places told by coordinate, genotypes filled."""
+    return _gene_panel(spark, d).variants.groupBy("gene").agg(F.count("*").alias("rows_"), F.countDistinct("identity").alias("variants"), F.countDistinct("rsid").alias("by_rsid"))
+
+
+@query("mart_06_studies", f"WITH {_PANEL_RECORDS} SELECT variant, coalesce(array_to_string(list_sort(list(pmid) FILTER (n <= 2)), ','), '') AS kept, count(*) FILTER (n > 2) AS dropped, CAST(0 AS BIGINT) AS unsound FROM capped GROUP BY variant")
+def mart_06_studies(spark, d):
+    return _gene_panel(spark, d).studies
+
+
+@query("mart_06_counters", f"""WITH {_PANEL_RECORDS} SELECT 'symbols changed' AS name, 2 AS n UNION ALL SELECT 'symbols unresolved', 1 + (SELECT count(*) FROM (VALUES ('brand#7'), ('BRAND#11')) t(x)) UNION ALL SELECT 'records in panel', count(*) FROM k
+  UNION ALL SELECT 'identities by coordinate', count(*) FROM lost UNION ALL SELECT 'variants', count(DISTINCT identity) FROM grown UNION ALL SELECT 'rows', count(*) FROM grown
+  UNION ALL SELECT 'citations dropped', count(*) FILTER (n > 2) FROM capped UNION ALL SELECT 'rejected: not_acgt', count(*) FROM k WHERE NOT regexp_full_match(alt, '[ACGT]+') HAVING count(*) > 0
+  UNION ALL SELECT 'rejected: same_allele', count(*) FROM k WHERE regexp_full_match(alt, '[ACGT]+') AND ref = alt HAVING count(*) > 0""")
+def mart_06_counters(spark, d):
+    return _gene_panel(spark, d).counters
+
+
+_TOLD = "CASE WHEN p_partkey % 2 = 0 THEN concat('slashed ', p_type) WHEN p_partkey % 3 = 0 THEN concat('bare ', p_type) END"
 
 
-@query("mart_07", "SELECT p_brand AS gene, count(*) AS annotations, count(DISTINCT p_name) AS drugs FROM part WHERE p_size % 7 < 4 GROUP BY p_brand")
+def _drug_annotations(spark, d):
+    key = F.col("p_partkey")
+    genotype = F.concat_ws("/", F.least(B.base_at(key), B.base_at(key + 1)), F.greatest(B.base_at(key), B.base_at(key + 1)))
+    part = B.table(spark, d, "part").select(key.alias("annotation_id"), genotype.alias("genotype"), F.col("p_brand").alias("gene"), F.col("p_name").alias("drug"), level().alias("level"), "p_type")
+    rows = part.drop("p_type")
+    slashed = part.filter("annotation_id % 2 = 0").select("annotation_id", "genotype", F.concat(F.lit("slashed "), "p_type").alias("text"))
+    bare = part.filter("annotation_id % 3 = 0").select("annotation_id", F.regexp_replace("genotype", "/", "").alias("genotype"), F.concat(F.lit("bare "), "p_type").alias("text"))
+    return N.build_drug_annotations(rows, slashed.unionByName(bare))
+
+
+@query("mart_07", f"SELECT p_brand AS gene, count(*) AS annotations, count(DISTINCT p_name) AS drugs, count({_TOLD}) AS told, count(DISTINCT {_TOLD}) AS texts FROM part WHERE p_size % 7 < 4 GROUP BY p_brand")
 def mart_07(spark, d):
-    rows = B.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("drug"), F.col("p_brand").alias("gene"), F.when(F.col("p_size") % 7 < 4, "2A").otherwise("3").alias("level"))
-    kept = rows.filter(G.evidence_rank(F.col("level")) >= G.evidence_rank(F.lit("2B")))
-    return kept.withColumn("text", T.trimmed(F.col("drug"))).groupBy("gene").agg(F.count("*").alias("annotations"), F.countDistinct("text").alias("drugs"))
+    """Drug annotations of enough evidence, with the text of their genotype."""
+    told, _ = _drug_annotations(spark, d)
+    return told.groupBy("gene").agg(F.count("*").alias("annotations"), F.countDistinct("drug").alias("drugs"), F.count("text").alias("told"), F.countDistinct("text").alias("texts"))
+
+
+@query("mart_07_counters", f"SELECT count(DISTINCT p_partkey) AS annotations, count(DISTINCT p_name) AS drugs, count(DISTINCT p_brand) AS genes, count({_TOLD}) AS texts FROM part WHERE p_size % 7 < 4")
+def mart_07_counters(spark, d):
+    return _drug_annotations(spark, d)[1]
 
 
 @query("mart_08", "SELECT rsid, genotype, weight, state FROM (SELECT rsid, genotype, weight, CASE WHEN weight > 0 THEN 'protective' WHEN weight < 0 THEN 'risk' ELSE 'neutral' END AS state, row_number() OVER (PARTITION BY rsid, genotype ORDER BY weight) AS n FROM (SELECT concat('rs', p_partkey % 300) AS rsid, concat(least(a, b), '/', greatest(a, b)) AS genotype, CAST(p_size - 25 AS DOUBLE) / CAST(10 AS DOUBLE) AS weight FROM (SELECT *, " + B._A + " AS a, " + B._B + " AS b FROM part))) WHERE n = 1")
@@ -505,32 +563,60 @@ def mart_09_studies(spark, d):
     return U.compile_studies(authored, B.reference(spark, d))
 
 
-@query("mart_09_annotations", "SELECT rsid AS variant_key, genotype, state AS conclusion, gene, category FROM v_text")
+@query("mart_09_annotations", "SELECT rsid AS variant_key, genotype, state AS conclusion, CASE WHEN key % 3 = 0 THEN 'none' END AS negatives, gene, category FROM v_text UNION ALL SELECT rsid, genotype, state, 'smokers', gene, category FROM v_text WHERE key % 4 = 0")
 def mart_09_annotations(spark, d):
-    rows = B.lead_text(spark, d).withColumns({"conclusion": F.col("state"), "phenotype": F.lit(None).cast("string")})
-    return U.compile_annotations(rows.unionByName(rows)).drop("phenotype")
-
-
-@query("mart_10", """SELECT rule, severity, count(*) AS n FROM (
-  SELECT 'unsorted_genotype' AS rule, 'error' AS severity FROM v_text WHERE contains(genotype, '/') AND key % 8 = 0 AND genotype[1] <> genotype[3]
-  UNION ALL SELECT 'bad_rsid', 'error' FROM v_text WHERE key % 9 = 0
-  UNION ALL SELECT 'positive_risk', 'warning' FROM v_text WHERE state = 'risk' AND key % 4 = 0
-  UNION ALL SELECT 'orphan_study', 'warning' FROM (SELECT DISTINCT rsid FROM v_studies WHERE rsid IS NOT NULL AND rsid NOT IN (SELECT rsid FROM v_text WHERE key % 9 <> 0))) GROUP BY ALL""")
+    """Facts of authored rows once for each variant, genotype, conclusion and negatives."""
+    rows = B.lead_text(spark, d).withColumns({"conclusion": F.col("state"), "phenotype": F.lit(None).cast("string"), "negatives": F.when(F.col("key") % 3 == 0, "none")})
+    other = rows.filter("key % 4 = 0").withColumn("negatives", F.lit("smokers"))
+    return U.compile_annotations(rows.unionByName(rows).unionByName(other)).drop("phenotype")
+
+
+_ODD = """v AS (SELECT key, CASE WHEN key % 29 = 0 THEN '' WHEN key % 9 = 0 THEN concat('x', rsid) ELSE rsid END AS rsid, CASE WHEN key % 29 = 0 THEN '' WHEN key % 31 = 0 THEN '99' ELSE chrom END AS chrom,
+    CASE WHEN key % 29 = 0 OR key % 23 = 0 THEN '' ELSE CAST(start AS VARCHAR) END AS start, CASE WHEN contains(genotype, '/') AND key % 8 = 0 THEN reverse(genotype) ELSE genotype END AS genotype,
+    CASE WHEN key % 4 = 0 AND state = 'risk' THEN 7 WHEN key % 4 = 0 AND state = 'protective' THEN -7 ELSE weight END AS weight, CASE WHEN key % 37 = 0 THEN 'odd' ELSE state END AS state FROM v_text),
+  twice AS (SELECT key, rsid, chrom, start, genotype FROM v UNION ALL SELECT key, rsid, chrom, start, genotype FROM v WHERE key % 41 = 0 UNION ALL SELECT key, rsid, chrom, CAST(CAST(start AS BIGINT) + 1 AS VARCHAR), 'moved' FROM v WHERE key % 43 = 0 AND start <> ''),
+  every AS (SELECT * FROM v UNION ALL SELECT * FROM v WHERE key % 41 = 0 UNION ALL SELECT key, rsid, chrom, CAST(CAST(start AS BIGINT) + 1 AS VARCHAR), 'moved', NULL, '' FROM v WHERE key % 43 = 0 AND start <> ''),
+  named AS (SELECT *, CASE WHEN rsid <> '' THEN rsid ELSE concat(chrom, ':', start) END AS name FROM every)"""
+
+
+@query("mart_10", f"""WITH {_ODD} SELECT rule, severity, count(*) AS n FROM (
+  SELECT 'unsorted_genotype' AS rule, 'error' AS severity FROM every WHERE contains(genotype, '/') AND list_sort(string_split(genotype, '/')) <> string_split(genotype, '/')
+  UNION ALL SELECT 'bad_rsid', 'error' FROM every WHERE rsid LIKE 'x%' UNION ALL SELECT 'unknown_state', 'error' FROM every WHERE state = 'odd' UNION ALL SELECT 'unknown_contig', 'error' FROM every WHERE chrom = '99'
+  UNION ALL SELECT 'no_identifier', 'error' FROM every WHERE rsid = '' AND chrom = '' AND start = '' UNION ALL SELECT 'partial_position', 'error' FROM every WHERE (chrom = '') <> (start = '')
+  UNION ALL SELECT 'positive_risk', 'warning' FROM every WHERE state = 'risk' AND weight > 0 UNION ALL SELECT 'negative_protective', 'warning' FROM every WHERE state = 'protective' AND weight < 0
+  UNION ALL SELECT 'duplicate_variant', 'error' FROM (SELECT name, genotype FROM named GROUP BY ALL HAVING count(*) > 1)
+  UNION ALL SELECT 'two_positions', 'error' FROM (SELECT rsid FROM every WHERE rsid <> '' AND start <> '' GROUP BY rsid HAVING count(DISTINCT (chrom, start)) > 1)
+  UNION ALL SELECT 'duplicate_study', 'error' FROM (SELECT rsid, pmid FROM (SELECT rsid, pmid FROM v_studies UNION ALL SELECT rsid, pmid FROM v_studies WHERE CAST(pmid AS BIGINT) % 50 = 0) GROUP BY ALL HAVING count(*) > 1)
+  UNION ALL SELECT 'orphan_study', 'warning' FROM (SELECT DISTINCT rsid FROM v_studies WHERE rsid IS NOT NULL AND rsid NOT IN (SELECT rsid FROM every))) GROUP BY ALL""")
 def mart_10(spark, d):
+    """Every rule of the checks of authored tables, on rows that breach each of them."""
     k = F.col("key")
+    none = k % 29 == 0
     swapped = F.when(F.col("genotype").contains("/") & (k % 8 == 0), F.reverse("genotype")).otherwise(F.col("genotype"))
+    fourth = k % 4 == 0
+    weight = F.when(fourth & (F.col("state") == "risk"), "7").when(fourth & (F.col("state") == "protective"), "-7").otherwise(F.col("weight").cast("string"))
     rows = B.lead_text(spark, d).select(
-        F.when(k % 9 == 0, F.concat(F.lit("x"), "rsid")).otherwise(F.col("rsid")).alias("rsid"), "chrom", F.col("start").cast("string").alias("start"), swapped.alias("genotype"),
-        F.when((k % 4 == 0) & (F.col("state") == "risk"), "7").otherwise(F.col("weight").cast("string")).alias("weight"), "state",
-    )
-    return U.problems(rows, B.studies(spark, d).select("rsid", "pmid")).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+        "key", F.when(none, "").when(k % 9 == 0, F.concat(F.lit("x"), "rsid")).otherwise(F.col("rsid")).alias("rsid"), F.when(none, "").when(k % 31 == 0, "99").otherwise(F.col("chrom")).alias("chrom"),
+        F.when(none | (k % 23 == 0), "").otherwise(F.col("start").cast("string")).alias("start"), swapped.alias("genotype"), weight.alias("weight"), F.when(k % 37 == 0, "odd").otherwise(F.col("state")).alias("state"),
+    )
+    moved = rows.filter("key % 43 = 0 AND start <> ''").withColumns({"start": (F.col("start").cast("bigint") + 1).cast("string"), "genotype": F.lit("moved"), "weight": F.lit(None).cast("string"), "state": F.lit("")})
+    studies = B.studies(spark, d).select("rsid", "pmid")
+    studies = studies.unionByName(studies.filter(F.col("pmid").cast("bigint") % 50 == 0))
+    return U.problems(rows.unionByName(rows.filter("key % 41 = 0")).unionByName(moved).drop("key"), studies).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query("mart_10_without_studies", "SELECT 'missing_studies' AS rule, 'error' AS severity, count(*) AS n FROM (SELECT 1 FROM v_text LIMIT 1)")
+def mart_10_without_studies(spark, d):
+    """Sound rows without any study."""
+    rows = B.lead_text(spark, d).filter(~F.col("genotype").contains("/")).select("rsid", "chrom", F.col("start").cast("string").alias("start"), "genotype", F.col("weight").cast("string").alias("weight"), "state")
+    return U.problems(rows, B.studies(spark, d).select("rsid", "pmid").limit(0)).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
 def _drop_folder(spark, d):
     """VCF text of each sample under a folder of its user, as samples arrive."""
     path = scratch(spark, "arrivals")
     dot = F.coalesce("rsid", F.lit("."))
-    line = F.concat_ws("\t", "chrom", F.col("start").cast("string"), dot, "ref", F.replace("alt", F.lit("|"), F.lit(",")), F.col("qual").cast("string"), "filter", F.lit("."), F.lit("GT"), "gt")
+    line = F.concat_ws("\t", "chrom", F.col("start").cast("string"), dot, "ref", F.replace("alt", F.lit("|"), F.lit(",")), F.col("qual").cast("string"), "filter", F.concat(F.lit("DP="), F.col("dp").cast("string")), F.lit("GT"), "gt")
     B.callset(spark, d).select(F.concat(F.lit("user"), F.col("sample").cast("string")).alias("user"), line.alias("value")).repartition("user").write.partitionBy("user").text(path)
     return path
 
@@ -546,10 +632,21 @@ def str_01(spark, d):
     return spark.read.schema("sample string, value string").parquet(out).groupBy(user.alias("n_sample")).agg(F.count("*").alias("n"))
 
 
-@query("str_02", "SELECT c.sample AS n_sample, count(*) AS written, count(l.module) AS matched FROM (SELECT *, " + B._GENOTYPE + " AS genotype FROM (SELECT * REPLACE (CASE substr(chrom, 4) WHEN 'M' THEN 'MT' ELSE substr(chrom, 4) END AS chrom) FROM v_callset)) c LEFT JOIN v_lead l ON c.chrom = l.chrom AND c.start = l.start AND c.genotype = l.genotype WHERE (l.ref IS NULL OR l.ref = c.ref) AND EXISTS (SELECT 1 FROM v_lead p WHERE p.chrom = c.chrom AND p.start = c.start) GROUP BY c.sample")
+@query("str_02", "SELECT sample AS n_sample, 'core' AS module, count(*) AS written, count(module) AS matched FROM v_annotated GROUP BY sample UNION ALL SELECT sample, 'risks', count(*), count(module) FROM v_annotated a WHERE EXISTS (SELECT 1 FROM v_lead l WHERE l.state = 'risk' AND l.chrom = a.chrom AND l.start = a.start) GROUP BY sample")
 def str_02(spark, d):
-    """New samples normalised and annotated batch by batch into a table partitioned by sample."""
+    """New samples normalised, quality-filtered and annotated with all modules, batch by batch; each batch leaves its rows and its outcomes."""
     out, done = scratch(spark, "annotated-samples"), scratch(spark, "checkpoint")
-    arrivals.annotate_arrivals(spark, _drop_folder(spark, d), B.lead(spark, d), "core", out, done).awaitTermination()
+    lead = B.lead(spark, d)
+    readers = {"core": lambda: lead, "risks": lambda: lead.filter("state = 'risk'"), "lost": lambda: tables.module_table(spark, scratch(spark, "missing"))}
+    arrivals.annotate_arrivals(spark, _drop_folder(spark, d), readers, out, done, B.FILTERS).awaitTermination()
     user = F.regexp_extract("sample", r"user=user([0-9]+)/", 1).cast("bigint")
-    return spark.read.parquet(out).groupBy(user.alias("n_sample")).agg(F.count("*").alias("written"), F.count("module").alias("matched"))
+    return arrivals.arrived(spark, out).groupBy(user.alias("n_sample"), F.col("run_module").alias("module")).agg(F.count("*").alias("written"), F.count("module").alias("matched"))
+
+
+@query("str_02_outcomes", "SELECT module, kind, reason, CAST(coalesce(written, 0) AS BIGINT) AS written FROM (VALUES ('core', 'ok', NULL), ('lost', 'failed', 'PATH_NOT_FOUND')) m(module, kind, reason) LEFT JOIN (SELECT 'core' AS module, count(*) AS written FROM v_annotated) USING (module)")
+def str_02_outcomes(spark, d):
+    """The outcomes of all batches, summed by module."""
+    out, done = scratch(spark, "annotated-samples"), scratch(spark, "checkpoint")
+    lead = B.lead(spark, d)
+    arrivals.annotate_arrivals(spark, _drop_folder(spark, d), {"core": lambda: lead, "lost": lambda: tables.module_table(spark, scratch(spark, "missing"))}, out, done, B.FILTERS).awaitTermination()
+    return arrivals.outcomes(spark, out).groupBy("module", "kind", "reason").agg(F.sum("written").alias("written"))

@@ -111,11 +111,21 @@ def src_15(spark, d):
     return B.reference(spark, d).filter("score > 950").select("chrom", "start", "ref", "alt")
 
 
-@query("jn_11", "WITH a AS (SELECT key, gene, category FROM v_lead UNION ALL SELECT key, concat(gene, 'x'), category FROM v_lead WHERE key % 2 = 0) SELECT l.key, l.weight, x.gene, x.category FROM v_lead l JOIN (SELECT key, min(gene) AS gene, min(category) AS category FROM a GROUP BY key) x ON l.key = x.key")
+@query("jn_11", """WITH l AS (SELECT t.key, t.rsid, t.genotype AS authored, t.gene, t.category, t.weight FROM v_text t),
+  a AS (SELECT rsid, authored, gene, category FROM l UNION ALL SELECT rsid, authored, concat(gene, 'x'), category FROM l WHERE key % 2 = 0 UNION ALL SELECT rsid, 'Z/Z', concat('a', gene), category FROM l WHERE key % 3 = 0),
+  one AS (SELECT rsid, min(gene) AS gene, min(category) AS category FROM a GROUP BY rsid),
+  g AS (SELECT l.*, CASE WHEN contains(authored, '|') THEN authored ELSE array_to_string(list_sort(string_split(authored, '/')), '/') END AS gkey FROM l)
+  SELECT 'genotype' AS keying, g.key, g.weight, a.gene, a.category FROM g LEFT JOIN a ON g.rsid = a.rsid AND g.gkey = a.authored
+  UNION ALL SELECT k.keying, l.key, l.weight, one.gene, one.category FROM l LEFT JOIN one USING (rsid), (VALUES ('variant_key'), ('rsid')) k(keying)""")
 def jn_11(spark, d):
-    lead = B.lead(spark, d)
-    notes = lead.select("key", "gene", "category").unionByName(lead.filter("key % 2 = 0").select("key", F.concat("gene", F.lit("x")).alias("gene"), "category"))
-    return J.enrich(lead.select("key", "weight"), notes, ["key"], dedup=True).select("key", "weight", "gene", "category")
+    """Annotations by each of the three keyings, which their columns decide."""
+    text = B.lead_text(spark, d)
+    notes = text.select("key", F.col("rsid").alias("variant_key"), "rsid", "genotype", "gene", "category")
+    notes = notes.unionByName(notes.filter("key % 2 = 0").withColumn("gene", F.concat("gene", F.lit("x")))).unionByName(notes.filter("key % 3 = 0").withColumns({"gene": F.concat(F.lit("a"), "gene"), "genotype": F.lit("Z/Z")})).drop("key")
+    weights = text.select("key", F.col("rsid").alias("variant_key"), "rsid", G.authored_genotype(F.col("genotype")).alias("genotype"), F.col("genotype").contains("|").alias("phased"), "weight")
+    ways = [(weights, notes), (weights, notes.drop("genotype")), (weights.drop("variant_key"), notes)]
+    shown = [J.with_annotations(w, a).select(F.lit(J.annotations_keying(w, a)).alias("keying"), "key", "weight", "gene", "category") for w, a in ways]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
 
 
 _WIDE = "WITH s AS (SELECT DISTINCT chrom, start, ref, alt FROM v_calls), m AS (SELECT chrom, start, ref, alt, min(score) AS score FROM v_reference WHERE score < 1200 GROUP BY ALL), n AS (SELECT chrom, start, ref, alt, min(id) AS id FROM v_reference GROUP BY ALL) SELECT s.*, m.score AS m_score, n.id AS n_id FROM s LEFT JOIN m USING (chrom, start, ref, alt) LEFT JOIN n USING (chrom, start, ref, alt)"
@@ -312,14 +322,7 @@ def st_04(spark, d):
     return B.lead(spark, d).select("rsid").intersect(B.studies(spark, d).select("rsid")).agg(F.count("*").alias("common"))
 
 
-#: A run's callset counts as a whole genome from so many sites on; the tables here are small.
-RUN_SITES = 100
-
-_ENABLED = f"""gaps AS (SELECT chrom, start, start - lag(start) OVER (PARTITION BY chrom ORDER BY start) AS gap FROM (SELECT DISTINCT chrom, start FROM v_calls WHERE regexp_full_match(chrom, '[0-9]+|X|Y|MT'))),
-  spans AS (SELECT count(*) AS n, sum(least(gap, {2 * B.FLANK})) AS covered, max(start) - min(start) AS span FROM gaps GROUP BY chrom),
-  facts AS (SELECT coalesce(sum(n), 0) >= {RUN_SITES} AND CASE WHEN sum(span) > 0 THEN sum(covered) / sum(span) ELSE 0 END >= {A.LEAST_BREADTH}
-    AND NOT (SELECT coalesce(bool_or(contains(alt, 'NON_REF') OR contains(filter, 'RefCall')), false) FROM v_calls) AS enabled FROM spans)"""
-_OUTCOMES = f"""WITH {_ENABLED}, c AS (SELECT count(*) AS written, count(module) AS matched FROM v_annotated), """ + _BY_RSID[5:].rstrip() + f""", r AS (SELECT count(*) AS written, count(module) AS matched FROM j),
+_OUTCOMES = f"""WITH {B.ENABLED}, c AS (SELECT count(*) AS written, count(module) AS matched FROM v_annotated), """ + _BY_RSID[5:].rstrip() + f""", r AS (SELECT count(*) AS written, count(module) AS matched FROM j),
   few AS (SELECT count(*) AS written, count(l.chrom) AS matched FROM v_calls c LEFT JOIN (SELECT * FROM v_lead WHERE state = 'risk') l ON c.chrom = l.chrom AND c.start = l.start AND c.genotype = l.genotype
     WHERE (l.ref IS NULL OR l.ref = c.ref) AND EXISTS (SELECT 1 FROM v_lead p WHERE p.state = 'risk' AND p.chrom = c.chrom AND p.start = c.start)),
   hom_ref AS (SELECT * FROM v_lead WHERE len(genotype) > 0 AND len(list_filter(genotype, lambda g: g <> ref)) = 0 AND (SELECT enabled FROM facts)),
@@ -329,7 +332,7 @@ _OUTCOMES = f"""WITH {_ENABLED}, c AS (SELECT count(*) AS written, count(module)
     UNION ALL SELECT 'risks', 'position', 'ok', NULL, written, matched, risks FROM few, n
     UNION ALL SELECT 'ids', 'rsid', 'ok', NULL, written, matched, 0 FROM r UNION ALL SELECT 'diplotypes', 'unsupported', 'skipped', 'no way to join', 0, 0, 0
     UNION ALL SELECT 'lost', NULL, 'failed', 'PATH_NOT_FOUND', 0, 0, 0 UNION ALL SELECT 'broken', NULL, 'failed', 'ValueError', 0, 0, 0
-    UNION ALL SELECT 'numbered', NULL, 'failed', 'TypeError', 0, 0, 0 UNION ALL SELECT 'corrupt', NULL, 'failed', 'FAILED_READ_FILE.CANNOT_READ_FILE_FOOTER', 0, 0, 0) """
+    UNION ALL SELECT 'numbered', NULL, 'failed', 'TypeError', 0, 0, 0 UNION ALL SELECT 'corrupt', NULL, 'failed', 'FAILED_READ_FILE.NO_HINT', 0, 0, 0) """
 
 
 def _run(spark, d):
@@ -352,7 +355,7 @@ def _run(spark, d):
         "numbered": lambda: lead.withColumn("genotype", F.lit(1)), "corrupt": corrupt,
     }
     calls, to = B.calls(spark, d), scratch(spark, "run")
-    return to, R.annotate_run(calls, readers, to, B.FLANK, R.context_of(calls, B.FLANK, RUN_SITES))
+    return to, R.annotate_run(calls, readers, to, B.FLANK, R.context_of(calls, B.FLANK, B.RUN_SITES))
 
 
 def manifest(spark, d):

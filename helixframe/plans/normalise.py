@@ -9,6 +9,7 @@ from ..functions import genotypes as G
 from ..operators import aggregates as A
 from ..operators import filters as L
 from ..operators import joins as J
+from ..operators import runs as R
 from ..sources import vcf
 from . import base as B
 from .base import query
@@ -368,16 +369,17 @@ def ag_24(spark, d):
     return df.groupBy("sample").agg(F.count("*").alias("before"), F.count_if(kept).alias("after"), F.count_if(~kept).alias("removed"))
 
 
-@query("mart_00", "SELECT sample, chrom, array_to_string(genotype, '/') AS genotype, count(*) AS n FROM v_calls GROUP BY ALL")
-def mart_00(spark, d):
-    return B.calls(spark, d).groupBy("sample", "chrom", F.array_join("genotype", "/").alias("genotype")).agg(F.count("*").alias("n"))
-
-
-@query("mart_02", _HOM_LEAD + f""", called AS (SELECT DISTINCT chrom, start FROM v_calls), absent AS (SELECT f.* FROM fit f WHERE NOT EXISTS (SELECT 1 FROM called c WHERE c.chrom = f.chrom AND c.start = f.start)),
-  far AS (SELECT a.chrom, a.start, a.ref, min(abs(a.start - c.start)) AS restored_flank_bp FROM (SELECT DISTINCT chrom, start, ref FROM absent) a JOIN called c ON a.chrom = c.chrom GROUP BY ALL)
-  SELECT * FROM far WHERE restored_flank_bp <= {B.FLANK}""")
+@query("mart_02", _HOM_LEAD + f""", {B.ENABLED}, called AS (SELECT DISTINCT chrom, start FROM v_calls), absent AS (SELECT f.* FROM fit f WHERE NOT EXISTS (SELECT 1 FROM called c WHERE c.chrom = f.chrom AND c.start = f.start)),
+  far AS (SELECT a.chrom, a.start, a.ref, a.genotype, min(abs(a.start - c.start)) AS restored_flank_bp FROM absent a JOIN called c ON a.chrom = c.chrom GROUP BY ALL)
+  SELECT CAST(NULL AS BIGINT) AS sample, chrom, start, ref, CAST(NULL AS VARCHAR) AS alt, array_to_string(genotype, '/') AS genotype, CAST(NULL AS DOUBLE) AS qual, 'restored_hom_ref' AS genotype_evidence, restored_flank_bp
+  FROM far WHERE restored_flank_bp <= {B.FLANK} AND (SELECT enabled FROM facts)""")
 def mart_02(spark, d):
-    return L.restored(_hom_lead(spark, d), B.calls(spark, d).select("chrom", "start").distinct(), B.FLANK).select("chrom", "start", "ref", "restored_flank_bp").distinct()
+    """Restored reference genotypes as rows of the callset, where its mode and scope allow them."""
+    calls = B.calls(spark, d).select("sample", "chrom", "start", "rsid", "ref", "alt", "qual", "filter", "genotype")
+    rows = R.restored_rows(calls, _hom_lead(spark, d), B.FLANK)
+    if not R.context_of(calls, B.FLANK, B.RUN_SITES).restores:
+        rows = rows.limit(0)
+    return rows.select("sample", "chrom", "start", "ref", "alt", F.array_join("genotype", "/").alias("genotype"), "qual", "genotype_evidence", "restored_flank_bp")
 
 
 @query("jn_08", "SELECT l.chrom, l.start, l.key FROM v_lead l WHERE NOT EXISTS (SELECT 1 FROM v_calls c WHERE c.chrom = l.chrom AND c.start = l.start)")

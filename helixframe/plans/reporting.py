@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import genotypes as G
 from ..operators import aggregates as A
+from ..operators import filters as L
 from ..operators import joins as J
+from ..operators import runs as R
 from ..operators.ranking import SortedView
 from ..sources import prepared, tables
 from ..sources.scratch import scratch
@@ -158,12 +160,37 @@ def so_08(spark, d):
     return B.lead(spark, d).withColumn("n", F.row_number().over(order)).filter("n <= 10").select("category", "key")
 
 
-@query("mart_03", "SELECT coalesce(category, 'other') AS category, gene, count(*) AS variants, round(sum(weight), 2) AS net_weight FROM v_annotated WHERE module IS NOT NULL GROUP BY ALL")
+_CITED = """st AS (SELECT coalesce(rsid, concat(chrom, ':', start, ':', ref)) AS study_key, count(*) AS n FROM v_studies GROUP BY 1),
+  rows_ AS (SELECT a.*, CAST(substr(rsid_core, 3) AS BIGINT) AS k, coalesce(st.n, 0) AS studies FROM v_annotated a LEFT JOIN st ON a.rsid_core = st.study_key WHERE module IS NOT NULL)"""
+
+
+def _report_rows(spark, d):
+    """Matched rows with the module's rsID in the callset's place, enriched by what is known of their variants, and the number of their studies."""
+    df = J.annotate_by_position(B.calls(spark, d), B.slim_lead(spark, d), "core")
+    df = L.matched_rows(df).drop("rsid").withColumnRenamed("rsid_core", "rsid")
+    full = J.with_annotations(df, B.lead(spark, d).select("rsid", "gene", "category"))
+    keyed = B.studies(spark, d).withColumn("study_key", G.study_key(F.col("rsid"), F.col("chrom"), F.col("start"), F.col("ref")))
+    found = J.studies_of(full.select(F.col("rsid").alias("study_key")), keyed).select(F.col("study_key").alias("rsid"), "n_studies")
+    return full.join(found, "rsid", "left").withColumn("n_studies", F.coalesce("n_studies", F.lit(0)))
+
+
+@query("mart_03", f"WITH {_CITED} SELECT coalesce(category, 'other') AS category, gene, count(*) AS variants, round(sum(weight), 2) AS net_weight, count(*) FILTER (studies > 0) AS cited, CAST(sum(studies) AS BIGINT) AS studies FROM rows_ GROUP BY ALL")
 def mart_03(spark, d):
-    df = J.annotate_by_position(B.calls(spark, d), B.slim_lead(spark, d), "core").filter("module IS NOT NULL").drop("rsid").withColumnRenamed("rsid_core", "rsid")
-    notes = B.lead(spark, d).select("rsid", "gene", "category")
-    full = J.enrich(df, notes, ["rsid"], dedup=True)
-    return full.groupBy(F.coalesce("category", F.lit("other")).alias("category"), "gene").agg(F.count("*").alias("variants"), F.round(F.sum("weight"), 2).alias("net_weight"))
+    """The report's rows by category and gene, with their studies."""
+    return _report_rows(spark, d).groupBy(F.coalesce("category", F.lit("other")).alias("category"), "gene").agg(
+        F.count("*").alias("variants"), F.round(F.sum("weight"), 2).alias("net_weight"), F.count_if(F.col("n_studies") > 0).alias("cited"), F.sum("n_studies").alias("studies")
+    )
+
+
+_MART_DRUG = "CASE WHEN k % 9 = 0 THEN '(drug not stated)' ELSE concat('drug ', k % 40) END"
+
+
+@query("mart_03_drugs", f"WITH {_CITED} SELECT {_MART_DRUG} AS drug, max(CASE WHEN k % 7 < 6 THEN 6 - k % 7 ELSE 0 END) AS best_rank, array_to_string(list_sort(list(DISTINCT gene)), ',') AS genes, count(*) AS n, count(*) FILTER (k % 7 < 2) AS guideline FROM rows_ GROUP BY 1")
+def mart_03_drugs(spark, d):
+    """The report's drugs, for a lead table of drugs and evidence."""
+    key = F.col("key")
+    drugs = B.lead(spark, d).withColumns({"drug": F.when(key % 9 == 0, " ").otherwise(F.concat(F.lit("drug "), (key % 40).cast("string"))), "evidence_level": level("key")})
+    return A.by_drug(L.matched_rows(J.annotate_by_position(B.calls(spark, d), drugs, "core")))
 
 
 _SCORING = f"sc AS (SELECT concat('PGS', p_brand) AS pgs_id, {B._CONTIG.format('p_partkey', 'MT')} AS chrom, p_partkey * 97 + 1 AS start, {B._B} AS effect_allele, CAST(p_size AS DOUBLE) / CAST(100 AS DOUBLE) AS effect_weight FROM part)"
@@ -199,12 +226,21 @@ def ag_27(spark, d):
     return _scores(spark, d)
 
 
-@query("ag_28", _SCORES + "SELECT a.sample, a.pgs_id, a.score, round(CAST(count(*) FILTER (b.score <= a.score) AS DOUBLE) / count(*), 6) AS percentile FROM f a JOIN f b ON a.pgs_id = b.pgs_id GROUP BY ALL")
+@query("ag_28", _SCORES + "SELECT a.sample, a.pgs_id, a.score, round(CAST(count(*) FILTER (b.score <= a.score) AS DOUBLE) / count(*), 6) AS percentile, true AS exact FROM f a JOIN f b ON a.pgs_id = b.pgs_id GROUP BY ALL")
 def ag_28(spark, d):
-    scores = tables.write_table(_scores(spark, d).select("sample", "pgs_id", "score"), scratch(spark, "scores"))  # read three times
+    scores = tables.write_table(_scores(spark, d).select("sample", "pgs_id", "score"), scratch(spark, "scores"))  # read several times
     return A.percentiles(scores, scores.select("pgs_id", "score"))
 
 
+@query("ag_28_sketched", _SCORES + "SELECT count(*) AS n, true AS close, 0 AS exact FROM f")
+def ag_28_sketched(spark, d):
+    """All distributions by quantile sketches: no percentile is further from the exact one than the sketch's error."""
+    scores = tables.write_table(_scores(spark, d).select("sample", "pgs_id", "score"), scratch(spark, "scores"))
+    exact, near = (A.percentiles(scores, scores.select("pgs_id", "score"), n) for n in (A.EXACT_ROWS, 0))
+    both = near.join(exact.select("sample", "pgs_id", F.col("percentile").alias("true_one")), ["sample", "pgs_id"])
+    return both.agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.abs(F.col("percentile") - F.col("true_one")) <= 0.005), F.lit(True)).alias("close"), F.count_if("exact").cast("int").alias("exact"))
+
+
 @query("ag_30", _SCORES + "SELECT z.pgs_id, count(f.sample) AS samples, CASE WHEN count(f.sample) = 0 THEN 'failed' ELSE 'ok' END AS outcome FROM (SELECT * FROM z UNION ALL SELECT 'PGSnone', 0) z LEFT JOIN f ON z.pgs_id = f.pgs_id GROUP BY ALL")
 def ag_30(spark, d):
     wanted = _scoring(spark, d).select("pgs_id").distinct().unionByName(spark.createDataFrame([("PGSnone",)], "pgs_id string"))
@@ -212,9 +248,30 @@ def ag_30(spark, d):
     return joined.select("pgs_id", F.coalesce("samples", F.lit(0)).alias("samples"), F.when(F.col("samples").isNull(), "failed").otherwise("ok").alias("outcome"))
 
 
-@query("mart_12", _SCORES + "SELECT pgs_id, count(*) AS samples, round(median(score), 6) AS median, round(max(score) - min(score), 6) AS spread FROM f GROUP BY pgs_id")
+_RESTORED = f"""WITH {B.ENABLED}, {_SCORING}, u AS (SELECT chrom, start, min(ref) AS ref FROM v_reference GROUP BY ALL), base AS (SELECT sc.*, CASE WHEN u.ref IS NULL THEN NULL WHEN u.ref = effect_allele THEN 2 * effect_weight ELSE 0 END AS base FROM sc LEFT JOIN u USING (chrom, start)),
+  whole AS (SELECT pgs_id, coalesce(sum(base), 0) AS whole, count(base) AS known, count(*) AS total FROM base GROUP BY pgs_id),
+  j AS (SELECT sc.pgs_id, sc.chrom, sc.start, c.sample, sum(len(list_filter(c.genotype, lambda g: g = sc.effect_allele)) * effect_weight) AS part FROM sc JOIN v_calls c ON sc.chrom = c.chrom AND sc.start = c.start GROUP BY ALL),
+  s AS (SELECT sample, j.pgs_id, sum(part) AS part, coalesce(sum(base), 0) AS back, count(*) AS n, count(base) AS n_known FROM j JOIN base b ON j.pgs_id = b.pgs_id AND j.chrom = b.chrom AND j.start = b.start GROUP BY ALL),
+  f AS (SELECT sample, s.pgs_id, round(CASE WHEN enabled THEN part - back + whole ELSE part END, 6) AS score, round(CAST(CASE WHEN enabled THEN n + known - n_known ELSE n END AS DOUBLE) / total, 6) AS match_rate FROM s JOIN whole USING (pgs_id), facts) """
+
+
+def _cohort(spark, d):
+    """Every sample's scores; positions without a call count as the reference's genotype where the callset allows it. The reference is reduced to the scores' positions once."""
+    calls, scoring = B.calls(spark, d), _scoring(spark, d)
+    rows = J.score_rows(calls.select("sample", "chrom", "start", "genotype"), scoring)
+    if R.context_of(calls, B.FLANK, B.RUN_SITES).restores:
+        universe = prepared.at_positions(B.prepared_reference(spark, d), scoring).select("chrom", "start", "ref")
+        return A.restored_scores(rows, scoring, universe)
+    return A.polygenic_scores(rows, scoring.groupBy("pgs_id").agg(F.count("*").alias("total")))
+
+
+@query("mart_12", _RESTORED + "SELECT a.sample, a.pgs_id, a.score, a.match_rate, round(CAST(count(*) FILTER (b.score <= a.score) AS DOUBLE) / count(*), 6) AS percentile, round(median(b.score), 6) AS median, round(max(b.score) - min(b.score), 6) AS spread FROM f a JOIN f b ON a.pgs_id = b.pgs_id GROUP BY ALL")
 def mart_12(spark, d):
-    return _scores(spark, d).groupBy("pgs_id").agg(F.count("*").alias("samples"), F.round(F.percentile("score", F.lit(0.5)), 6).alias("median"), F.round(F.max("score") - F.min("score"), 6).alias("spread"))
+    """Scores of all samples with their percentiles in the cohort, its median and its spread."""
+    scores = tables.write_table(_cohort(spark, d).select("sample", "pgs_id", "score", "match_rate"), scratch(spark, "scores"))
+    ranked = A.percentiles(scores, scores.select("pgs_id", "score"))
+    about = scores.groupBy("pgs_id").agg(F.round(F.percentile("score", F.lit(0.5)), 6).alias("median"), F.round(F.max("score") - F.min("score"), 6).alias("spread"))
+    return scores.join(ranked.select("sample", "pgs_id", "percentile"), ["sample", "pgs_id"]).join(about, "pgs_id").select("sample", "pgs_id", "score", "match_rate", "percentile", "median", "spread")
 
 
 @query("prs_low", _SCORES + "SELECT pgs_id, bool_or(low_match) AS any_low FROM f GROUP BY pgs_id")
