@@ -45,14 +45,17 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's rows of an Arrow batch to this many, for jobs that send whole texts to Python: ten thousand of them are a large piece of memory at once."""
-    now = int(spark.conf.get(BATCH_ROWS))
-    if not 0 < now <= rows:
-        spark.conf.set(BATCH_ROWS, str(rows))
+def short_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Lowers the session's rows and bytes of an Arrow batch to these, for jobs that send whole texts to Python: thousands of them, or some very long ones, are a large piece of memory at once.
+
+    The settings stay, as plans are lazy; what the session's own configuration names isn't changed.
+    """
+    for key, most in ((BATCH_ROWS, rows), (BATCH_BYTES, size)):
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
