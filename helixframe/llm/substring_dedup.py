@@ -9,11 +9,12 @@ They alone are grouped exactly:
    once, so that a window that a third of all documents share leaves a task as one document's places and not as a third of all rows;
 2. what is left is dealt by hash to shards of some million windows at most, in one shuffle of compressed columns. A shard's windows meet in memory,
    are sorted by window and document, and all places beyond a window's smallest document are decided.
-Decided places travel as stretches of consecutive windows, and each text is put together again from the words outside them.
+Decided places travel as stretches of consecutive windows to shards of documents, and each text is put together again from the words outside them.
 
-The sketch's width follows the number of windows, up to MOST_CELLS counters a row (64 MB in all), which is what makes it fit to be broadcast: at
-10^8 distinct windows it still leaves out two of three that aren't repeated. Beyond that it leaves out less and less, and the
-exact grouping, which needs no sketch to be right, has more to do: one shuffle of all windows, spread by their hashes.
+The sketch's width follows the number of windows, up to MOST_CELLS counters a row (64 MB in all), which is what makes it fit to be broadcast. Where it is
+rather full, another pass counts only what it lets through in a sketch of other hashes, so that at 10^8 distinct windows some 3 in 100 of those that aren't
+repeated are kept. From about 3 * 10^8 windows on a sketch of this size would let through nearly all, and is left out: the exact grouping, which
+needs no sketch to be right, then has all windows to do, in one shuffle of some 15 bytes a window, spread by their hashes.
 
 Cases: a null text has no words; a text of fewer than WINDOW words has no window and stays whole; a null doc_id counts as
 smaller than all others; rows that share a doc_id are one document, so that none of them removes words of another, and each comes
@@ -24,12 +25,15 @@ they are long; an empty table gives an empty result. without_repeats passes all
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +44,8 @@ from .shared import partitions, short_batches, stash, table
 WINDOW = 13
 #: Rows of the sketch; its counters a row at least and at most; counters a row to a window that are wanted; counters of a block.
 ROWS, LEAST_CELLS, MOST_CELLS, ROOMY, BLOCK = 2, 1 << 22, 1 << 27, 2, 1 << 22
+#: Sketches in a row at most, and the windows to a counter at which one is enough.
+MOST_ROUNDS, ENOUGH = 3, 0.5
 #: Windows that a task counts, and those that it keeps, before it passes them on; windows of a shard at most, were all of them kept.
 COUNTED, KEPT, SHARD = 1 << 22, 1 << 19, 1 << 22
 #: Bytes of text to a word, for the sketch's width and the number of shards only.
@@ -60,9 +66,18 @@ def windows(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield first, end, bt.gram_hashes(words, WINDOW)[where], bt.gram_hashes(bt.mix(words, 5), WINDOW)[where], where - np.repeat(rows[:-1], counts), counts
 
 
-def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
-    """The window's counters in a row of the sketch."""
-    return (bt.mix(hashes, 11 + row) >> np.uint64(20)) & np.uint64(width - 1)
+class Sketch(NamedTuple):
+    """A merged sketch as the tasks get it: its blocks, broadcast, and the number of its round, which its hashes depend on."""
+
+    blocks: Broadcast
+    name: str
+    width: int
+    turn: int
+
+
+def cells(hashes: np.ndarray, row: int, width: int, turn: int) -> np.ndarray:
+    """The window's counters in a row of the sketch of a round."""
+    return (bt.mix(hashes, 11 + row + ROWS * turn) >> np.uint64(20)) & np.uint64(width - 1)
 
 
 def gaps(at: np.ndarray) -> bytes:
@@ -95,8 +110,9 @@ def _of_blocks(number: int, data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([data], pa.binary())], ["block", "counters"])
 
 
-def sketch_of(docs: DataFrame, width: int) -> DataFrame:
-    """(block, counters) of the merged sketch of all windows, the counters compressed."""
+def sketch_of(docs: DataFrame, width: int, before: Sketch | None = None) -> Sketch:
+    """The merged sketch of all windows, or of those that the sketch before estimates repeated."""
+    turn = before.turn + 1 if before else 0
 
     def passed_on(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for row in range(ROWS):
@@ -112,8 +128,10 @@ def sketch_of(docs: DataFrame, width: int) -> DataFrame:
         n = 0
         for batch in batches:
             for _, _, hashes, _, _, _ in windows(batch.column(0)):
+                if before:
+                    hashes = hashes[estimate(before, hashes) >= 2]
                 for row in range(ROWS):
-                    found[row].append(cells(hashes, row, width).astype(np.uint32))
+                    found[row].append(cells(hashes, row, width, turn).astype(np.uint32))
                 n += len(hashes)
                 if n >= COUNTED:
                     yield from passed_on(found)
@@ -132,32 +150,48 @@ def sketch_of(docs: DataFrame, width: int) -> DataFrame:
 
     kind = "block int, counters binary"
     # a task holds the blocks that are dealt to it once each, however many tasks have counted
-    return docs.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(merge, kind)
+    merged = docs.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(merge, kind)
+    blocks = [tuple(x) for x in merged.collect()]  # ROWS * width / 4 bytes at most
+    return Sketch(docs.sparkSession.sparkContext.broadcast(blocks), uuid.uuid4().hex, width, turn)
 
 
-_counters: dict[str, list[np.ndarray]] = {}
+_counters: dict[str, list[np.ndarray]] = {}  # of one sketch at most
 
 
-def counters_of(sketch, name: str, width: int) -> list[np.ndarray]:
-    """The rows of the broadcast sketch of this name, unpacked once a process."""
-    if name not in _counters:
+def counters_of(sketch: Sketch) -> list[np.ndarray]:
+    """The rows of a sketch, unpacked once a process."""
+    if sketch.name not in _counters:
         _counters.clear()
-        rows = [np.zeros(width // 4, dtype=np.uint8) for _ in range(ROWS)]
-        for number, counters in sketch.value:
-            row, i = divmod(number, width // BLOCK)
+        rows = [np.zeros(sketch.width // 4, dtype=np.uint8) for _ in range(ROWS)]
+        for number, counters in sketch.blocks.value:
+            row, i = divmod(number, sketch.width // BLOCK)
             rows[row][i * (BLOCK // 4) : (i + 1) * (BLOCK // 4)] = np.frombuffer(zlib.decompress(counters), dtype=np.uint8)
-        _counters[name] = rows
-    return _counters[name]
+        _counters[sketch.name] = rows
+    return _counters[sketch.name]
 
 
-def estimate(rows: list[np.ndarray], hashes: np.ndarray, width: int) -> np.ndarray:
+def estimate(sketch: Sketch, hashes: np.ndarray) -> np.ndarray:
     least = np.full(len(hashes), 3, dtype=np.uint8)
-    for row, counters in enumerate(rows):
-        at = cells(hashes, row, width)
+    for row, counters in enumerate(counters_of(sketch)):
+        at = cells(hashes, row, sketch.width, sketch.turn)
         np.minimum(least, counters[at >> np.uint64(2)] >> (2 * (at & np.uint64(3))).astype(np.uint8) & np.uint8(3), out=least)
     return least
 
 
+def rounds_for(n: int, width: int) -> int:
+    """Sketches in a row that pay for n windows: each counts what the one before lets through, as long as that is clearly less; none where the first would let through nearly all."""
+    rounds, load = 0, n / width
+    while rounds < MOST_ROUNDS:
+        through = load * (1 - math.exp(-load)) ** ROWS
+        if through > 0.8 * load:
+            break
+        rounds += 1
+        if load <= ENOUGH:
+            break
+        load = through
+    return rounds
+
+
 def _planes(x: np.ndarray) -> bytes:
     """An array byte by byte of its numbers, the first bytes of all of them together: so like bytes meet."""
     return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
@@ -208,6 +242,10 @@ def _stretches(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, n: np.ndarray)
     return [doc[at], tag[at], pos[at], pos[last] + n[last] - pos[at]] if len(doc) else [doc, tag, pos, n]
 
 
+def _blob(shard: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([data], pa.binary())], ["shard", "data"])
+
+
 def _dealt(found: list[tuple[np.ndarray, ...]], shards: int) -> Iterator[pa.RecordBatch]:
     """Kept windows for each shard: those that a smaller document gathered too has are decided, the others stay open."""
     gone, (a, b, doc, tag, pos) = _settled(*(np.concatenate(x) for x in zip(*found, strict=True)))
@@ -223,11 +261,14 @@ def _dealt(found: list[tuple[np.ndarray, ...]], shards: int) -> Iterator[pa.Reco
         docs, names = np.unique(np.stack([np.concatenate([doc[i], decided[0][j]]), np.concatenate([tag[i], decided[1][j]])], axis=1), axis=0, return_inverse=True)
         names, n = names.ravel(), i.stop - i.start
         data = pack([[np.diff(a[i], prepend=np.uint64(0)), b[i], names[:n], pos[i]], [names[n:], decided[2][j], decided[3][j]], [docs[:, 0], docs[:, 1]]])
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["shard", "data"])
+        yield _blob(k, data)
+
+
+_NO_OPEN = [np.zeros(0, dtype=k) for k in _COLUMNS[0]]
 
 
-def _joined(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """The decided stretches of a shard, by document."""
+def _decided_in(parts: list[bytes], shards: int) -> Iterator[pa.RecordBatch]:
+    """The decided stretches of a shard of windows, for each shard of documents."""
     opened, decided = [], []
     for data in parts:
         (a, b, names, pos), (own, first, n), (doc, tag) = unpack(data)
@@ -235,9 +276,24 @@ def _joined(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         decided.append((doc[own], tag[own], first.astype(np.int64), n.astype(np.int64)))
     gone, (_, _, doc, tag, pos) = _settled(*(np.concatenate(x) for x in zip(*opened, strict=True)))
     decided.append((doc[gone], tag[gone], pos[gone], np.ones(int(gone.sum()), dtype=np.int64)))
+    found = _stretches(*(np.concatenate(x) for x in zip(*decided, strict=True)))
+    of = found[0] % shards
+    order = np.argsort(of, kind="stable")
+    found = [x[order] for x in found]
+    edges = np.searchsorted(of[order], np.arange(shards + 1))
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        doc, tag, pos, n = (x[edges[k] : edges[k + 1]] for x in found)
+        docs, names = np.unique(np.stack([doc, tag], axis=1), axis=0, return_inverse=True)
+        yield _blob(k, pack([_NO_OPEN, [names.ravel(), pos, n], [docs[:, 0], docs[:, 1]]]))
+
+
+def _spans_of(parts: list[bytes], _: int) -> Iterator[pa.RecordBatch]:
+    """The spans of a shard of documents, a row for each text."""
+    decided = []
+    for data in parts:
+        _, (own, first, n), (doc, tag) = unpack(data)
+        decided.append((doc[own], tag[own], first.astype(np.int64), n.astype(np.int64)))
     doc, tag, pos, n = _stretches(*(np.concatenate(x) for x in zip(*decided, strict=True)))
-    if not len(doc):
-        return
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
     at = np.flatnonzero(new)
@@ -246,18 +302,16 @@ def _joined(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(tag[at]), lists], ["doc", "tag", "spans"])
 
 
-def kept_windows(docs: DataFrame, sketch, width: int, shards: int) -> DataFrame:
-    """(shard, data) of the windows of (doc, tag, text) rows that the sketch estimates repeated."""
-    name = uuid.uuid4().hex
+def kept_windows(docs: DataFrame, sketch: Sketch | None, shards: int) -> DataFrame:
+    """(shard, data) of the windows of (doc, tag, text) rows that the sketch estimates repeated, of all of them without one."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = counters_of(sketch, name, width)
         found: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in batches:
             doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, end, a, b, pos, counts in windows(batch.column(2)):
-                kept = np.flatnonzero(estimate(rows, a, width) >= 2)
+                kept = np.flatnonzero(estimate(sketch, a) >= 2) if sketch else np.arange(len(a))
                 of = np.repeat(np.arange(first, end), counts)[kept]
                 found.append((a[kept], (b[kept] >> np.uint64(32)).astype(np.uint32), doc[of], tag[of], pos[kept]))
                 n += len(kept)
@@ -270,24 +324,23 @@ def kept_windows(docs: DataFrame, sketch, width: int, shards: int) -> DataFrame:
     return docs.select("doc", "tag", "text").mapInArrow(look, "shard int, data binary")
 
 
-def grouped(kept: DataFrame, shards: int) -> DataFrame:
-    """(doc, tag, spans) of the places beyond their window's smallest document, some rows to a text."""
+def by_shard(rows: DataFrame, shards: int, solve: Callable[[list[bytes], int], Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
+    """What solve makes of each shard's data."""
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
         now = None
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if shard != now and parts:
-                    yield from _joined(parts)
+                    yield from solve(parts, shards)
                     parts = []
                 now = shard
                 parts.append(data.as_py())
         if parts:
-            yield from _joined(parts)
+            yield from solve(parts, shards)
 
-    dealt = kept.repartition(min(shards, 2 * partitions(kept.sparkSession)), "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(solve, "doc long, tag long, spans array<struct<pos int, n int>>")
+    return rows.repartition(min(shards, 2 * partitions(rows.sparkSession)), "shard").sortWithinPartitions("shard").mapInArrow(run, kind)
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -307,11 +360,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     width = LEAST_CELLS
     while width < min(MOST_CELLS, ROOMY * size // WORD_BYTES):
         width *= 2
-    sketch = spark.sparkContext.broadcast([tuple(x) for x in sketch_of(docs, width).collect()])
+    sketch = None
+    for _ in range(rounds_for(size // WORD_BYTES, width)):
+        last, sketch = sketch, sketch_of(docs, width, sketch)
+        if last:
+            last.blocks.destroy()
     shards = max(partitions(spark), size // WORD_BYTES // SHARD + 1)
-    found = grouped(kept_windows(named, sketch, width, shards), shards)
-    out = stash(found.groupBy("doc", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeats")
-    sketch.destroy()
+    kept = kept_windows(named, sketch, shards)
+    decided = by_shard(kept, shards, _decided_in, "shard int, data binary")
+    out = stash(by_shard(decided, shards, _spans_of, "doc long, tag long, spans array<struct<pos int, n int>>"), "repeats")
+    if sketch:
+        sketch.blocks.destroy()
     return out
 
 

@@ -241,8 +241,9 @@ def test_repeats_equal_brute_force(spark, passages, tmp_path):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_windows(passages)
 
 
-def test_a_full_sketch_loses_nothing(spark, passages, tmp_path, monkeypatch):
-    """Where the sketch has far fewer counters than there are windows, all windows are grouped."""
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_no_number_of_sketches_loses_windows(spark, passages, tmp_path, monkeypatch, rounds):
+    monkeypatch.setattr(substring_dedup, "rounds_for", lambda n, width: rounds)
     monkeypatch.setattr(substring_dedup, "KEPT", 500)
     monkeypatch.setattr(substring_dedup, "COUNTED", 700)
     rng = random.Random(9)
@@ -261,6 +262,11 @@ def test_texts_without_repeats_stay_as_they_are(spark, passages):
     assert substring_dedup.without_repeats(docs.limit(0)).collect() == []
 
 
+def test_rounds_follow_the_load():
+    width = substring_dedup.MOST_CELLS
+    assert [substring_dedup.rounds_for(n, width) for n in (0, width // 4, width, 10 * width)] == [1, 1, 2, 0]
+
+
 def test_gaps_and_packed_columns_come_back():
     rng = np.random.default_rng(1)
     at = np.sort(rng.integers(0, 1 << 22, 5000))
@@ -278,9 +284,8 @@ def test_a_window_of_a_third_of_all_documents_leaves_a_task_once(spark):
     rows = [(i, shared if i % 3 == 0 else f"own {i}") for i in range(3000)]
     docs = text_frame(spark, rows).repartition(4)
     named = substring_dedup._named(docs).select("doc", "tag", "text")
-    width = substring_dedup.LEAST_CELLS
-    sketch = spark.sparkContext.broadcast([tuple(x) for x in substring_dedup.sketch_of(docs, width).collect()])
-    opened = [len(substring_dedup.unpack(r.data)[0][0]) for r in substring_dedup.kept_windows(named, sketch, width, 4).collect()]
+    sketch = substring_dedup.sketch_of(docs, substring_dedup.LEAST_CELLS)
+    opened = [len(substring_dedup.unpack(r.data)[0][0]) for r in substring_dedup.kept_windows(named, sketch, 4).collect()]
     assert sum(opened) <= 4 * 8
     assert sum(x.n for r in substring_dedup.repeated_spans(docs).collect() for x in r.spans) == 999 * 8
 
