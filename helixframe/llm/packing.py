@@ -197,8 +197,13 @@ def places(planned: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.n
     return tuple(np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, dtype=np.int64),) * 4
 
 
+def dealt(pieces: DataFrame, salts: int) -> DataFrame:
+    """pieces with a salt, by the number of the row, so that rows that repeat one another are dealt out like all others."""
+    return pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+
+
 def pack_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
-    """pieces, which has doc_id, piece, length and ids_crc32, with sequence_id and offset."""
+    """pieces, which has doc_id, piece, length, ids_crc32 and row, a number of its own for each row, with sequence_id and offset."""
     found = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # size rows at most
     counts = np.zeros(size + 1, dtype=np.int64)
     counts[list(found)] = list(found.values())
@@ -211,13 +216,13 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(sequence_of[at] + r - rank_of[at]), pa.array(offset_of[at])], ["sequence_id", "offset"])
 
     salts = max(16, int(counts.sum()) // SALT_ROWS)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = dealt(pieces, salts)
     by_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = salted.withColumn("place", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
+    ranked = salted.withColumn("place", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row")))
     ranked = ranked.join(by_salt.select("length", "salt", before.alias("before")), ["length", "salt"])
     where = placed("length", F.col("before") + F.col("place") - 1)
-    return ranked.withColumn("where", where).select(*pieces.columns, "where.*")
+    return ranked.withColumn("where", where).select(*[c for c in pieces.columns if c != "row"], "where.*")
 
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
@@ -226,7 +231,8 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
     cut = docs.select("doc_id", cut_pieces(path, size, end)("text").alias("pieces"))
     cut = cut.select("doc_id", F.posexplode("pieces").alias("piece", "p"), F.col("pieces")[0]["length"].alias("head"))
     start = F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.col("head") + (F.col("piece") - 1) * size).cast("long")
-    return pack_pieces(stash(cut.select("doc_id", "piece", start.alias("start"), "p.length", "p.ids_crc32"), "pieces"), size)
+    row = F.monotonically_increasing_id().alias("row")  # written, and so the same whenever it's read
+    return pack_pieces(stash(cut.select("doc_id", "piece", start.alias("start"), "p.length", "p.ids_crc32", row), "pieces"), size)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
