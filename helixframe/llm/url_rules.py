@@ -40,6 +40,8 @@ BASE_RULES = [
 OWN_RULES = [(host, "/", "block") for host in ("adult", "bet", "casino", "loan", "poker", "porn", "sex", "xxx")]
 
 MAX_BOUNDARIES = 100_000
+#: Pages of a bucket, about, once there are more than the session's partitions would give it.
+BUCKET_PAGES = 1_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -92,6 +94,11 @@ def boundaries(rules: DataFrame) -> DataFrame:
     )
 
 
+def any_bucket(buckets: int) -> Column:
+    """A bucket by the number of the row, so that pages that repeat one another are dealt out like all others; any bucket judges a page alike."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(buckets))
+
+
 def judge(pages: DataFrame, rules: DataFrame, many_rules: bool | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page; rules has host, path and verdict. many_rules: over MAX_BOUNDARIES / 2 of them, by count if None."""
     spark = pages.sparkSession
@@ -99,9 +106,9 @@ def judge(pages: DataFrame, rules: DataFrame, many_rules: bool | None = None) ->
     rules = rules.select("host", "path", "verdict", F.lit(True).alias("given")).unionByName(own.withColumn("given", F.lit(False)))
     if many_rules is None:
         many_rules = 2 * rules.count() > MAX_BOUNDARIES
-    buckets = 4 * partitions(spark)
+    buckets = max(4 * partitions(spark), pages.count() // BUCKET_PAGES)
     url = F.col("url")
-    seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(buckets)).alias("bucket"))
+    seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), any_bucket(buckets).alias("bucket"))
     seen = seen.select(
         "bucket", (top_label(host_key(F.col("host"))) if many_rules else F.lit("")).alias("top"),
         host_key(F.col("host")).alias("key"), F.lit(2).alias("kind"), "page_id", "host", "path",
