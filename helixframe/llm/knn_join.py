@@ -172,7 +172,8 @@ def plan(rows: DataFrame, k: int, every: int):
     joined = grouped(needs, np.array([g["n"] for g in groups], dtype=np.int64), rows_in)
     group_of = {int(own[i]): g for g, members in enumerate(joined) for i in members}
     blocks = [max(1, -(-sum(groups[i]["n"] for i in members) // QUERY_BLOCK)) for members in joined]
-    chunks = max(1, -(-n // DATA_CHUNK))
+    # of each group as many as its cells have rows for, so that queries go nowhere where pruning has left nothing
+    chunks = [max(1, -(-int(rows_in[needs[members].any(axis=0)].sum()) // DATA_CHUNK)) for members in joined]
     order_at = np.array([i for members in joined for i in members], dtype=int)  # query cells by group, and their pivots
     order_of = own[order_at] if len(own) else order_at
     firsts = np.cumsum([0, *map(len, joined)])[:-1].astype(int) if joined else np.zeros(0, dtype=int)
@@ -193,15 +194,16 @@ def plan(rows: DataFrame, k: int, every: int):
             out += [np.flatnonzero(row).tolist() for row in found]
         return pa.array(out, pa.list_(pa.int32()))
 
+    chunk_count = F.create_map(*[F.lit(x) for pair in enumerate(chunks) for x in pair]) if chunks else F.create_map(F.lit(0), F.lit(1))
     count_of = F.create_map(*[F.lit(x) for pair in enumerate(blocks) for x in pair]) if blocks else F.create_map(F.lit(0), F.lit(1))
     cell_group = F.create_map(*[F.lit(x) for pair in group_of.items() for x in pair]) if group_of else F.create_map(F.lit(0), F.lit(0))
     left = queries.select("query_id", "v", cell_group[F.col("cell")].alias("cell"))
     left = left.select(
         "query_id", "v", "cell", F.pmod(F.xxhash64("query_id"), count_of[F.col("cell")]).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+        F.explode(F.sequence(F.lit(0), chunk_count[F.col("cell")] - 1)).alias("chunk"),
     )
-    right = data.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), F.explode(wanted("v", "norm")).alias("cell"))
-    right = right.select("vec_id", "v", "chunk", "cell", F.explode(F.sequence(F.lit(0), count_of[F.col("cell")] - 1)).alias("block"))
+    right = data.select("vec_id", "v", F.explode(wanted("v", "norm")).alias("cell"))
+    right = right.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), chunk_count[F.col("cell")]).cast("int").alias("chunk"), "cell", F.explode(F.sequence(F.lit(0), count_of[F.col("cell")] - 1)).alias("block"))
     return left, right, kind, size, exact
 
 
