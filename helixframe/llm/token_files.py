@@ -40,6 +40,8 @@ BLOCK_IDS = 1 << 18
 RANGE_BYTES = 64 << 20
 #: Keys sampled for each cut.
 SAMPLED = 100
+#: Ranges at most, however many ids there are (each then holds more), and keys sampled at most.
+MOST_RANGES, MOST_KEYS = 20_000, 400_000
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
@@ -96,8 +98,8 @@ def range_cuts(tokens: DataFrame, parts: int) -> list[tuple[int, bool, int, int]
     """The keys (doc_id, whether it has one, hash, row) at which parts - 1 ranges end, with about equal bytes of ids between them."""
     if parts < 2:
         return []
-    share = min(1.0, SAMPLED * parts / max(1, tokens.count()))
-    found = tokens.select("doc_id", "h", "row", "size").sample(share, seed=1).collect()  # about SAMPLED * parts rows
+    share = min(1.0, min(SAMPLED * parts, MOST_KEYS) / max(1, tokens.count()))
+    found = tokens.select("doc_id", "h", "row", "size").sample(share, seed=1).collect()  # about MOST_KEYS rows at most
     keys = sorted(((NO_ID if r["doc_id"] is None else r["doc_id"], r["doc_id"] is not None, r["h"], r["row"]), r["size"]) for r in found)
     before = np.cumsum([size for _, size in keys])
     at = np.searchsorted(before, before[-1] * np.arange(1, parts) / parts) if keys else []
@@ -142,7 +144,7 @@ def write_files(docs: DataFrame, path: str, end: int = END) -> tuple[str, list[i
     ranked = [r["id"] for r in counts]
     rank_of = np.zeros(max(ranked, default=0) + 1, dtype=np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
-    parts = max(parts, math.ceil(sum(r["n"] for r in counts) * size / RANGE_BYTES))
+    parts = min(MOST_RANGES, max(parts, math.ceil(sum(r["n"] for r in counts) * size / RANGE_BYTES)))
     cuts = range_cuts(tokens, parts)
     cut_docs = np.array([c[0] for c in cuts], dtype=np.int64)
 
@@ -218,6 +220,7 @@ def read_files(spark: SparkSession, files: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
+    # ranges has MOST_RANGES rows at most
     joined = stored.join(F.broadcast(ranges), "part").select((F.col("before") + F.col("inside")).alias("begin"), "doc_ids", "counts", "control", "data")
     return joined.mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids binary")
 
