@@ -87,7 +87,7 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     gone = stash(gone, "removed-lines")
     discard(found)
     discard(lines)
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("d_text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("d_text"))
     # one way at every size: documents with removed lines grow with the documents
     marked = whole.join(gone.hint("merge"), F.col("doc.doc_id").eqNullSafe(F.col("g_id")) & (F.col("d_text") == F.col("g_text")), "left")
     split = F.split("doc.text", "\n")

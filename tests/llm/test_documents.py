@@ -468,3 +468,37 @@ def test_hashes_tell_texts_apart():
         for a, b, h in zip(starts, ends, hashes, strict=True):
             digest = hashlib.md5(bytes(flat[a:b])).digest()
             assert seen.setdefault(int(h), digest) == digest
+
+
+def test_pieces_that_repeat_are_dealt_out(spark):
+    rows = [(None, 0, 0, 1, 5)] * 3000 + [(i, 0, 0, 1 + i % 50, i) for i in range(6000)]
+    pieces = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
+    found = packing.dealt(pieces, 16).groupBy("salt").agg(F.count_if(F.col("doc_id").isNull()).alias("same")).collect()
+    assert len(found) == 16 and max(r["same"] for r in found) < 2 * 3000 / 16
+    packed = packing.pack_pieces(pieces).collect()
+    used = defaultdict(list)
+    for r in packed:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.SIZE
+    assert len(packed) == 9000 and len(used) == -(-sum(r[3] for r in rows) // packing.SIZE)
+
+
+def test_lines_of_a_table_with_dots_in_its_names(spark):
+    docs = spark.createDataFrame([(i, f"own {i}\nthe same line", f"s{i}", "x") for i in range(9)], "doc_id long, text string, source string, `a.b` string")
+    got = line_dedup.remove_boilerplate(docs)
+    assert got.columns == docs.columns and sorted(r["text"] for r in got.collect())[:2] == ["own 0\nthe same line", "own 1"]
+
+
+def test_cuts_of_token_files_are_bounded(spark, mixed, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 1000)
+    monkeypatch.setattr(token_files, "MOST_RANGES", 5)
+    monkeypatch.setattr(token_files, "MOST_KEYS", 20)
+    files, _ = token_files.write_files(frame(spark, mixed).select("doc_id", "text"), token_files.vocabulary())
+    assert spark.read.parquet(f"{files}/blocks").agg(F.max("part")).first()[0] <= 5
+    got = token_files.read_files(spark, files).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted(r[0] for r in mixed) and all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got[:-1], got[1:], strict=True))

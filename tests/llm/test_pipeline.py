@@ -46,14 +46,14 @@ def test_stages_of_odd_rows(spark, tmp_path):
     text = " ".join(f"Word{i} stands here." for i in range(60))
     rows = [(i, f"{text} Number {i} is its own, and so are {i + 1} and {i * 7}.\n\nshared line {i % 2}", f"site{i}") for i in range(12)]
     rows += [(20, None, "a"), (21, "", None), (None, text, "b"), (None, None, None), rows[3], (22, "x" * 50_000, "c"), (23, text, "d"), (23, text, "d")]
-    names = "n_lines int, n_removed int, removed string, doc string, predicted int, component_id long, piece int, length string, n_chars long"
-    docs = spark.createDataFrame([(*r, 1, 2, "r", "d", 3, 4, 5, "l", 6) for r in rows], f"doc_id long, text string, source string, {names}")
+    names = "n_lines int, n_removed int, removed string, doc string, predicted int, component_id long, piece int, length string, `a.b` string, n_chars long"
+    docs = spark.createDataFrame([(*r, 1, 2, "r", "d", 3, 4, 5, "l", "dot", 6) for r in rows], f"doc_id long, text string, source string, {names}")
     spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in P.STAGES:
         got = shared.stash(stage(spark, docs, str(tmp_path)), name)
         if name != "packing":
             assert got.columns == docs.columns
-            assert {tuple(r)[3:-1] for r in got.collect()} <= {(1, 2, "r", "d", 3, 4, 5, "l")}
+            assert {tuple(r)[3:-1] for r in got.collect()} <= {(1, 2, "r", "d", 3, 4, 5, "l", "dot")}
         none = stage(spark, docs.limit(0), str(tmp_path))
         assert none.count() == 0 and none.columns == got.columns
     kept = P.STAGES[1][1](spark, docs, str(tmp_path)).collect()

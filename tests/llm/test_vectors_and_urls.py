@@ -57,6 +57,7 @@ def test_clustered_data_is_hardly_replicated(spark):
     frame = vectors(spark, [(i, base[i].tolist()) for i in range(3000)])
     left, right, *_ = knn_join.plan(frame, 10, 100)
     assert right.count() < 1.5 * 3000 and right.select("cell").distinct().count() > 5
+    assert left.count() <= 2 * 30  # a query goes to chunks of its own group only
     met = left.join(right, ["cell", "block", "chunk"]).count()
     assert met < 0.3 * 30 * 3000  # of all products
     whole = np.floor(1024 * base.astype(float))
@@ -150,3 +151,12 @@ def test_native_plan(spark):
     df = url_rules.judge(spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string").withColumn("x", F.lit(1)), spark.createDataFrame(url_rules.BASE_RULES, "host string, path string, verdict string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_pages_that_repeat_are_dealt_out(spark):
+    rows = [(7, "https://a.com/x")] * 3000 + [(i, f"https://b{i}.org/") for i in range(6000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    found = pages.withColumn("bucket", url_rules.any_bucket(16)).groupBy("bucket").agg(F.count_if(F.col("page_id") == 7).alias("same"), F.count("*").alias("n")).collect()
+    assert len(found) == 16 and max(r["n"] for r in found) < 2 * 9000 / 16 and max(r["same"] for r in found) < 3 * 3000 / 16
+    rules = spark.createDataFrame(url_rules.BASE_RULES, "host string, path string, verdict string")
+    assert url_rules.judge(pages, rules).groupBy("rule", "verdict").count().filter("rule = 'com/' AND verdict = 'allow'").first()["count"] == 3000
