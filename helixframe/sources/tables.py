@@ -18,13 +18,18 @@ def reference_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df
 
 
+#: Contigs that are broadcast at most.
+MOST_CONTIGS = 100_000
+
+
 def only_needed(reference: DataFrame, calls: DataFrame, by: str = "chrom") -> DataFrame:
     """The reference's rows on the calls' contigs. reference is partitioned by that column: its other partitions aren't read, as the planner prunes them by the join's other side.
 
-    That side has a row a contig, so it's broadcast; contigs are text, in the calls and in the partitions' names.
+    That needs a broadcast side, a row a contig, which are counted first; beyond MOST_CONTIGS the join is left to the planner. Contigs are text, in the calls and in the partitions' names.
     """
     needed = calls.select(F.col(by).cast("string").alias("__needed")).distinct()
-    return reference.join(F.broadcast(needed), reference[by].cast("string") == needed["__needed"], "left_semi")
+    side = F.broadcast(needed) if needed.limit(MOST_CONTIGS + 1).count() <= MOST_CONTIGS else needed
+    return reference.join(side, reference[by].cast("string") == needed["__needed"], "left_semi")
 
 
 def lower_names(df: DataFrame) -> DataFrame:
