@@ -208,28 +208,36 @@ def annotate_run(calls: DataFrame, readers: dict[str, Callable[[], DataFrame]],
     leads = {n: (way, tables[n]) for n, way in ways.items() if n not in skipped and n not in reasons}
     limit = flank if context.restores else None
     counts: dict[str, tuple[int, int, int]] = {}
+    schemas: dict[str, T.StructType] = {}
     if leads:
         try:
-            counts = _write(annotated(calls, leads, limit), list(leads), to, "overwrite")
+            rows = annotated(calls, leads, limit)
+            counts = _write(rows, list(leads), to, "overwrite")
+            schemas = {n: own_schema(calls, lead, rows) for n, lead in leads.items()}
         except Exception:
             mode = "overwrite"
             for name, lead in leads.items():
                 try:
-                    counts |= _write(annotated(calls, {name: lead}, limit), [name], to, mode)
+                    rows = annotated(calls, {name: lead}, limit)
+                    counts |= _write(rows, [name], to, mode)
+                    schemas[name] = own_schema(calls, lead, rows)
                     mode = "append"
                 except Exception as e:
                     reasons[name] = reason_of(e)
-    rows = []
+    found = []
     for name in readers:
         kind = "failed" if name in reasons else "skipped" if name in skipped else "ok"
-        schema = own_schema(calls, *leads[name], limit).json() if kind == "ok" else None
-        rows.append((name, ways.get(name), kind, reasons.get(name) or skipped.get(name), (lead_tables or {}).get(name), schema, *counts.get(name, (0, 0, 0))))
-    return spark.createDataFrame(rows, OUTCOME)
+        schema = schemas[name].json() if kind == "ok" else None
+        found.append((name, ways.get(name), kind, reasons.get(name) or skipped.get(name), (lead_tables or {}).get(name), schema, *counts.get(name, (0, 0, 0))))
+    return spark.createDataFrame(found, OUTCOME)
 
 
-def own_schema(calls: DataFrame, way: str, lead: DataFrame, limit: int | None) -> T.StructType:
-    """The columns of one module's annotated table."""
-    return T.StructType([f for f in annotated(calls, {"": (way, lead)}, limit).schema.fields if f.name not in ("job", "__found")])
+def own_schema(calls: DataFrame, lead: tuple[str, DataFrame], rows: DataFrame) -> T.StructType:
+    """The columns of one module's annotated table, of those of the run's rows."""
+    way, table = lead
+    keys = {"genotype", *(("chrom", "start") if way == "position" else ("rsid",))}
+    names = [*calls.columns, *[f"{c}_{SUFFIX}" if c in calls.columns else c for c in table.columns if c not in keys], "genotype_evidence", "restored_flank_bp"]
+    return T.StructType([rows.schema[c] for c in names])
 
 
 def annotated_table(spark: SparkSession, to: str, outcomes: DataFrame, module: str) -> DataFrame:
