@@ -372,14 +372,14 @@ def mart_01(spark, d):
     return shown.withColumn("stored", F.coalesce("stored", F.lit(0)))
 
 
-@query("mart_01_table", _OUTCOMES + """SELECT sample, 'called' AS genotype_evidence, count(*) AS n, count(module) AS matched, round(sum(weight), 3) AS weight, count(rsid_core) AS named, CAST(NULL AS BIGINT) AS farthest FROM v_annotated GROUP BY sample
-  UNION ALL SELECT NULL, 'restored_hom_ref', count(*), count(*), (SELECT round(sum(l.weight), 3) FROM v_lead l JOIN restored x ON l.key = x.key), count(*), max(flank) FROM restored HAVING count(*) > 0""")
+@query("mart_01_table", _OUTCOMES + """SELECT sample, 'called' AS genotype_evidence, count(*) AS n, count(module) AS matched, round(sum(weight), 3) + CAST(0 AS DOUBLE) AS weight, count(rsid_core) AS named, CAST(NULL AS BIGINT) AS farthest FROM v_annotated GROUP BY sample
+  UNION ALL SELECT NULL, 'restored_hom_ref', count(*), count(*), (SELECT round(sum(l.weight), 3) + CAST(0 AS DOUBLE) FROM v_lead l JOIN restored x ON l.key = x.key), count(*), max(flank) FROM restored HAVING count(*) > 0""")
 def mart_01_table(spark, d):
-    """One module's annotated table of the run: called rows by sample, and restored ones."""
+    """One module's annotated table of the run: called rows by sample, and restored ones. A sum that rounds to zero has no sign."""
     to, outcomes = _run(spark, d)
     rows = R.annotated_table(spark, to, outcomes, "typed")
     return rows.groupBy("sample", "genotype_evidence").agg(
-        F.count("*").alias("n"), F.count("module").alias("matched"), F.round(F.sum("weight"), 3).alias("weight"), F.count("rsid_typed").alias("named"), F.max("restored_flank_bp").alias("farthest")
+        F.count("*").alias("n"), F.count("module").alias("matched"), (F.round(F.sum("weight"), 3) + F.lit(0.0)).alias("weight"), F.count("rsid_typed").alias("named"), F.max("restored_flank_bp").alias("farthest")
     )
 
 

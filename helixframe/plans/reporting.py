@@ -174,11 +174,11 @@ def _report_rows(spark, d):
     return full.join(found, "rsid", "left").withColumn("n_studies", F.coalesce("n_studies", F.lit(0)))
 
 
-@query("mart_03", f"WITH {_CITED} SELECT coalesce(category, 'other') AS category, gene, count(*) AS variants, round(sum(weight), 2) AS net_weight, count(*) FILTER (studies > 0) AS cited, CAST(sum(studies) AS BIGINT) AS studies FROM rows_ GROUP BY ALL")
+@query("mart_03", f"WITH {_CITED} SELECT coalesce(category, 'other') AS category, gene, count(*) AS variants, round(sum(weight), 2) + CAST(0 AS DOUBLE) AS net_weight, count(*) FILTER (studies > 0) AS cited, CAST(sum(studies) AS BIGINT) AS studies FROM rows_ GROUP BY ALL")
 def mart_03(spark, d):
     """The report's rows by category and gene, with their studies."""
     return _report_rows(spark, d).groupBy(F.coalesce("category", F.lit("other")).alias("category"), "gene").agg(
-        F.count("*").alias("variants"), F.round(F.sum("weight"), 2).alias("net_weight"), F.count_if(F.col("n_studies") > 0).alias("cited"), F.sum("n_studies").alias("studies")
+        F.count("*").alias("variants"), (F.round(F.sum("weight"), 2) + F.lit(0.0)).alias("net_weight"), F.count_if(F.col("n_studies") > 0).alias("cited"), F.sum("n_studies").alias("studies")
     )
 
 

@@ -51,11 +51,11 @@ def test_stream_takes_new_files_only(spark, tmp_path):
     drop, out, done = str(tmp_path / "drop"), str(tmp_path / "out"), str(tmp_path / "done")
     lead = spark.createDataFrame([("1", 10, "rs1", "A", ["G", "T"], 1.0)], "chrom string, start long, rsid string, ref string, genotype array<string>, weight double")
     written(f"{drop}/ann", "one.vcf")
-    arrivals.annotate_arrivals(spark, drop, lead, "m", out, done).awaitTermination()
-    assert [(r["sample"], r["weight"]) for r in spark.read.parquet(out).collect()] == [("ann/one", 1.0)]
+    arrivals.annotate_arrivals(spark, drop, {"m": lambda: lead}, out, done).awaitTermination()
+    assert [(r["sample"], r["weight"]) for r in arrivals.arrived(spark, out).collect()] == [("ann/one", 1.0)]
     written(f"{drop}/bob", "two.vcf")
-    arrivals.annotate_arrivals(spark, drop, lead, "m", out, done).awaitTermination()
-    assert sorted(r["sample"] for r in spark.read.parquet(out).collect()) == ["ann/one", "bob/two"]
+    arrivals.annotate_arrivals(spark, drop, {"m": lambda: lead}, out, done).awaitTermination()
+    assert sorted(r["sample"] for r in arrivals.arrived(spark, out).collect()) == ["ann/one", "bob/two"]
 
 
 def test_header_is_read_up_to_the_first_record(spark, tmp_path):
