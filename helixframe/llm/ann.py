@@ -3,8 +3,9 @@
 With one more coordinate, sqrt(M - |x|^2) for data (M: the largest squared norm) and 0 for queries, nearness by inner product
 is nearness by distance, so that graph and search follow one order. The graph starts from random blocks and from leaves of
 random hyperplanes (through pairs of a bounded sample of vectors; large leaves are split), in which each vector meets
-all others of its block. Each round of NN-descent then joins, at every vector, its neighbours and the vectors that
-have it as neighbour: each pair of them that improves the list of either is a candidate, and lists keep the best NEIGHBOURS. The
+all others of its block. Each round of NN-descent then joins, at every vector with an edge that the last round found, its neighbours and the vectors that
+have it as neighbour: each pair of them that improves the list of either is a candidate, and lists keep the best NEIGHBOURS. Rounds end
+when at most a share SETTLED of all edges is new, so that a larger table gets the rounds that it needs. The
 vectors around a very popular one are dealt to blocks of about BLOCK: all take part and none makes a task large. Vectors travel in 8 bits
 a component, each on a scale of its own largest component, with their exact squared norms, and nearness leaves out what M adds to
 all pairs, so that a vector of any length leaves the others' nearness as it is. Graph and search order vectors by these rounded components;
@@ -12,7 +13,9 @@ the scores that are returned are computed from the original vectors in double pr
 
 A query's search starts at its own neighbours and the LONGEST longest vectors, which the graph's distance puts far from all
 and which have large products. Each step expands its best WIDTH candidates that aren't expanded yet, by a
-join with the graph, scores what is new and keeps the BEAM best.
+join with the graph, scores what is new and keeps the BEAM best, until no query has a candidate left to expand: a beam only
+gets better, so that none is expanded twice and the steps end by themselves. Queries that are done take no part in later steps. Each
+table of a round or step is deleted when the next one is written.
 
 Cases: vectors null, empty, zero or holding null or non-finite components, and rows with a null vec_id, take no part; a shorter
 vector counts as padded with zeros; of rows with one vec_id the one with the smallest vector takes part; ties go to the
@@ -33,11 +36,11 @@ from pyspark.sql import types as T
 
 from . import bytestext as bt
 from .knn_join import clean
-from .shared import partitions, stash, table
+from .shared import discard, partitions, stash, table
 
 K, EVERY = 20, 20
-NEIGHBOURS, TREES, LEAF, BLOCK, ROUNDS, IMPROVE = 32, 8, 500, 64, 2, 10
-BEAM, WIDTH, STEPS, LONGEST = 256, 32, 7, 32
+NEIGHBOURS, TREES, LEAF, BLOCK, SETTLED, IMPROVE = 32, 8, 500, 64, 0.01, 10
+BEAM, WIDTH, LONGEST = 256, 32, 32
 FAR = 3e38
 
 
@@ -107,8 +110,8 @@ def _best_pairs(near: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray) ->
 
 
 def best(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest v of each u."""
-    single = edges.groupBy("u", "v").agg(F.max("near").alias("near"))
+    """The k nearest v of each u; an edge is old where one of its rows is."""
+    single = edges.groupBy("u", "v").agg(F.max("near").alias("near"), F.bool_or("old").alias("old"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("near"), "v"))
     return single.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
 
@@ -167,6 +170,7 @@ def improve(graph: DataFrame, vectors: DataFrame, size: int, longest: float) ->
         at, flat = ids.offsets.to_numpy(), _finger(ids.values.to_numpy())
         return pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
 
+    active = graph.filter("NOT old").select(F.explode(F.array("u", "v")).alias("center")).distinct()
     known = graph.groupBy("u").agg(F.min("near").alias("least"), F.count("*").alias("n"), F.collect_list("v").alias("vs"))
     least = F.when(F.col("n") < NEIGHBOURS, F.lit(float("-inf"))).otherwise(F.col("least")).cast("float")
     members = vectors.join(known.select(F.col("u").alias("vec_id"), least.alias("least"), fingers("vs").alias("known")), "vec_id")
@@ -178,7 +182,7 @@ def improve(graph: DataFrame, vectors: DataFrame, size: int, longest: float) ->
     forward = graph.select(F.col("u").alias("center"), F.col("v").alias("vec_id")).join(popular, "center", "left").select(
         "center", "vec_id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1)).alias("block")
     )
-    rows = forward.unionByName(around).distinct().join(members, "vec_id")
+    rows = forward.unionByName(around).join(active, "center", "left_semi").distinct().join(members, "vec_id")
 
     def meet(rows: pa.Table) -> list[np.ndarray]:
         ids = rows["vec_id"].to_numpy()
@@ -194,15 +198,19 @@ def improve(graph: DataFrame, vectors: DataFrame, size: int, longest: float) ->
 
     keys = ["center", "block"]
     ordered = rows.repartition(partitions(graph.sparkSession), *keys).sortWithinPartitions(*keys)
-    return best(graph.unionByName(ordered.mapInArrow(by_group(keys, meet, _EDGES), _EDGE_DDL)), NEIGHBOURS)
+    found = ordered.mapInArrow(by_group(keys, meet, _EDGES), _EDGE_DDL).withColumn("old", F.lit(False))
+    return best(graph.withColumn("old", F.lit(True)).unionByName(found), NEIGHBOURS)
 
 
 def build(vectors: DataFrame, size: int, n: int, longest: float) -> DataFrame:
-    """The neighbour graph (u, v, near) of vectors (vec_id, v)."""
-    graph = stash(best(start(vectors, size, n, longest), NEIGHBOURS), "graph")
-    for _ in range(ROUNDS):
-        graph = stash(improve(graph, vectors, size, longest), "graph")
-    return graph
+    """The neighbour graph (u, v, near, old) of vectors (vec_id, v)."""
+    graph = stash(best(start(vectors, size, n, longest).withColumn("old", F.lit(False)), NEIGHBOURS), "graph")
+    while True:
+        before, graph = graph, stash(improve(graph, vectors, size, longest), "graph")
+        discard(before)
+        edges, new = graph.agg(F.count("*"), F.count_if(~F.col("old"))).first()
+        if new <= SETTLED * edges:
+            return graph
 
 
 def search(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -242,13 +250,19 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     heads = [r["vec_id"] for r in sound.orderBy(F.desc("norm"), "vec_id").limit(LONGEST).select("vec_id").collect()]
     long = asked.select("query_id", F.explode(F.array(*map(F.lit, heads)).cast("array<bigint>")).alias("vec_id")).filter("query_id <> vec_id")
     beam = stash(scored(first.unionByName(long).distinct()), "beam")
-    for _ in range(STEPS):
+    while True:
         chosen = beam.filter("NOT expanded").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= WIDTH).select("query_id", "vec_id")
         chosen = stash(chosen, "chosen")
+        if chosen.isEmpty():
+            break
         reached = chosen.join(graph.select(F.col("u").alias("vec_id"), "v"), "vec_id").select("query_id", F.col("v").alias("vec_id")).filter("query_id <> vec_id").distinct()
         new = scored(reached.join(beam.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti"))
         marked = beam.join(chosen.withColumn("now", F.lit(True)), ["query_id", "vec_id"], "left").select("query_id", "vec_id", "near", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
-        beam = stash(marked.unionByName(new).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= BEAM).drop("r"), "beam")
+        before, beam = beam, stash(marked.unionByName(new).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= BEAM).drop("r"), "beam")
+        discard(before)
+        discard(chosen)
+    for done in (chosen, graph, asked, vectors):
+        discard(done)
 
     pairs = beam.select("query_id", "vec_id").join(sound.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").join(sound.select("vec_id", "embedding"), "vec_id")
     product = F.aggregate(F.zip_with("q", "embedding", lambda a, b: F.coalesce(a.cast("double") * b.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
