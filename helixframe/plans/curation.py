@@ -13,7 +13,7 @@ from ..operators import filters as L
 from ..operators import joins as J
 from ..operators import panels as N
 from ..operators import ports as P
-from ..sources import tables, vcf
+from ..sources import block_gzip, tables, vcf
 from ..sources.scratch import scratch
 from ..streaming import arrivals
 from . import base as B
@@ -27,15 +27,19 @@ _HEAD = [
 ]
 
 
-def _vcf_text(spark, d):
-    """VCF text of the callset in a new folder: header lines stand in the first part."""
+def _vcf_text(spark, d, blocks=False):
+    """VCF text of the callset in a new folder, as block-gzip files if blocks: header lines stand in the first part."""
     rows = B.callset(spark, d)
     dot = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("."))
     ad = F.concat(F.col("dp").cast("string"), F.lit(","), (F.col("dp") + 1).cast("string"))
     line = F.concat_ws("\t", "chrom", F.col("start").cast("string"), dot("rsid"), "ref", F.replace("alt", F.lit("|"), F.lit(",")), dot("qual"), dot("filter"), F.concat(F.lit("SRC=s"), F.col("sample").cast("string"), F.lit(";DP="), F.col("dp").cast("string")), F.lit("GT:AD"), F.concat_ws(":", "gt", ad))
     path = scratch(spark, "vcf")
     head = spark.createDataFrame([("\n".join(_HEAD),)], "value string")
-    head.unionByName(rows.select(line.alias("value"))).write.text(path)
+    whole = head.unionByName(rows.select(line.alias("value")))
+    if blocks:
+        block_gzip.write_lines(whole, path, ".vcf.gz")
+    else:
+        whole.write.text(path)
     return path
 
 
@@ -54,6 +58,11 @@ def src_01(spark, d):
     return _read(vcf.read_vcf(spark, _vcf_text(spark, d)))
 
 
+@query("src_01_block_gzip", _READ)
+def src_01_block_gzip(spark, d):
+    return _read(vcf.read_vcf(spark, _vcf_text(spark, d, blocks=True)))
+
+
 @query("mart_00", "SELECT c.sample, c.chrom, array_to_string(c.genotype, '/') AS genotype, count(*) AS n, any_value(b.before) AS before FROM v_calls c JOIN (SELECT sample, count(*) AS before FROM v_callset GROUP BY sample) b ON c.sample = b.sample GROUP BY ALL")
 def mart_00(spark, d):
     """A callset normalised: VCF text read, contigs folded, genotypes computed, quality filtered with its accounting, written by sample and read back."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.genotypes import genotype_from_gt
+from . import block_gzip
 from .scratch import scratch
 
 CORE = ["chrom", "start", "end", "rsid", "ref", "alt", "qual", "filter"]
@@ -19,19 +20,24 @@ _TYPES = {"Integer": "int", "Float": "float", "Flag": "boolean"}
 _HEADER = re.compile(r"##(INFO|FORMAT)=<ID=([^,>]+),Number=([^,>]+),Type=([^,>]+)")
 
 
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The files at or under the path that hold anything, by name."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed, files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() and not f.getPath().getName().startswith(("_", ".")):
+            files.append(f.getPath().toString())
+    return sorted(files)
+
+
 def header_lines(spark: SparkSession, path: str) -> list[str]:
     """The lines from a VCF's start up to its first record: of the first file of the path, by name, that begins with '#'. Nothing after them is read."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
     codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
-    files, listed = [], fs.listFiles(root, True)
-    while listed.hasNext():
-        f = listed.next()
-        if f.getLen() and not f.getPath().getName().startswith(("_", ".")):
-            files.append(f.getPath())
-    for file in sorted(files, key=lambda p: p.toString()):
-        codec, raw = codecs.getCodec(file), fs.open(file)
+    for file in map(jvm.org.apache.hadoop.fs.Path, files_of(spark, path)):
+        codec = codecs.getCodecByName("gzip") if file.getName().endswith(".bgz") else codecs.getCodec(file)
+        raw = file.getFileSystem(conf).open(file)
         stream = codec.createInputStream(raw) if codec else raw
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
         try:
@@ -65,18 +71,34 @@ def _typed(text: Column, kind: str) -> Column:
     return known if kind == "string" else known.try_cast(kind)
 
 
+def text_lines(spark: SparkSession, path: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(value, keep) of all lines at the path; files of block-gzip are read by as many tasks as their size asks for."""
+    if any(c in path for c in "*?[{"):  # a pattern is left to Spark's reader
+        return spark.read.text(path).select("value", *keep)
+    files = files_of(spark, path)
+    found = set(block_gzip.blocked(spark, files))
+    if not found:
+        return spark.read.text(path).select("value", *keep)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base = path if root.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(root).isDirectory() else None
+    lines = block_gzip.read_lines(spark, sorted(found), base, keep)
+    if rest := [f for f in files if f not in found]:
+        lines = lines.unionByName(spark.read.option("basePath", path).text(rest).select("value", *keep))
+    return lines
+
+
 def read_vcf(spark: SparkSession, path: str, info: dict[str, str] | None = None, formats: dict[str, str] | None = None, genotype: bool = True, tasks: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """One row for each record of VCF text (plain or .gz), or a Parquet copy as it is.
+    """One row for each record of VCF text (plain, .gz or .bgz), or a Parquet copy as it is.
 
-    FILTER '.' becomes '', an ID '.' null, several alternates are apart by '|'. formats: FORMAT columns of the first sample, {} for none. A .gz file is one task; tasks
-    deals its rows out after the read. keep: columns of the folder's own partitions that stay.
+    FILTER '.' becomes '', an ID '.' null, several alternates are apart by '|'. formats: FORMAT columns of the first sample, {} for none. A block-gzip file is split among tasks, another .gz file
+    is one task; tasks deals its rows out after the read. keep: columns of the folder's own partitions that stay.
     """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     if info is None or formats is None:
         found = header_fields(spark, path)
         info, formats = found[0] if info is None else info, found[1] if formats is None else formats
-    lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.col("value") != ""))
+    lines = text_lines(spark, path, keep).filter(~F.col("value").startswith("#") & (F.col("value") != ""))
     f = F.split("value", "\t")
     if tasks:
         lines = lines.repartition(tasks)
@@ -136,15 +158,19 @@ def _head(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return ["##fileformat=VCFv4.2", *(f'##INFO=<ID={c},Number={0 if kinds[c] == "Flag" else "." if kinds[c] == "String" else 1},Type={kinds[c]},Description="{c}">' for c in annotation_columns(df, columns)), "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
 
 
-def write_vcf(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
-    """VCF text in order of chrom and start, range-partitioned; the header stands in the first part. df is computed once, before the sort samples it."""
+def write_vcf(df: DataFrame, path: str, columns: Sequence[str] | None = None, compress: bool = False) -> None:
+    """VCF text in order of chrom and start, range-partitioned; the header stands in the first part. df is computed once, before the sort samples it. compress: as block-gzip files."""
     spark = df.sparkSession
     header = spark.createDataFrame([(0, None, i, line) for i, line in enumerate(_head(df, columns))], "body int, chrom string, start long, line string")
     done = scratch(spark, "lines")
     vcf_lines(df, columns).select(F.lit(1).alias("body"), "chrom", F.col("start").cast("long").alias("start"), "line").write.option("compression", "zstd").parquet(done)
     rows = header.unionByName(spark.read.schema(header.schema).parquet(done))
     order = ["body", "chrom", "start"]  # the header before all records, those without a contig among them
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
+    lines = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("line")
+    if compress:
+        block_gzip.write_lines(lines, path, ".vcf.gz")
+    else:
+        lines.write.mode("overwrite").text(path)
 
 
 def write_sample_vcfs(df: DataFrame, path: str, sample: str = "sample", columns: Sequence[str] | None = None) -> None:
