@@ -108,6 +108,36 @@ def test_one_long_vector_leaves_recall(spark):
     assert all(any(r["vec_id"] == 1600 and r["rank"] == 1 for r in got if r["query_id"] == q) for q in range(0, 1600, 20) if exact[q, 1600] == np.delete(exact[q], q).max())
 
 
+def test_rounds_and_steps_end_by_themselves(spark, monkeypatch):
+    """Rounds go on until few edges are new, steps until no beam has a candidate left; of all tables written only the last beam and the vectors stay."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(3000, 24)).astype(np.float32)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    written, fresh, left = [], [], []
+    stash, discard = ann.stash, ann.discard
+
+    def noted(df, name):
+        back = stash(df, name)
+        written.append((name, id(back), back))
+        if name == "graph":
+            fresh.append(back.filter("NOT old").count() / back.count())
+        elif name == "chosen":
+            left.append(back.count())
+        return back
+
+    gone = []
+    monkeypatch.setattr(ann, "stash", noted)
+    monkeypatch.setattr(ann, "discard", lambda df: (gone.append(id(df)), discard(df)))
+    got = ann.search(vectors(spark, [(i, base[i].tolist()) for i in range(3000)])).collect()
+    assert fresh[0] == 1 and fresh[-1] <= ann.SETTLED and all(f > ann.SETTLED for f in fresh[:-1])
+    assert left[-1] == 0 and all(left[:-1])
+    assert sorted(name for name, at, _ in written if at not in gone) == ["beam", "sound"]
+    exact = base[::20].astype(float) @ base.astype(float).T
+    exact[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    best = {20 * i: set(np.argsort(-row)[:20].tolist()) for i, row in enumerate(exact)}
+    assert sum(r["vec_id"] in best[r["query_id"]] for r in got) / (150 * 20) >= 0.9
+
+
 def test_nearest_neighbours_of_few_rows(spark):
     assert ann.search(vectors(spark, odd_rows())).count() == 0
     got = ann.search(vectors(spark, [(20, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0]), (3, [-1.0, 2.0])])).collect()
