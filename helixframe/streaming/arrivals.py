@@ -25,21 +25,26 @@ MANY_SAMPLES = Context("variant_only", 0, 0.0, "targeted", "a batch of samples",
 
 def sample_key(path: Column) -> Column:
     """user/sample, from .../user/sample.vcf or .vcf.gz or .txt."""
-    return F.regexp_extract(path, r"([^/]+/[^/]+?)(?:\.vcf)?(?:\.gz|\.txt)?$", 1)
+    return F.regexp_extract(F.substring_index(path, "/", -2), r"^([^/]+/[^/]+?)(?:\.vcf)?(?:\.gz|\.txt)?$", 1)
 
 
-def arriving_lines(spark: SparkSession, folder: str, files_per_batch: int = 100, source: bool = False) -> DataFrame:
-    """(sample, value) of the lines of files that weren't seen before, with source their file too; folder holds a folder for each user."""
+def lines_by_file(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
+    """(source, value) of the lines of files that weren't seen before; folder holds a folder for each user."""
     lines = spark.readStream.schema(LINES).option("maxFilesPerTrigger", files_per_batch).format("text").load(f"{folder}/*")
-    path = F.col("_metadata.file_path")
-    return lines.select(sample_key(path).alias("sample"), "value", *([path.alias("source")] if source else []))
+    return lines.select(F.col("_metadata.file_path").alias("source"), "value")
+
+
+def arriving_lines(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
+    """(sample, value) of the lines of files that weren't seen before."""
+    return lines_by_file(spark, folder, files_per_batch).select(sample_key(F.col("source")).alias("sample"), "value")
 
 
 def records_of(lines: DataFrame) -> DataFrame:
     """Normalised calls of VCF lines, with their sample."""
-    f = F.split("value", "\t")
+    f = F.col("__f")
     gt = F.get(F.split(f[9], ":"), (F.array_position(F.split(f[8], ":"), "GT") - 1).cast("int"))
-    calls = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).select(
+    fields = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).select("sample", F.split("value", "\t").alias("__f"))
+    calls = fields.select(
         "sample", fold_contig(f[0]).alias("chrom"), f[1].try_cast("bigint").alias("start"), F.nullif(f[2], F.lit(".")).alias("rsid"),
         f[3].alias("ref"), F.replace(f[4], F.lit(","), F.lit("|")).alias("alt"), f[5].try_cast("double").alias("qual"), f[6].alias("filter"),
         F.regexp_extract(F.concat(F.lit(";"), f[7]), ";DP=([0-9]+)", 1).try_cast("int").alias("dp"), gt.alias("gt"),
@@ -48,15 +53,22 @@ def records_of(lines: DataFrame) -> DataFrame:
 
 
 def one_file_a_sample(lines: DataFrame) -> DataFrame:
-    """The lines of each sample's first file by name."""
-    first = lines.groupBy("sample").agg(F.min("source").alias("source"))  # as few rows as there are samples
-    return lines.join(first, ["sample", "source"], "left_semi").drop("source")
+    """The lines of each sample's first file by name, with their sample, which the source names unless a column does.
+
+    A batch has no more samples than files, so the list of them is broadcast, and names are taken apart once a file: a shuffle by sample would bring all of a sample's
+    lines to one task, and a stream's plans aren't adaptive.
+    """
+    own = ["sample"] if "sample" in lines.columns else []
+    files = lines.select("source", *own).distinct()
+    named = files if own else files.withColumn("sample", sample_key(F.col("source")))
+    first = named.groupBy("sample").agg(F.min_by("source", "source").alias("source"))  # min would let the optimizer drop the distinct, and read names from every line
+    return lines.join(F.broadcast(first), ["source", *own]).drop("source")
 
 
 def annotate_arrivals(spark: SparkSession, folder: str, readers: dict[str, Callable[[], DataFrame]], to: str, checkpoint: str, filters: Mapping | None = None) -> StreamingQuery:
     """Starts the stream; it ends when all that is there has been processed. filters: arguments of the quality filter."""
     return (
-        arriving_lines(spark, folder, source=True).writeStream.foreachBatch(lambda batch, number: store(batch, number, readers, to, filters))
+        lines_by_file(spark, folder).writeStream.foreachBatch(lambda batch, number: store(batch, number, readers, to, filters))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

@@ -191,3 +191,24 @@ def test_an_addition_stays_beside_a_source_row_of_the_same_variant_and_genotype(
         one([("rs90", "N", ["A/G", "G/G"], "", ["77"])], "rsid string, gene string, genotypes array<string>, conclusion string, pmids array<string>"),
     )
     assert rows_of(found.variants, "rsid", "genotype", "conclusion", "gene", "duplicates") == [("rs90", "A/G", "Beneficial variant", "N", 0), ("rs90", "A/G", "told", "G", 1), ("rs90", "G/G", "Beneficial variant", "N", 0)]
+
+
+def test_the_names_of_arriving_samples(spark):
+    paths = ["file:/in/ann/one.vcf", "file:/in/ann/one.vcf.gz", "s3://b/user=user1/part-0.c000.txt", "/in/ann/plain", "/in/ann/.vcf", "/in/ann/a.vcf.txt", "one.vcf"]
+    found = [r[0] for r in spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "n int, p string").orderBy("n").select(arrivals.sample_key(F.col("p"))).collect()]
+    assert found == ["ann/one", "ann/one", "user=user1/part-0.c000", "ann/plain", "ann/.vcf", "ann/a", ""]
+
+
+def test_lines_of_a_batch_are_not_shuffled_by_their_sample(spark):
+    """Ten samples are ten tasks, however long they are, and a stream's plans aren't adaptive."""
+    lines = spark.range(100).select(F.lit("u/s").alias("sample"), F.col("id").cast("string").alias("value"), F.when(F.col("id") < 60, "u/s.vcf").otherwise("u/s.vcf.gz").alias("source"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, -1)
+    try:
+        first = arrivals.one_file_a_sample(lines)
+        plan = first._jdf.queryExecution().executedPlan().toString()
+        assert first.count() == 60
+    finally:
+        spark.conf.set(threshold, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
