@@ -10,7 +10,8 @@ from ..operators import aggregates as A
 from ..operators import filters as L
 from ..operators import joins as J
 from ..operators import runs as R
-from ..sources import vcf
+from ..sources import tables, vcf
+from ..sources.scratch import scratch
 from . import base as B
 from .base import query
 
@@ -375,7 +376,8 @@ def ag_24(spark, d):
   FROM far WHERE restored_flank_bp <= {B.FLANK} AND (SELECT enabled FROM facts)""")
 def mart_02(spark, d):
     """Restored reference genotypes as rows of the callset, where its mode and scope allow them."""
-    calls = B.calls(spark, d).select("sample", "chrom", "start", "rsid", "ref", "alt", "qual", "filter", "genotype")
+    kept = B.calls(spark, d).select("sample", "chrom", "start", "rsid", "ref", "alt", "qual", "filter", "genotype")
+    calls = tables.write_table(kept, scratch(spark, "calls"))  # scope, mode and restoration read it
     rows = R.restored_rows(calls, _hom_lead(spark, d), B.FLANK)
     if not R.context_of(calls, B.FLANK, B.RUN_SITES).restores:
         rows = rows.limit(0)
