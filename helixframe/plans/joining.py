@@ -292,7 +292,8 @@ _UNION = _HOM_LEAD + f""", called AS (SELECT DISTINCT chrom, start FROM v_calls)
 def _union(spark, d):
     calls = B.calls(spark, d)
     called = J.annotate_by_position(calls, B.lead(spark, d), "core").select("chrom", "start", "ref", "sample", "genotype_evidence")
-    found = L.restored(_hom_lead(spark, d), calls.select("chrom", "start").distinct(), B.FLANK).select("chrom", "start", "ref", "restored_flank_bp").distinct()
+    sites = tables.write_table(calls.select("chrom", "start").distinct(), scratch(spark, "sites"))  # three joins read them
+    found = L.restored(_hom_lead(spark, d), sites, B.FLANK).select("chrom", "start", "ref", "restored_flank_bp").distinct()
     return called.unionByName(found.withColumn("genotype_evidence", F.lit("restored_hom_ref")), allowMissingColumns=True)
 
 
@@ -354,7 +355,7 @@ def _run(spark, d):
         "diplotypes": lambda: lead.select("module", "gene"), "lost": lambda: tables.module_table(spark, scratch(spark, "missing")), "broken": broken,
         "numbered": lambda: lead.withColumn("genotype", F.lit(1)), "corrupt": corrupt,
     }
-    calls, to = B.calls(spark, d), scratch(spark, "run")
+    calls, to = tables.write_table(B.calls(spark, d), scratch(spark, "calls")), scratch(spark, "run")  # a run reads its callset many times
     return to, R.annotate_run(calls, readers, to, B.FLANK, R.context_of(calls, B.FLANK, B.RUN_SITES))
 
 
