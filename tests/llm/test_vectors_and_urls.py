@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from helixframe.llm import ann, knn_join, url_rules
@@ -138,6 +139,82 @@ def test_rounds_and_steps_end_by_themselves(spark, monkeypatch):
     assert sum(r["vec_id"] in best[r["query_id"]] for r in got) / (150 * 20) >= 0.9
 
 
+def test_copies_of_a_vector_are_one_class(spark, monkeypatch):
+    """Graph and search see 90 vectors, not 1,800 rows; of a vector's many rows the smallest ids are listed."""
+    rng = np.random.default_rng(21)
+    few = rng.integers(-3, 4, size=(90, 6)).astype(np.float32)
+    few[:, 0] = np.arange(90) // 10 + 1  # no zero vector
+    few = np.unique(few, axis=0)
+    at = np.concatenate([np.zeros(900, dtype=int), rng.integers(0, len(few), 900)])[rng.permutation(1800)]  # one vector is half of all rows
+    sizes, stash = [], ann.stash
+
+    def noted(df, name):
+        back = stash(df, name)
+        if name in ("vectors", "asked"):
+            sizes.append(back.count())
+        return back
+
+    monkeypatch.setattr(ann, "stash", noted)
+    got = ann.search(vectors(spark, [(i, few[x].tolist()) for i, x in enumerate(at)])).collect()
+    assert sizes[0] == len(np.unique(at)) and sizes[1] == len(np.unique(at[::20]))
+    assert len(got) == 90 * 20
+    exact = few[at].astype(float) @ few[at].astype(float).T  # whole numbers, so that ties are exact
+    for q in range(0, 1800, 20):
+        want = [i for i in np.lexsort((np.arange(1800), -exact[q])) if i != q][:20]
+        own = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [(r["rank"], r["vec_id"], r["score"]) for r in own] == [(n + 1, i, exact[q, i]) for n, i in enumerate(want)]
+
+
+def test_cells_of_two_draws_leave_little_to_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    base = rng.normal(size=(3000, 64)).astype(np.float32)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    new, stash = [], ann.stash
+
+    def noted(df, name):
+        back = stash(df, name)
+        if name == "graph":
+            new.append(back.filter("NOT old").count() / back.count())
+        return back
+
+    monkeypatch.setattr(ann, "stash", noted)
+    monkeypatch.setattr(ann, "LEAF", 200)
+    monkeypatch.setattr(ann, "MOST", 4)  # 15 cells: two draws of 4 pivots
+    got = ann.search(vectors(spark, [(i, base[i].tolist()) for i in range(3000)])).collect()
+    assert len(new) <= 4 and new[1] < 0.3
+    exact = base[::20].astype(float) @ base.astype(float).T
+    exact[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    best = {20 * i: set(np.argsort(-row)[:20].tolist()) for i, row in enumerate(exact)}
+    assert sum(r["vec_id"] in best[r["query_id"]] for r in got) / (150 * 20) >= 0.95
+
+
+def test_nearest_of_lists_and_groups_over_batches():
+    rng = np.random.default_rng(23)
+    for _ in range(50):
+        n, many, k = int(rng.integers(1, 9)), int(rng.integers(0, 200)), int(rng.integers(1, 20))
+        rows, ids, done = rng.integers(0, n, many), rng.integers(0, 40, many), rng.random(many) < 0.3
+        near = (rng.integers(0, 8, 40)[ids] / 8).astype(np.float32)
+        counts, *lists = ann._nearest(n, rows, ids, near, done, k)
+        for row, at in enumerate(np.cumsum([0, *counts])[:-1]):
+            own = {i: (near[(rows == row) & (ids == i)].max(), done[(rows == row) & (ids == i)].any()) for i in ids[rows == row]}
+            found = list(zip(*(x[at : at + counts[row]] for x in lists), strict=True))
+            assert len(found) == min(k, len(own)) and all(own[i] == (v, d) for i, v, d in found)
+            assert found == sorted(found, key=lambda x: (-x[1], x[0])) and [v for _, v, _ in found] == sorted((v for v, _ in own.values()), reverse=True)[:k]
+    for width in (5, 65, 3000):
+        for near in (rng.normal(size=(40, width)).astype(np.float32), np.ones((40, width), dtype=np.float32)):
+            counts, at = ann._about(near, 16)
+            for row, begin in enumerate(np.cumsum([0, *counts])[:-1]):
+                own = at[begin : begin + counts[row]]
+                assert set(own // width) == {row} and sorted(near.ravel()[own])[::-1][:16] == sorted(near[row])[::-1][:16]
+            assert len(at) <= 2 * 16 * 40
+    key = np.repeat(np.arange(6), [3, 45_000, 1, 1, 20_000, 7])
+    batches = pa.table({"k": key, "x": np.arange(len(key))}).to_batches(max_chunksize=30_001)
+    solved = list(ann.by_group("k", lambda rows, edges: pa.table({"k": rows["k"].to_numpy()[edges[:-1]], "n": np.diff(edges), "x": np.add.reduceat(rows["x"].to_numpy(), edges[:-1])}))(iter(batches)))
+    whole = pa.Table.from_batches(solved)
+    assert whole["k"].to_pylist() == list(range(6)) and whole["n"].to_pylist() == [3, 45_000, 1, 1, 20_000, 7]
+    assert whole["x"].to_pylist() == [int(np.flatnonzero(key == i).sum()) for i in range(6)]
+
+
 def test_nearest_neighbours_of_few_rows(spark):
     assert ann.search(vectors(spark, odd_rows())).count() == 0
     got = ann.search(vectors(spark, [(20, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0]), (3, [-1.0, 2.0])])).collect()
